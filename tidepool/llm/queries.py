@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import bpe, packing, token_counts
+from tidepool.llm import bpe, minhash, packing, token_counts
 from tidepool.llm.shared import read
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -30,6 +30,10 @@ def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -38,6 +42,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_token_counts": op8_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import bpe, minhash, packing, token_counts
-from tidepool.llm.shared import read
+from tidepool.llm import bpe, compression_quality, langid, minhash, packing, quality_rules, token_counts, toxicity
+from tidepool.llm.shared import crc_mod, read
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -26,6 +26,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *(f"quality_rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+
+
+def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = read(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 3)
+    model = compression_quality.fit(docs, read(spark, sf_dir, "labels"), usable=remainder != 1)
+    scored = docs.select("doc_id", (remainder == 1).alias("held_out"), compression_quality.scorer(spark, model)("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -34,15 +46,33 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = read(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5)
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), usable=remainder != 0)
+    scored = docs.select("doc_id", (remainder == 0).alias("held_out"), toxicity.scorer(spark, model)("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = read(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 4)
+    profiles = langid.learn(docs, usable=remainder != 2)
+    found = docs.select("doc_id", (remainder == 2).alias("held_out"), langid.identifier(spark, profiles)("text").alias("at"))
+    return found.select("doc_id", "held_out", "at.lang_pred", "at.score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_compression_quality": op3_compression_quality,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_pu_toxicity": op7_pu_toxicity,
     "op8_token_counts": op8_token_counts,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import bpe, compression_quality, langid, minhash, packing, quality_rules, token_counts, toxicity
+from tidepool.llm import bpe, compression_quality, langid, minhash, packing, quality_rules, token_counts, toxicity, vector_search
 from tidepool.llm.shared import crc_mod, read
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -58,6 +58,21 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_search.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+OP9_SQL = """
+with q as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) v from embeddings
+  where vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(embedding) > 0),
+s as (select a.vec_id query_id, b.vec_id vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) score
+  from q a join q b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) rank, vec_id, score from s)
+select query_id, cast(rank as integer) rank, vec_id, cast(score as bigint) score from r where rank <= 10
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, remainder = read(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 4)
     profiles = langid.learn(docs, usable=remainder != 2)
@@ -73,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_pu_toxicity": op7_pu_toxicity,
     "op8_token_counts": op8_token_counts,
+    "op9_pivot_topk": op9_pivot_topk,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_pivot_topk": OP9_SQL}

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import bpe, compression_quality, langid, minhash, packing, quality_rules, token_counts, toxicity, vector_search
+from tidepool.llm import bpe, compression_quality, langid, line_dedup, minhash, packing, quality_rules, token_counts, toxicity, vector_search
 from tidepool.llm.shared import crc_mod, read
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -38,6 +38,30 @@ def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *(f"line_dedup.{c}" for c in ("n_lines", "n_removed", "n_words", "n_words_removed", "text")))
+
+
+OP4_SQL = r"""
+with l as (select doc_id, unnest(range(len(string_split(text, chr(10))))) + 1 i, unnest(string_split(text, chr(10))) t from documents),
+w as (select doc_id, i, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w from l),
+s as (select doc_id, i, w, array_to_string(w, ' ') k, len(w) n from w where len(w) >= 4),
+f as (select k, any_value(w) w, any_value(n) n, min({'d': doc_id, 'i': i}) p from s group by k),
+v as (select k, p, n, j, array_to_string(list_concat(w[1:j - 1], w[j + 1:]), ' ') x from (select *, unnest(range(1, n + 1)) j from f where n >= 8)),
+g as (select x, j, min(p) p from v group by x, j having count(distinct k) > 1),
+near as (
+  select v.k from v join g on v.x = g.x and v.j = g.j where g.p < v.p
+  union select v.k from v join f on v.x = f.k where f.n >= 8 and f.p < v.p
+  union select f.k from f join v on v.x = f.k where f.n >= 8 and v.p < f.p),
+gone as (select s.doc_id, s.i, s.n from s join f using (k) where {'d': s.doc_id, 'i': s.i} > f.p or s.k in (select k from near)),
+c as (select w.doc_id, count(*) n_lines, count(gone.i) n_removed, sum(len(w.w)) n_words, coalesce(sum(gone.n), 0) n_words_removed,
+  coalesce(string_agg(w.t, chr(10) order by w.i) filter (gone.i is null), '') text
+  from w left join gone on w.doc_id = gone.doc_id and w.i = gone.i group by w.doc_id)
+select doc_id, n_lines, n_removed, cast(n_words as bigint) n_words, cast(n_words_removed as bigint) n_words_removed, text from c
+"""
+
+
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -84,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_compression_quality": op3_compression_quality,
+    "op4_line_dedup": op4_line_dedup,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_pu_toxicity": op7_pu_toxicity,
@@ -91,4 +116,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pivot_topk": op9_pivot_topk,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {"op9_pivot_topk": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op9_pivot_topk": OP9_SQL}

@@ -103,3 +103,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
+
+
+#: Bits of the filter that prefilter() broadcasts: 1 MB, whatever the number of keys.
+FILTER_BITS = 1 << 23
+
+
+def prefilter(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose key isn't among wanted.key, so that a following join shuffles less.
+
+    A bitmap of hashed keys with a fixed number of bits is broadcast. It never
+    loses a wanted key; with very many keys it lets more rows through.
+    """
+    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
+    maps = wanted.select(bit.alias("__bit")).groupBy(F.bitmap_bucket_number("__bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__map"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("__map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("__bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(maps), "__bucket")
+    return met.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*rows.columns)

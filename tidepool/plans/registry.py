@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidepool.plans import corpus, retrieval
+
 FLAGSHIP = "fts_bm25_or"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = retrieval.QUERIES | corpus.QUERIES
+ORACLE_SQL = retrieval.ORACLE_SQL | corpus.ORACLE_SQL

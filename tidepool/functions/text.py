@@ -141,9 +141,8 @@ def _joined(parts: list[Column], sep: str) -> Column:
 
 def embed_text(title: Column, section: Column, body: Column) -> Column:
     """What an embedder reads of a chunk: title and section, a blank line, the body."""
-    head = _joined([clean_heading(title), clean_heading(section)], "\n")
-    text = clean_body(body)
-    return F.when(head == "", text).otherwise(F.concat(head, F.lit("\n\n"), text))
+    head = F.concat_ws("\n", clean_heading(title), clean_heading(section))
+    return F.regexp_replace(F.concat(head, F.lit("\n\n"), clean_body(body)), "^\n\n", "")
 
 
 def rerank_text(title: Column, heading: Column, text: Column) -> Column:

@@ -74,9 +74,9 @@ def _segments(path: Column) -> Column:
 def _without_first(path: Column, hit) -> tuple[Column, Column]:
     """The path without the first segment that hit accepts, and that segment (null if none)."""
     parts = _segments(path)
-    found = F.filter(parts, hit)[0]
-    at = F.array_position(parts, found)
-    rest = F.concat(F.slice(parts, F.lit(1), F.cast(F.greatest(at - 1, F.lit(0)), "int")), F.slice(parts, F.cast(at + 1, "int"), F.size(parts)))
+    found = F.get(F.filter(parts, hit), F.lit(0))
+    at = F.coalesce(F.array_position(parts, found), F.lit(1)).cast("int")
+    rest = F.concat(F.slice(parts, F.lit(1), at - 1), F.slice(parts, at + 1, F.greatest(F.size(parts), F.lit(0))))
     return F.when(found.isNull(), path).otherwise(F.concat(F.lit("/"), F.array_join(rest, "/"))), found
 
 

@@ -8,6 +8,7 @@ one row.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -211,17 +212,18 @@ def bm25(index: DataFrame, node, key: str = "chunk_id") -> DataFrame:
         return reduce(F.array_intersect, shifted) if shifted else F.array().cast("array<int>")
 
     rows = rows.select(key, "__len", *(starts(p, i).alias(f"o{k}_{f}") for k, p in enumerate(found) for i, f in enumerate(FIELDS)))
-    corpus = sized.agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__len").alias("__avg"))
-    has = [reduce(lambda a, b: a | b, [F.size(f"o{k}_{f}") > 0 for f in FIELDS]) for k in range(len(found))]
-    stats = rows.agg(*(F.count_if(h).cast("double").alias(f"__n{k}") for k, h in enumerate(has))).crossJoin(corpus)  # one row each
     match, counts = _evaluate(node, [0])
+    has = [reduce(lambda a, b: a | b, [F.size(f"o{k}_{f}") > 0 for f in FIELDS]) for k in range(len(found))]
+    # two rows of statistics reach the driver and come back as constants
+    n, average = sized.agg(F.count(F.lit(1)), F.avg("__len")).first()
+    holding = rows.agg(F.count(F.lit(1)), *(F.count_if(h) for h in has)).first()[1:]
     score = F.lit(0.0)
-    for k, f in enumerate(counts):
-        idf = F.log((F.col("__n") - F.col(f"__n{k}") + 0.5) / (F.col(f"__n{k}") + 0.5))
-        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-        score = score + idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("__len") / F.col("__avg")))
-    # one row of statistics
-    return rows.where(match).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))
+    for k, df in enumerate(holding):
+        idf = math.log((n - df + 0.5) / (df + 0.5))
+        f = F.col(f"__f{k}")
+        score = score + F.lit((idf if idf > 0 else LEAST_IDF) * (K1 + 1)) * f / (f + F.lit(K1 * (1 - B)) + F.col("__len") * F.lit(K1 * B / (average or 1.0)))
+    scored = rows.select(key, "__len", match.alias("__match"), *(f.cast("double").alias(f"__f{k}") for k, f in enumerate(counts)))
+    return scored.where("__match").select(key, score.alias("score"))
 
 
 def search(index: DataFrame, chunks: DataFrame, node, limit: int, where: Column | None = None, key: str = "chunk_id") -> DataFrame:

@@ -2,5 +2,322 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidepool.functions import html, openapi, text, urls
+from tidepool.operators import ingest, store, vector
+from tidepool.schema import CHUNKS, DOCUMENTS, EMBEDDINGS
+from tidepool.sources import discovery, files
+from tidepool.streaming import ingest as streams
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", "url")
+
+
+#: Normal form in SQL, for URLs without user names and default ports.
+PARTS_SQL = r"""u as (select page_id, url, lower(regexp_extract(url, '^(https?)://', 1)) scheme, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) host,
+  regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) raw, regexp_extract(url, '\?([^#]*)', 1) query from pages),
+p as (select *, case when regexp_replace(raw, '(?i)/index\.html?$', '/') in ('', '/') then '/' else regexp_replace(regexp_replace(raw, '(?i)/index\.html?$', '/'), '/$', '') end path,
+  list_filter(string_split(query, '&'), lambda x: x <> '' and not regexp_matches(string_split(x, '=')[1], '(?i)^(utm_|fbclid|gclid|mc_)')) kept from u),
+n as (select *, scheme || '://' || host origin, scheme || '://' || host || path || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end normal from p)"""
+
+
+def url_normalize(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", urls.normalize(F.col("url")).alias("normal"), urls.origin(F.col("url")).alias("origin"))
+
+
+def url_scope(spark, sf_dir):
+    root = F.concat(urls.origin(F.col("url")), F.lit("/en"))
+    return _pages(spark, sf_dir).select("page_id", urls.under_root(F.col("url"), root).alias("under_root"), urls.same_origin(F.col("url"), F.lit("https://example.com")).alias("same_origin"))
+
+
+def url_strip_locale(spark, sf_dir):
+    path, tag = urls.strip_locale(urls.normal_path(F.col("url")))
+    return _pages(spark, sf_dir).select("page_id", path.alias("path"), tag.alias("locale"), urls.locale_preference(F.col("url")).alias("preference"))
+
+
+LOCALE_SQL = """s as (select page_id, path, list_filter(string_split(path, '/'), lambda x: x <> '') parts from n),
+l as (select *, list_filter(parts, lambda x: lower(x) in ('en', 'es', 'fr', 'de')) hit from s),
+k as (select page_id, case when len(hit) = 0 then path else '/' || array_to_string(list_concat(parts[:list_position(parts, hit[1]) - 1], parts[list_position(parts, hit[1]) + 1:]), '/') end path, hit[1] locale from l)"""
+
+
+def _versioned(spark, sf_dir):
+    """Every F.col("url"), and copies of it in another language and under a version."""
+    p = _pages(spark, sf_dir).select(F.col("page_id").alias("pos"), urls.normalize(F.col("url")).alias("url"))
+    other = p.select((F.col("pos") + 1_000_000).alias("pos"), F.regexp_replace("url", "/(de|fr|es)/", "/en/").alias("url"))
+    old = p.select((F.col("pos") + 2_000_000).alias("pos"), F.regexp_replace("url", r"^(https?://[^/]+)/", "$1/v1.2/").alias("url"))
+    return p, other, old
+
+
+def url_dedupe_exact(spark, sf_dir):
+    p, other, _ = _versioned(spark, sf_dir)
+    return urls.dedupe_exact(p.union(other))
+
+
+def url_dedupe_locale(spark, sf_dir):
+    p, other, _ = _versioned(spark, sf_dir)
+    return urls.dedupe_locales(p.union(other))
+
+
+def url_dedupe_version(spark, sf_dir):
+    p, _, old = _versioned(spark, sf_dir)
+    return urls.dedupe_versions(old.union(p))
+
+
+CONTENT = ["text/html; charset=utf-8", "application/json", "application/xhtml+xml", "text/xml", "image/png", "application/pdf", "text/javascript", "", None, "text/plain", "application/wasm"]
+
+
+def content_type_skip(spark, sf_dir):
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(CONTENT)], "id int, ct string")
+    return rows.select("id", urls.skippable_content(F.col("ct")).alias("skip"), urls.html_content(F.col("ct")).alias("html"))
+
+
+_VALUES = ", ".join(f"({i}, {'null' if c is None else repr(c)})" for i, c in enumerate(CONTENT))
+
+
+def ids_short_hash(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.short_id(F.concat_ws(":", "source", F.col("doc_id").cast("string"))).alias("id"), F.sha2("text", 256).alias("content_hash"))
+
+
+def clean_chunk_text(spark, sf_dir):
+    noisy = F.concat(F.lit("<!-- x\ny -->[](#a)See [the docs](http://x.y/z) ¶<br/>"), F.col("text"), F.lit("  \n\n\n\nend   of  it \t\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_body(noisy).alias("clean"))
+
+
+CLEAN = [
+    (r"<!--(.|\n)*?-->", "", ""), (r"\[\]\([^)]*\)", "", ""), (r"\[¶\]\([^)]*\)", "", ""), ("¶+", "", ""), (r"\[([^\]]+)\]\(([^)]+)\)", r"\1", ""), (r"</?(?:span|div|br|hr)[^>]*>", "\n", "i"),
+    (r"(?m)[ \t]+$", "", ""), ("\n{3,}", "\n\n", ""), (r"[\t\f\r\v ]{2,}", " ", ""), (r"^\s+|\s+$", "", ""),
+]
+
+
+def _nested(column: str, rules) -> str:
+    for pattern, new, flags in rules:
+        column = f"regexp_replace({column}, '{pattern}', '{new}', 'g{flags}')"
+    return column
+
+
+def clean_heading(spark, sf_dir):
+    noisy = F.concat(F.lit("## [](#x) Setup [guide](http://a.b) {#setup} "), F.col("source"), F.lit(" ¶ Direct link to setup"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_heading(noisy).alias("heading"), text.normalize_title(F.concat("source", F.lit(" Manual | Example Site"))).alias("title"))
+
+
+def redact_secrets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.redact(F.concat("text", F.lit(" password: hunter2x Bearer abcdefgh12 sk-abcdefghijkl"))).alias("text"))
+
+
+def boilerplate_gate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_boilerplate(F.col("text")).alias("boilerplate"))
+
+
+def page_title_lang(spark, sf_dir):
+    """The pages' language, adapter and whether a heading gave the title, from the extraction."""
+    p = table(spark, sf_dir, "pages").select("page_id", html.extracted(F.col("html"), F.col("url")).alias("p"))
+    return p.select("page_id", "p.lang", "p.adapter")
+
+
+def html_to_markdown(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", html.extracted(F.col("html"), F.col("url")).alias("p"))
+    return p.select("page_id", "p.*")
+
+
+def page_adapter(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.adapter_name(F.col("html"), F.col("url")).alias("adapter"))
+
+
+def navigation_links(spark, sf_dir):
+    return discovery.links(table(spark, sf_dir, "pages"), "html")
+
+
+def exact_dedup_hash(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+def _sources(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.concat(F.lit("https://"), "source", F.lit(".example.com")).alias("root_uri"), "source").distinct().select(text.short_id(F.col("root_uri")).alias("id"), "root_uri", F.col("source").alias("title"))
+
+
+def _documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_id"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("uri"), F.col("lang").alias("title"), F.sha2("text", 256).alias("content_hash"),
+                    F.when(F.col("doc_id") % 7 == 0, "error").otherwise("ok").alias("status"), F.when(F.col("doc_id") % 3 == 0, '{"extractor_version":2}').otherwise('{"extractor_version":1}').alias("meta_json"))
+
+
+def source_stats(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"), F.countDistinct("lang").alias("langs"))
+
+
+def docs_by_source_list(spark, sf_dir):
+    sources = _sources(spark, sf_dir).withColumn("id", F.col("title"))
+    return store.listing(_documents(spark, sf_dir), sources)
+
+
+def index_counts(spark, sf_dir):
+    return store.counts({t: table(spark, sf_dir, t) for t in ("documents", "embeddings", "pages", "labels")})
+
+
+def stale_extractor_count(spark, sf_dir):
+    return store.stale_documents(_documents(spark, sf_dir), 2)
+
+
+def upsert_documents(spark, sf_dir):
+    """Even ids are stored; ids divisible by three come anew, some without a title."""
+    d = _documents(spark, sf_dir).select("id", "source_id", "uri", "title", "content_hash", "status")
+    old = d.where(F.col("id").cast("long") % 2 == 0)
+    new = d.where(F.col("id").cast("long") % 3 == 0).withColumns({"title": F.when(F.col("id").cast("long") % 4 == 0, F.lit("new")), "status": F.lit("pending"), "id": F.concat(F.lit("n"), "id")})
+    return store.upsert_documents(old, new)
+
+
+def prune_documents(spark, sf_dir):
+    """src1 keeps its uris that end in an even digit; other sources stay."""
+    d = _documents(spark, sf_dir)
+    keep = d.where(F.col("uri").rlike("[02468]$")).select("uri")
+    gone = store.vanished(d, "src1", keep).select("id")
+    return d.join(gone, "id", "left_anti").select("id", "source_id", "uri")
+
+
+def remove_source(spark, sf_dir):
+    d = _documents(spark, sf_dir)
+    tables = {"sources": _sources(spark, sf_dir).withColumn("id", F.col("title")), "documents": d, "chunks": d.select("id", "source_id"), "embeddings": table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"))}
+    after, _ = store.remove_source(tables, "src2")
+    return store.counts({k: after[k] for k in ("sources", "documents", "chunks", "embeddings")})
+
+
+def semi_delete_embeddings(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "label")
+    return store.delete(e, _documents(spark, sf_dir).where("source_id = 'src3'"), "chunk_id", "id")
+
+
+def hash_skip(spark, sf_dir):
+    d = _documents(spark, sf_dir)
+    new = d.withColumn("content_hash", F.when(F.col("id").cast("long") % 5 == 0, F.lit("changed")).otherwise(F.col("content_hash")))
+    return ingest.unchanged(new, d).select("id", "skip")
+
+
+def reembed_text(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.embed_text(F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.regexp_replace("text", r"[^A-Za-z]+", " ")).alias("text"))
+
+
+def hashed_embeddings(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    e = vector.embed_chunks(d, vector.HashedEmbedder(), F.col("text"), "doc_id")
+    return e.select("doc_id", "dims", F.round(vector.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
+
+
+def ingest_pages(spark, sf_dir):
+    """All pages into empty tables: the report, and how many documents, chunks and embeddings there are then."""
+    empty = {"documents": spark.createDataFrame([], DOCUMENTS), "chunks": spark.createDataFrame([], CHUNKS), "embeddings": spark.createDataFrame([], EMBEDDINGS)}
+    out = ingest.ingest(ingest.from_pages(table(spark, sf_dir, "pages"), "s"), empty, embedder=vector.HashedEmbedder())
+    return out["report"].select("pages_ok", "pages_failed", "pages_skipped").crossJoin(F.broadcast(vector.coverage(out["chunks"], out["embeddings"])))  # one row each
+
+
+def ingest_status_counts(spark, sf_dir):
+    return _documents(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def export_markdown(spark, sf_dir):
+    return ingest.export(_documents(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("markdown")), "id"))
+
+
+LLMS = "# Site\n\n- [Start](https://ex.com/start): first\nhttps://ex.com/bare.\n/local/page/\n\n- [Start](https://ex.com/start)\nno link"
+
+
+def llms_txt_parse(spark, sf_dir):
+    return discovery.llms_txt(spark.createDataFrame([("https://ex.com/llms.txt", LLMS)], "url string, body string")).select("pos", "url")
+
+
+def sitemap_parse(spark, sf_dir):
+    pages = _pages(spark, sf_dir).select(F.concat(F.lit("<urlset><url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url><url><LOC>https://ex.com/more.xml</LOC></url></urlset>")).alias("body"), "url")
+    return discovery.sitemap_locations(pages).select("source", "pos", "url", "nested")
+
+
+def bfs_frontier(spark, sf_dir):
+    """A crawl over a graph of numbered pages: page n links to 2n and 2n + 1."""
+    n = 300
+    page = lambda c: F.concat(F.lit("https://ex.com/p/"), c.cast("string"))
+    nodes = spark.range(1, n)
+    edges = nodes.select(page(F.col("id")).alias("source"), F.lit(0).alias("pos"), page(2 * F.col("id")).alias("url")).union(nodes.select(page(F.col("id")), F.lit(1), page(2 * F.col("id") + 1)))
+    root = spark.createDataFrame([("https://ex.com/p", 0, "https://ex.com/p/1")], edges.schema)
+    return discovery.crawl("https://ex.com/p", edges.union(root), 100).select("url", "depth")
+
+
+SPEC = '{"openapi":"3.0.0","info":{"title":"Pets","version":"1"},"servers":[{"url":"https://a.b"}],"paths":{"/pets/{id}":{"get":{"summary":"One pet","parameters":[{"name":"id","in":"path","required":true,"schema":{"type":"integer"}}],"responses":{"200":{"description":"ok","content":{"application/json":{"schema":{"$ref":"#/components/schemas/Pet"}}}}}}}},"components":{"schemas":{"Pet":{"type":"object","required":["id"],"properties":{"id":{"type":"integer"},"tags":{"type":"array","items":{"type":"string"}}}}}}}'
+
+
+def openapi_markdown(spark, sf_dir):
+    rows = spark.createDataFrame([(0, SPEC), (1, "swagger: '2.0'\ninfo: {title: Y, version: '2'}\npaths: {}\n"), (2, "{}"), (3, "")], "id int, body string")
+    return rows.select("id", openapi.converted(F.col("body")).alias("o")).select("id", "o.*")
+
+
+def docs_like_paths(spark, sf_dir):
+    paths = ["README.md", "docs/a.md", "src/docs/b.rst", "src/a.md", "guide/x.html", "documentation/y.py", "x/readme", "website/i.htm"]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "id int, path string")
+    return rows.select("id", files.docs_like(F.col("path")).alias("docs"), files.wanted(F.col("path")).alias("wanted"))
+
+
+def event_windows(spark, sf_dir):
+    return streams.event_counts(table(spark, sf_dir, "events"), "ts", ["event_type"])
+
+
+QUERIES = {f.__name__: f for f in (
+    url_normalize, url_scope, url_strip_locale, url_dedupe_exact, url_dedupe_locale, url_dedupe_version, content_type_skip, ids_short_hash, clean_chunk_text, clean_heading, redact_secrets, boilerplate_gate,
+    page_title_lang, html_to_markdown, page_adapter, navigation_links, exact_dedup_hash, source_stats, docs_by_source_list, index_counts, stale_extractor_count, upsert_documents, prune_documents, remove_source,
+    semi_delete_embeddings, hash_skip, reembed_text, hashed_embeddings, ingest_pages, ingest_status_counts, export_markdown, llms_txt_parse, sitemap_parse, bfs_frontier, openapi_markdown, docs_like_paths, event_windows,
+)}
+
+DOCS_SQL = """d as (select doc_id::varchar id, doc_id, source source_id, 'doc://' || doc_id uri, lang title, sha256(text) content_hash, case when doc_id % 7 = 0 then 'error' else 'ok' end status from documents)"""
+VERSIONED_SQL = f"""{PARTS_SQL}, a as (select page_id pos, normal url from n), b as (select pos + 1000000 pos, regexp_replace(url, '/(de|fr|es)/', '/en/', 'g') url from a),
+c as (select pos + 2000000 pos, regexp_replace(url, '^(https?://[^/]+)/', '\\1/v1.2/') url from a)"""
+ORACLE_SQL = {
+    "url_normalize": f"with {PARTS_SQL} select page_id, normal, origin from n",
+    "url_scope": f"with {PARTS_SQL} select page_id, path = '/en' or starts_with(path, '/en/') under_root, origin = 'https://example.com' same_origin from n",
+    "url_strip_locale": f"with {PARTS_SQL}, {LOCALE_SQL} select page_id, path, locale, (case when locale is null then 0 when locale = 'en' then 1 else 2 end)::integer preference from k",
+    "url_dedupe_exact": f"with {VERSIONED_SQL} select min(pos) pos, url from (select * from a union all select * from b) group by url",
+    "url_dedupe_locale": f"""with {VERSIONED_SQL}, x as (select url, min(pos) pos from (select * from a union all select * from b) group by url),
+y as (select url, pos, regexp_replace(url, '^(https?://[^/]+)/(en|de|fr|es)/', '\\1/') key, case when regexp_matches(url, '^https?://[^/]+/en/') then 1 when regexp_matches(url, '^https?://[^/]+/(de|fr|es)/') then 2 else 0 end pref from x)
+select min(pos) pos, arg_min(url, {{'a': pref, 'b': length(regexp_extract(url, '^https?://[^/?]*([^?]*)', 1)), 'c': pos}}) url from y group by key""",
+    "url_dedupe_version": f"""with {VERSIONED_SQL}, x as (select pos, url, url key, 0 pref from a union all select c.pos, c.url, a.url, 2 from c join a on c.pos = a.pos + 2000000)
+select min(pos) pos, arg_min(url, {{'p': pref, 'q': pos}}) url from x group by key""",
+    "content_type_skip": f"""with v(id, ct) as (values {_VALUES}), t as (select id, trim(string_split(lower(coalesce(ct, '')), ';')[1]) t from v)
+select id, contains(t, 'json') or (contains(t, 'xml') and not contains(t, 'xhtml')) or regexp_matches(t, '^(image|audio|video)/') or t in ('application/pdf', 'application/octet-stream') or contains(t, 'javascript') or contains(t, 'wasm') skip,
+t = '' or contains(t, 'html') or starts_with(t, 'text/plain') or starts_with(t, 'text/markdown') html from t""",
+    "ids_short_hash": "select doc_id, substr(sha256(source || ':' || doc_id), 1, 16) id, sha256(text) content_hash from documents",
+    "clean_chunk_text": "select doc_id, " + _nested("'<!-- x' || chr(10) || 'y -->[](#a)See [the docs](http://x.y/z) ¶<br/>' || text || '  ' || repeat(chr(10), 4) || 'end   of  it ' || chr(9) || chr(10)", CLEAN) + " clean from documents",
+    "clean_heading": "select doc_id, 'Setup guide ' || source heading, source || ' Manual' title from documents",
+    "redact_secrets": r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' password: hunter2x Bearer abcdefgh12 sk-abcdefghijkl', '(Authorization:\s*Bearer\s+)(\S+)', '\1***', 'gi'), '(Bearer\s+)([A-Za-z0-9._\-+/=]{8,})', '\1***', 'g'),
+'\b(api[_-]?key|token|secret|password)\b([=:]\s*)([^\s"''\\]{6,})', '\1\2***', 'gi'), '\b(sk-[A-Za-z0-9]{10,}|sk-proj-[A-Za-z0-9_-]{10,}|co_[A-Za-z0-9]{10,})\b', '***', 'g') text from documents""",
+    "boilerplate_gate": r"""with f as (select doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) flat from documents)
+select doc_id, case when flat = '' then true when regexp_matches(text, '(?m)^#{1,6}\s+\S') or regexp_matches(text, '(?s)```.*?```') or regexp_matches(text, '(?m)^( {4}|\t)\S') or regexp_matches(text, '(?m)^\|.+\|$') then false
+when length(flat) < 40 then true when len(regexp_extract_all(text, '\[[^\]]+\]')) / greatest(len(string_split(flat, ' ')) / 4.0, 1) > 0.6 then true else length(flat) < 80 end boilerplate from f""",
+    "page_title_lang": "select page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) lang, 'generic' adapter from pages",
+    "page_adapter": "select page_id, 'generic' adapter from pages",
+    "exact_dedup_hash": "select sha256(text) content_hash, min(doc_id) doc_id, count(*) copies from documents group by 1",
+    "source_stats": "select source, count(*) documents, sum(n_chars)::bigint chars, count(distinct lang) langs from documents group by 1",
+    "docs_by_source_list": f"with {DOCS_SQL} select 'https://' || source_id || '.example.com' root_uri, uri, title, status from d",
+    "index_counts": " union all ".join(f"select '{t}' name, count(*) n from {t}" for t in ("documents", "embeddings", "pages", "labels")),
+    "stale_extractor_count": f"with {DOCS_SQL} select count(*) filter (status = 'ok' and doc_id % 3 <> 0) stale from d",
+    "upsert_documents": f"""with {DOCS_SQL}, o as (select * from d where doc_id % 2 = 0), n as (select * from d where doc_id % 3 = 0)
+select case when o.id is null then 'n' || n.id else o.id end id, coalesce(o.source_id, n.source_id) source_id, coalesce(o.uri, n.uri) uri,
+case when n.id is not null and n.doc_id % 4 = 0 then 'new' else o.title end title, coalesce(n.content_hash, o.content_hash) content_hash, case when n.id is not null then 'pending' else o.status end status from o full join n on o.uri = n.uri""",
+    "prune_documents": f"with {DOCS_SQL} select id, source_id, uri from d where source_id <> 'src1' or doc_id % 2 = 0",
+    "remove_source": "select 'sources' name, count(distinct source) n from documents where source <> 'src2' union all select 'documents', count(*) from documents where source <> 'src2' union all select 'chunks', count(*) from documents where source <> 'src2' union all select 'embeddings', count(*) from embeddings where vec_id not in (select doc_id from documents where source = 'src2')",
+    "semi_delete_embeddings": "select vec_id::varchar chunk_id, label from embeddings where vec_id not in (select doc_id from documents where source = 'src3')",
+    "hash_skip": "select doc_id::varchar id, doc_id % 7 <> 0 and doc_id % 3 = 0 and doc_id % 5 <> 0 skip from documents",
+    "reembed_text": "select doc_id, source || case when doc_id % 2 = 0 then chr(10) || lang else '' end || chr(10) || chr(10) || trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) \"text\" from documents",
+    "ingest_status_counts": f"with {DOCS_SQL} select status, count(*) n from d group by 1",
+    "llms_txt_parse": "select * from (values (2, 'https://ex.com/start'), (3, 'https://ex.com/bare'), (4, 'https://ex.com/local/page')) v(pos, url)",
+    "sitemap_parse": "select url source, 0 pos, url, lower(url) like '%.xml' or lower(url) like '%sitemap%' nested from pages union all select url, 1, 'https://ex.com/more.xml', true from pages",
+    "bfs_frontier": "select 'https://ex.com/p' url, 0 depth union all select 'https://ex.com/p/' || i, 1 + floor(log2(i))::integer from range(1, 100) t(i)",
+    "docs_like_paths": "select * from (values (0, true, true), (1, true, true), (2, true, true), (3, false, true), (4, true, true), (5, false, true), (6, true, false), (7, true, true)) v(id, docs, wanted)",
+    "event_windows": "select date_trunc('hour', ts) window_start, event_type, count(*) n from events group by all",
+}

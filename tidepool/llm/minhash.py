@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.components import components
-from tidepool.llm.shared import mix64, offsets, raw_texts, scratch, slices
+from tidepool.llm.shared import mix64, offsets, prefilter, raw_texts, scratch, slices, tidied
 
 WORDS, BANDS, ROWS = 5, 32, 4
 #: Words whose hashes a worker keeps before it starts anew, bytes of text in one go, shingles hashed in one go, and rows of a block.
-CACHED, SLICE, STEP, BLOCK = 1_000_000, 2_000_000, 1 << 15, 256
+CACHED, SLICE, STEP, BLOCK = 300_000, 1_000_000, 1 << 15, 256
 #: Odd; fixed for all runs.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Standard deviations by which a signature may fall short of the threshold.
@@ -120,7 +120,7 @@ def sketch(docs: DataFrame, key: str, text: str, words: int, hashes: int) -> Dat
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, n bigint, d1 bigint, d2 bigint, sig binary")
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(tidied(run), f"key {kind}, n bigint, d1 bigint, d2 bigint, sig binary")
 
 
 def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
@@ -137,8 +137,8 @@ def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["key", "shingles"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(wanted.select("key"), "key", "left_semi")
-    return rows.mapInArrow(run, f"key {kind}, shingles array<bigint>")
+    rows = prefilter(docs.select(docs[key].alias("key"), docs[text].alias("text")), "key", wanted).join(wanted.select("key"), "key", "left_semi")
+    return rows.mapInArrow(tidied(run), f"key {kind}, shingles array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -150,19 +150,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct()
 
 
-def whole_buckets(rows: DataFrame, sig: DataFrame, sets: DataFrame, percent: int, hashes: int, kind: str) -> DataFrame:
+def whole_buckets(rows: DataFrame, sig: DataFrame, sets: DataFrame | None, percent: int, hashes: int, kind: str) -> DataFrame:
     """Links between components in buckets, all members against all, block by block.
 
     rows: bucket, key, comp. A block meets every other of its bucket in a task
     of its own; links that join what the task has joined already aren't emitted.
+    Without sets: bucket and key of the rows that have a partner by signature.
     """
     least = percent / 100 - SLACK * np.sqrt(percent / 100 * (1 - percent / 100) / hashes)
+    with_sets = sets is not None
 
     def met(key, frame: pd.DataFrame) -> pd.DataFrame:
         low, high = key[1], key[2]
         sig = np.frombuffer(b"".join(frame["sig"]), "<u4").reshape(len(frame), -1)
         side = frame["block"].to_numpy()
-        comp, keys, sets = frame["comp"].tolist(), frame["key"].tolist(), frame["shingles"].tolist()
+        comp, keys = frame["comp"].to_numpy(), frame["key"].tolist()
         root: dict = {}
 
         def find(x):
@@ -172,24 +174,34 @@ def whole_buckets(rows: DataFrame, sig: DataFrame, sets: DataFrame, percent: int
 
         left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
         out = []
+        if not with_sets:
+            partner = np.zeros(len(frame), bool)
+            for i in left:
+                alike = (np.count_nonzero(sig[right] == sig[i], axis=1) >= least * sig.shape[1]) & (comp[right] != comp[i])
+                partner[i] |= alike.any()
+                partner[right] |= alike
+            return frame.loc[partner, ["bucket", "key"]]
+        shingles = frame["shingles"].tolist()
         for i in left:
             alike = np.count_nonzero(sig[right] == sig[i], axis=1)
             for j in right[alike >= least * sig.shape[1]]:
                 x, y = find(comp[i]), find(comp[j])
                 if x == y:
                     continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
+                if 100 * both >= percent * (len(shingles[i]) + len(shingles[j]) - both):
                     out.append((keys[i], keys[j]))
                     root[x] = y
         return pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"} if kind == "bigint" else object)
 
     size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    dealt = rows.join(size, "bucket").join(sig, "key").join(sets, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    given = rows.join(size, "bucket").join(sig, "key")
+    given = given if sets is None else given.join(sets, "key")
+    dealt = given.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "comp", "sig", "shingles")
-    return meets.groupBy("bucket", "low", "high").applyInPandas(met, f"a {kind}, b {kind}")
+    meets = meets.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "comp", "sig", *(["shingles"] if sets is not None else []))
+    return meets.groupBy("bucket", "low", "high").applyInPandas(met, f"bucket bigint, key {kind}" if sets is None else f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -205,8 +217,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     banded = reps.select("key", F.explode(cut).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("leader"), F.sum(F.xxhash64("key") % (1 << 31)).alias("who"), F.bit_xor(F.xxhash64("key")).alias("who2"))
     shared = shared.where("size > 1").groupBy("size", "leader", "who", "who2").agg(F.min("bucket").alias("bucket"))
-    member = scratch(banded.join(shared.select("bucket", "size", "leader"), "bucket"), "buckets")
-    sets = scratch(full_sets(docs, key, text, words, member.select("key").distinct()), "sets")
+    shared = scratch(shared.select("bucket", "size", "leader"), "shared")
+    member = scratch(prefilter(banded, "bucket", shared).join(shared, "bucket"), "buckets")
+    sets = scratch(full_sets(docs, key, text, words, scratch(member.select("key").distinct(), "members")), "sets")
 
     # leaders against members, by signature
     pairs = member.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
@@ -236,8 +249,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     # what is left: buckets whose members, the leader aside, lie in several components
     placed = member.where("size > 2 and key <> leader").join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("comp"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    rest = placed.join(mixed, "bucket")
-    last = scratch(whole_buckets(rest, sig.dropDuplicates(["key"]), sets.dropDuplicates(["key"]), percent, hashes, kind).distinct(), "links")
+    rest = scratch(placed.join(mixed, "bucket"), "rest")
+    one_sig = sig.dropDuplicates(["key"])
+    likely = scratch(whole_buckets(rest, one_sig, None, percent, hashes, kind).distinct(), "likely")
+    last = scratch(whole_buckets(rest.join(likely, ["bucket", "key"]), one_sig, sets.dropDuplicates(["key"]), percent, hashes, kind).distinct(), "links")
     if not last.isEmpty():
         found = components(links.union(last))
 

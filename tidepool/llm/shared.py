@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -45,6 +49,25 @@ def release_scratch(spark: SparkSession) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def tidy() -> None:
+    """Gives back what a task has freed, so that reused workers stay small between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run):
+    """run, a function over a task's batches, with tidy() at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        tidy()
+
+    return wrapped
+
+
 def crc_mod(doc_id, m: int):
     """crc32 of the id's decimal text, modulo m: which rows are held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m

@@ -6,7 +6,7 @@ rule's cutoff counts as safe if the exact binomial bound shows, at a level
 corrected for all cutoffs, rules and strata tried (Bonferroni), that it rejects
 at most a limited share of good texts. Of the safe cutoffs the one that rejects
 the most bad texts is taken, the mildest of equals, and only if it rejects bad
-texts more often than good ones. A stratum without enough labels gets no cutoff
+texts many times as often as good ones. A stratum without enough labels gets no cutoff
 and keeps its texts.
 
 Defined results: null and empty texts have no words and fail the base rule;
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 #: Share of good texts that all rules of a stratum together may reject, and the chance that a bound fails at all.
-MAX_FALSE, FAILURE = 0.02, 0.05
+MAX_FALSE, FAILURE = 0.05, 0.05
+#: How many times the share of bad texts that a cutoff rejects must exceed that of good ones.
+RATIO = 25
 #: Upper ends of the strata, in words.
 STRATA = (100, 400, 1600)
 #: Rules: a measure and its cutoffs, mildest first. A text is rejected above the cutoff.
@@ -126,7 +128,7 @@ def choose(counts: pd.DataFrame, max_false: float = MAX_FALSE, failure: float =
             best = 0
             for k, cutoff in enumerate(CUTOFFS):
                 g, b = int(good[f"{rule}_{k}"]), int(bad[f"{rule}_{k}"])
-                if b > best and b * int(good["n"]) > 2 * g * int(bad["n"]) and safe(g, int(good["n"]), share, level):
+                if b > best and b * int(good["n"]) > RATIO * g * int(bad["n"]) and safe(g, int(good["n"]), share, level):
                     best, out[s, rule] = b, cutoff
     return out
 

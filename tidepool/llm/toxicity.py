@@ -41,6 +41,8 @@ class Model:
         self.weights, self.bias = dict(zip(words, map(float, weights), strict=True)), bias
 
     def score(self, text: str | None) -> float:
+        if self.bias == -np.inf:  # nothing was learnt
+            return 0.0
         get = self.weights.get
         return float(sigmoid(self.bias + sum(get(w, 0.0) for w in vocabulary(text))))
 

@@ -23,14 +23,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidepool.llm.shared import offsets, ragged, slices, texts
+from tidepool.llm.shared import bounded_batches, offsets, ragged, slices, texts, tidied
 
 #: Fixed by the tokenizer files.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Chunks and ids that a cache holds before it starts anew.
-CACHE_ENTRIES, CACHE_IDS = 1_000_000, 8_000_000
+CACHE_ENTRIES, CACHE_IDS = 300_000, 4_000_000
 #: Characters of text encoded in one go.
-SLICE = 2_000_000
+SLICE = 1_000_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -256,11 +256,13 @@ class ByteLevelEncoder:
         codes = np.array(flat, np.int64)
         marks = np.flatnonzero(codes < 0)
         wanted, codes[marks] = -1 - codes[marks], 0
-        sizes = cache.length[codes] if len(codes) else codes
+        if cache.entries:
+            sizes, start = cache.length[codes], cache.start[codes]
+        else:  # nothing but special strings
+            sizes, start = np.ones(len(codes), np.int64), np.zeros(len(codes), np.int64)
         sizes[marks] = 1
         at = offsets(sizes)
-        start = cache.start[codes] if len(codes) else codes
-        ids = cache.store[ragged(start, sizes)] if not len(marks) or cache.entries else np.zeros(int(at[-1]), np.int32)
+        ids = cache.store[ragged(start, sizes)] if cache.entries and len(cache.store) else np.zeros(int(at[-1]), np.int32)
         ids[at[marks]] = wanted
         return ids, at[np.array(bounds)]
 
@@ -289,6 +291,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", keep:
 
     No shuffle: each task encodes its rows. Null texts give an empty list.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select(*keep, docs[text].alias("__text")).mapInArrow(
         _encoding(tokenizer, keep, decoded, None), ", ".join([*_kinds(docs, keep), "ids array<int>", *["decoded string"] * decoded])
     )
@@ -296,6 +299,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", keep:
 
 def encoded_digests(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """As encode_documents, with ids and text replaced by their length and digests where they arise."""
+    bounded_batches(docs.sparkSession)
     return docs.select(*keep, docs[text].alias("__text")).mapInArrow(
         _encoding(tokenizer, keep, True, _digest), ", ".join([*_kinds(docs, keep), "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"])
     )
@@ -335,4 +339,4 @@ def _encoding(tokenizer: str, keep: tuple[str, ...], decoded: bool, digest):
                 out = (digest or _whole)(ids, at, spelled)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), *out.values()], [*keep, *out])
 
-    return run
+    return tidied(run)

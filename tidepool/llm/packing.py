@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.bpe import SLICE, ByteLevelEncoder, merge_table
-from tidepool.llm.shared import offsets, ragged, scratch, slices, texts
+from tidepool.llm.shared import bounded_batches, offsets, ragged, scratch, slices, texts, tidied
 
 CAPACITY, END_ID = 1024, 2
-#: Updates of the fit, and patterns of three lengths that take part: few patterns with high counts round well.
-ROUNDS, TRIPLES = 1500, 2500
+#: Updates of a fit.
+ROUNDS = 1500
+#: Patterns of three lengths that take part; each number is tried and the plan with the fewest sequences kept.
+TRIPLES = (2500, 600, 100, 20)
 
 
 def patterns(capacity: int) -> np.ndarray:
@@ -46,14 +48,14 @@ def patterns(capacity: int) -> np.ndarray:
     return np.stack((a[ok], b[ok], c[ok]), axis=1)
 
 
-def fit(histogram: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def fit(histogram: np.ndarray, triples: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """The patterns whose lengths all occur, and real repeat counts for them."""
     capacity = len(histogram) - 1
     found = patterns(capacity)
     found = found[np.all((found == 0) | (histogram[found] > 0), axis=1)]
     if not len(found):
         return found, np.zeros(0)
-    every = max(1, round(np.count_nonzero(found[:, 2]) / TRIPLES))
+    every = max(1, round(np.count_nonzero(found[:, 2]) / triples))
     found = found[(found[:, 2] == 0) | (found @ np.array([7, 13, 29]) % every == 0)]
     target = histogram.astype(float)
     target[0] = 0
@@ -70,13 +72,18 @@ def fit(histogram: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nda
 
 def plan(histogram: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
     """Repeat count and lengths of each kind of sequence; together they hold every piece once."""
+    return min((fitted(histogram, n) for n in TRIPLES), key=lambda kinds: sum(c for c, _ in kinds))
+
+
+def fitted(histogram: np.ndarray, triples: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The plan from one fit."""
     capacity = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
     out: list[tuple[int, tuple[int, ...]]] = []
     if left[capacity]:
         out.append((int(left[capacity]), (capacity,)))
         left[capacity] = 0
-    found, x = fit(left)
+    found, x = fit(left, triples)
     for k in np.argsort(-x, kind="stable"):
         if x[k] < 1:
             break
@@ -169,7 +176,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str, key: str, capacity: int,
                     }
                 )
 
-    return docs.select(docs[key].alias(key), docs[text].alias("__text")).mapInArrow(run, f"`{key}` {key_kind}, piece int, start bigint, length bigint, task int, rank bigint, {kinds}")
+    return docs.select(docs[key].alias(key), docs[text].alias("__text")).mapInArrow(tidied(run), f"`{key}` {key_kind}, piece int, start bigint, length bigint, task int, rank bigint, {kinds}")
 
 
 def with_ids(ids: np.ndarray, at: np.ndarray) -> dict:
@@ -193,6 +200,7 @@ def pack(
     `capacity` and not on the number of rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     made = scratch(pieces(docs, tokenizer, text, key, capacity, end_id, columns, kinds), "pieces")
     counts = scratch(made.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))

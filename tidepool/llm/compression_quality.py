@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.shared import sigmoid
+from tidepool.llm.shared import bounded_batches, sigmoid
 
 SAMPLE, SNIPPET, SNIPPETS, DICTIONARY, WINDOW, LEVEL = 1500, 1024, 600, 64 << 10, 1024, 9
 
@@ -105,6 +105,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", usable=None, sample: int = SAMPLE) -> Model:
     """Trains on bounded samples. usable: a condition on the id column, for rows whose labels may be used."""
     use = F.col(key).isNotNull() if usable is None else F.col(key).isNotNull() & usable
+    bounded_batches(docs.sparkSession)
     order = F.xxhash64(F.col(key).cast("string"))
     known = labels.where(use & F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).cast("int").alias("y"))
     share = known.agg(F.avg("y")).first()[0]

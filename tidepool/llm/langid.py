@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.llm.shared import bounded_batches
+
 PROFILE, OWN, LONGEST, SAMPLE = 600, 300, 3, 1000
 #: Words whose n-grams a worker keeps before it starts anew.
 CACHED = 300_000
@@ -90,6 +92,7 @@ class Ranker:
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", usable=None, sample: int = SAMPLE) -> dict[str, list[str]]:
     """A profile for each language. usable: a condition on the id column."""
+    bounded_batches(docs.sparkSession)
     use = F.col(lang).isNotNull() & F.col(key).isNotNull()
     ids = docs.where(use if usable is None else use & usable).select(F.col(key).alias("__id"), F.col(lang).alias("__lang"))
     order = Window.partitionBy("__lang").orderBy(F.xxhash64(F.col("__id").cast("string")), "__id")

@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.minhash import CACHED, SPREAD, WordHashes
-from tidepool.llm.shared import mix64, offsets, prefilter, ragged, raw_texts, scratch, slices
+from tidepool.llm.shared import bounded_batches, mix64, offsets, prefilter, ragged, raw_texts, scratch, slices, tidied
 
-MIN_WORDS, NEAR_WORDS, SLICE = 4, 8, 2_000_000
+MIN_WORDS, NEAR_WORDS, SLICE = 4, 8, 1_000_000
 #: The inverse of SPREAD modulo 2^64.
 BACK = np.uint64(pow(int(SPREAD), -1, 1 << 64))
 
@@ -126,7 +126,7 @@ def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(lines.owner)), pa.array(lines.number.astype(np.int32)), signed(lines.full()), *h], ["doc", "line", "h", "k0", "k1", "k2", "k3"])
 
     rows = docs.select(docs[key].alias("doc"), docs[text].alias("text")).where("doc is not null and text is not null")
-    return rows.mapInArrow(run, f"doc {docs.schema[key].dataType.simpleString()}, line int, h bigint, k0 bigint, k1 bigint, k2 bigint, k3 bigint")
+    return rows.mapInArrow(tidied(run), f"doc {docs.schema[key].dataType.simpleString()}, line int, h bigint, k0 bigint, k1 bigint, k2 bigint, k3 bigint")
 
 
 def neighbours(docs: DataFrame, key: str, text: str, distinct: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def neighbours(docs: DataFrame, key: str, text: str, distinct: DataFrame) -> Dat
 
     rows = prefilter(docs.select(docs[key].alias("doc"), docs[text].alias("text")).where("doc is not null and text is not null"), "doc", by_doc)
     rows = scratch(rows.join(by_doc, "doc"), "near-lines")
-    keys = rows.mapInArrow(emit, f"k bigint, role tinyint, h bigint, doc {doc_kind}, line int").withColumn("at", F.struct("doc", "line")).drop("doc", "line")
+    keys = rows.mapInArrow(tidied(emit), f"k bigint, role tinyint, h bigint, doc {doc_kind}, line int").withColumn("at", F.struct("doc", "line")).drop("doc", "line")
     least = keys.groupBy("k").agg(*(F.min(F.when(F.col("role") == r, F.struct("at", "h"))).alias(f"m{r}") for r in (0, 1, 2)), F.count(F.lit(1)).alias("n"))
     decider = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
     met = keys.join(least.where("n > 1"), "k").withColumn("d", decider).where("d is not null and d.h <> h and d.at < at")
@@ -180,6 +180,7 @@ def neighbours(docs: DataFrame, key: str, text: str, distinct: DataFrame) -> Dat
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", at: str = "line_dedup") -> DataFrame:
     """docs with a struct column `at`: the new text, n_lines, n_removed, n_words and n_words_removed. Other columns stay as they are."""
+    bounded_batches(docs.sparkSession)
     lines = scratch(line_table(docs, key, text), "lines")
     firsts = lines.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("first"), *(F.max(f"k{i}").alias(f"k{i}") for i in range(4)), F.count(F.lit(1)).alias("n"))
     firsts = scratch(firsts, "distinct")

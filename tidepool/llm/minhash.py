@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.components import components
-from tidepool.llm.shared import mix64, offsets, prefilter, raw_texts, scratch, slices, tidied
+from tidepool.llm.shared import bounded_batches, mix64, offsets, prefilter, raw_texts, scratch, slices, tidied
 
 WORDS, BANDS, ROWS = 5, 32, 4
 #: Words whose hashes a worker keeps before it starts anew, bytes of text in one go, shingles hashed in one go, and rows of a block.
@@ -206,6 +206,7 @@ def whole_buckets(rows: DataFrame, sig: DataFrame, sets: DataFrame | None, perce
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """key, n_shingles, component_id and kept for every row; see the module."""
+    bounded_batches(docs.sparkSession)
     hashes = bands * rows
     kind = docs.schema[key].dataType.simpleString()
     drawn = scratch(sketch(docs, key, text, words, hashes), "sketch")

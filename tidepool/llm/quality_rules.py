@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tidepool.llm.shared import bounded_batches
+
 #: Share of good texts that all rules of a stratum together may reject, and the chance that a bound fails at all.
 MAX_FALSE, FAILURE = 0.05, 0.05
 #: How many times the share of bad texts that a cutoff rejects must exceed that of good ones.
@@ -153,6 +155,7 @@ def verdict(m, chosen: dict[tuple[int, str], float]):
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", at: str = "quality_rules") -> DataFrame:
     """docs with a struct column `at`: MEASURES, base_failed and kept. All columns of docs stay as they are."""
+    bounded_batches(docs.sparkSession)
     chosen = cutoffs(docs, labels, text, key, label)
     m = F.col("__m")
     fields = [*(m[x].alias(x) for x in MEASURES), base_failed(m).alias("base_failed"), verdict(m, chosen).alias("kept")]

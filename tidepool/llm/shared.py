@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import functools
 import gc
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -49,6 +50,19 @@ def release_scratch(spark: SparkSession) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows and bytes that go to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sees to it that long documents reach the workers in small batches. A session setting; smaller ones stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def tidy() -> None:
     """Gives back what a task has freed, so that reused workers stay small between tasks."""
     gc.collect()

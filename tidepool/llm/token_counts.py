@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.bpe import merge_table
-from tidepool.llm.shared import offsets, raw_texts
+from tidepool.llm.shared import bounded_batches, offsets, raw_texts, tidied
 
 #: Fixed by the tokenizer file.
 WORD_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -34,7 +34,7 @@ SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: Entries of tier one, its longest chunk, and what a task's count holds before rare chunks leave it.
 FREQUENT, LONGEST, COUNTED = 16_384, 48, 200_000
 #: Entries of a worker's cache before it starts anew, and summaries merged in one task.
-CACHED, FAN_IN = 600_000, 32
+CACHED, FAN_IN = 300_000, 32
 
 
 def normalise(chunk: str) -> str:
@@ -72,7 +72,7 @@ def frequent_chunks(docs: DataFrame, text: str = "text", size: int = FREQUENT) -
         return pd.DataFrame({"task": [key[0]], "chunks": [[w for w, _ in best]], "counts": [[c for _, c in best]]})
 
     kinds = "task int, chunks array<binary>, counts array<bigint>"
-    level = docs.select(F.col(text).alias("text")).mapInArrow(summed, kinds)
+    level = docs.select(F.col(text).alias("text")).mapInArrow(tidied(summed), kinds)
     tasks = level.rdd.getNumPartitions()
     while tasks > FAN_IN:
         tasks = -(-tasks // FAN_IN)
@@ -124,6 +124,7 @@ class Misses(dict):
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), frequent: int = FREQUENT) -> DataFrame:
     """Columns `keep`, n_bytes (UTF-8) and n_tokens of every row; no shuffle of texts or pre-tokens."""
     session = docs.sparkSession
+    bounded_batches(session)
     table = frequent_chunks(docs, text, frequent)
     first = ChunkCounter(tokenizer).counts(table)
     sent = session.sparkContext.broadcast(("\n".join(table), np.minimum(first, 255).astype(np.uint8)))
@@ -148,7 +149,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: tupl
                 chunks = value.split() if value.isprintable() or not SEPARATORS.search(value) else regex.split(r"\s+", value.strip("\t\n\v\f\r "))
                 at.extend(map(cache.__getitem__, chunks))
                 ends.append(len(at))
-                if len(cache.pending) > 200_000:
+                if len(cache.pending) > 100_000:
                     cache.known = np.concatenate((cache.known, counter.counts(cache.pending)))
                     cache.pending = []
             if cache.pending:
@@ -161,4 +162,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: tupl
                 start()
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, ", ".join([*kinds, "n_bytes bigint", "n_tokens bigint"]))
+    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(tidied(run), ", ".join([*kinds, "n_bytes bigint", "n_tokens bigint"]))

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.shared import sigmoid
+from tidepool.llm.shared import bounded_batches, sigmoid
 
 SAMPLE, FEATURES, STEPS, RATE, RIDGE = 3000, 1024, 800, 0.05, 3e-4
 #: A word takes part if so many toxic texts have it, with so many times the unlabelled texts' share, and if chance
@@ -91,6 +91,7 @@ def train(positive: list[list[int]], unlabelled: list[list[int]], n: int, prior:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", usable=None, sample: int = SAMPLE) -> Model:
     """Trains on bounded samples. usable: a condition on the id column, for rows whose labels may be used."""
+    bounded_batches(docs.sparkSession)
     order = F.xxhash64(F.col(key).cast("string"))
     use = F.col(key).isNotNull() if usable is None else F.col(key).isNotNull() & usable
     known = labels.where(use & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("y"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool.config import Retrieval
 from tidepool.functions import chunking, text
-from tidepool.operators import filters, fts, hybrid, pack, vector
+from tidepool.operators import filters, fts, hybrid, near, pack, vector
 
 QUERY = '"the and" thanedble eriner'
 TERMS = ("idiot", "thanedble", "reedes", "eauoué", "verschzu")
@@ -212,7 +212,7 @@ select chunk_id, source_id, round(score, 9) score from h where n <= 2 order by o
 
 
 def near_duplicate_pairs(spark, sf_dir):
-    """Neighbours by the first 40 characters, and whether the later adds little to the earlier."""
+    """Neighbours by the first 40 characters, and whether the later adds little to the earlier. near_duplicate_all_pairs has all pairs."""
     d = table(spark, sf_dir, "documents").where("length(text) > 60")
     rows = d.select("doc_id", "text", F.substring("text", 1, 40).alias("head"))
     before = Window.partitionBy("head").orderBy("doc_id")
@@ -220,6 +220,11 @@ def near_duplicate_pairs(spark, sf_dir):
     return pairs.select("other", "doc_id", text.near_duplicate(F.col("kept"), F.col("text")).alias("duplicate"))
 
 
+def near_duplicate_all_pairs(spark, sf_dir):
+    """All near-duplicate pairs of the documents; see operators.near. Tests hold it against brute force."""
+    return near.all_pairs(table(spark, sf_dir, "documents"))
+
+
 NORM = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
 NEAR_DUPLICATE_SQL = f"""with r as (select doc_id, text, lag(doc_id) over w other, lag(text) over w kept from documents where length(text) > 60 window w as (partition by substr(text, 1, 40) order by doc_id)),
 n as (select other, doc_id, {NORM.format('kept')} a, {NORM.format('text')} b from r where other is not null),
@@ -277,7 +282,7 @@ def rerank_hook(spark, sf_dir):
 OR_SQL = scores_sql(TERMS, False)
 QUERIES = {f.__name__: f for f in (
     fts_bm25_or, fts_bm25_and, fts_keyword_and, fts_phrase, fts_near, fts_fallback_ladder, fts_filtered, like_fallback, fts_tokenize, fts_term_stats, fts_postings, filter_kind_source_keyword,
-    vector_topk_exact, vector_topk_filtered, vector_dims_guard, embedding_coverage, rrf_fuse, diversify_by_document, hybrid_search, near_duplicate_pairs,
+    vector_topk_exact, vector_topk_filtered, vector_dims_guard, embedding_coverage, rrf_fuse, diversify_by_document, hybrid_search, near_duplicate_pairs, near_duplicate_all_pairs,
     context_pack, context_pack_markdown, context_pack_json, chunk_documents, chunk_lines, token_estimate, rerank_hook,
 )}
 ORACLE_SQL = {

@@ -13,10 +13,12 @@ it expands, in blocks of queries against blocks of vectors, those whose bound
 reaches the threshold, and no others. Annuli of an equal bound are expanded, so
 ties are settled by id.
 
+Vectors of each length are searched on their own: a query meets candidates of its length.
+
 Defined results: vectors that are null, empty, or hold null or non-finite
-components take no part, nor do rows with a null id, nor vectors of another length than
-the most common one; a repeated query id asks once; rows of the query's id are
-no candidates; with fewer candidates than k all are returned.
+components take no part, nor do rows with a null id; a query id that is repeated with
+vectors of one length asks once, one with vectors of several lengths once for each;
+rows of the query's id are no candidates; with fewer candidates than k all are returned.
 """
 
 from __future__ import annotations
@@ -97,13 +99,18 @@ class Annuli:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id and score. queries: rows of the same columns as vectors, any number of them."""
     spark = vectors.sparkSession
-    all_rows = quantised(vectors, key, vector, scale)
-    sizes = all_rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    kinds = "query_id bigint, rank int, vec_id bigint, score bigint"
-    if sizes is None:
-        return spark.createDataFrame([], kinds)
-    dims, total = sizes["d"], sizes["n"]
-    all_rows = all_rows.where(F.size("v") == dims)
+    all_rows, asked = quantised(vectors, key, vector, scale), quantised(queries, key, vector, scale)
+    sizes = {r["d"]: r["n"] for r in all_rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length
+    wanted = {r["d"] for r in asked.select(F.size("v").alias("d")).distinct().collect()}
+    out = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    for d in sorted(wanted & sizes.keys()):
+        out = out.union(search_length(all_rows.where(F.size("v") == d), asked.where(F.size("v") == d), d, sizes[d], k, pivots))
+    return out
+
+
+def search_length(all_rows: DataFrame, asked: DataFrame, dims: int, total: int, k: int, pivots: int) -> DataFrame:
+    """search() among `total` vectors of one length, quantised."""
+    spark = all_rows.sparkSession
     picked = all_rows.dropDuplicates(["v"]).orderBy(F.xxhash64("id"), "id").limit(pivots).collect()  # `pivots` rows
     points = np.array([r["v"] for r in picked], float)
 
@@ -147,8 +154,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
     blocks = scratch(blocked.groupBy("pivot", "annulus", "block").applyInPandas(pack, "pivot int, annulus int, block int, ids binary, vs binary"), "blocks")
 
     # queries, with what they have found so far
-    asked = quantised(queries, key, vector, scale).where(F.size("v") == dims).dropDuplicates(["id"])
-    asked = scratch(asked.mapInArrow(keyed, index_kinds).select("id", "pivot", "v"), "queries")
+    asked = scratch(asked.dropDuplicates(["id"]).mapInArrow(keyed, index_kinds).select("id", "pivot", "v"), "queries")
     n_queries = asked.count()
     groups = int(min(len(points), max(1, n_queries // 256)))
     salts = int(max(1, -(-n_queries // groups // QUERIES)))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import line_dedup, minhash, packing, quality_rules, toxicity
-from tidepool.llm.shared import read, scratch
+from tidepool.llm.shared import prefilter, read, scratch
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more), and one row of those that repeat id and text."""
     found = minhash.near_duplicates(docs, percent=80)
-    return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where("not kept").select("doc_id").distinct()
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    repeated = scratch(repeated, "repeated")
+    if repeated.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # the repeated ids' rows alone are brought together with their texts
+    again = prefilter(docs, "doc_id", repeated).join(repeated, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.union(repeated), "doc_id", "left_anti").select(*docs.columns).union(again.dropDuplicates(["doc_id", "text"]))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

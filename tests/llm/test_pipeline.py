@@ -12,3 +12,11 @@ def test_line_stage_keeps_what_is_left_of_a_document(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, docs(spark, rows), "").collect()}
     # 2 loses 300 of 360 words and stays; so its line, the earliest of its kind, isn't lost when 3 gives up its own; 4 has no word left
     assert got == {1: (shared, len(shared)), 2: (own, len(own)), 3: (late, len(late)), 5: (" \n", 2), 6: (None, None), 7: ("two words", 9)}
+
+
+def test_near_duplicate_stage_keeps_one_row_of_repeated_ones(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(1, a), (1, a), (1, a), (2, a), (3, b), (4, c), (4, f"{c} more"), (5, None), (5, None), (None, c), (None, c)]
+    got = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "").collect())
+    # rows without an id are none another's copies
+    assert got == [(0, c), (0, c), (1, a), (3, b), (4, c), (4, f"{c} more"), (5, "")]

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from tidepool.llm import line_dedup, minhash, packing, quality_rules, toxicity
 from tidepool.llm.shared import prefilter, read, scratch
 
+#: Equal lines of fewer than four words are repeated ones too if they have so many letters and digits.
+LETTERS = 20
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half."""
@@ -30,7 +33,7 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier line repeats. n_chars follows the text; a document goes only if all its words went, each with a line that repeats an earlier one."""
-    out = line_dedup.dedup_lines(docs, at="__lines")
+    out = line_dedup.dedup_lines(docs, at="__lines", letters=LETTERS)
     out = out.where((F.col("__lines.n_words_removed") < F.col("__lines.n_words")) | (F.col("__lines.n_words") == 0))
     new = {"text": F.col("__lines.text")}
     if "n_chars" in docs.columns:

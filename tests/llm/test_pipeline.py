@@ -20,3 +20,11 @@ def test_near_duplicate_stage_keeps_one_row_of_repeated_ones(spark):
     got = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "").collect())
     # rows without an id are none another's copies
     assert got == [(0, c), (0, c), (1, a), (3, b), (4, c), (4, f"{c} more"), (5, "")]
+
+
+def test_line_stage_removes_copies_of_lines_without_spaces(spark):
+    line = "这一段文字没有任何空格但是在许多网页上一再出现并且应当只留下一份"
+    rows = [(1, f"{line}\n-"), (2, f"a b\n{line}\n{'-' * 40}\nHome"), (3, f"Home\n{line[:10]}\n{'-' * 40}"), (4, f"{line[:10]}\n{line[1:]}")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs(spark, rows), "").collect()}
+    # short lines and rules stay
+    assert got == {1: rows[0][1], 2: f"a b\n{'-' * 40}\nHome", 3: rows[2][1], 4: rows[3][1]}

@@ -3,7 +3,8 @@
 Two lines are duplicates if their words are equal, or if both have NEAR_WORDS
 words or more and one word added, removed or replaced turns one into the other.
 A line goes if an earlier one (by document id, then by line) is its duplicate;
-lines of fewer than MIN_WORDS words are left alone.
+lines of fewer than MIN_WORDS words are left alone, unless `letters` is given: then
+those with at least so many letters and digits go if they are equal to an earlier line.
 
 1. Equal lines: a hash of the words, and the earliest place of each hash.
 2. Of the distinct lines only those can have a neighbour that share their first or
@@ -43,17 +44,22 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def lettered(line: bytes, least: int) -> bool:
+    """Whether the line has so many letters and digits, however few its words: as in scripts without spaces."""
+    return len(line) >= least and sum(map(str.isalnum, line.decode("utf-8", "replace"))) >= least
+
+
 class Lines:
-    """The lines of a batch of texts that have enough words, as flat arrays of word hashes."""
+    """The lines of a batch of texts that have enough words (or letters, if given), as flat arrays of word hashes."""
 
-    def __init__(self, raws: list[bytes], cache: WordHashes, chosen: list | None = None):
+    def __init__(self, raws: list[bytes], cache: WordHashes, chosen: list | None = None, letters: int | None = None):
         flat: list[int] = []
         owner, number, size = [], [], []
         for d, raw in enumerate(raws):
             lines = raw.split(b"\n")
             for k in range(len(lines)) if chosen is None else chosen[d]:
                 words = lines[k].split() if k < len(lines) else ()
-                if len(words) >= MIN_WORDS:
+                if len(words) >= MIN_WORDS or letters and words and lettered(lines[k], letters):
                     flat.extend(map(cache.__getitem__, words))
                     owner.append(d)
                     number.append(k)
@@ -112,7 +118,7 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> bool:
     return bool(np.array_equal(a[at:], b[at + 1 :]))
 
 
-def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
+def line_table(docs: DataFrame, key: str, text: str, letters: int | None = None) -> DataFrame:
     """doc, line, h and the hashes of halves k0 .. k3 (null for short lines) of every line with enough words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +126,7 @@ def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             raws = raw_texts(batch.column(1))
             for a, b in slices(map(len, raws), SLICE):
-                lines = Lines(raws[a:b], cache)
+                lines = Lines(raws[a:b], cache, letters=letters)
                 short = pa.array(lines.size < NEAR_WORDS)
                 h = [pa.compute.if_else(short, pa.scalar(None, pa.int64()), signed(k)) for k in lines.halves()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(lines.owner)), pa.array(lines.number.astype(np.int32)), signed(lines.full()), *h], ["doc", "line", "h", "k0", "k1", "k2", "k3"])
@@ -178,10 +184,10 @@ def neighbours(docs: DataFrame, key: str, text: str, distinct: DataFrame) -> Dat
     return both.where(verified("words", "others")).select("h").distinct()
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", at: str = "line_dedup") -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", at: str = "line_dedup", letters: int | None = None) -> DataFrame:
     """docs with a struct column `at`: the new text, n_lines, n_removed, n_words and n_words_removed. Other columns stay as they are."""
     bounded_batches(docs.sparkSession)
-    lines = scratch(line_table(docs, key, text), "lines")
+    lines = scratch(line_table(docs, key, text, letters), "lines")
     firsts = lines.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("first"), *(F.max(f"k{i}").alias(f"k{i}") for i in range(4)), F.count(F.lit(1)).alias("n"))
     firsts = scratch(firsts, "distinct")
     near = neighbours(docs, key, text, firsts).withColumn("near", F.lit(True))
@@ -201,7 +207,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", at: st
             pieces, words, removed, words_removed, drop = raw.split(b"\n"), len(raw.split()), 0, 0, set()
             if marks is not None and len(marks):
                 want = {(m["line"], m["h"]) for m in marks}
-                found = Lines([raw], cache, [sorted({m["line"] for m in marks})])
+                found = Lines([raw], cache, [sorted({m["line"] for m in marks})], letters)
                 hashes = found.full().view(np.int64).tolist()
                 for k, h, n in zip(found.number.tolist(), hashes, found.size.tolist(), strict=True):
                     if (k, h) in want:

@@ -25,44 +25,93 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what spark.checkpoint.dir names, else one of our own (tests)."""
+    """The folder that driver and executors share: what spark.checkpoint.dir or the context names. Only a session on one machine may have none (tests); it gets one of its own."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir("/tmp/checkpoints")
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir("/tmp/checkpoints")
         named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
+#: The scratch tables of this process, oldest first, by application.
+_made: dict[str, list[str]] = {}
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder, for a table that a caller writes."""
+    at = f"{shared_dir(spark)}/tidepool-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(at)
+    return at
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Writes df into the shared folder and reads it again: its lineage ends at files that outlive any executor."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tidepool-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    at = scratch_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
 
+def scratch_tables(spark: SparkSession) -> list[str]:
+    """Where the scratch tables lie that haven't been released, oldest first."""
+    return list(_made.get(spark.sparkContext.applicationId, ()))
 
-def release_scratch(spark: SparkSession) -> None:
-    """Deletes this application's scratch tables. For callers that have written all results that read them."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidepool-{spark.sparkContext.applicationId}")
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+def release_scratch(spark: SparkSession, newest: int = 0) -> None:
+    """Deletes this application's scratch tables but the newest ones. For callers that have written all results that read the others."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    while len(made) > newest:
+        at = path(made.pop(0))
+        at.getFileSystem(conf).delete(at, True)
 
 
 #: Rows and bytes that go to a Python worker at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+_UNITS = {"": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}
+
+
+def size_of(value: str) -> int:
+    """A setting's number of rows or bytes: plain, or with a unit as in 64m, 1g, 512kb."""
+    m = re.fullmatch(r"\s*([+-]?\d+)\s*([kmgtp]?)b?\s*", value.lower())
+    if not m:
+        raise ValueError(f"no size: {value!r}")
+    return int(m[1]) << _UNITS[m[2]]
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Sees to it that long documents reach the workers in small batches. A session setting; smaller ones stay."""
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
-        if not 0 < now <= most:
+    """Sees to it that long documents reach the workers in small batches.
+
+    A session setting, as plans read it only when they run; smaller ones stay, none
+    or less means no bound and is replaced. restored_batches() undoes it.
+    """
+    for key, most in _BATCHES.items():
+        if not 0 < size_of(spark.conf.get(key)) <= most:
             spark.conf.set(key, str(most))
 
 
+@contextlib.contextmanager
+def restored_batches(spark: SparkSession) -> Iterator[None]:
+    """For callers that run all plans inside: the batch settings are afterwards what they were before."""
+    before = {key: spark.conf.get(key) for key in _BATCHES}
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, with underscores in front of it as long as a column of the frames is called so (in any case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def tidy() -> None:
     """Gives back what a task has freed, so that reused workers stay small between tasks."""
     gc.collect()
@@ -146,15 +195,54 @@ def sigmoid(x):
 FILTER_BITS = 1 << 23
 
 
-def prefilter(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """rows without most of those whose key isn't among wanted.key, so that a following join shuffles less.
+def marked(rows: DataFrame, key: str, wanted: DataFrame, at: str) -> DataFrame:
+    """rows with a boolean column: false only if the row's key isn't among wanted.key.
 
     A bitmap of hashed keys with a fixed number of bits is broadcast. It never
-    loses a wanted key; with very many keys it lets more rows through.
+    misses a wanted key; with very many keys more rows are true than need be.
     """
+    of, held = unused("__bucket", rows), unused("__map", rows)
     bit = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
-    maps = wanted.select(bit.alias("__bit")).groupBy(F.bitmap_bucket_number("__bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__map"))
+    maps = wanted.select(F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias(of)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias(held))
     place = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring("__map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    met = rows.withColumn("__bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(maps), "__bucket")
-    return met.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*rows.columns)
+    byte = F.conv(F.hex(F.substring(F.col(held), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn(of, F.bitmap_bucket_number(bit)).join(F.broadcast(maps), of, "left")
+    return met.select(*rows.columns, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)).alias(at))
+
+
+def prefilter(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose key isn't among wanted.key, so that a following join shuffles less; see marked()."""
+    at = unused("__hit", rows)
+    return marked(rows, key, wanted, at).where(F.col(at)).drop(at)
+
+
+#: A key with more than this share of all rows is a hot one; there are fewer such keys than its inverse. So many rows
+#: are few enough for any task.
+HOT_KEYS, FEW_ROWS = 1024, 1 << 14
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with keyed, which has one row for each key and in `count` how many of the `total` rows have it.
+
+    Rows of hot keys meet theirs where they lie: fewer than HOT_KEYS rows of keyed
+    are broadcast for it, whatever the size of both sides; they should be small. All
+    other rows are dealt out by the key, and no key has many of them.
+    """
+    if total <= FEW_ROWS:
+        return rows.join(keyed, key)
+    limit = total // HOT_KEYS
+    hot = F.broadcast(keyed.where(F.col(count) > limit))
+    cold = keyed.where(F.col(count) <= limit)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def salted_join(rows: DataFrame, keyed: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with keyed (one row for each key, of any size). A hot key's rows are dealt out by `by` as well, and its row of keyed is sent to each part."""
+    total = rows.count()
+    if total <= FEW_ROWS:
+        return rows.join(keyed, key)
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = scratch(sizes.withColumn("__parts", F.ceil(F.col("__n") / (total // HOT_KEYS)).cast("int")), "sizes")
+    dealt = spread_join(rows, sizes, key, "__n", total).withColumn("__salt", F.pmod(F.xxhash64(by), F.col("__parts")).cast("int"))
+    sent = keyed.join(sizes, key).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    return dealt.drop("__n", "__parts").join(sent.drop("__n", "__parts"), [key, "__salt"]).drop("__salt")

@@ -6,12 +6,18 @@ text, is compared with each profile by the out-of-place distance: how many
 ranks apart an n-gram stands in both lists, or the greatest distance if the
 profile lacks it. The nearest language wins.
 
-Profiles are learnt from a bounded sample: at most SAMPLE texts of each
-language, chosen by a hash of their ids.
+An n-gram is one exact number: its code points, of 21 bits each, from the left.
+So its order is the n-grams' own, and a text's list is a sort of numbers.
+
+Profiles are learnt from a bounded sample: at most SAMPLE texts of each language,
+chosen by a hash of their ids, of the LANGUAGES that have the most labelled ids.
 
 Defined results: `und` with score 0 for null texts, texts without letters, and
-when nothing was learnt; ties go to the language that comes first by name;
-texts of any length are taken whole.
+when nothing was learnt; ties between languages go to the one that comes first by
+name, between n-grams to the lesser one; texts of any length are taken whole, in
+parts cut at white space. An id that comes with several languages counts for the
+first by name, one with several texts for the least; rows without an id teach
+nothing but are judged.
 """
 
 from __future__ import annotations
@@ -20,129 +26,108 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.llm.codepoints import LETTER, classes, code_points, pieces
 from tidepool.llm.shared import bounded_batches
 
-PROFILE, OWN, LONGEST, SAMPLE = 600, 300, 3, 1000
-#: Words whose n-grams a worker keeps before it starts anew.
-CACHED = 300_000
-WORD = regex.compile(r"\p{L}+")
-UNKNOWN = "und"
-
-
-def grams(word: str) -> list[str]:
-    """The n-grams of a word between two blanks; the blanks alone don't count."""
-    padded = f" {word} "
-    return [padded[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(padded) - n + 1) if padded[i : i + n] != " "]
-
-
-class Ranker:
-    """Counts n-grams of texts through a cache of words. One per worker."""
-
-    def __init__(self):
-        self.ids: dict[str, int] = {}
-        self.names: list[str] = []
-        self.words: dict[str, np.ndarray] = {}
-
-    def of(self, word: str) -> np.ndarray:
-        got = self.words.get(word)
-        if got is None:
-            ids, names = self.ids, self.names
-            out = []
-            for g in grams(word):
-                k = ids.get(g)
-                if k is None:
-                    k = ids[g] = len(names)
-                    names.append(g)
-                out.append(k)
-            got = self.words[word] = np.array(out, np.int32)
-        return got
-
-    def trim(self) -> bool:
-        """Starts anew when full; numbers given before are void then."""
-        if len(self.words) > CACHED:
-            self.__init__()
-            return True
-        return False
-
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and counts of the text's n-grams."""
-        seen: dict[str, int] = {}
-        for w in WORD.findall(text.lower()):
-            seen[w] = seen.get(w, 0) + 1
-        if not seen:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        parts = [self.of(w) for w in seen]
-        times = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), [len(p) for p in parts])
-        ids, where = np.unique(np.concatenate(parts), return_inverse=True)
-        return ids, np.bincount(where, weights=times).astype(np.int64)
-
-    def ranked(self, text: str, n: int) -> np.ndarray:
-        """Numbers of the n most frequent n-grams; ties by the n-gram itself."""
-        ids, counts = self.counts(text)
-        if len(ids) > n:
-            least = np.partition(counts, len(counts) - n)[len(counts) - n]
-            ids, counts = ids[counts >= least], counts[counts >= least]
-        names = np.array([self.names[i] for i in ids.tolist()])
-        return ids[np.lexsort((names, -counts))[:n]] if len(ids) else ids
-
-
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", usable=None, sample: int = SAMPLE) -> dict[str, list[str]]:
-    """A profile for each language. usable: a condition on the id column."""
+PROFILE, OWN, SAMPLE, LANGUAGES = 600, 300, 1000, 512
+#: Characters of a text counted in one go.
+SLICE = 500_000
+UNKNOWN, BLANK = "und", np.uint64(ord(" "))
+FIRST, SECOND = np.uint64(42), np.uint64(21)
+
+
+def grams(text: str) -> np.ndarray:
+    """The n-grams of all words of a text, each word between two blanks; the blanks alone don't count."""
+    points = code_points(text.lower())
+    letters = np.flatnonzero(classes()[points] == LETTER)
+    if not len(letters):
+        return np.zeros(0, np.uint64)
+    word = np.cumsum(np.concatenate(([1], np.diff(letters) > 1)))  # neighbouring words share the blank between them
+    row = np.full(len(letters) + word[-1] + 1, BLANK)
+    row[np.arange(len(letters)) + word] = points[letters]
+    inner = row[1:-1] != BLANK
+    pairs = (row[:-1] << FIRST) | (row[1:] << SECOND)
+    return np.concatenate((row[row != BLANK] << FIRST, pairs, pairs[:-1][inner] | row[2:][inner]))
+
+
+def spelled(gram: int) -> str:
+    return "".join(chr(gram >> shift & 0x1FFFFF) for shift in (42, 21, 0) if gram >> shift & 0x1FFFFF)
+
+
+def summed(grams_: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each n-gram once, in order, with its counts added up."""
+    some, where = np.unique(grams_, return_inverse=True)
+    return some, np.bincount(where, weights=counts, minlength=len(some)).astype(np.int64)
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a whole text, in order, and how often they come."""
+    out = None
+    for part in pieces(text, SLICE):
+        new = np.unique(grams(part), return_counts=True)
+        out = new if out is None else summed(*(np.concatenate(x) for x in zip(out, new, strict=True)))
+    return out
+
+
+def ranked(text: str, n: int) -> np.ndarray:
+    """The n most frequent n-grams of a text; ties by the n-gram itself."""
+    some, counts = gram_counts(text)
+    if len(some) > n:  # all that tie with the last one go into the sort
+        least = np.partition(counts, len(counts) - n)[len(counts) - n]
+        some, counts = some[counts >= least], counts[counts >= least]
+    return some[np.argsort(-counts, kind="stable")[:n]]
+
+
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", usable=None, sample: int = SAMPLE) -> dict[str, np.ndarray]:
+    """A profile for each language: its n-grams, most frequent first. usable: a condition on the id column."""
     bounded_batches(docs.sparkSession)
     use = F.col(lang).isNotNull() & F.col(key).isNotNull()
-    ids = docs.where(use if usable is None else use & usable).select(F.col(key).alias("__id"), F.col(lang).alias("__lang"))
-    order = Window.partitionBy("__lang").orderBy(F.xxhash64(F.col("__id").cast("string")), "__id")
-    chosen = ids.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample).select("__id", "__lang")
-    chosen = chosen.dropDuplicates(["__id"])
-    rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")  # `sample` ids for each language
+    ids = docs.where(use if usable is None else use & usable).groupBy(F.col(key).alias("id")).agg(F.min(lang).alias("lang"))
+    most = F.broadcast(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
+    chosen = ids.join(most, "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("id", "lang")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # `sample` ids for each language
+    rows = rows.groupBy("id", "lang").agg(F.min("text").alias("text"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[str, dict[str, int]] = {}
+        totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for frame in frames:
-            ranker = Ranker()
-            for value, name in zip(frame["__text"], frame["__lang"], strict=True):
-                if value:
-                    ids_, counts = ranker.counts(value)
-                    mine = totals.setdefault(name, {})
-                    for i, c in zip(ids_.tolist(), counts.tolist(), strict=True):
-                        g = ranker.names[i]
-                        mine[g] = mine.get(g, 0) + c
-        for name, mine in totals.items():
-            yield pd.DataFrame({"lang": name, "gram": list(mine), "n": list(mine.values())})
-
-    summed = rows.select("__text", "__lang").mapInPandas(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = summed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= PROFILE)
-    out: dict[str, list[str]] = {}
-    for r in best.orderBy("lang", "r").collect():  # PROFILE rows for each language
+            for name, texts in frame.groupby("lang")["text"]:
+                parts = [gram_counts(t) for t in texts if t]
+                if parts:
+                    parts += [totals[name]] if name in totals else []
+                    totals[name] = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        for name, (some, counts) in totals.items():
+            yield pd.DataFrame({"lang": name, "gram": some.astype(np.int64), "n": counts})
+
+    added = rows.select("text", "lang").mapInPandas(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    best = added.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= PROFILE)
+    out: dict[str, list[int]] = {}
+    for r in best.orderBy("lang", "r").collect():  # PROFILE rows for each of at most LANGUAGES
         out.setdefault(r["lang"], []).append(r["gram"])
-    return out
+    return {name: np.array(x, np.uint64) for name, x in out.items()}
 
 
 class Identifier:
-    def __init__(self, profiles: dict[str, list[str]]):
-        self.langs = sorted(profiles)
-        self.ranks = [{g: i for i, g in enumerate(profiles[name])} for name in self.langs]
-        self.forget()
+    """All profiles as one sorted table of n-grams with their ranks in each language, -1 where it lacks them."""
 
-    def forget(self) -> None:
-        self.ranker = Ranker()
-        self.table = np.zeros((len(self.langs), 0), np.int64)
+    def __init__(self, profiles: dict[str, np.ndarray]):
+        self.langs = sorted(profiles)
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *profiles.values()]))
+        self.ranks = np.full((len(self.langs), len(self.known) + 1), -1, np.int64)  # the last column: no profile has it
+        for row, name in zip(self.ranks, self.langs, strict=True):
+            row[np.searchsorted(self.known, profiles[name])] = np.arange(len(profiles[name]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if self.ranker.trim():
-            self.table = np.zeros((len(self.langs), 0), np.int64)
-        own = self.ranker.ranked(text, OWN) if text and self.langs else np.zeros(0, np.int64)
+        own = ranked(text, OWN) if text and len(self.known) else np.zeros(0, np.uint64)
         if not len(own):
             return UNKNOWN, 0.0
-        new = self.ranker.names[self.table.shape[1] :]
-        if new:
-            self.table = np.hstack((self.table, [[r.get(g, -1) for g in new] for r in self.ranks]))
-        at = self.table[:, own]
-        apart = np.where(at < 0, PROFILE, np.abs(at - np.arange(len(own)))).sum(axis=1)
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        ranks = self.ranks[:, np.where(self.known[at] == own, at, len(self.known))]
+        apart = np.where(ranks < 0, PROFILE, np.abs(ranks - np.arange(len(own)))).sum(axis=1)
         order = np.argsort(apart, kind="stable")
         best = int(order[0])
         # how sure: the share of the greatest distance that is saved, against the runner-up's
@@ -151,7 +136,7 @@ class Identifier:
         return self.langs[best], float(saved[best] / (saved[best] + second)) if saved[best] > 0 else 0.0
 
 
-def identifier(spark, profiles: dict[str, list[str]]):
+def identifier(spark, profiles: dict[str, np.ndarray]):
     """The profiles as a column function of a text: struct of lang_pred and score."""
     sent = spark.sparkContext.broadcast(profiles)
 

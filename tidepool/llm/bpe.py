@@ -9,7 +9,8 @@ again, so they never change a result.
 
 Defined results: null and empty texts give no ids; special strings inside a
 text become their one id, as in the tokenizers library's default; texts of any
-length are taken whole.
+length are taken whole; repeated rows are encoded as often as they come. Columns
+to keep that are called like one of the result's are refused.
 """
 
 from __future__ import annotations
@@ -229,7 +230,7 @@ class ByteLevelEncoder:
 
     def __init__(self, table: MergeTable):
         self.table, self.cache = table, ChunkCache(table, BYTE_LEVEL)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, table.special)) + ")") if table.special else None
+        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(table.special, key=len, reverse=True))) + ")") if table.special else None
 
     def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the batch in one array, and each text's start in it with the end at last."""
@@ -239,7 +240,7 @@ class ByteLevelEncoder:
         flat: list[int] = []
         bounds = [0]
         for text in batch:
-            for cut in self.special.split(text) if self.special is not None and "<|" in text else (text,):
+            for cut in self.special.split(text) if any(map(text.__contains__, self.table.special)) else (text,):
                 if not cut:
                     continue
                 if cut in self.table.special:
@@ -293,7 +294,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", keep:
     """
     bounded_batches(docs.sparkSession)
     return docs.select(*keep, docs[text].alias("__text")).mapInArrow(
-        _encoding(tokenizer, keep, decoded, None), ", ".join([*_kinds(docs, keep), "ids array<int>", *["decoded string"] * decoded])
+        _encoding(tokenizer, keep, decoded, None), ", ".join([*_kinds(docs, keep, ("ids", "decoded")), "ids array<int>", *["decoded string"] * decoded])
     )
 
 
@@ -301,11 +302,13 @@ def encoded_digests(docs: DataFrame, tokenizer: str, text: str = "text", keep: t
     """As encode_documents, with ids and text replaced by their length and digests where they arise."""
     bounded_batches(docs.sparkSession)
     return docs.select(*keep, docs[text].alias("__text")).mapInArrow(
-        _encoding(tokenizer, keep, True, _digest), ", ".join([*_kinds(docs, keep), "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"])
+        _encoding(tokenizer, keep, True, _digest), ", ".join([*_kinds(docs, keep, ("n_tokens", "ids_sha256", "decoded_sha256")), "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"])
     )
 
 
-def _kinds(docs: DataFrame, keep: tuple[str, ...]) -> list[str]:
+def _kinds(docs: DataFrame, keep: tuple[str, ...], own: tuple[str, ...]) -> list[str]:
+    if set(own) & {c.lower() for c in keep}:
+        raise ValueError(f"columns to keep may not be called {' or '.join(own)}")
     return [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
 

@@ -8,8 +8,13 @@ made on the histogram of piece lengths alone (at most `capacity` numbers):
    pairs, and evenly chosen triples);
 2. fit repeat counts x >= 0 so that the patterns' lengths add up to the histogram
    (least squares, multiplicative updates, which keep x non-negative);
-3. round down, and take back what the histogram doesn't have;
-4. pack the residual lengths by best fit, longest first, many equal bins at once.
+3. round down, then up by largest remainder as far as the histogram goes, and fit
+   again on what is left, until nothing more can be placed so;
+4. pack the residual lengths by best fit, longest first, many equal bins at once;
+5. repair: sequences with room left, and a growing share of the full ones, are taken
+   apart and packed anew together; what needs fewer sequences stays. That ends at the
+   lower bound (all lengths over the capacity), or when all shares have been tried.
+   The last is all of them, so a plan never needs more than best fit alone.
 
 A pattern repeated n times takes a range of n ranks of each of its lengths, so
 a piece finds its sequence from its length and its rank among equal lengths.
@@ -17,7 +22,9 @@ Ranks come from counts for each task and length, summed over the tasks: no
 length, however common, meets in one task.
 
 Defined results: null and empty texts are one piece that holds the end id;
-repeated rows are packed as often as they come; an empty table gives no rows.
+repeated rows are packed as often as they come; rows with a null key are packed
+too; an empty table gives no rows; columns of docs other than key and text don't
+matter, and a key column that is called like one of the result's is refused.
 """
 
 from __future__ import annotations
@@ -34,10 +41,17 @@ from tidepool.llm.bpe import SLICE, ByteLevelEncoder, merge_table
 from tidepool.llm.shared import bounded_batches, offsets, ragged, scratch, slices, texts, tidied
 
 CAPACITY, END_ID = 1024, 2
-#: Updates of a fit.
-ROUNDS = 1500
+#: Updates of a fit, fits of a plan, and repairs with each share.
+ROUNDS, FITS, REPAIRS = 1500, 4, 6
 #: Patterns of three lengths that take part; each number is tried and the plan with the fewest sequences kept.
-TRIPLES = (2500, 600, 100, 20)
+TRIPLES = (2500, 600, 100)
+#: A pattern is rounded up only if its remainder is at least this.
+REMAINDER = 0.05
+#: Shares of the full sequences that repairs take apart.
+APART = (0.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0)
+
+#: How often a kind of sequence comes, the lengths in it, and whether a fitted pattern made it.
+Kind = tuple[int, tuple[int, ...], bool]
 
 
 def patterns(capacity: int) -> np.ndarray:
@@ -53,10 +67,10 @@ def fit(histogram: np.ndarray, triples: int, rounds: int = ROUNDS) -> tuple[np.n
     capacity = len(histogram) - 1
     found = patterns(capacity)
     found = found[np.all((found == 0) | (histogram[found] > 0), axis=1)]
-    if not len(found):
-        return found, np.zeros(0)
     every = max(1, round(np.count_nonzero(found[:, 2]) / triples))
     found = found[(found[:, 2] == 0) | (found @ np.array([7, 13, 29]) % every == 0)]
+    if not len(found):
+        return found, np.zeros(0)
     target = histogram.astype(float)
     target[0] = 0
     weight = np.arange(capacity + 1) / capacity  # long pieces are the hard ones to place later
@@ -70,33 +84,77 @@ def fit(histogram: np.ndarray, triples: int, rounds: int = ROUNDS) -> tuple[np.n
     return found, x
 
 
-def plan(histogram: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
-    """Repeat count and lengths of each kind of sequence; together they hold every piece once."""
-    return min((fitted(histogram, n) for n in TRIPLES), key=lambda kinds: sum(c for c, _ in kinds))
+def sequences(kinds: list[Kind]) -> int:
+    return sum(n for n, _, _ in kinds)
+
+
+def by_patterns(kinds: list[Kind]) -> int:
+    """Pieces that lie in sequences which a fitted pattern made."""
+    return sum(n * len(lengths) for n, lengths, fitted in kinds if fitted)
 
 
-def fitted(histogram: np.ndarray, triples: int) -> list[tuple[int, tuple[int, ...]]]:
-    """The plan from one fit."""
+def plan(histogram: np.ndarray) -> list[Kind]:
+    """All kinds of sequence; together they hold every piece once. Of the plans tried the shortest, and among those the one that patterns made most of."""
+    return min((planned(histogram, n) for n in TRIPLES), key=lambda kinds: (sequences(kinds), -by_patterns(kinds)))
+
+
+def planned(histogram: np.ndarray, triples: int) -> list[Kind]:
+    """The plan from fits with so many triples."""
     capacity = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
-    out: list[tuple[int, tuple[int, ...]]] = []
+    out: list[Kind] = []
     if left[capacity]:
-        out.append((int(left[capacity]), (capacity,)))
+        out.append((int(left[capacity]), (capacity,), True))
         left[capacity] = 0
-    found, x = fit(left, triples)
-    for k in np.argsort(-x, kind="stable"):
-        if x[k] < 1:
+    for _ in range(FITS):
+        new = rounded(*fit(left, triples), left)
+        if not new:
             break
-        lengths = tuple(int(n) for n in found[k] if n)
-        n = min(int(x[k]), *(int(left[m]) // lengths.count(m) for m in lengths))
+        out += new
+    least = -(-int((histogram * np.arange(capacity + 1)).sum()) // capacity)
+    return repaired(out + best_fit(left), capacity, least)
+
+
+def rounded(found: np.ndarray, x: np.ndarray, left: np.ndarray) -> list[Kind]:
+    """The patterns by whole numbers near x, the greatest first; their lengths leave the histogram `left`."""
+    out: list[Kind] = []
+
+    def place(k: int, n: int) -> None:
+        lengths = tuple(int(m) for m in found[k] if m)
+        n = min(n, *(int(left[m]) // lengths.count(m) for m in lengths))
         if n > 0:
-            out.append((n, lengths))
+            out.append((n, lengths, True))
             for m in lengths:
                 left[m] -= n
-    return out + best_fit(left)
-
 
-def best_fit(left: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
+    whole = np.floor(x)
+    for k in np.argsort(-x, kind="stable")[: np.count_nonzero(whole)]:
+        place(k, int(whole[k]))
+    for k in np.argsort(whole - x, kind="stable")[: np.count_nonzero(x - whole >= REMAINDER)]:
+        place(k, 1)
+    return out
+
+
+def repaired(kinds: list[Kind], capacity: int, least: int) -> list[Kind]:
+    """The kinds, or fewer sequences. Which full sequences are taken apart follows from fixed seeds."""
+    for share in APART:
+        for seed in range(REPAIRS if 0 < share < 1 else 1):
+            if sequences(kinds) <= least:
+                return kinds
+            rng, kept, left = np.random.default_rng(seed), [], np.zeros(capacity + 1, np.int64)
+            for n, lengths, fitted in kinds:
+                gone = n if sum(lengths) < capacity else int(rng.binomial(n, share)) if len(lengths) > 1 else 0
+                if n > gone:
+                    kept.append((n - gone, lengths, fitted))
+                for m in lengths:
+                    left[m] += gone
+            new = kept + best_fit(left)
+            if sequences(new) < sequences(kinds):
+                kinds = new
+    return kinds
+
+
+def best_fit(left: np.ndarray) -> list[Kind]:
     """Best fit decreasing; equal bins are kept as one entry with a count."""
     capacity = len(left) - 1
     free: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in range(capacity + 1)]
@@ -114,13 +172,13 @@ def best_fit(left: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
                 free[room].append((bins - use, held))
             free[room - each * length].append((use, held + (length,) * each))
             count -= use * each
-    return [entry for entries in free for entry in entries]
+    return [(n, held, False) for entries in free for n, held in entries]
 
 
-def slots(kinds: list[tuple[int, tuple[int, ...]]]) -> dict[str, np.ndarray]:
+def slots(kinds: list[Kind]) -> dict[str, np.ndarray]:
     """For each length and range of ranks: the first sequence number and the place in the sequence."""
     rows, used, sequence = [], {}, 0
-    for n, lengths in kinds:
+    for n, lengths, _ in kinds:
         at = 0
         for m in lengths:
             rows.append((m, used.get(m, 0), sequence, at))
@@ -197,8 +255,12 @@ def pack(
 
     The pieces are written to the shared folder once, so ranks stay the same
     if an executor is lost. What is broadcast is the plan, whose size depends on
-    `capacity` and not on the number of rows.
+    `capacity` and not on the number of rows. Where a task's ranks of a length begin
+    is joined to its pieces: Spark broadcasts those numbers while they are smaller
+    than its threshold for that, and deals both sides out by task and length beyond.
     """
+    if key.lower() in ("piece", "start", "length", "task", "rank", "sequence_id", "offset"):
+        raise ValueError(f"the key column may not be called {key}")
     spark = docs.sparkSession
     bounded_batches(spark)
     made = scratch(pieces(docs, tokenizer, text, key, capacity, end_id, columns, kinds), "pieces")

@@ -1,33 +1,51 @@
 """Quality rules whose cutoffs are chosen under a proven risk.
 
-Every text gets a few measures of its words, symbols and lines. Labelled rows
-serve as a holdout for choosing cutoffs: in each stratum (a class of length), a
-rule's cutoff counts as safe if the exact binomial bound shows, at a level
-corrected for all cutoffs, rules and strata tried (Bonferroni), that it rejects
-at most a limited share of good texts. Of the safe cutoffs the one that rejects
-the most bad texts is taken, the mildest of equals, and only if it rejects bad
-texts many times as often as good ones. A stratum without enough labels gets no cutoff
-and keeps its texts.
-
-Defined results: null and empty texts have no words and fail the base rule;
-labels that are null count as missing; without labels only the base rule holds.
+Every text gets a few measures of its words, symbols and lines. The labelled rows
+that pass the base rule are dealt by their ids into two parts. In each stratum (a
+class of length)
+
+1. the first part, a third, proposes a sequence of cutoffs: time and again the rule
+   and cutoff that rejects the most bad texts for each good one among those that the
+   sequence hasn't rejected yet, as long as it tells for bad texts (RATIO);
+2. the second part tests the sequence from its start, a step at a time: a step, with
+   all before it, is safe if the exact binomial bound shows that together they
+   reject at most a limited share of good texts. The first that isn't safe ends the
+   sequence (fixed-sequence testing), so steps need no correction among each other.
+
+Strata share the allowed chance of failure (Holm: a stratum whose whole sequence is
+safe hands its share on to those that stopped). A stratum with too few good texts to
+show anything even if none were rejected joins its neighbour. So with a probability of
+1 - FAILURE no stratum loses more than MAX_FALSE of its good texts beyond those that
+fail the base rule, which the bound leaves out.
+
+Counts cover all labelled rows; the driver sees counts for strata, rules and steps.
+
+Defined results: null and empty texts have no words and fail the base rule; labels
+that are null or neither 0 nor 1 count as missing, repeated ones as the least;
+repeated rows count as often as they come; texts that tie with a cutoff stay;
+without enough labels only the base rule holds. All columns of docs stay, but one
+called like the result's is replaced.
 """
 
 from __future__ import annotations
 
 import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidepool.llm.shared import bounded_batches
+from tidepool.llm.shared import bounded_batches, prefilter, scratch, unused
 
-#: Share of good texts that all rules of a stratum together may reject, and the chance that a bound fails at all.
-MAX_FALSE, FAILURE = 0.05, 0.05
-#: How many times the share of bad texts that a cutoff rejects must exceed that of good ones.
-RATIO = 25
+#: Share of a stratum's good texts that all its cutoffs together may reject, and the chance that any bound fails.
+MAX_FALSE, FAILURE = 0.02, 0.05
+#: How many times likelier a step must hit a bad text than a good one: the likelihood ratio from which a diagnostic test
+#: is customarily held conclusive (Jaeschke, Guyatt and Sackett, JAMA 1994).
+RATIO = 10.0
+#: Steps of a sequence, and one in how many labelled rows proposes.
+STEPS, PROPOSING = 8, 3
 #: Upper ends of the strata, in words.
 STRATA = (100, 400, 1600)
 #: Rules: a measure and its cutoffs, mildest first. A text is rejected above the cutoff.
@@ -79,7 +97,7 @@ def base_failed(m):
     return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
 
 
-def stratum(m):
+def stratum(m) -> Column:
     out = F.lit(len(STRATA))
     for k in reversed(range(len(STRATA))):
         out = F.when(m["n_words"] < STRATA[k], k).otherwise(out)
@@ -115,48 +133,131 @@ def safe(rejected: int, n: int, share: float, level: float) -> bool:
     return n > 0 and tail(rejected, n, share) <= level
 
 
-def choose(counts: pd.DataFrame, max_false: float = MAX_FALSE, failure: float = FAILURE) -> dict[tuple[int, str], float]:
-    """Cutoff for each stratum and rule. counts: stratum, label, n and for each rule and cutoff k how many lie above, as `rule_k`."""
-    strata = sorted(set(counts["stratum"]))
-    tried = max(1, len(strata) * len(RULES) * len(CUTOFFS))
-    share, level = max_false / len(RULES), failure / tried
-    out = {}
-    for s in strata:
-        of = {int(r["label"]): r for _, r in counts[counts["stratum"] == s].iterrows()}
-        if 0 not in of or 1 not in of:
-            continue
-        good, bad = of[1], of[0]
-        for rule in RULES:
-            best = 0
-            for k, cutoff in enumerate(CUTOFFS):
-                g, b = int(good[f"{rule}_{k}"]), int(bad[f"{rule}_{k}"])
-                if b > best and b * int(good["n"]) > RATIO * g * int(bad["n"]) and safe(g, int(good["n"]), share, level):
-                    best, out[s, rule] = b, cutoff
+#: The cutoffs of a stratum in the order in which they are tested: rule and cutoff.
+Sequence = list[tuple[str, float]]
+
+
+def merged(good: dict[int, int], share: float, failure: float) -> dict[int, int]:
+    """A group for each stratum: neighbours join until each group's good texts can show something at its part of the chance of failure."""
+    groups = [[s] for s in range(len(STRATA) + 1)]
+    while len(groups) > 1:
+        sizes = [sum(good.get(s, 0) for s in g) for g in groups]
+        least = min(range(len(groups)), key=sizes.__getitem__)
+        if safe(0, sizes[least], share, failure / len(groups)):
+            break
+        near = min((k for k in (least - 1, least + 1) if 0 <= k < len(groups)), key=sizes.__getitem__)
+        a, b = sorted((least, near))
+        groups[a : b + 1] = [groups[a] + groups[b]]
+    return {s: g[0] for g in groups for s in g}
+
+
+def rejected_at(m, sequence: Sequence) -> Column:
+    """The first step of a sequence that rejects a text; null if none does."""
+    out = F.lit(None).cast("int")
+    for k, (rule, cutoff) in reversed(list(enumerate(sequence))):
+        out = F.when(value(m, rule) > cutoff, k).otherwise(out)
+    return out
+
+
+def step_of(m, sequences: dict[int, Sequence], groups: dict[int, int]) -> Column:
+    """rejected_at() by the sequence of the text's stratum."""
+    out = F.lit(None).cast("int")
+    for s, g in sorted(groups.items()):
+        if sequences.get(g):
+            out = F.when(stratum(m) == s, rejected_at(m, sequences[g])).otherwise(out)
+    return out
+
+
+def group_of(m, groups: dict[int, int]) -> Column:
+    out = F.lit(None).cast("int")
+    for s, g in sorted(groups.items()):
+        out = F.when(stratum(m) == s, g).otherwise(out)
     return out
 
 
-def cutoffs(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> dict[tuple[int, str], float]:
-    """The cutoffs that the labelled rows allow. Only texts that pass the base rule take part. Counts alone reach the driver."""
-    ids = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("__id")).agg(F.min(label).cast("int").alias("label"))
-    m = F.col("__m")
-    rows = docs.select(docs[key].alias("__id"), measures(docs[text]).alias("__m")).where(~base_failed(m)).join(ids, "__id")
+def propose(rows: DataFrame, groups: dict[int, int], ratio: float) -> dict[int, Sequence]:
+    """A sequence of cutoffs for each group, from counts of the rows that it hasn't rejected yet; a job for each step."""
+    m, found = F.struct(*MEASURES), {g: [] for g in groups.values()}
+    of = group_of(m, groups)
     above = [F.sum((value(m, r) > c).cast("long")).alias(f"{r}_{k}") for r in RULES for k, c in enumerate(CUTOFFS)]
-    counts = rows.groupBy(stratum(m).alias("stratum"), "label").agg(F.count(F.lit(1)).alias("n"), *above)
-    return choose(counts.toPandas())
+    going, total = set(found), {}
+    for _ in range(STEPS):
+        left = rows.where(step_of(m, found, groups).isNull()).groupBy(of.alias("g"), "label").agg(F.count(F.lit(1)).alias("n"), *above)
+        counts = {(r["g"], r["label"]): r for r in left.collect()}  # two rows for each group
+        total = total or {k: r["n"] for k, r in counts.items()}
+        for g in sorted(going):
+            good, bad = counts.get((g, 1)), counts.get((g, 0))
+            best = None
+            for rule in RULES:
+                for k, cutoff in enumerate(CUTOFFS):
+                    hit, lost = (bad[f"{rule}_{k}"] if bad else 0), (good[f"{rule}_{k}"] if good else 0)
+                    if hit and hit * total.get((g, 1), 0) >= ratio * (lost + 1) * total[g, 0]:
+                        worth = (hit / (lost + 1), -k)
+                        best = max(best, (worth, rule, cutoff)) if best else (worth, rule, cutoff)
+            if best is None:
+                going.discard(g)
+            else:
+                found[g].append(best[1:])
+        if not going:
+            break
+    return found
+
+
+def tested(steps: dict[int, list[int]], good: dict[int, int], share: float, failure: float) -> dict[int, int]:
+    """How many steps of each group's sequence are safe. steps: for each group the good texts that each step rejects first."""
+    part = failure / max(1, len(good))
+
+    def walk(g: int, level: float) -> int:
+        lost = 0
+        for k, n in enumerate(steps[g]):
+            lost += n
+            if not safe(lost, good[g], share, level):
+                return k
+        return len(steps[g])
+
+    open_, level, out = set(good), part, {}
+    while open_:
+        new = {g: walk(g, level) for g in open_}
+        done = {g for g in open_ if new[g] == len(steps[g])}
+        out |= new
+        if not done or done == open_:
+            break
+        open_ -= done
+        level = failure / len(open_)
+    return out
+
+
+def cutoffs(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", max_false: float = MAX_FALSE, failure: float = FAILURE, ratio: float = RATIO) -> dict[int, Sequence]:
+    """The safe cutoffs of each stratum, from all labelled rows that pass the base rule. Only their measures are written, only counts reach the driver."""
+    ids = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("id")).agg(F.min(label).cast("int").alias("label"))
+    ids = scratch(ids, "labels")
+    some = prefilter(docs.select(docs[key].alias("id"), docs[text].alias("text")), "id", ids)
+    rows = some.select("id", measures("text").alias("m")).where(~base_failed(F.col("m"))).join(ids, "id")
+    rows = scratch(rows.select("m.*", "label", (F.pmod(F.xxhash64("id"), F.lit(PROPOSING)) == 0).alias("proposes")), "measured")
+    proposing, testing, m = rows.where("proposes"), rows.where("not proposes"), F.struct(*MEASURES)
+    good = {r["s"]: r["n"] for r in testing.where("label = 1").groupBy(stratum(m).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    groups = merged(good, max_false, failure)
+    sequences = propose(proposing, groups, ratio)
+    first = testing.where("label = 1").groupBy(group_of(m, groups).alias("g"), step_of(m, sequences, groups).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    steps = {g: [0] * len(s) for g, s in sequences.items()}
+    for r in first.collect():  # a row for each group and step
+        if r["k"] is not None:
+            steps[r["g"]][r["k"]] = r["n"]
+    sizes = {g: sum(good.get(s, 0) for s, h in groups.items() if h == g) for g in sequences}
+    held = tested(steps, sizes, max_false, failure)
+    return {s: sequences[g][: held[g]] for s, g in groups.items()}
 
 
-def verdict(m, chosen: dict[tuple[int, str], float]):
+def verdict(m, chosen: dict[int, Sequence]) -> Column:
     """Whether a text's measures pass the base rule and the chosen cutoffs."""
-    wrong = F.lit(False)
-    for (s, rule), c in sorted(chosen.items()):
-        wrong = wrong | ((stratum(m) == s) & (value(m, rule) > c))
-    return ~base_failed(m) & ~wrong
+    return ~base_failed(m) & step_of(m, chosen, {s: s for s in chosen}).isNull()
 
 
-def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", at: str = "quality_rules") -> DataFrame:
-    """docs with a struct column `at`: MEASURES, base_failed and kept. All columns of docs stay as they are."""
+def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", at: str = "quality_rules", chosen: dict[int, Sequence] | None = None) -> DataFrame:
+    """docs with a struct column `at`: MEASURES, base_failed and kept, by given cutoffs or those that the labels allow."""
     bounded_batches(docs.sparkSession)
-    chosen = cutoffs(docs, labels, text, key, label)
-    m = F.col("__m")
+    chosen = cutoffs(docs, labels, text, key, label) if chosen is None else chosen
+    own = unused("__m", docs)
+    m = F.col(own)
     fields = [*(m[x].alias(x) for x in MEASURES), base_failed(m).alias("base_failed"), verdict(m, chosen).alias("kept")]
-    return docs.withColumn("__m", measures(docs[text])).withColumn(at, F.struct(*fields)).drop("__m")
+    return docs.withColumn(own, measures(docs[text])).withColumn(at, F.struct(*fields)).drop(own)

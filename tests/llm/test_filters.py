@@ -61,7 +61,7 @@ def test_toxicity(spark):
 
 
 def test_non_negative_risk_separates():
-    w, b = toxicity.train([[0], [0, 1], [0]], [[1], [1], [0], [], [1], []], 2, 0.2)
+    w, b = toxicity.train([[0], [0, 1], [0]], [[1], [1], [0], [], [1], []], 2, 0.3, 0.1)
     assert b + w[0] > 0 > b + w[1]
 
 

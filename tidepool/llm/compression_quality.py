@@ -13,7 +13,9 @@ chosen by a hash of their ids, and SNIPPETS snippets for a dictionary.
 
 Defined results: a null or empty text has differences 0 and gets the curve's
 value there; with labels of one kind only, or none, every score is that share
-(0.5 for none).
+(0.5 for none); ids whose labels disagree count as bad; an id that comes with several
+texts counts for the least of them in the fit, each of its rows is scored; snippets
+that tie in their hash are taken by id and place; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.shared import bounded_batches, sigmoid
+from tidepool.llm.shared import bounded_batches, scratch, sigmoid
 
 SAMPLE, SNIPPET, SNIPPETS, DICTIONARY, WINDOW, LEVEL = 1500, 1024, 600, 64 << 10, 1024, 9
 
@@ -117,6 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             one = known.where((F.col("y") == y) & (part == p)).orderBy(order, key).limit(sample).select(F.col(key).alias("__id"), F.lit(y).alias("y"), F.lit(p).alias("part"))
             chosen = one if chosen is None else chosen.union(one)
     rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")  # 4 x sample ids
+    rows = scratch(rows.groupBy("__id", "y", "part").agg(F.min("__text").alias("__text")), "sampled")
 
     @F.pandas_udf("array<binary>")
     def snippets(column: pd.Series) -> pd.Series:

@@ -1,16 +1,33 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts and unlabelled texts train a linear classifier over the
-words that stand out among the toxic ones. The risk is corrected by the class
-prior: the unlabelled texts' loss as negatives, less the share that the toxic
-ones among them cause, which may not fall below zero.
-
-The fit uses bounded samples: at most SAMPLE toxic and 2 x SAMPLE unlabelled
-texts, chosen by a hash of their ids; whole texts of those. Scores are of whole
-texts of all rows.
-
-Defined results: without a toxic label every score is 0; null and wordless
-texts score as a text without any known word does.
+Confirmed toxic texts (positives) and the corpus as a whole (unlabelled, the
+positives among it) train a linear classifier over the words that stand out among
+the toxic ones. Labels that say a text isn't toxic are not used.
+
+Risk: with the class prior p, the loss of positives as positives counts p times; the
+loss of the whole as negatives, less p times that of positives as negatives, is the
+negatives' part, and may not fall below zero. The loss is the sigmoid, which a few
+far outliers can't dominate. The mean over the whole is taken in two strata,
+confirmed positives and all other rows, by their exact shares: so positives stand on
+both sides of the risk, and their chance numbers in a sample don't matter.
+
+Prior: for any property, its share in the whole is at least p times its share among
+positives. The property is holding one of the words that stand out most, for ever
+more words; of the ratios whose property at least half the positives have, the least
+upper confidence bound (two standard errors) is the prior.
+
+Words: those whose share among positives is far above their share among negatives,
+which follows from whole, positives and prior.
+
+The fit uses bounded samples: at most SAMPLE positives and 2 x SAMPLE other texts,
+chosen by a hash of their ids; whole texts of those. Scores are of whole texts of
+all rows.
+
+Defined results: without a usable toxic label, or with nothing but toxic ones, every
+score is 0; null and wordless texts score as a text without any known word does;
+ids whose labels disagree count as toxic; an id that comes with several texts counts
+for the least of them in the fit, each of its rows is scored; words that tie are
+taken in their own order; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -23,12 +40,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.shared import bounded_batches, sigmoid
+from tidepool.llm.shared import bounded_batches, scratch, sigmoid
 
-SAMPLE, FEATURES, STEPS, RATE, RIDGE = 3000, 1024, 800, 0.05, 3e-4
-#: A word takes part if so many toxic texts have it, with so many times the unlabelled texts' share, and if chance
-#: would bring any of the words so far only this rarely. CANDIDATES words are tested on the driver.
+SAMPLE, FEATURES, STEPS, RATE, RIDGE = 3000, 1024, 1500, 0.05, 1e-5
+#: A word takes part if so many positives have it, with so many times the others' share, and if chance would bring any
+#: of the words so far only this rarely. CANDIDATES words are tested on the driver.
 LEAST, LIFT, CHANCE, CANDIDATES = 3, 2.0, 0.01, 20_000
+#: Standard errors of the prior's bounds, and the greatest prior.
+ERRORS, MOST = 2.0, 0.5
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -56,32 +75,28 @@ def log_tail(k: int, n: int, share: float) -> float:
     return -n * (seen * math.log(seen / share) + rest)
 
 
-def train(positive: list[list[int]], unlabelled: list[list[int]], n: int, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk (logistic loss, Adam)."""
+def train(positive: list[list[int]], other: list[list[int]], n: int, prior: float, share: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk (sigmoid loss, Adam). share: of the positives in the whole."""
 
-    def flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([f for r in rows for f in r], np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    def flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, int]:
+        return np.array([f for r in rows for f in r], np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows)
 
-    sides = [(*flat(positive), len(positive)), (*flat(unlabelled), len(unlabelled))]
-    w, b = np.zeros(n), np.log(prior / (1 - prior))
+    w, b = np.zeros(n), math.log(prior / (1 - prior))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
 
-    def outputs(k: int) -> np.ndarray:
-        feature, row, rows = sides[k]
-        return b + np.bincount(row, weights=w[feature], minlength=rows)
-
-    def gradient(k: int, slope: np.ndarray) -> np.ndarray:
-        feature, row, rows = sides[k]
-        return np.append(np.bincount(feature, weights=slope[row], minlength=n), slope.sum()) / rows
+    def loss(side: tuple[np.ndarray, np.ndarray, int]) -> tuple[float, np.ndarray]:
+        """Mean loss as negatives, and its gradient."""
+        feature, row, rows = side
+        p = sigmoid(b + np.bincount(row, weights=w[feature], minlength=rows))
+        slope = p * (1 - p)
+        return p.mean(), np.append(np.bincount(feature, weights=slope[row], minlength=n), slope.sum()) / rows
 
+    sides = flat(positive), flat(other)
     for t in range(1, steps + 1):
-        p, u = outputs(0), outputs(1)
-        down_p, down_u = gradient(0, sigmoid(p)), gradient(1, sigmoid(u))  # of log(1 + e^f), the loss as a negative
-        negative = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
-        if negative >= 0:
-            g = prior * gradient(0, sigmoid(p) - 1) + down_u - prior * down_p
-        else:
-            g = -(down_u - prior * down_p)
+        (of_p, down_p), (of_o, down_o) = loss(sides[0]), loss(sides[1])
+        negatives = share * of_p + (1 - share) * of_o - prior * of_p
+        down = share * down_p + (1 - share) * down_o - prior * down_p
+        g = down - prior * down_p if negatives >= 0 else -down  # as positives, the loss is 1 less the loss as negatives
         g[:-1] += RIDGE * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -89,49 +104,75 @@ def train(positive: list[list[int]], unlabelled: list[list[int]], n: int, prior:
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", usable=None, sample: int = SAMPLE) -> Model:
-    """Trains on bounded samples. usable: a condition on the id column, for rows whose labels may be used."""
+def class_prior(positive: list[set[int]], other: list[set[int]], order: list[int], share: float) -> float:
+    """The share of toxic texts in the whole. order: the words, those that stand out most first."""
+    place = {w: k for k, w in enumerate(order)}
+    # the first word of the order that a text has: it has one of the k first if that is below k
+    first = [np.sort([min((place[w] for w in row if w in place), default=len(order)) for row in rows]) for rows in (positive, other)]
+    best = MOST
+    for k in range(1, len(order) + 1):
+        p, o = (np.searchsorted(f, k) / len(f) for f in first)
+        if p >= 0.5:
+            whole = share * p + (1 - share) * o + ERRORS * (1 - share) * math.sqrt(o * (1 - o) / len(other))
+            best = min(best, whole / max(1e-9, p - ERRORS * math.sqrt(p * (1 - p) / len(positive))))
+    return max(share, best)
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", usable=None, sample: int = SAMPLE, prior: float | None = None) -> Model:
+    """Trains on bounded samples. usable: a condition on the id column, for rows whose labels may be used; prior: the class prior, if known."""
     bounded_batches(docs.sparkSession)
-    order = F.xxhash64(F.col(key).cast("string"))
+    nothing = Model([], np.zeros(0), -np.inf)
+    order = F.xxhash64(F.col("id").cast("string"))
     use = F.col(key).isNotNull() if usable is None else F.col(key).isNotNull() & usable
-    known = labels.where(use & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("y"))
-    share = known.agg(F.sum((F.col("y") == 1).cast("long")).alias("p"), F.count(F.lit(1)).alias("n")).first()
-    if not share["p"]:
-        return Model([], np.zeros(0), -np.inf)
-    prior = min(0.5, max(1e-3, share["p"] / share["n"]))
-    toxic = known.where("y = 1").select(key).orderBy(order, key).limit(sample).select(F.col(key).alias("__id"), F.lit(True).alias("__toxic"))
-    other = docs.where(use).select(key).orderBy(order, key).limit(2 * sample).select(F.col(key).alias("__id"), F.lit(False).alias("__toxic"))
-    chosen = F.broadcast(toxic.union(other).groupBy("__id").agg(F.max("__toxic").alias("__toxic")))  # at most 3 x sample rows
-    rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(chosen, "__id")
+    toxic = labels.where(use & (F.col(label) == 1)).select(F.col(key).alias("id"), F.lit(True).alias("toxic")).distinct()
+    ids = docs.where(use).groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("rows")).join(toxic, "id", "left")
+    ids = scratch(ids.select("id", "rows", F.coalesce("toxic", F.lit(False)).alias("toxic")), "ids")
+    held = {r["toxic"]: r["rows"] for r in ids.groupBy("toxic").agg(F.sum("rows").alias("rows")).collect()}
+    if len(held) < 2:
+        return nothing
+    share = held[True] / (held[True] + held[False])
+    chosen = ids.where("toxic").orderBy(order, "id").limit(sample).union(ids.where("not toxic").orderBy(order, "id").limit(2 * sample)).select("id", "toxic")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # at most 3 x sample ids
+    rows = scratch(rows.groupBy("id", "toxic").agg(F.min("text").alias("text")), "sampled")
 
     @F.pandas_udf("array<string>")
     def words(column: pd.Series) -> pd.Series:
         return column.map(lambda t: sorted(vocabulary(t)))
 
-    # a toxic text that the unlabelled sample holds as well stays among the positives
-    split = rows.select("__toxic", words("__text").alias("w"))
-    total = {r["__toxic"]: r["n"] for r in split.groupBy("__toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_p, n_u = total.get(True, 0), total.get(False, 0)
-    if not n_p or not n_u:
-        return Model([], np.zeros(0), -np.inf)
-    seen = split.select("__toxic", F.explode("w").alias("word")).groupBy("word")
-    seen = seen.agg(F.sum(F.col("__toxic").cast("long")).alias("p"), F.sum((~F.col("__toxic")).cast("long")).alias("u")).where(F.col("p") >= LEAST)
-    lift = (F.col("p") / n_p) / ((F.col("u") + 1) / (n_u + 1))
-    best = seen.where(lift >= LIFT).orderBy(F.desc(F.col("p") * F.log(lift)), "word").limit(CANDIDATES).collect()
-    certain = [r["word"] for r in best if log_tail(r["p"], n_p, (r["u"] + 1) / (n_u + 1)) < np.log(CHANCE / CANDIDATES)]
-    vocabulary_ = certain[:FEATURES]
-    place = {w: i for i, w in enumerate(vocabulary_)}
+    size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_p, n_o = size.get(True, 0), size.get(False, 0)
+    if not n_p or not n_o:
+        return nothing
+    seen = rows.select("toxic", F.explode(words("text")).alias("word")).groupBy("word")
+    seen = seen.agg(F.sum(F.col("toxic").cast("long")).alias("p"), F.sum((~F.col("toxic")).cast("long")).alias("o")).where(F.col("p") >= LEAST)
+    ratio = (F.col("p") / n_p) / ((F.col("o") + 1) / (n_o + 1))
+    found = seen.where(ratio > 1).orderBy(F.desc(F.col("p") * F.log(ratio)), "word").limit(CANDIDATES).collect()
+    place = {r["word"]: k for k, r in enumerate(found)}
     sent = docs.sparkSession.sparkContext.broadcast(place)
 
     @F.pandas_udf("array<int>")
     def features(column: pd.Series) -> pd.Series:
         return column.map(lambda t: sorted(sent.value[w] for w in vocabulary(t) if w in sent.value))
 
-    sampled = rows.select("__toxic", features("__text").alias("f")).collect()  # at most 3 x sample rows of at most FEATURES numbers
-    positive = [list(r["f"]) for r in sampled if r["__toxic"]]
-    unlabelled = [list(r["f"]) for r in sampled if not r["__toxic"]]
-    weights, bias = train(positive, unlabelled, len(vocabulary_), prior)
-    return Model(vocabulary_, weights, bias)
+    sampled = rows.select("toxic", features("text").alias("f")).collect()  # at most 3 x sample rows of at most CANDIDATES numbers
+    positive, other = ([list(r["f"]) for r in sampled if r["toxic"] == side] for side in (True, False))
+
+    def certain(k: int, against: float) -> bool:
+        mine = found[k]["p"] / n_p
+        return mine >= LIFT * against and log_tail(found[k]["p"], n_p, min(against, 1 - 1e-9)) < math.log(CHANCE / CANDIDATES)
+
+    whole = [share * r["p"] / n_p + (1 - share) * (r["o"] + 1) / (n_o + 1) for r in found]
+    if prior is None:
+        standing = sorted((k for k in range(len(found)) if certain(k, whole[k])), key=lambda k: (whole[k] / found[k]["p"], k))
+        prior = class_prior([set(f) for f in positive], [set(f) for f in other], standing, share)
+    prior = min(MOST, max(1e-4, prior))
+    negatives = [max(1 / (n_o + 1), (whole[k] - prior * r["p"] / n_p) / (1 - prior)) for k, r in enumerate(found)]
+    taken = [k for k in range(len(found)) if certain(k, negatives[k])]
+    taken = sorted(taken, key=lambda k: (-found[k]["p"] * math.log(found[k]["p"] / n_p / negatives[k]), k))[:FEATURES]
+    number = {k: i for i, k in enumerate(taken)}
+    own = [[[number[k] for k in f if k in number] for f in side] for side in (positive, other)]
+    weights, bias = train(*own, len(taken), prior, share)
+    return Model([found[k]["word"] for k in taken], weights, bias)
 
 
 def scorer(spark, model: Model):

@@ -73,14 +73,15 @@ def slow_top(rows, queries, k):
 
 def test_exact_top_k(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "BLOCK", 16)
-    monkeypatch.setattr(vector_search, "ANNULUS", 8)
+    monkeypatch.setattr(vector_search, "CELL", 8)
+    monkeypatch.setattr(vector_search, "QUERIES", 3)
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(6, 8))
     rows = [(i, (centres[i % 6] + 0.2 * rng.normal(size=8)).astype(np.float32).tolist()) for i in range(500)]
     rows += [(i, rows[0][1]) for i in range(500, 700)]  # a hot vector
     rows += [(700, None), (800, [None] * 8), (900, [float("nan")] * 8), (1000, [float("inf")] * 8), (1100, [1.0])]
     d = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "1 as score", "2 as rank")
-    got = {tuple(r) for r in vector_search.search(d, d.where("vec_id % 100 = 0"), k=10, pivots=8).collect()}
+    got = {tuple(r) for r in vector_search.search(d, d.where("vec_id % 100 = 0"), k=10).collect()}
     assert got == slow_top(rows, range(0, 1101, 100), 10)
     few = d.where("vec_id < 3")
     assert {tuple(r) for r in vector_search.search(few, few, k=10).collect()} == slow_top(rows[:3], range(3), 10)

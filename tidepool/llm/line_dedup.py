@@ -2,9 +2,9 @@
 
 Two lines are duplicates if their words are equal, or if both have NEAR_WORDS
 words or more and one word added, removed or replaced turns one into the other.
-A line goes if an earlier one (by document id, then by line) is its duplicate;
-lines of fewer than MIN_WORDS words are left alone, unless `letters` is given: then
-those with at least so many letters and digits go if they are equal to an earlier line.
+A line goes if an earlier one (by document id, then by line) is its duplicate. Lines
+with fewer than MIN_WORDS words are left alone, but for those with LETTERS letters and
+digits or more (as in scripts without spaces): they go if they are equal to an earlier one.
 
 1. Equal lines: a hash of the words, and the earliest place of each hash.
 2. Of the distinct lines only those can have a neighbour that share their first or
@@ -16,8 +16,19 @@ those with at least so many letters and digits go if they are equal to an earlie
 4. Each line and its decider are verified by their edit distance; if it holds, all
    places of the line go.
 
-Defined results: null texts stay null; documents with a null id stay as they
-are; rows of one id count as one document; a text all of whose lines go is empty.
+Places of lines that come once are dropped before they are joined; lines and keys that
+come very often meet their deciders by broadcast (shared.spread_join), so no task gets
+all places of one line. Texts without a marked line aren't shuffled.
+
+Lines count as equal by a 64-bit hash of their words: among n distinct lines some two
+share one by chance with probability n^2 / 2^65, which is 3 in 10^5 for 3 x 10^7 lines;
+of 3 x 10^9 lines about one in 10^10 is lost so.
+
+Defined results: null texts stay null; empty ones stay empty; documents with a null id
+stay as they are; rows of one id count as one document, line by line: of rows that
+repeat id and text all stay, as their lines have the same place; a text all of whose
+lines go is empty; texts of any length are taken whole. Columns of docs stay, but one
+called like the result's is replaced.
 """
 
 from __future__ import annotations
@@ -31,9 +42,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.minhash import CACHED, SPREAD, WordHashes
-from tidepool.llm.shared import bounded_batches, mix64, offsets, prefilter, ragged, raw_texts, scratch, slices, tidied
+from tidepool.llm.shared import bounded_batches, marked, mix64, offsets, prefilter, ragged, raw_texts, scratch, slices, spread_join, tidied, unused
 
-MIN_WORDS, NEAR_WORDS, SLICE = 4, 8, 1_000_000
+MIN_WORDS, NEAR_WORDS, LETTERS, SLICE = 4, 8, 20, 1_000_000
 #: The inverse of SPREAD modulo 2^64.
 BACK = np.uint64(pow(int(SPREAD), -1, 1 << 64))
 
@@ -170,9 +181,11 @@ def neighbours(docs: DataFrame, key: str, text: str, distinct: DataFrame) -> Dat
     rows = prefilter(docs.select(docs[key].alias("doc"), docs[text].alias("text")).where("doc is not null and text is not null"), "doc", by_doc)
     rows = scratch(rows.join(by_doc, "doc"), "near-lines")
     keys = rows.mapInArrow(tidied(emit), f"k bigint, role tinyint, h bigint, doc {doc_kind}, line int").withColumn("at", F.struct("doc", "line")).drop("doc", "line")
+    keys = scratch(keys, "variants")
     least = keys.groupBy("k").agg(*(F.min(F.when(F.col("role") == r, F.struct("at", "h"))).alias(f"m{r}") for r in (0, 1, 2)), F.count(F.lit(1)).alias("n"))
+    least = scratch(least.where("n > 1"), "deciders")
     decider = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
-    met = keys.join(least.where("n > 1"), "k").withColumn("d", decider).where("d is not null and d.h <> h and d.at < at")
+    met = spread_join(prefilter(keys, "k", least), least, "k", "n", keys.count()).withColumn("d", decider).where("d is not null and d.h <> h and d.at < at")
     pairs = scratch(met.select("h", F.col("d.h").alias("by")).distinct(), "decided")
     words = rows.mapInArrow(words_of, "h bigint, words array<bigint>").dropDuplicates(["h"])
 
@@ -184,16 +197,18 @@ def neighbours(docs: DataFrame, key: str, text: str, distinct: DataFrame) -> Dat
     return both.where(verified("words", "others")).select("h").distinct()
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", at: str = "line_dedup", letters: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", at: str = "line_dedup", letters: int | None = LETTERS) -> DataFrame:
     """docs with a struct column `at`: the new text, n_lines, n_removed, n_words and n_words_removed. Other columns stay as they are."""
     bounded_batches(docs.sparkSession)
     lines = scratch(line_table(docs, key, text, letters), "lines")
     firsts = lines.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("first"), *(F.max(f"k{i}").alias(f"k{i}") for i in range(4)), F.count(F.lit(1)).alias("n"))
     firsts = scratch(firsts, "distinct")
     near = neighbours(docs, key, text, firsts).withColumn("near", F.lit(True))
-    decided = firsts.select("h", "first", "n").join(near, "h", "left").where("n > 1 or near")
-    gone = lines.select("doc", "line", "h").join(decided, "h").where(F.col("near").isNotNull() | (F.struct("doc", "line") > F.col("first")))
-    listed = scratch(gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("line", "h")).alias("__gone")), "gone")
+    decided = scratch(firsts.select("h", "first", "n").join(near, "h", "left").where("n > 1 or near"), "repeated")
+    places = prefilter(lines.select("doc", "line", "h"), "h", decided)
+    gone = spread_join(places, decided, "h", "n", lines.count()).where(F.col("near").isNotNull() | (F.struct("doc", "line") > F.col("first")))
+    of, marks, hit = (unused(c, docs) for c in ("__doc", "__gone", "__hit"))
+    listed = scratch(gone.groupBy(F.col("doc").alias(of)).agg(F.collect_list(F.struct("line", "h")).alias(marks)), "gone")
 
     @F.pandas_udf("text string, n_lines bigint, n_removed bigint, n_words bigint, n_words_removed bigint")
     def rewritten(column: pd.Series, gone: pd.Series) -> pd.DataFrame:
@@ -219,5 +234,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", at: st
                 cache.clear()
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed", "n_words", "n_words_removed"])
 
-    joined = docs.join(listed, docs[key] == listed["__doc"], "left")
-    return joined.withColumn(at, rewritten(joined[text], joined["__gone"])).drop("__doc", "__gone")
+    # only documents that the filter lets through are dealt out to meet their marks
+    told = marked(docs, key, listed.withColumnRenamed(of, key), hit)
+    touched = told.where(F.col(hit)).join(listed, F.col(key) == F.col(of), "left").select(*docs.columns, marks)
+    others = told.where(~F.col(hit)).select(*docs.columns, F.lit(None).cast(listed.schema[marks].dataType).alias(marks))
+    both = touched.unionByName(others)
+    return both.withColumn(at, rewritten(both[text], both[marks])).drop(marks)

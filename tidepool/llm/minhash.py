@@ -9,16 +9,27 @@
 4. Buckets in which several components are left are compared whole, in blocks of
    rows that meet two by two; a block emits links alone. So no link that bands
    and signatures propose is lost, and what is emitted stays linear in a bucket's size.
+   Each row goes to as many tasks as its bucket has blocks: first with its signature
+   only, then those that have a partner by signature with their sets, in blocks of
+   bounded bytes. For a bucket of m rows that is m^2 / BLOCK signatures.
 5. Components by large-star and small-star.
 
+Buckets, leaders and sets that very many rows share are joined in parts
+(shared.spread_join, shared.salted_join): no task gets all rows of one.
+
 With 32 bands of 4 rows a pair of similarity 0.85 shares no bucket in 6 of 10^11
 cases, one of 0.8 in 5 of 10^8. The signatures, which are looked at before full sets,
 lose a pair that is exactly at the threshold in 4 of 10^10 cases at 0.85 and in 1 of
 10^10 at 0.8. Together: 5 of 10^10 and 5 of 10^8.
 
 Defined results: null and wordless texts have an empty set and stand alone;
-fewer words than a shingle are one shingle; rows of one id are one document;
-rows with a null id stand alone, with a null component, and are kept.
+fewer words than a shingle are one shingle; rows of one id are one document (all of
+them are kept or none, and one that comes with several texts links what each is like);
+rows with a null id stand alone, with a null component, and are kept; the smallest id
+of a component is the one that is kept; texts of any length are taken whole; columns of
+docs other than key and text don't matter.
+
+Shingles are 64-bit hashes: a set of 10^6 has a mix-up within it in 3 of 10^8 cases.
 """
 
 from __future__ import annotations
@@ -33,11 +44,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.components import components
-from tidepool.llm.shared import bounded_batches, mix64, offsets, prefilter, raw_texts, scratch, slices, tidied
+from tidepool.llm.shared import bounded_batches, mix64, offsets, prefilter, raw_texts, salted_join, scratch, slices, spread_join, tidied
 
 WORDS, BANDS, ROWS = 5, 32, 4
-#: Words whose hashes a worker keeps before it starts anew, bytes of text in one go, shingles hashed in one go, and rows of a block.
-CACHED, SLICE, STEP, BLOCK = 300_000, 1_000_000, 1 << 15, 256
+#: Words whose hashes a worker keeps before it starts anew, bytes of text in one go, shingles hashed in one go, rows of a block, and shingles of one.
+CACHED, SLICE, STEP, BLOCK, BLOCK_SHINGLES = 300_000, 1_000_000, 1 << 15, 1024, 1 << 21
 #: Odd; fixed for all runs.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Standard deviations by which a signature may fall short of the threshold.
@@ -148,7 +159,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    met = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("both", both)
+    met = salted_join(pairs.select("a", "b"), left, "a", "b").join(right, "b").withColumn("both", both)
     return met.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct()
 
 
@@ -201,11 +212,11 @@ def whole_buckets(rows: DataFrame, sig: DataFrame, sets: DataFrame | None, perce
                     root[x] = y
         return pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"} if kind == "bigint" else object)
 
-    size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    given = rows.join(size, "bucket").join(sig, "key")
+    given = rows.join(sig, "key")
     given = given if sets is None else given.join(sets, "key")
-    dealt = given.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    weight = F.lit(0) if sets is None else F.sum(F.size("shingles"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(weight / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    dealt = given.join(given.groupBy("bucket").agg(blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meets = meets.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "comp", "sig", *(["shingles"] if sets is not None else []))
     return meets.groupBy("bucket", "low", "high").applyInPandas(met, f"bucket bigint, key {kind}" if sets is None else f"a {kind}, b {kind}")
@@ -218,7 +229,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     kind = docs.schema[key].dataType.simpleString()
     drawn = scratch(sketch(docs, key, text, words, hashes), "sketch")
     known = drawn.where("n > 0 and key is not null")
-    reps = scratch(known.groupBy("d1", "d2").agg(F.min("key").alias("key"), F.min("sig").alias("sig")), "reps")
+    reps = scratch(known.groupBy("d1", "d2").agg(F.min("key").alias("key"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "reps")
 
     # buckets of two or more, without twins of the same members
     cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * rows) + 1, F.lit(4 * rows))))
@@ -226,11 +237,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("leader"), F.sum(F.xxhash64("key") % (1 << 31)).alias("who"), F.bit_xor(F.xxhash64("key")).alias("who2"))
     shared = shared.where("size > 1").groupBy("size", "leader", "who", "who2").agg(F.min("bucket").alias("bucket"))
     shared = scratch(shared.select("bucket", "size", "leader"), "shared")
-    member = scratch(prefilter(banded, "bucket", shared).join(shared, "bucket"), "buckets")
-    sets = scratch(full_sets(docs, key, text, words, scratch(member.select("key").distinct(), "members")), "sets")
+    places = shared.agg(F.sum("size")).first()[0] or 0
+    member = scratch(spread_join(prefilter(banded, "bucket", shared), shared, "bucket", "size", places), "buckets")
+    sets = full_sets(docs, key, text, words, scratch(member.select("key").distinct(), "members"))
+    if not known.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        sets = sets.dropDuplicates(["key", "shingles"])  # rows that repeat id and text
+    sets = scratch(sets, "sets")
 
     # leaders against members, by signature
-    pairs = member.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    pairs = scratch(member.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -241,7 +256,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     least = least_alike(percent, hashes)
     sig = reps.select("key", "sig")
-    near = pairs.join(sig.select(F.col("key").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("key").alias("b"), F.col("sig").alias("sb")), "b")
+    of_a, of_b = (sig.select(F.col("key").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
+    near = salted_join(pairs, of_a, "a", "b").join(of_b, "b")
     near = scratch(near.select("a", "b", alike("sa", "sb").alias("s")).where(F.col("s") >= least), "near")
 
     best = near.groupBy("b").agg(F.max_by("a", F.struct("s", "a")).alias("a"))
@@ -258,14 +274,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     placed = member.where("size > 2 and key <> leader").join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("comp"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
     rest = scratch(placed.join(mixed, "bucket"), "rest")
-    one_sig = sig.dropDuplicates(["key"])
-    likely = scratch(whole_buckets(rest, one_sig, None, percent, hashes, kind).distinct(), "likely")
-    last = scratch(whole_buckets(rest.join(likely, ["bucket", "key"]), one_sig, sets.dropDuplicates(["key"]), percent, hashes, kind).distinct(), "links")
+    likely = scratch(whole_buckets(rest, sig, None, percent, hashes, kind).distinct(), "likely")
+    last = scratch(whole_buckets(rest.join(likely, ["bucket", "key"]), sig, sets, percent, hashes, kind).distinct(), "links")
     if not last.isEmpty():
         found = components(links.union(last))
 
-    of_set = reps.join(found.withColumnRenamed("node", "key"), "key", "left").select("d1", "d2", F.coalesce("root", "key").alias("component_id"))
-    joined = known.select("key", "n", "d1", "d2").join(of_set, ["d1", "d2"]).select("key", "n", "component_id")
+    of_set = reps.join(found.withColumnRenamed("node", "key"), "key", "left").select(F.struct("d1", "d2").alias("d"), "copies", F.coalesce("root", "key").alias("component_id"))
+    joined = spread_join(known.select("key", "n", F.struct("d1", "d2").alias("d")), of_set, "d", "copies", drawn.count()).select("key", "n", "component_id")
     alone = drawn.where("not (n > 0 and key is not null)").select("key", "n", F.col("key").alias("component_id"))
     out = joined.union(alone)
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -46,7 +46,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 with l as (select doc_id, unnest(range(len(string_split(text, chr(10))))) + 1 i, unnest(string_split(text, chr(10))) t from documents),
 w as (select doc_id, i, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w from l),
-s as (select doc_id, i, w, array_to_string(w, ' ') k, len(w) n from w where len(w) >= 4),
+s as (select doc_id, i, w, array_to_string(w, ' ') k, len(w) n from w where len(w) >= 4 or len(w) > 0 and len(regexp_extract_all(t, '[\p{L}\p{N}]')) >= 20),
 f as (select k, any_value(w) w, any_value(n) n, min({'d': doc_id, 'i': i}) p from s group by k),
 v as (select k, p, n, j, array_to_string(list_concat(w[1:j - 1], w[j + 1:]), ' ') x from (select *, unnest(range(1, n + 1)) j from f where n >= 8)),
 g as (select x, j, min(p) p from v group by x, j having count(distinct k) > 1),
@@ -70,6 +70,19 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
+OP6_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) k from w),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.k = b.k and a.doc_id < b.doc_id group by all),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+u as (select a, b from e union select b, a from e),
+r as (select doc_id x, doc_id y from documents union select r.x, u.b from r join u on r.y = u.a),
+c as (select x doc_id, min(y) component_id from r group by x)
+select doc_id, coalesce(n, 0) n_shingles, component_id, doc_id = component_id kept from c left join n using (doc_id)
+"""
+
+
 def op7_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, remainder = read(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5)
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), usable=remainder != 0)
@@ -116,4 +129,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pivot_topk": op9_pivot_topk,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op9_pivot_topk": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_minhash_near_dedup": OP6_SQL, "op9_pivot_topk": OP9_SQL}

@@ -21,12 +21,13 @@ come very often meet their deciders by broadcast (shared.spread_join), so no tas
 all places of one line. Texts without a marked line aren't shuffled.
 
 Lines count as equal by a 64-bit hash of their words: among n distinct lines some two
-share one by chance with probability n^2 / 2^65, which is 3 in 10^5 for 3 x 10^7 lines;
-of 3 x 10^9 lines about one in 10^10 is lost so.
+share one by chance with probability n^2 / 2^65: 3 in 10^5 for 3 x 10^7 lines, one in
+four for 3 x 10^9, of which one line would be lost.
 
 Defined results: null texts stay null; empty ones stay empty; documents with a null id
 stay as they are; rows of one id count as one document, line by line: of rows that
-repeat id and text all stay, as their lines have the same place; a text all of whose
+repeat id and text all stay, as their lines have the same place, and of different
+lines at one place that with the lesser hash is the earlier; a text all of whose
 lines go is empty; texts of any length are taken whole. Columns of docs stay, but one
 called like the result's is replaced.
 """
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.minhash import CACHED, SPREAD, WordHashes
-from tidepool.llm.shared import bounded_batches, marked, mix64, offsets, prefilter, ragged, raw_texts, scratch, slices, spread_join, tidied, unused
+from tidepool.llm.shared import bounded_batches, marked, mix64, offsets, prefilter, ragged, raw_texts, salted_join, scratch, slices, spread_join, tidied, unused
 
 MIN_WORDS, NEAR_WORDS, LETTERS, SLICE = 4, 8, 20, 1_000_000
 #: The inverse of SPREAD modulo 2^64.
@@ -152,49 +153,62 @@ def neighbours(docs: DataFrame, key: str, text: str, distinct: DataFrame) -> Dat
     # lines that share a half with another
     halves = distinct.where("k0 is not null").select("h", "first", F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("k"))
     shared = halves.groupBy("k").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("k")
-    likely = halves.join(shared, "k").select("h", "first").distinct()
-    by_doc = scratch(likely.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list("first.line").alias("lines")), "likely")
+    # numbered in the order of their first places, which the partitions of a sort follow
+    likely = halves.join(shared, "k").select("h", "first").distinct().orderBy("first", "h").select("h", "first", F.monotonically_increasing_id().alias("line"))
+    likely = scratch(likely, "likely")
+    by_doc = scratch(likely.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct("first.line", "h", F.col("line").alias("n"))).alias("lines")), "by-document")
+
+    def found(batch: pa.RecordBatch, a: int, b: int, cache: WordHashes) -> tuple[Lines, np.ndarray]:
+        """The likely lines of some texts and their numbers, -1 for a line of another text with the same id."""
+        told = [{x["line"]: (x["h"], x["n"]) for x in rows} for rows in batch.column(2).slice(a, b - a).to_pylist()]
+        lines = Lines(raw_texts(batch.column(1).slice(a, b - a)), cache, [sorted(t) for t in told])
+        own = [told[d][k] for d, k in zip(lines.owner.tolist(), lines.number.tolist(), strict=True)]
+        h, n = (np.array([x[i] for x in own], np.int64) for i in (0, 1))
+        return lines, np.where(h == lines.full().view(np.int64), n, -1)
+
+    def spans(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+        return slices((n or 0 for n in pa.compute.binary_length(batch.column(1)).to_pylist()), SLICE // 8)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            raws, chosen = raw_texts(batch.column(1)), batch.column(2).to_pylist()
-            for a, b in slices(map(len, raws), SLICE // 8):
-                lines = Lines(raws[a:b], cache, chosen[a:b])
-                h = lines.full()
+            for a, b in spans(batch):
+                lines, n = found(batch, a, b, cache)
                 line, i, v = lines.variants()
                 # 0: same variant at the same word; 1: the variant as a line; 2: the line itself
                 place = mix64(v ^ (i.astype(np.uint64) + np.uint64(1)) * SPREAD)
-                own = np.arange(len(h))
-                of = np.concatenate((line, line, own))
-                k = np.concatenate((place, v, h))
-                role = np.concatenate((np.zeros(len(line)), np.ones(len(line)), np.full(len(h), 2))).astype(np.int8)
-                docs_ = batch.column(0).slice(a, b - a).take(pa.array(lines.owner[of]))
-                yield pa.RecordBatch.from_arrays([signed(k), pa.array(role), signed(h[of]), docs_, pa.array(lines.number[of].astype(np.int32))], ["k", "role", "h", "doc", "line"])
+                k = np.concatenate((place, v, lines.full()))
+                role = np.concatenate((np.zeros(len(line)), np.ones(len(line)), np.full(len(n), 2))).astype(np.int8)
+                of = np.concatenate((n[line], n[line], n))
+                some = of >= 0
+                yield pa.RecordBatch.from_arrays([signed(k[some]), pa.array(role[some]), pa.array(of[some])], ["k", "role", "line"])
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            lines = Lines(raw_texts(batch.column(1)), cache, batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([signed(lines.full()), pa.ListArray.from_arrays(pa.array(lines.at.astype(np.int32)), signed(lines.words))], ["h", "words"])
+            for a, b in spans(batch):
+                lines, n = found(batch, a, b, cache)
+                words = pa.ListArray.from_arrays(pa.array(lines.at.astype(np.int32)), signed(lines.words))
+                yield pa.RecordBatch.from_arrays([pa.array(n), words], ["line", "words"]).filter(pa.array(n >= 0))
 
     rows = prefilter(docs.select(docs[key].alias("doc"), docs[text].alias("text")).where("doc is not null and text is not null"), "doc", by_doc)
     rows = scratch(rows.join(by_doc, "doc"), "near-lines")
-    keys = rows.mapInArrow(tidied(emit), f"k bigint, role tinyint, h bigint, doc {doc_kind}, line int").withColumn("at", F.struct("doc", "line")).drop("doc", "line")
-    keys = scratch(keys, "variants")
-    least = keys.groupBy("k").agg(*(F.min(F.when(F.col("role") == r, F.struct("at", "h"))).alias(f"m{r}") for r in (0, 1, 2)), F.count(F.lit(1)).alias("n"))
+    keys = scratch(rows.mapInArrow(tidied(emit), "k bigint, role tinyint, line bigint"), "variants")
+    least = keys.groupBy("k").agg(*(F.min(F.when(F.col("role") == r, F.col("line"))).alias(f"m{r}") for r in (0, 1, 2)), F.count(F.lit(1)).alias("n"))
     least = scratch(least.where("n > 1"), "deciders")
     decider = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
-    met = spread_join(prefilter(keys, "k", least), least, "k", "n", keys.count()).withColumn("d", decider).where("d is not null and d.h <> h and d.at < at")
-    pairs = scratch(met.select("h", F.col("d.h").alias("by")).distinct(), "decided")
-    words = rows.mapInArrow(words_of, "h bigint, words array<bigint>").dropDuplicates(["h"])
+    met = spread_join(prefilter(keys, "k", least), least, "k", "n", keys.count()).withColumn("by", decider).where("by < line")
+    pairs = scratch(met.select("line", "by").distinct(), "decided")
+    words = rows.mapInArrow(tidied(words_of), "line bigint, words array<bigint>").groupBy("line").agg(F.first("words").alias("words"))
+    words = scratch(words, "words")
 
     @F.pandas_udf("boolean")
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([one_edit(np.asarray(x), np.asarray(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    both = pairs.join(words, "h").join(words.select(F.col("h").alias("by"), F.col("words").alias("others")), "by")
-    return both.where(verified("words", "others")).select("h").distinct()
+    both = pairs.join(words, "line")
+    both = salted_join(both, words.select(F.col("line").alias("by"), F.col("words").alias("others")), "by", "line")
+    return both.where(verified("words", "others")).select("line").distinct().join(likely, "line").select("h").distinct()
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", at: str = "line_dedup", letters: int | None = LETTERS) -> DataFrame:

@@ -198,16 +198,18 @@ FILTER_BITS = 1 << 23
 def marked(rows: DataFrame, key: str, wanted: DataFrame, at: str) -> DataFrame:
     """rows with a boolean column: false only if the row's key isn't among wanted.key.
 
-    A bitmap of hashed keys with a fixed number of bits is broadcast. It never
-    misses a wanted key; with very many keys more rows are true than need be.
+    A bitmap of hashed keys with a fixed number of bits is broadcast, as rows of 512
+    numbers of 64 bits. It never misses a wanted key; with very many keys more rows are
+    true than need be.
     """
     of, held = unused("__bucket", rows), unused("__map", rows)
     bit = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
-    maps = wanted.select(F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias(of)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias(held))
-    place = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring(F.col(held), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    met = rows.withColumn(of, F.bitmap_bucket_number(bit)).join(F.broadcast(maps), of, "left")
-    return met.select(*rows.columns, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)).alias(at))
+    words = wanted.select(F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bit") % 64).cast("int"))).alias("bits"))
+    some = F.map_from_entries(F.collect_list(F.struct((F.col("word") % 512).cast("int").alias("k"), F.col("bits").alias("v"))))
+    maps = words.groupBy(F.shiftright("word", 9).alias(of)).agg(some.alias("some")).select(of, F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.coalesce(F.col("some")[i], F.lit(0).cast("bigint"))).alias(held))
+    met = rows.withColumn(of, F.shiftright(bit, 15)).join(F.broadcast(maps), of, "left")
+    word = F.get(F.col(held), F.shiftright(bit, 6).cast("int").bitwiseAND(F.lit(511)))
+    return met.select(*rows.columns, F.coalesce(F.getbit(word, (bit % 64).cast("int")) == 1, F.lit(False)).alias(at))
 
 
 def prefilter(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:

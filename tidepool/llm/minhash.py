@@ -178,7 +178,7 @@ def whole_buckets(rows: DataFrame, sig: DataFrame, sets: DataFrame | None, perce
     least = least_alike(percent, hashes)
     with_sets = sets is not None
 
-    def met(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def met(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         low, high = key[1], key[2]
         sig = np.frombuffer(b"".join(frame["sig"]), "<u4").reshape(len(frame), -1)
         side = frame["block"].to_numpy()
@@ -212,11 +212,16 @@ def whole_buckets(rows: DataFrame, sig: DataFrame, sets: DataFrame | None, perce
                     root[x] = y
         return pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"} if kind == "bigint" else object)
 
-    given = rows.join(sig, "key")
-    given = given if sets is None else given.join(sets, "key")
-    weight = F.lit(0) if sets is None else F.sum(F.size("shingles"))
+    weight = F.lit(0)
+    weighed = rows
+    if with_sets:
+        weight = F.sum("w")
+        weighed = rows.join(sets.groupBy("key").agg(F.max(F.size("shingles")).alias("w")), "key")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(weight / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    dealt = given.join(given.groupBy("bucket").agg(blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    sizes = scratch(weighed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), blocks.alias("blocks")), "sizes")
+    given = spread_join(rows, sizes, "bucket", "size", rows.count()).join(sig, "key")
+    given = given if sets is None else given.join(sets, "key")
+    dealt = given.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meets = meets.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "comp", "sig", *(["shingles"] if sets is not None else []))
     return meets.groupBy("bucket", "low", "high").applyInPandas(met, f"bucket bigint, key {kind}" if sets is None else f"a {kind}, b {kind}")
@@ -275,7 +280,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
     rest = scratch(placed.join(mixed, "bucket"), "rest")
     likely = scratch(whole_buckets(rest, sig, None, percent, hashes, kind).distinct(), "likely")
-    last = scratch(whole_buckets(rest.join(likely, ["bucket", "key"]), sig, sets, percent, hashes, kind).distinct(), "links")
+    pairing = scratch(rest.join(likely, ["bucket", "key"]), "pairing")
+    last = scratch(whole_buckets(pairing, sig, sets, percent, hashes, kind).distinct(), "links")
     if not last.isEmpty():
         found = components(links.union(last))
 

@@ -127,7 +127,7 @@ def frequent_pre_tokens(docs: DataFrame, tokenizer: str, text: str = "text", siz
         best = top(Counter({names[x]: c for x, c in counts.items()}), size)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([[w for w, _ in best]], pa.list_(pa.string())), pa.array([[c for _, c in best]], pa.list_(pa.int64()))], ["task", "words", "counts"])
 
-    def merged(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def merged(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         best = top(total(zip(frame["words"], frame["counts"], strict=True)), size)
         return pd.DataFrame({"task": [key[0]], "words": [[w for w, _ in best]], "counts": [[c for _, c in best]]})
 

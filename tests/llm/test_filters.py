@@ -61,7 +61,8 @@ def test_toxicity(spark):
 
 
 def test_non_negative_risk_separates():
-    w, b = toxicity.train([[0], [0, 1], [0]], [[1], [1], [0], [], [1], []], 2, 0.3, 0.1)
+    positive, other = ([np.array(r, np.int32) for r in side] for side in ([[0], [0, 1], [0]], [[1], [1], [0], [], [1], []]))
+    w, b = toxicity.train(positive, other, 2, 0.3, 0.1)
     assert b + w[0] > 0 > b + w[1]
 
 

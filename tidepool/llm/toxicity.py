@@ -40,7 +40,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.shared import bounded_batches, scratch, sigmoid
+from tidepool.llm.shared import bounded_batches, scratch, sigmoid, tidy
 
 SAMPLE, FEATURES, STEPS, RATE, RIDGE = 3000, 1024, 1500, 0.05, 1e-5
 #: A word takes part if so many positives have it, with so many times the others' share, and if chance would bring any
@@ -75,11 +75,11 @@ def log_tail(k: int, n: int, share: float) -> float:
     return -n * (seen * math.log(seen / share) + rest)
 
 
-def train(positive: list[list[int]], other: list[list[int]], n: int, prior: float, share: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
+def train(positive: list[np.ndarray], other: list[np.ndarray], n: int, prior: float, share: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk (sigmoid loss, Adam). share: of the positives in the whole."""
 
-    def flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, int]:
-        return np.array([f for r in rows for f in r], np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows)
+    def flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+        return np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows)
 
     w, b = np.zeros(n), math.log(prior / (1 - prior))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
@@ -104,11 +104,12 @@ def train(positive: list[list[int]], other: list[list[int]], n: int, prior: floa
     return w, float(b)
 
 
-def class_prior(positive: list[set[int]], other: list[set[int]], order: list[int], share: float) -> float:
-    """The share of toxic texts in the whole. order: the words, those that stand out most first."""
-    place = {w: k for k, w in enumerate(order)}
+def class_prior(positive: list[np.ndarray], other: list[np.ndarray], order: list[int], n: int, share: float) -> float:
+    """The share of toxic texts in the whole. order: the words, of n, that stand out, most first."""
+    place = np.full(n, len(order))
+    place[order] = np.arange(len(order))
     # the first word of the order that a text has: it has one of the k first if that is below k
-    first = [np.sort([min((place[w] for w in row if w in place), default=len(order)) for row in rows]) for rows in (positive, other)]
+    first = [np.sort([place[row].min(initial=len(order)) for row in rows]) for rows in (positive, other)]
     best = MOST
     for k in range(1, len(order) + 1):
         p, o = (np.searchsorted(f, k) / len(f) for f in first)
@@ -150,12 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     place = {r["word"]: k for k, r in enumerate(found)}
     sent = docs.sparkSession.sparkContext.broadcast(place)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def features(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: sorted(sent.value[w] for w in vocabulary(t) if w in sent.value))
+        return column.map(lambda t: np.array(sorted(sent.value[w] for w in vocabulary(t) if w in sent.value), "<i4").tobytes())
 
     sampled = rows.select("toxic", features("text").alias("f")).collect()  # at most 3 x sample rows of at most CANDIDATES numbers
-    positive, other = ([list(r["f"]) for r in sampled if r["toxic"] == side] for side in (True, False))
+    positive, other = ([np.frombuffer(r["f"], "<i4") for r in sampled if r["toxic"] == side] for side in (True, False))
+    del sampled
 
     def certain(k: int, against: float) -> bool:
         mine = found[k]["p"] / n_p
@@ -164,15 +166,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     whole = [share * r["p"] / n_p + (1 - share) * (r["o"] + 1) / (n_o + 1) for r in found]
     if prior is None:
         standing = sorted((k for k in range(len(found)) if certain(k, whole[k])), key=lambda k: (whole[k] / found[k]["p"], k))
-        prior = class_prior([set(f) for f in positive], [set(f) for f in other], standing, share)
+        prior = class_prior(positive, other, standing, len(found), share)
     prior = min(MOST, max(1e-4, prior))
     negatives = [max(1 / (n_o + 1), (whole[k] - prior * r["p"] / n_p) / (1 - prior)) for k, r in enumerate(found)]
     taken = [k for k in range(len(found)) if certain(k, negatives[k])]
     taken = sorted(taken, key=lambda k: (-found[k]["p"] * math.log(found[k]["p"] / n_p / negatives[k]), k))[:FEATURES]
-    number = {k: i for i, k in enumerate(taken)}
-    own = [[[number[k] for k in f if k in number] for f in side] for side in (positive, other)]
+    number = np.full(len(found), -1)
+    number[taken] = np.arange(len(taken))
+    own = [[number[f][number[f] >= 0] for f in side] for side in (positive, other)]
     weights, bias = train(*own, len(taken), prior, share)
-    return Model([found[k]["word"] for k in taken], weights, bias)
+    model = Model([found[k]["word"] for k in taken], weights, bias)
+    del found, place, positive, other, own
+    tidy()
+    return model
 
 
 def scorer(spark, model: Model):

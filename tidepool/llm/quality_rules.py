@@ -30,6 +30,7 @@ called like the result's is replaced.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -151,46 +152,42 @@ def merged(good: dict[int, int], share: float, failure: float) -> dict[int, int]
     return {s: g[0] for g in groups for s in g}
 
 
-def rejected_at(m, sequence: Sequence) -> Column:
-    """The first step of a sequence that rejects a text; null if none does."""
+def step_of(hits: Callable[[str, float], Column], of: Column, sequences: dict[int, Sequence]) -> Column:
+    """The first step that rejects a text in its group's sequence; null if none does. hits: whether a rule's cutoff rejects it; of: its group."""
     out = F.lit(None).cast("int")
-    for k, (rule, cutoff) in reversed(list(enumerate(sequence))):
-        out = F.when(value(m, rule) > cutoff, k).otherwise(out)
+    for g, sequence in sorted(sequences.items()):
+        first = F.lit(None).cast("int")
+        for k, (rule, cutoff) in reversed(list(enumerate(sequence))):
+            first = F.when(hits(rule, cutoff), k).otherwise(first)
+        out = F.when(of == g, first).otherwise(out)
     return out
 
 
-def step_of(m, sequences: dict[int, Sequence], groups: dict[int, int]) -> Column:
-    """rejected_at() by the sequence of the text's stratum."""
-    out = F.lit(None).cast("int")
-    for s, g in sorted(groups.items()):
-        if sequences.get(g):
-            out = F.when(stratum(m) == s, rejected_at(m, sequences[g])).otherwise(out)
-    return out
+def level(m, rule: str) -> Column:
+    """How many of a rule's cutoffs lie below a text's measure: the strictest ones."""
+    return F.size(F.filter(F.array(*map(F.lit, CUTOFFS)), lambda c: value(m, rule) > c)).cast("tinyint")
 
 
-def group_of(m, groups: dict[int, int]) -> Column:
-    out = F.lit(None).cast("int")
-    for s, g in sorted(groups.items()):
-        out = F.when(stratum(m) == s, g).otherwise(out)
-    return out
+def by_level(rule: str, cutoff: float) -> Column:
+    return F.col(rule) >= len(CUTOFFS) - CUTOFFS.index(cutoff)
 
 
-def propose(rows: DataFrame, groups: dict[int, int], ratio: float) -> dict[int, Sequence]:
-    """A sequence of cutoffs for each group, from counts of the rows that it hasn't rejected yet; a job for each step."""
-    m, found = F.struct(*MEASURES), {g: [] for g in groups.values()}
-    of = group_of(m, groups)
-    above = [F.sum((value(m, r) > c).cast("long")).alias(f"{r}_{k}") for r in RULES for k, c in enumerate(CUTOFFS)]
+def propose(rows: DataFrame, groups: set[int], ratio: float) -> dict[int, Sequence]:
+    """A sequence of cutoffs for each group, from counts of the rows that it hasn't rejected yet; a small job for each step. rows: group, label, and each rule's level."""
+    found: dict[int, Sequence] = {g: [] for g in groups}
     going, total = set(found), {}
+    told = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in RULES)))
     for _ in range(STEPS):
-        left = rows.where(step_of(m, found, groups).isNull()).groupBy(of.alias("g"), "label").agg(F.count(F.lit(1)).alias("n"), *above)
-        counts = {(r["g"], r["label"]): r for r in left.collect()}  # two rows for each group
-        total = total or {k: r["n"] for k, r in counts.items()}
+        left = rows.where(step_of(by_level, F.col("group"), found).isNull())
+        hits: dict[tuple, np.ndarray] = {}
+        for r in left.select("group", "label", told.alias("at")).groupBy("group", "label", "at.rule", "at.level").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each group, label, rule and level
+            hits.setdefault((r["group"], r["label"], r["rule"]), np.zeros(len(CUTOFFS) + 1, np.int64))[len(CUTOFFS) - r["level"] :] += r["n"]
+        total = total or {(g, label): int(n[-1]) for (g, label, _), n in hits.items()}
         for g in sorted(going):
-            good, bad = counts.get((g, 1)), counts.get((g, 0))
             best = None
             for rule in RULES:
                 for k, cutoff in enumerate(CUTOFFS):
-                    hit, lost = (bad[f"{rule}_{k}"] if bad else 0), (good[f"{rule}_{k}"] if good else 0)
+                    hit, lost = (int(hits[g, label, rule][k]) if (g, label, rule) in hits else 0 for label in (0, 1))
                     if hit and hit * total.get((g, 1), 0) >= ratio * (lost + 1) * total[g, 0]:
                         worth = (hit / (lost + 1), -k)
                         best = max(best, (worth, rule, cutoff)) if best else (worth, rule, cutoff)
@@ -232,17 +229,20 @@ def cutoffs(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "
     ids = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("id")).agg(F.min(label).cast("int").alias("label"))
     ids = scratch(ids, "labels")
     some = prefilter(docs.select(docs[key].alias("id"), docs[text].alias("text")), "id", ids)
-    rows = some.select("id", measures("text").alias("m")).where(~base_failed(F.col("m"))).join(ids, "id")
-    rows = scratch(rows.select("m.*", "label", (F.pmod(F.xxhash64("id"), F.lit(PROPOSING)) == 0).alias("proposes")), "measured")
-    proposing, testing, m = rows.where("proposes"), rows.where("not proposes"), F.struct(*MEASURES)
-    good = {r["s"]: r["n"] for r in testing.where("label = 1").groupBy(stratum(m).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    m = F.col("m")
+    rows = some.select("id", measures("text").alias("m")).where(~base_failed(m)).join(ids, "id")
+    rows = rows.select(stratum(m).alias("stratum"), "label", (F.pmod(F.xxhash64("id"), F.lit(PROPOSING)) == 0).alias("proposes"), *(level(m, r).alias(r) for r in RULES))
+    rows = scratch(rows, "measured")
+    good = {r["stratum"]: r["n"] for r in rows.where("not proposes and label = 1").groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
     groups = merged(good, max_false, failure)
-    sequences = propose(proposing, groups, ratio)
-    first = testing.where("label = 1").groupBy(group_of(m, groups).alias("g"), step_of(m, sequences, groups).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    of = F.create_map(*(F.lit(x) for pair in sorted(groups.items()) for x in pair))[F.col("stratum")]
+    rows = rows.withColumn("group", of)
+    sequences = propose(rows.where("proposes"), set(groups.values()), ratio)
+    first = rows.where("not proposes and label = 1").groupBy("group", step_of(by_level, F.col("group"), sequences).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     steps = {g: [0] * len(s) for g, s in sequences.items()}
     for r in first.collect():  # a row for each group and step
         if r["k"] is not None:
-            steps[r["g"]][r["k"]] = r["n"]
+            steps[r["group"]][r["k"]] = r["n"]
     sizes = {g: sum(good.get(s, 0) for s, h in groups.items() if h == g) for g in sequences}
     held = tested(steps, sizes, max_false, failure)
     return {s: sequences[g][: held[g]] for s, g in groups.items()}
@@ -250,7 +250,7 @@ def cutoffs(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "
 
 def verdict(m, chosen: dict[int, Sequence]) -> Column:
     """Whether a text's measures pass the base rule and the chosen cutoffs."""
-    return ~base_failed(m) & step_of(m, chosen, {s: s for s in chosen}).isNull()
+    return ~base_failed(m) & step_of(lambda rule, cutoff: value(m, rule) > cutoff, stratum(m), chosen).isNull()
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", at: str = "quality_rules", chosen: dict[int, Sequence] | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.bpe import SLICE, ByteLevelEncoder, merge_table
-from tidepool.llm.shared import bounded_batches, offsets, ragged, scratch, slices, texts, tidied
+from tidepool.llm.shared import bounded_batches, offsets, ragged, scratch, slices, texts, tidied, tidy
 
 CAPACITY, END_ID = 1024, 2
 #: Updates of a fit, fits of a plan, and repairs with each share.
@@ -271,6 +271,7 @@ def pack(
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
         histogram[r["length"]] = r["n"]
     sent = spark.sparkContext.broadcast(slots(plan(histogram)))
+    tidy()
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:

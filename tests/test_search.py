@@ -7,25 +7,98 @@ from tidepool.sources import files
 
 
 def test_parse():
-    q = fts.parse("how to authenticate JWT")
-    assert q.words == ("authenticate", "JWT") and str(q.primary).startswith("NEAR(") and " OR " in str(q.fallback)
-    assert fts.parse('find "bearer token" auth').words == ("find", "bearer token", "auth")
-    both = str(fts.parse("auth", ("Bearer", "token")).primary)
-    assert " AND " in both and '"Bearer"' in both and '"token"' in both
-    assert fts.parse("how to").words == ("how", "to")
-    assert fts.parse("authenticate？ JWT！").words == ("authenticate", "JWT")
+    q = fts.parse("how to rotate certificates")
+    assert q.words == ("rotate", "certificates") and str(q.primary).startswith("NEAR(") and " OR " in str(q.fallback)
+    assert fts.parse('list "open ports" host').words == ("list", "open ports", "host")
+    both = str(fts.parse("backup", ("Daily", "cron")).primary)
+    assert " AND " in both and '"Daily"' in both and '"cron"' in both
+    assert fts.parse("what is").words == ("what", "is")
+    assert fts.parse("«rotate» (keys)…").words == ("rotate", "keys")
+    assert str(fts.parse("o'clock").primary) == '"o clock"'
 
 
-def test_match_and_ladder(spark):
+def test_stopwords(spark):
+    words = fts.stopwords()
+    assert {"the", "nicht", "avec", "porque", "comment", "vs"} <= words and len(words) > 800
+    assert fts.parse("warum schedulers fail", stopwords=words).words == ("warum", "schedulers", "fail")[1 if "warum" in words else 0 :]
+
+
+@pytest.mark.parametrize("kept", [False, True])
+def test_match_and_ladder(spark, tmp_path, kept):
     rows = [(1, "alpha beta gamma"), (2, "alpha x x x x x x beta"), (3, "beta beta"), (4, "naïve ALPHA beta"), (5, None)]
     c = spark.createDataFrame(rows, "chunk_id int, text string")
-    i = fts.tokenized(c)
+    i = fts.index(c)
+    if kept:
+        fts.store(i, str(tmp_path))
+        i = fts.load(spark, str(tmp_path))
     near = fts.Near((fts.phrase("alpha"), fts.phrase("beta")), 5)
     assert {r.chunk_id for r in fts.bm25(i, near).collect()} == {1, 4}
     assert {r.chunk_id for r in fts.bm25(i, fts.phrase("naive alpha")).collect()} == {4}
     assert {r.chunk_id for r in fts.ladder(i, c, fts.parse("gamma naive"), 5).collect()} == {1, 4}
     assert fts.ladder(i, c, fts.parse(""), 5).collect() == []
     assert [r.chunk_id for r in fts.like(c, ("beta",), 2).collect()] == [3, 1]
+    assert [r.chunk_id for r in fts.search(i, c.where("chunk_id > 1"), fts.phrase("alpha"), 5, partial=True).collect()] == [4, 2]
+    assert fts.search(fts.index(c.limit(0)), c.limit(0), fts.phrase("alpha"), 5).collect() == []
+
+
+def test_from_pages_to_packs(spark):
+    """What ingest() returns is searched and packed; pages in error aren't found, addresses that are equal when normalized are one document."""
+    from tidepool.operators import ingest, stored, vector
+    from tidepool.schema import CHUNKS, DOCUMENTS, EMBEDDINGS, SOURCES
+
+    page = lambda head, body: f"<html><body><main><h1>{head}</h1><p>{body}</p></main></body></html>"
+    long = "The scheduler retries a failed upload after a pause that doubles each time, until the limit that the operator has set is reached."
+    rows = [
+        ("https://e.com/docs/retry", page("Retries", long), True), ("https://e.com/docs/retry/", page("Retries", long), True), ("https://e.com/docs/retry#top", None, False),
+        ("https://e.com/docs/limits", page("Limits", long.replace("scheduler", "gateway").replace("upload", "request")), True), ("https://e.com/docs/gone", page("Gone", long), False), ("no address", "x", True),
+    ]
+    empty = {"documents": DOCUMENTS, "chunks": CHUNKS, "embeddings": EMBEDDINGS, "sources": SOURCES}
+    tables = {k: spark.createDataFrame([], v) for k, v in empty.items()}
+    embedder = vector.HashedEmbedder()
+    out = ingest.ingest(ingest.from_pages(spark.createDataFrame(rows, "url string, html string, ok boolean"), "s"), tables, embedder=embedder)
+    told = {r.uri: (r.status, r.error) for r in out["documents"].collect()}
+    assert told == {"https://e.com/docs/retry": ("ok", None), "https://e.com/docs/limits": ("ok", None), "https://e.com/docs/gone": ("error", "no content"), "no address": ("error", "invalid address")}
+    made = stored.index(out)
+    hits = stored.ask(out, made, "scheduler upload", embedder).collect()
+    assert hits[0].uri == "https://e.com/docs/retry" and hits[0].title == "Retries" and {h.uri for h in hits} == {"https://e.com/docs/retry", "https://e.com/docs/limits"}
+    sections = stored.context(out, made, ["scheduler upload", "gateway"], embedder).collect()
+    assert {(r.query, r.uri) for r in sections if r.rank == 1} == {("scheduler upload", "https://e.com/docs/retry"), ("gateway", "https://e.com/docs/limits")}
+    with pytest.raises(ValueError, match="no source"):
+        stored.ask(out, made, "scheduler", sources=["unknown"])
+
+
+def test_openapi_and_errors(spark):
+    from tidepool.operators import ingest
+
+    specs = [("https://e.com/openapi.json", '{"openapi":"3.0.0","info":{"title":"Toys","version":"7"},"paths":{"/toys":{"get":{"summary":"All toys"}}}}'), ("https://e.com/b", "{}"), ("https://e.com/c", None)]
+    got = {r.uri: r for r in ingest.from_openapi(spark.createDataFrame(specs, "url string, body string"), "s").collect()}
+    assert got["https://e.com/openapi.json"].title == "Toys" and "/toys" in got["https://e.com/openapi.json"].markdown
+    assert [got[u].status for u in sorted(got)] == ["error", "error", "ok"] and all(got[u].error for u in ("https://e.com/b", "https://e.com/c"))
+
+
+def test_migrations_and_meta(spark):
+    meta = spark.createDataFrame([], "key string, value string")
+    tables, new = store.migrate({"meta": meta}, [("a", lambda t: t), ("b", lambda t: t | {"x": meta})])
+    assert new == ["a", "b"] and "x" in tables and store.migrate(tables, [("a", lambda t: t), ("b", lambda t: t)])[1] == []
+    assert store.get_meta(store.put_meta(meta, "k", "v"), "k") == "v" and store.get_meta(meta, "k") is None
+
+
+def test_work_is_tagged_while_it_can_be_cancelled(spark):
+    from tidepool.streaming.control import cancellable
+
+    with cancellable(spark, "slow") as cancel:
+        assert "slow" in spark.getTags() and callable(cancel)
+    assert "slow" not in spark.getTags()
+
+
+@pytest.mark.parametrize(
+    ("host", "port", "rules", "out"),
+    [("a.example.com", 443, "*.example.com", True), ("example.com", None, ".example.com", False), ("h", 8080, "x, h:8080", True), ("h", 80, "h:8080", False), ("any", 1, "*", True), ("host", 1, "", False), ("host", 9, "HOST", True)],
+)
+def test_proxy_bypass(host, port, rules, out):
+    from tidepool.config import bypasses_proxy
+
+    assert bypasses_proxy(host, port, rules) is out
 
 
 def test_diversify(spark):

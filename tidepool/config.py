@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, field, fields, is_dataclass
 
 
@@ -99,3 +100,14 @@ def api_base(url: str) -> str:
     url = url.strip().rstrip("/")
     head, sep, rest = url.partition("://")
     return f"{url}/v1" if sep and "/" not in rest and head else url
+
+
+def bypasses_proxy(host: str, port: int | None, rules: str) -> bool:
+    """Whether a list of rules (as in no_proxy) exempts a host: *, a host, host:port, or a domain as .domain or *.domain."""
+    name = host.lower().rstrip(".")
+    for rule in (r.strip().lower() for r in rules.split(",")):
+        plain, _, at = rule.rpartition(":") if re.search(r":\d+$", rule) else (rule, "", "")
+        suffix = plain.removeprefix("*")
+        if rule == "*" or (plain and (not at or at == str(port)) and (name == plain or (suffix.startswith(".") and name.endswith(suffix)))):
+            return True
+    return False

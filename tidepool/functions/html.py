@@ -23,15 +23,22 @@ ADAPTERS = (
     ("readme", r"readme\.io|rm-Markdown", (".rm-Markdown", "article", "main")),
     ("sphinx", r"(?i:sphinx)|wy-nav-content|rst-content", (".rst-content", "[role=main]", "article", "main")),
 )
-MAIN = "article main [role=main] .markdown .md-content .doc-content .documentation .theme-doc-markdown #content .content".split()
+# Where a page's main part may be, in this order.
+MAIN = (
+    "article", "main", "[role=main]", ".markdown", ".md-content", ".doc-content", ".documentation",
+    ".theme-doc-markdown", "#content", ".content",
+)
+# A site's chrome, and chrome within the main part.
 SITE_CHROME = (
-    "header footer nav aside [role=navigation] [role=banner] [role=contentinfo] .sidebar .side-bar .toc .table-of-contents .navbar .nav-bar .footer .header .breadcrumb .breadcrumbs "
-    "#sidebar #toc #navbar #footer #header .mintlify-header"
-).split()
+    "header", "footer", "nav", "aside", "[role=navigation]", "[role=banner]", "[role=contentinfo]", ".sidebar",
+    ".side-bar", ".toc", ".table-of-contents", ".navbar", ".nav-bar", ".footer", ".header", ".breadcrumb",
+    ".breadcrumbs", "#sidebar", "#toc", "#navbar", "#footer", "#header", ".mintlify-header",
+)
 CONTENT_CHROME = (
-    ".headerlink a.anchor .hash-link .anchor-link [aria-hidden=true] button [role=tablist] .pagination-nav .pagination .theme-doc-footer .theme-edit-this-page .md-source .toc-copy "
-    ".copy-button .copybtn [data-testid=page-toc] .on-this-page"
-).split()
+    ".headerlink", "a.anchor", ".hash-link", ".anchor-link", "[aria-hidden=true]", "button", "[role=tablist]",
+    ".pagination-nav", ".pagination", ".theme-doc-footer", ".theme-edit-this-page", ".md-source", ".toc-copy",
+    ".copy-button", ".copybtn", "[data-testid=page-toc]", ".on-this-page",
+)
 DROPPED = {"script", "style", "noscript", "svg", "iframe", "template", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {"p", "div", "section", "article", "main", "ul", "ol", "li", "table", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "figure", "dl", "dt", "dd", "details", "summary", "body", "form", "tr"}

@@ -5,6 +5,7 @@ Lengths count code points. All of it stays inside generated code.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,31 +109,29 @@ def for_dedup(x: Column) -> Column:
 
 
 def near_duplicate(kept: Column, candidate: Column) -> Column:
-    """Whether candidate adds little to kept; a blank side counts as a duplicate."""
-    a, b = for_dedup(kept), for_dedup(candidate)
-    short = F.when(F.length(a) <= F.length(b), a).otherwise(b)
-    long = F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    ratio = F.length(short) / F.length(long)
-    head = F.least(F.lit(240), F.length(short))
-    contained = F.contains(long, short) & (ratio >= 0.82)
-    same_head = (F.substring(short, F.lit(1), head) == F.substring(long, F.lit(1), head)) & (ratio >= 0.75)
-    return F.when((a == "") | (b == ""), True).when(a == b, True).when(F.length(short) < 48, False).otherwise(contained | same_head)
+    """functions.plain.near_duplicate of each pair; null counts as blank. For pairs that a join has proposed."""
+    from tidepool.functions import plain
 
+    @F.pandas_udf("boolean")
+    def same(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([plain.near_duplicate(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=bool)
 
-def is_boilerplate(markdown: Column) -> Column:
-    """Whether a page has no content of its own: no structure, and little or link-heavy text."""
-    flat = strip(F.regexp_replace(markdown, r"\s+", " "))
-    structured = markdown.rlike(r"(?m)^#{1,6}\s+\S") | markdown.rlike(r"(?s)```.*?```") | markdown.rlike(r"(?m)^( {4}|\t)\S") | markdown.rlike(r"(?m)^\|.+\|$")
-    words = F.size(F.split(flat, " "))
-    links = F.regexp_count(markdown, F.lit(r"\[[^\]]+\]"))
-    crowded = links / F.greatest(words / 4, F.lit(1.0)) > 0.6
-    return F.when(flat == "", True).when(structured, False).when(F.length(flat) < 40, True).when(crowded, True).otherwise(F.length(flat) < 80)
+    return same(kept, candidate)
+
+
+#: A heading, a fence, an indented line or a row of a table.
+STRUCTURE = r"(?m)^#{1,6}\s+\S|^(?: {4}|\t)\S|^\|.+\|$|```[\s\S]*?```"
+#: Characters of a page with content of its own, words that count as one, and links for each of those.
+ENOUGH, WORDS_OF_ONE, CROWDED = 80, 4, 0.6
 
 
-def is_weak_heading(x: Column) -> Column:
-    """Whether a heading is left-over code."""
-    h = strip(F.coalesce(x, F.lit("")))
-    return (h == "") | h.rlike(r"[{;]\s*$") | h.rlike(r"^(import|export|from|const|let|var|require)\b") | h.rlike(r"^(describe|context|suite|test|it|specify)\s*\(")
+def is_boilerplate(markdown: Column) -> Column:
+    """Whether a page has no content of its own: no structure, and little or link-heavy text. Null counts as blank."""
+    page = F.coalesce(markdown, F.lit(""))
+    flat = strip(F.regexp_replace(page, r"\s+", " "))
+    words = F.greatest(F.size(F.split(flat, " ")) / WORDS_OF_ONE, F.lit(1.0))
+    links = F.regexp_count(page, F.lit(r"\[[^\]]+\]"))
+    return ~page.rlike(STRUCTURE) & ((F.length(flat) < ENOUGH) | (links > CROWDED * words))
 
 
 def _joined(parts: list[Column], sep: str) -> Column:
@@ -153,13 +152,6 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def section_label(heading: Column, title: Column, path: Column, uri: Column) -> Column:
-    """A heading unless it is code, else the title, the section path, the file's name, or Excerpt."""
-    h, p = clean_heading(heading), clean_heading(path)
-    name = F.try_url_decode(F.regexp_replace(basename(F.regexp_replace(uri, r"[?#].*$", "")), r"\+", "%2B"))
-    return F.coalesce(F.when(~is_weak_heading(h), h), clean_heading(title), F.when(~is_weak_heading(p), p), blank_to_null(name), F.lit("Excerpt"))
-
-
 def file_uri(path: Column) -> Column:
     """file:// URI of an absolute path, with unsafe characters escaped."""
     escaped = F.regexp_replace(F.regexp_replace(F.url_encode(path), "%2F", "/"), r"\+", "%20")

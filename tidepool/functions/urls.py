@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Locale tags that documentation sites use as path segments.
+# Locale tags that documentation sites use as path segments, those of English, and segments that only look like one.
 LOCALES = (
-    "en en-us en-gb en-au en-ca en-nz en-ie zh zh-cn zh-tw zh-hk zh-hans zh-hant ja jp ko kr fr de es pt pt-br pt-pt ru it nl pl tr ar he hi th vi id ms sv da fi no nb nn "
-    "cs sk uk ro hu el bg hr sr sl lt lv et fa bn ta te ca eu gl af sw fil tl"
-).split()
-ENGLISH = "en en-us en-gb en-au en-ca en-nz en-ie".split()
-NOT_LOCALES = "go io js ts md rs py".split()
+    "en", "en-us", "en-gb", "en-au", "en-ca", "en-nz", "en-ie", "zh", "zh-cn", "zh-tw", "zh-hk", "zh-hans",
+    "zh-hant", "ja", "jp", "ko", "kr", "fr", "de", "es", "pt", "pt-br", "pt-pt", "ru", "it", "nl", "pl", "tr", "ar",
+    "he", "hi", "th", "vi", "id", "ms", "sv", "da", "fi", "no", "nb", "nn", "cs", "sk", "uk", "ro", "hu", "el",
+    "bg", "hr", "sr", "sl", "lt", "lv", "et", "fa", "bn", "ta", "te", "ca", "eu", "gl", "af", "sw", "fil", "tl",
+)
+ENGLISH = (
+    "en", "en-us", "en-gb", "en-au", "en-ca", "en-nz", "en-ie",
+)
+NOT_LOCALES = (
+    "go", "io", "js", "ts", "md", "rs", "py",
+)
+# Versions as path segments, and parameters that only track.
 VERSION = r"(?i)^(v?\d+\.\d+(?:\.\d+)?(?:-[a-z0-9.]+)?|latest|stable|master|main)$"
 TRACKING = r"(?i)^(utm_|fbclid|gclid|mc_)"
 SPLIT = r"^(?i:(https?)://)([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -85,7 +92,7 @@ def tag(segment: Column) -> Column:
 
 
 def is_locale(segment: Column) -> Column:
-    return tag(segment).isin(LOCALES) & ~F.split(tag(segment), "-")[0].isin(NOT_LOCALES)
+    return tag(segment).isin(*LOCALES) & ~F.split(tag(segment), "-")[0].isin(*NOT_LOCALES)
 
 
 def strip_version(path: Column) -> tuple[Column, Column]:
@@ -103,7 +110,7 @@ def version_of(url: Column) -> Column:
 def locale_preference(url: Column) -> Column:
     """0 without a locale, 1 for English, 2 for others and invalid URLs."""
     found = strip_locale(normal_path(url))[1]
-    return F.when(~is_url(url), 2).when(found.isNull(), 0).when(tag(found).isin(ENGLISH), 1).otherwise(2)
+    return F.when(~is_url(url), 2).when(found.isNull(), 0).when(tag(found).isin(*ENGLISH), 1).otherwise(2)
 
 
 def _best(urls: DataFrame, key: Column, preference: Column) -> DataFrame:

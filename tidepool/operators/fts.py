@@ -1,20 +1,20 @@
 """Full-text search: query syntax, matching and BM25, as column expressions.
 
-Chunks are tokenized once into arrays. A query becomes a small tree of phrases.
-Each row keeps only the tokens that the query asks for, so what is gathered per
-chunk, matched and scored is small whatever the corpus; the corpus statistics are
-one row.
+Chunks are tokenized once into an index: a row for each occurrence of a term, which
+is written in the order of terms. A query becomes a small tree of phrases; of the
+index it reads the rows of its terms only. What is gathered per chunk, matched and
+scored is small whatever the corpus; the corpus statistics are one row.
 """
 
 from __future__ import annotations
 
-import math
+import functools
 import re
 import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import TOKEN
@@ -22,15 +22,27 @@ from tidepool.functions.text import TOKEN
 # Column weights and BM25 constants.
 FIELDS = {"text": 1.0, "heading": 8.0, "section_path": 2.0, "title": 6.0}
 K1, B, LEAST_IDF, NEAR_GAP = 1.2, 0.75, 1e-6, 5
-#: Function words of several languages; a longer list can be given to parse().
+#: Function words of several languages beyond those of FUNCTION_WORDS.
 STOPWORDS = frozenset(
     (
-        "a an the and or but if then at by for with about into to from up down in out on off over of as it its is am are was were be been have has had do does did not no can will how what "
-        "which who whom this that these those when where why i me my we our you your he him his she her they them their comment le la les un une des du de et ou mais dans sur avec sans pour par "
+        "a an the and or but if then at by for with about into to from up down in out on off over of as it its is am are was were be been have has had do does did does not no can will how what "
+        "which who whom this that these those when where why i me my we our you your he him his she her they them their comment la le les un une des du de et ou mais dans sur avec sans pour par "
         "que qui est sont ce cet cette je tu il elle nous vous ils elles wie was wer der die das ein eine und oder nicht mit ohne von zu zum zur bei nach ich er sie es wir ihr ist sind im "
         "el los las una y o como cuando donde para con sin por del al ser yo e os do da dos em na no com se lo gli di che chi per sono het een van op en vs via etc"
     ).split()
 )
+#: Languages whose function words go, as Spark's own lists have them.
+FUNCTION_WORDS = ("english", "french", "german", "spanish", "portuguese", "italian", "dutch")
+#: Parts that the occurrences of one term are spread over in an index.
+SPREAD = 64
+
+
+@functools.cache
+def stopwords(languages: tuple[str, ...] = FUNCTION_WORDS) -> frozenset[str]:
+    """STOPWORDS and the lists that come with Spark for these languages. Needs a running session."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return STOPWORDS | {w.lower() for name in languages for w in StopWordsRemover.loadDefaultStopWords(name)}
 
 
 def folding() -> tuple[str, str]:
@@ -193,44 +205,81 @@ def _evaluate(node, counter: list[int]) -> tuple[Column, list[Column]]:
     return reduce(join, [m for m, _ in parts]), [s for _, scores in parts for s in scores]
 
 
-def bm25(index: DataFrame, node, key: str = "chunk_id") -> DataFrame:
-    """key and score of every matching row. index: as tokenized() makes it; statistics are of all its rows."""
-    found = leaves(node)
+@dataclass(frozen=True)
+class Index:
+    """rows: key, len (the chunk's tokens), field, pos and term of every occurrence; stats: n (chunks) and average (tokens), in one row."""
+
+    rows: DataFrame
+    stats: DataFrame
+    key: str = "chunk_id"
+
+
+def index(chunks: DataFrame, key: str = "chunk_id") -> Index:
+    """The index of all chunks as a plan; stored() writes it down."""
+    t = tokenized(chunks, key)
     length = reduce(lambda a, b: a + b, [F.size(f"t_{f}") for f in FIELDS])
-    sized = index.select(key, length.cast("double").alias("__len"), *(f"t_{f}" for f in FIELDS))
-    # one token list per row, each token with its column's number in front: positions within a column keep their distances
-    marked = [F.transform(f"t_{f}", lambda w: F.concat(F.lit(mark), w)) for f, mark in zip(FIELDS, "0123", strict=True)]
-    asked = sorted({f"{i}{t}" for p in found for t in p.terms for i in range(len(FIELDS))})
-    rows = sized.select(key, "__len", F.posexplode_outer(F.concat(*marked)).alias("pos", "token")).where(F.col("token").isin(asked))
-    at = {t: F.collect_list(F.when(F.col("token") == t, F.col("pos"))).alias(f"a{n}") for n, t in enumerate(asked)}
-    rows = rows.groupBy(key, "__len").agg(*at.values())
-    names = {t: F.col(f"a{n}") for n, t in enumerate(asked)}
-
-    def starts(p: Phrase, i: int) -> Column:
-        """Start positions of a phrase in a column."""
-        shifted = [F.transform(names[f"{i}{t}"], lambda x: x - k) if k else names[f"{i}{t}"] for k, t in enumerate(p.terms)]
+
+    def spots(n: int, f: str) -> Column:
+        return F.transform(f"t_{f}", lambda w, i: F.struct(F.lit(n).cast("tinyint").alias("field"), i.cast("int").alias("pos"), w.alias("term")))
+
+    rows = t.select(key, length.alias("len"), F.inline(F.concat(*(spots(n, f) for n, f in enumerate(FIELDS)))).alias("field", "pos", "term"))
+    return Index(rows, t.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("average")), key)
+
+
+def store(made: Index, path: str) -> Index:
+    """The index, written in the order of its terms. A term's occurrences are spread over several files, so a very common one is no bottleneck."""
+    dealt = made.rows.repartition("term", F.pmod(F.xxhash64(made.key), F.lit(SPREAD))).sortWithinPartitions("term", made.key)
+    dealt.write.mode("overwrite").parquet(f"{path}/rows")
+    made.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    read = made.rows.sparkSession.read
+    return Index(read.schema(made.rows.schema).parquet(f"{path}/rows"), read.schema(made.stats.schema).parquet(f"{path}/stats"), made.key)
+
+
+def load(spark: SparkSession, path: str, key: str = "chunk_id") -> Index:
+    return Index(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/stats"), key)
+
+
+def bm25(index: Index, node) -> DataFrame:
+    """key and score of every matching chunk; statistics are of all chunks of the index. One plan: document frequencies and corpus statistics are subqueries."""
+    found, key = leaves(node), index.key
+    asked = sorted({t for p in found for t in p.terms})
+    places = [(t, n) for t in asked for n in range(len(FIELDS))]
+    wanted = reduce(lambda a, b: a | b, [F.col("term") == t for t in asked]) if asked else F.lit(False)
+    held = [F.collect_list(F.when((F.col("term") == t) & (F.col("field") == n), F.col("pos"))).alias(f"a{i}") for i, (t, n) in enumerate(places)]
+    rows = index.rows.where(wanted).groupBy(key, "len").agg(F.count(F.lit(1)).alias("__n"), *held)
+    names = {place: F.col(f"a{i}") for i, place in enumerate(places)}
+
+    def starts(p: Phrase, n: int) -> Column:
+        """Start positions of a phrase in a field."""
+        shifted = [F.transform(names[t, n], lambda x: x - k) if k else names[t, n] for k, t in enumerate(p.terms)]
         return reduce(F.array_intersect, shifted) if shifted else F.array().cast("array<int>")
 
-    rows = rows.select(key, "__len", *(starts(p, i).alias(f"o{k}_{f}") for k, p in enumerate(found) for i, f in enumerate(FIELDS)))
+    rows = rows.select(key, "len", *(starts(p, n).alias(f"o{k}_{f}") for k, p in enumerate(found) for n, f in enumerate(FIELDS)))
     match, counts = _evaluate(node, [0])
     has = [reduce(lambda a, b: a | b, [F.size(f"o{k}_{f}") > 0 for f in FIELDS]) for k in range(len(found))]
-    # two rows of statistics reach the driver and come back as constants
-    n, average = sized.agg(F.count(F.lit(1)), F.avg("__len")).first()
-    holding = rows.agg(F.count(F.lit(1)), *(F.count_if(h) for h in has)).first()[1:]
+    holding = rows.agg(F.struct(*(F.count_if(h).alias(f"d{k}") for k, h in enumerate(has))).alias("d")).scalar()
+    corpus = index.stats.select(F.struct("n", "average").alias("c")).scalar()
+    scored = rows.select(key, "len", match.alias("__match"), holding.alias("__d"), corpus.alias("__c"), *(f.cast("double").alias(f"__f{k}") for k, f in enumerate(counts)))
     score = F.lit(0.0)
-    for k, df in enumerate(holding):
-        idf = math.log((n - df + 0.5) / (df + 0.5))
-        f = F.col(f"__f{k}")
-        score = score + F.lit((idf if idf > 0 else LEAST_IDF) * (K1 + 1)) * f / (f + F.lit(K1 * (1 - B)) + F.col("__len") * F.lit(K1 * B / (average or 1.0)))
-    scored = rows.select(key, "__len", match.alias("__match"), *(f.cast("double").alias(f"__f{k}") for k, f in enumerate(counts)))
+    for k in range(len(found)):
+        n, df, f = F.col("__c.n"), F.col(f"__d.d{k}"), F.col(f"__f{k}")
+        idf = F.ln((n - df + 0.5) / (df + 0.5))
+        norm = F.lit(K1 * (1 - B)) + F.col("len") * F.lit(K1 * B) / F.coalesce(F.nullif(F.col("__c.average"), F.lit(0.0)), F.lit(1.0))
+        score = score + F.when(idf > 0, idf).otherwise(LEAST_IDF) * (K1 + 1) * f / (f + norm)
     return scored.where("__match").select(key, score.alias("score"))
 
 
-def search(index: DataFrame, chunks: DataFrame, node, limit: int, where: Column | None = None, key: str = "chunk_id") -> DataFrame:
-    """The best chunks by BM25, all columns of chunks and their score. Filters come after the match; statistics stay the corpus's."""
-    hits = bm25(index, node, key).join(chunks, key)
-    hits = hits if where is None else hits.where(where)
-    return hits.orderBy(F.desc("score"), key).limit(limit)
+def search(index: Index, chunks: DataFrame, node, limit: int, where: Column | None = None, partial: bool = False) -> DataFrame:
+    """The best chunks by BM25, all columns of chunks and their score. Filters come after the match; statistics stay the index's.
+
+    partial: chunks may lack some of the index (those of documents that aren't to be
+    found); they count for the statistics and are left out before the best are taken.
+    """
+    hits, key = bm25(index, node), index.key
+    if partial or where is not None:
+        hits = hits.join((chunks if where is None else chunks.where(where)).select(key), key, "left_semi")
+    best = F.broadcast(hits.orderBy(F.desc("score"), key).limit(limit))  # at most `limit` rows
+    return best.join(chunks, key).select(*chunks.columns, "score").orderBy(F.desc("score"), key)
 
 
 def like(chunks: DataFrame, words: tuple[str, ...], limit: int, where: Column | None = None, key: str = "chunk_id") -> DataFrame:
@@ -246,14 +295,14 @@ def like(chunks: DataFrame, words: tuple[str, ...], limit: int, where: Column |
     return best.withColumn("score", 1.0 / F.row_number().over(Window.orderBy("__at", key))).drop("__at")  # at most `limit` rows
 
 
-def ladder(index: DataFrame, chunks: DataFrame, query: Query, limit: int, where: Column | None = None, key: str = "chunk_id", filtered: bool = False) -> DataFrame:
+def ladder(index: Index, chunks: DataFrame, query: Query, limit: int, where: Column | None = None, filtered: bool = False, partial: bool = False) -> DataFrame:
     """Strict matches; if there are none, loose ones; without any word, what the filters alone let through."""
     if query.primary is None:
-        return like(chunks, query.words, limit, where, key) if filtered else chunks.limit(0).withColumn("score", F.lit(0.0))
-    strict = search(index, chunks, query.primary, limit, where, key)
+        return like(chunks, query.words, limit, where, index.key) if filtered else chunks.limit(0).withColumn("score", F.lit(0.0))
+    strict = search(index, chunks, query.primary, limit, where, partial)
     if str(query.fallback) == str(query.primary) or not strict.isEmpty():
         return strict
-    return search(index, chunks, query.fallback, limit, where, key)
+    return search(index, chunks, query.fallback, limit, where, partial)
 
 
 def term_stats(index: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -71,11 +71,26 @@ def fuse(text_hits: DataFrame, vector_hits: DataFrame | None, chunks: DataFrame,
     return best.orderBy(*order).limit(settings.top_k)
 
 
-def hybrid(index: DataFrame, chunks: DataFrame, embeddings: DataFrame | None, query: str, embedder=None, settings: Retrieval = Retrieval(), where: Column | None = None, keywords: tuple[str, ...] = (), scorer=None, key: str = "chunk_id") -> DataFrame:
-    """Full-text ladder and vector neighbours of a query, fused. Without an embedder only the text counts."""
-    text_hits = fts.ladder(index, chunks, fts.parse(query, keywords), settings.fts_limit, where, key, filtered=where is not None)
+def hybrid(
+    index: fts.Index,
+    chunks: DataFrame,
+    embeddings: DataFrame | None,
+    query: str,
+    embedder=None,
+    settings: Retrieval = Retrieval(),
+    where: Column | None = None,
+    keywords: tuple[str, ...] = (),
+    scorer=None,
+    partial: bool = False,
+    stopwords: frozenset[str] = fts.STOPWORDS,
+) -> DataFrame:
+    """Full-text ladder and vector neighbours of a query, fused. Without an embedder only the text counts. partial: see fts.search."""
+    key = index.key
+    text_hits = fts.ladder(index, chunks, fts.parse(query, keywords, stopwords), settings.fts_limit, where, filtered=where is not None, partial=partial)
     near = None
     if embedder is not None and embeddings is not None:
-        rows = embeddings.join(chunks, key) if where is not None else embeddings
-        near = vector.top_k(rows, embedder.embed_one(query), settings.vector_limit, key, where=where, model_id=embedder.model_id)
+        rows = embeddings
+        if partial or where is not None:
+            rows = rows.join((chunks if where is None else chunks.where(where)).select(key), key, "left_semi")
+        near = vector.top_k(rows, embedder.embed_one(query), settings.vector_limit, key, model_id=embedder.model_id)
     return fuse(text_hits, near, chunks, settings, query, scorer, key)

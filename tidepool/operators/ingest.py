@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.config import Chunking
-from tidepool.functions import chunking, html, text, urls
+from tidepool.functions import chunking, html, openapi, text, urls
 from tidepool.operators import store, vector
 from tidepool.schema import EXTRACTOR_VERSION
+from tidepool.session import written
 
 
 def document_id(source_id: Column, uri: Column) -> Column:
@@ -19,11 +20,19 @@ def chunk_id(document: Column, index: Column, content_hash: Column) -> Column:
     return text.short_id(F.concat_ws(":", document, index.cast("string"), content_hash))
 
 
-def from_pages(pages: DataFrame, source_id: str) -> DataFrame:
-    """Documents with their markdown from fetched pages (url, html, and ok and error if there are any)."""
+def one_per_address(pages: DataFrame) -> DataFrame:
+    """uri, url, html, ok and error: of pages whose normalized addresses are equal one that is well, else the first by its address. An invalid address stays as it is and is an error."""
     ok = F.col("ok") if "ok" in pages.columns else F.lit(True)
     error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
-    rows = pages.select(urls.normalize(F.col("url")).alias("uri"), html.extracted(F.col("html"), F.col("url")).alias("p"), ok.alias("ok"), error.alias("error"))
+    uri = urls.normalize(F.col("url"))
+    rows = pages.select(F.coalesce(uri, F.col("url")).alias("uri"), "url", "html", (ok & uri.isNotNull()).alias("ok"), F.coalesce(error, F.when(uri.isNull(), "invalid address")).alias("error"))
+    best = F.min_by(F.struct("url", "html", "ok", "error"), F.struct((~F.col("ok")).alias("bad"), "url", "html"))
+    return rows.where("uri is not null").groupBy("uri").agg(best.alias("p")).select("uri", "p.*")
+
+
+def from_pages(pages: DataFrame, source_id: str) -> DataFrame:
+    """Documents with their markdown from fetched pages (url, html, and ok and error if there are any), one for each normalized address."""
+    rows = one_per_address(pages).select("uri", html.extracted(F.col("html"), F.col("url")).alias("p"), "ok", "error")
     thin = text.is_boilerplate(F.col("p.markdown"))
     status = F.when(F.col("ok") & ~thin, "ok").otherwise("error")
     markdown = F.when(status == "ok", F.col("p.markdown"))
@@ -41,6 +50,25 @@ def from_pages(pages: DataFrame, source_id: str) -> DataFrame:
     )
 
 
+def from_openapi(specs: DataFrame, source_id: str) -> DataFrame:
+    """One document for each fetched OpenAPI description (url, body); what isn't one is an error."""
+    rows = specs.select(F.coalesce(urls.normalize(F.col("url")), F.col("url")).alias("uri"), openapi.converted(F.col("body")).alias("o")).where("uri is not null")
+    ok = F.col("o.error").isNull() & (F.trim(F.coalesce("o.markdown", F.lit(""))) != "")
+    markdown = F.when(ok, text.clean_markdown(F.col("o.markdown")))
+    meta = F.to_json(F.struct(F.lit(EXTRACTOR_VERSION).alias("extractor_version"), F.lit("openapi").alias("adapter"), F.col("o.version").alias("api_version")))
+    return rows.select(
+        document_id(F.lit(source_id), F.col("uri")).alias("id"),
+        F.lit(source_id).alias("source_id"),
+        "uri",
+        F.when(ok, text.normalize_title(F.col("o.title"))).alias("title"),
+        F.sha2(markdown, 256).alias("content_hash"),
+        F.when(ok, "ok").otherwise("error").alias("status"),
+        F.when(~ok, F.coalesce("o.error", F.lit("no content"))).alias("error"),
+        meta.alias("meta_json"),
+        markdown.alias("markdown"),
+    )
+
+
 def from_files(files: DataFrame, source_id: str) -> DataFrame:
     """Documents from files (uri, content); code stays as it is, text is cleaned."""
     clean = F.when(chunking.is_code(F.col("uri")), F.col("content")).otherwise(text.clean_markdown(F.col("content")))
@@ -77,16 +105,18 @@ def ingest(new: DataFrame, tables: dict[str, DataFrame], recreate: bool = False,
     """The tables after new documents (of from_pages or from_files) have come in, and `report`.
 
     Unchanged documents are skipped; the chunks and embeddings of the others are
-    replaced; an error removes a document's chunks and stays as its status.
+    replaced; an error removes a document's chunks and stays as its status. The new
+    documents and their chunks are written to the shared folder once, and all that is
+    returned follows from those.
     """
     marked = unchanged(new, tables["documents"])
-    marked = marked.withColumn("skip", F.lit(False)) if recreate else marked
+    marked = written(marked.withColumn("skip", F.lit(False)) if recreate else marked, "documents")
     work = marked.where(~F.col("skip"))
     now = F.current_timestamp()
     rows = work.withColumn("extracted_path", F.lit(None).cast("string")).withColumn("created_at", now).withColumn("updated_at", now)
     documents = store.upsert_documents(tables["documents"], rows.select(*tables["documents"].columns))
     chunks, embeddings = store.delete_chunks(tables["chunks"], tables["embeddings"], work)
-    fresh = chunk_rows(work, settings)
+    fresh = written(chunk_rows(work, settings), "chunks")
     if embedder is not None:
         body = text.embed_text(F.col("title"), F.coalesce("section_path", "heading"), F.col("text"))
         embeddings = embeddings.unionByName(vector.embed_chunks(fresh.withColumnRenamed("id", "chunk_id"), embedder, body))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +123,33 @@ def keep_dims(embeddings: DataFrame, dims: int) -> DataFrame:
     return embeddings.where((F.col("dims") == dims) & (F.size("embedding") == dims))
 
 
+def upsert_embeddings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old with new's rows in place of those of their chunks."""
+    return replace(old, new.select(*old.columns), "chunk_id")
+
+
+def ensure_dims(embeddings: DataFrame, meta: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
+    """The embeddings that have the embedder's dimensions, and the meta table that says so; nothing changes if it says so already."""
+    if get_meta(meta, "vector_dims") == str(dims):
+        return embeddings, meta
+    return keep_dims(embeddings, dims), put_meta(meta, "vector_dims", str(dims))
+
+
+def get_meta(meta: DataFrame, key: str) -> str | None:
+    row = meta.where(F.col("key") == key).select("value").first()
+    return row["value"] if row else None
+
+
+def migrate(tables: dict[str, DataFrame], steps: list[tuple[str, Callable[[dict[str, DataFrame]], dict[str, DataFrame]]]]) -> tuple[dict[str, DataFrame], list[str]]:
+    """The tables after all steps that their meta table hasn't registered, in order, and those steps' names."""
+    done = {r["key"] for r in tables["meta"].where(F.col("key").startswith("migration:")).collect()}  # a row for each step
+    new = [(name, step) for name, step in steps if f"migration:{name}" not in done]
+    for name, step in new:
+        tables = step(tables)
+        tables = tables | {"meta": put_meta(tables["meta"], f"migration:{name}", "done")}
+    return tables, [name for name, _ in new]
+
+
 def put_meta(meta: DataFrame, key: str, value: str) -> DataFrame:
     return replace(meta, meta.sparkSession.createDataFrame([(key, value)], "key string, value string"), "key")
 

@@ -117,9 +117,10 @@ def boilerplate_gate(spark, sf_dir):
 
 
 def page_title_lang(spark, sf_dir):
-    """The pages' language, adapter and whether a heading gave the title, from the extraction."""
-    p = table(spark, sf_dir, "pages").select("page_id", html.extracted(F.col("html"), F.col("url")).alias("p"))
-    return p.select("page_id", "p.lang", "p.adapter")
+    """The pages' title, language and canonical link, from the extraction."""
+    linked = F.replace("html", F.lit("<head>"), F.concat(F.lit('<head><link rel="canonical" href="https://ex.com/'), F.col("page_id").cast("string"), F.lit('">')))
+    p = table(spark, sf_dir, "pages").select("page_id", html.extracted(linked, F.col("url")).alias("p"))
+    return p.select("page_id", "p.title", "p.lang", "p.canonical")
 
 
 def html_to_markdown(spark, sf_dir):
@@ -127,8 +128,16 @@ def html_to_markdown(spark, sf_dir):
     return p.select("page_id", "p.*")
 
 
+#: What a page's head says of the generator, by page number.
+GENERATORS = ("", "Mintlify", "GitBook 3", "docusaurus v2", "https://x.readme.io", "Sphinx 7")
+
+
 def page_adapter(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html.adapter_name(F.col("html"), F.col("url")).alias("adapter"))
+    """The adapter of pages that name different generators, as a column and as the extraction has it."""
+    name = F.element_at(F.array(*map(F.lit, GENERATORS)), (F.col("page_id") % len(GENERATORS) + 1).cast("int"))
+    told = F.replace("html", F.lit("<head>"), F.concat(F.lit('<head><meta name="generator" content="'), name, F.lit('">')))
+    p = table(spark, sf_dir, "pages").select("page_id", html.adapter_name(told, F.col("url")).alias("adapter"), html.extracted(told, F.col("url")).alias("p"))
+    return p.select("page_id", "adapter", F.col("p.adapter").alias("extracted"))
 
 
 def navigation_links(spark, sf_dir):
@@ -170,11 +179,11 @@ def stale_extractor_count(spark, sf_dir):
 
 
 def upsert_documents(spark, sf_dir):
-    """Even ids are stored; ids divisible by three come anew, some without a title."""
+    """All documents are stored, and all come in again: every third at its address, the others at a new one; some without a title."""
     d = _documents(spark, sf_dir).select("id", "source_id", "uri", "title", "content_hash", "status")
-    old = d.where(F.col("id").cast("long") % 2 == 0)
-    new = d.where(F.col("id").cast("long") % 3 == 0).withColumns({"title": F.when(F.col("id").cast("long") % 4 == 0, F.lit("new")), "status": F.lit("pending"), "id": F.concat(F.lit("n"), "id")})
-    return store.upsert_documents(old, new)
+    i = F.col("id").cast("long")
+    new = d.withColumns({"title": F.when(i % 4 == 0, F.lit("new")), "status": F.lit("pending"), "uri": F.when(i % 3 == 0, F.col("uri")).otherwise(F.concat(F.lit("new://"), "id")), "id": F.concat(F.lit("n"), "id")})
+    return store.upsert_documents(d, new)
 
 
 def prune_documents(spark, sf_dir):
@@ -215,14 +224,35 @@ def hashed_embeddings(spark, sf_dir):
 
 
 def ingest_pages(spark, sf_dir):
-    """All pages into empty tables: the report, and how many documents, chunks and embeddings there are then."""
-    empty = {"documents": spark.createDataFrame([], DOCUMENTS), "chunks": spark.createDataFrame([], CHUNKS), "embeddings": spark.createDataFrame([], EMBEDDINGS)}
-    out = ingest.ingest(ingest.from_pages(table(spark, sf_dir, "pages"), "s"), empty, embedder=vector.HashedEmbedder())
-    return out["report"].select("pages_ok", "pages_failed", "pages_skipped").crossJoin(F.broadcast(vector.coverage(out["chunks"], out["embeddings"])))  # one row each
+    """All pages, each under two spellings of its address, into empty tables: how many come out, and whether all chunks of theirs have embeddings."""
+    p = table(spark, sf_dir, "pages").select("url", "html")
+    out = ingest.ingest(ingest.from_pages(p.union(p.select(F.concat("url", F.lit("#again")), "html")), "s"), _empty(spark), embedder=vector.HashedEmbedder())
+    report = out["report"].select((F.col("pages_ok") + F.col("pages_failed")).alias("pages"), "pages_skipped")
+    chunks = out["chunks"].agg(F.count_distinct("document_id").alias("with_chunks")).crossJoin(F.broadcast(vector.coverage(out["chunks"], out["embeddings"]).select((F.col("chunks") == F.col("embeddings")).alias("embedded"))))  # one row each
+    well = out["documents"].agg(F.count_if(F.col("status") == "ok").alias("well"))
+    both = report.crossJoin(F.broadcast(chunks)).crossJoin(F.broadcast(well))  # one row each
+    return both.select("pages", "pages_skipped", "embedded", (F.col("with_chunks") == F.col("well")).alias("chunked"))
+
+
+def _empty(spark):
+    return {"documents": spark.createDataFrame([], DOCUMENTS), "chunks": spark.createDataFrame([], CHUNKS), "embeddings": spark.createDataFrame([], EMBEDDINGS)}
+
+
+def ingest_again(spark, sf_dir):
+    """All documents as files, taken in twice: the second time all are skipped but those without content and those that have changed."""
+    d = table(spark, sf_dir, "documents")
+    files_ = d.select(F.concat(F.lit("/docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("uri"), F.col("text").alias("content"))
+    first = ingest.ingest(ingest.from_files(files_, "s"), _empty(spark))
+    again = files_.withColumn("content", F.when(F.col("uri").endswith("7.md"), F.concat("content", F.lit(" changed"))).otherwise(F.col("content")))
+    second = ingest.ingest(ingest.from_files(again, "s"), first)
+    return second["report"].select("pages_ok", "pages_failed", "pages_skipped").crossJoin(F.broadcast(second["documents"].agg(F.count(F.lit(1)).alias("documents"))))  # one row each
 
 
 def ingest_status_counts(spark, sf_dir):
-    return _documents(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """The report over documents of which some are skipped, with its first errors."""
+    d = _documents(spark, sf_dir).select("uri", "status", F.concat(F.lit("bad "), "id").alias("error"), (F.col("id").cast("long") % 5 == 0).alias("skip"))
+    errors = F.array_join(F.transform("errors", lambda e: F.concat_ws(" ", e["uri"], e["error"])), "; ")
+    return ingest.report(d).select("pages_ok", "pages_failed", "pages_skipped", errors.alias("errors"))
 
 
 def export_markdown(spark, sf_dir):
@@ -270,7 +300,7 @@ def event_windows(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    url_normalize, url_scope, url_strip_locale, url_dedupe_exact, url_dedupe_locale, url_dedupe_version, content_type_skip, ids_short_hash, clean_chunk_text, clean_heading, redact_secrets, boilerplate_gate,
+    ingest_again, url_normalize, url_scope, url_strip_locale, url_dedupe_exact, url_dedupe_locale, url_dedupe_version, content_type_skip, ids_short_hash, clean_chunk_text, clean_heading, redact_secrets, boilerplate_gate,
     page_title_lang, html_to_markdown, page_adapter, navigation_links, exact_dedup_hash, source_stats, docs_by_source_list, index_counts, stale_extractor_count, upsert_documents, prune_documents, remove_source,
     semi_delete_embeddings, hash_skip, reembed_text, hashed_embeddings, ingest_pages, ingest_status_counts, export_markdown, llms_txt_parse, sitemap_parse, bfs_frontier, openapi_markdown, docs_like_paths, event_windows,
 )}
@@ -299,22 +329,34 @@ t = '' or contains(t, 'html') or starts_with(t, 'text/plain') or starts_with(t,
     "boilerplate_gate": r"""with f as (select doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) flat from documents)
 select doc_id, case when flat = '' then true when regexp_matches(text, '(?m)^#{1,6}\s+\S') or regexp_matches(text, '(?s)```.*?```') or regexp_matches(text, '(?m)^( {4}|\t)\S') or regexp_matches(text, '(?m)^\|.+\|$') then false
 when length(flat) < 40 then true when len(regexp_extract_all(text, '\[[^\]]+\]')) / greatest(len(string_split(flat, ' ')) / 4.0, 1) > 0.6 then true else length(flat) < 80 end boilerplate from f""",
-    "page_title_lang": "select page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) lang, 'generic' adapter from pages",
-    "page_adapter": "select page_id, 'generic' adapter from pages",
+    "page_title_lang": r"""with h as (select page_id, html, replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') t from pages),
+c as (select page_id, html, trim(regexp_replace(regexp_replace(trim(t), '^#{1,6}\s+', ''), '\s+', ' ', 'g')) t from h),
+b as (select page_id, html, trim(regexp_replace(t, '\s*[|–—]\s*[^|–—]{1,40}$', '')) t from c)
+select page_id, case when t = '' then 'Untitled' else trim(regexp_replace(t, '\s+[—–-]\s*(Docs?|Documentation|Manual|Guide)$', '', 'i')) end title, regexp_extract(html, '<html lang="([^"]*)"', 1) lang, 'https://ex.com/' || page_id canonical from b""",
+    "page_adapter": "select page_id, ['generic', 'mintlify', 'gitbook', 'docusaurus', 'readme', 'sphinx'][page_id % 6 + 1] adapter, ['generic', 'mintlify', 'gitbook', 'docusaurus', 'readme', 'sphinx'][page_id % 6 + 1] extracted from pages",
+    "ingest_pages": f"with {PARTS_SQL} select count(distinct normal) pages, 0::bigint pages_skipped, true embedded, true chunked from n",
+    "ingest_again": "select count(*) filter (trim(text) <> '' and doc_id % 10 = 7) pages_ok, count(*) filter (trim(text) = '') pages_failed, count(*) filter (trim(text) <> '' and doc_id % 10 <> 7) pages_skipped, count(*) documents from documents",
+    "hashed_embeddings": "select doc_id, 64::integer dims, case when regexp_matches(text, '\\S') then 1.0::double else 0.0::double end norm from documents",
+    "export_markdown": f"with {DOCS_SQL} select uri, '---' || chr(10) || 'title: \"' || title || '\"' || chr(10) || 'url: \"' || uri || '\"' || chr(10) || '---' || chr(10) || chr(10) || text || chr(10) \"value\" from d join documents using (doc_id) where status = 'ok'",
+    "navigation_links": r"""with h as (select url, list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), 'href="([^"]*)"', 1), lambda x: regexp_extract(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '^[^#]*')) l from pages),
+u as (select url, list_filter(l, lambda x, i: list_position(l, x) = i) l from h),
+x as (select url, unnest(l) href, unnest(range(len(l)))::integer pos from u)
+select url source, pos, lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) || case when href = '/' then '/' else regexp_replace(href, '/$', '') end url from x""",
     "exact_dedup_hash": "select sha256(text) content_hash, min(doc_id) doc_id, count(*) copies from documents group by 1",
     "source_stats": "select source, count(*) documents, sum(n_chars)::bigint chars, count(distinct lang) langs from documents group by 1",
     "docs_by_source_list": f"with {DOCS_SQL} select 'https://' || source_id || '.example.com' root_uri, uri, title, status from d",
     "index_counts": " union all ".join(f"select '{t}' name, count(*) n from {t}" for t in ("documents", "embeddings", "pages", "labels")),
     "stale_extractor_count": f"with {DOCS_SQL} select count(*) filter (status = 'ok' and doc_id % 3 <> 0) stale from d",
-    "upsert_documents": f"""with {DOCS_SQL}, o as (select * from d where doc_id % 2 = 0), n as (select * from d where doc_id % 3 = 0)
-select case when o.id is null then 'n' || n.id else o.id end id, coalesce(o.source_id, n.source_id) source_id, coalesce(o.uri, n.uri) uri,
-case when n.id is not null and n.doc_id % 4 = 0 then 'new' else o.title end title, coalesce(n.content_hash, o.content_hash) content_hash, case when n.id is not null then 'pending' else o.status end status from o full join n on o.uri = n.uri""",
+    "upsert_documents": f"""with {DOCS_SQL}, n as (select 'n' || id id, source_id, case when doc_id % 3 = 0 then uri else 'new://' || id end uri, case when doc_id % 4 = 0 then 'new' end title, content_hash from d)
+select coalesce(d.id, n.id) id, coalesce(d.source_id, n.source_id) source_id, coalesce(d.uri, n.uri) uri, coalesce(n.title, d.title) title, coalesce(n.content_hash, d.content_hash) content_hash, case when n.id is not null then 'pending' else d.status end status
+from d full join n on d.source_id = n.source_id and d.uri = n.uri""",
     "prune_documents": f"with {DOCS_SQL} select id, source_id, uri from d where source_id <> 'src1' or doc_id % 2 = 0",
     "remove_source": "select 'sources' name, count(distinct source) n from documents where source <> 'src2' union all select 'documents', count(*) from documents where source <> 'src2' union all select 'chunks', count(*) from documents where source <> 'src2' union all select 'embeddings', count(*) from embeddings where vec_id not in (select doc_id from documents where source = 'src2')",
     "semi_delete_embeddings": "select vec_id::varchar chunk_id, label from embeddings where vec_id not in (select doc_id from documents where source = 'src3')",
     "hash_skip": "select doc_id::varchar id, doc_id % 7 <> 0 and doc_id % 3 = 0 and doc_id % 5 <> 0 skip from documents",
     "reembed_text": "select doc_id, source || case when doc_id % 2 = 0 then chr(10) || lang else '' end || chr(10) || chr(10) || trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) \"text\" from documents",
-    "ingest_status_counts": f"with {DOCS_SQL} select status, count(*) n from d group by 1",
+    "ingest_status_counts": f"""with {DOCS_SQL} select count(*) filter (status = 'ok' and doc_id % 5 <> 0) pages_ok, count(*) filter (status = 'error' and doc_id % 5 <> 0) pages_failed, count(*) filter (doc_id % 5 = 0) pages_skipped,
+(select string_agg(uri || ' bad ' || id, '; ' order by uri) from (select * from d where status = 'error' and doc_id % 5 <> 0 order by uri limit 5)) errors from d""",
     "llms_txt_parse": "select * from (values (2, 'https://ex.com/start'), (3, 'https://ex.com/bare'), (4, 'https://ex.com/local/page')) v(pos, url)",
     "sitemap_parse": "select url source, 0 pos, url, lower(url) like '%.xml' or lower(url) like '%sitemap%' nested from pages union all select url, 1, 'https://ex.com/more.xml', true from pages",
     "bfs_frontier": "select 'https://ex.com/p' url, 0 depth union all select 'https://ex.com/p/' || i, 1 + floor(log2(i))::integer from range(1, 100) t(i)",

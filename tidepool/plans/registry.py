@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidepool.plans import corpus, retrieval
+from tidepool.plans import corpus, retrieval, tables
 
 FLAGSHIP = "fts_bm25_or"
-QUERIES = retrieval.QUERIES | corpus.QUERIES
-ORACLE_SQL = retrieval.ORACLE_SQL | corpus.ORACLE_SQL
+QUERIES = retrieval.QUERIES | corpus.QUERIES | tables.QUERIES
+ORACLE_SQL = retrieval.ORACLE_SQL | corpus.ORACLE_SQL | tables.ORACLE_SQL

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepool.config import Retrieval
+from tidepool.config import Chunking, Retrieval
 from tidepool.functions import chunking, text
-from tidepool.operators import filters, fts, hybrid, near, pack, vector
+from tidepool.operators import filters, fts, hybrid, near, pack, stored, vector
+from tidepool.session import work_dir
 
 QUERY = '"the and" thanedble eriner'
 TERMS = ("idiot", "thanedble", "reedes", "eauoué", "verschzu")
@@ -27,6 +30,22 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The indexes that this process has written, by application and tables.
+_indexes: dict[tuple[str, str, str], fts.Index] = {}
+
+
+def kept_index(spark: SparkSession, sf_dir: str, name: str, make) -> fts.Index:
+    """The index of these tables in the shared folder, written when first asked for: all queries of a session search one."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _indexes:
+        _indexes[key] = fts.store(make(), f"{work_dir(spark)}/index-{uuid.uuid4().hex}")
+    return _indexes[key]
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> fts.Index:
+    return kept_index(spark, sf_dir, "documents", lambda: fts.index(chunks(spark, sf_dir)))
+
+
 #: The same in SQL; tok is the token list of each searched column.
 CHUNKS_SQL = """
 d as (select doc_id chunk_id, doc_id document_id, source source_id, text, lang heading, source title, 'doc://' || source || '/' || doc_id uri,
@@ -51,7 +70,7 @@ scored as (select chunk_id, {' + '.join(part)} score from c, s, corpus where {('
 TOP_SQL = " select chunk_id, round(score, 6) score from scored order by score desc, chunk_id limit 40"
 
 
-def top(index: DataFrame, all_chunks: DataFrame, node, limit: int = 40) -> DataFrame:
+def top(index: fts.Index, all_chunks: DataFrame, node, limit: int = 40) -> DataFrame:
     return fts.search(index, all_chunks, node, limit).select("chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -61,7 +80,7 @@ def words(*terms: str) -> tuple[fts.Phrase, ...]:
 
 def fts_bm25_or(spark, sf_dir):
     c = chunks(spark, sf_dir)
-    return top(fts.tokenized(c), c, fts.Some(words(*TERMS)))
+    return top(text_index(spark, sf_dir), c, fts.Some(words(*TERMS)))
 
 
 AND = ("thanedble", "eriner", "anea")
@@ -69,18 +88,18 @@ AND = ("thanedble", "eriner", "anea")
 
 def fts_bm25_and(spark, sf_dir):
     c = chunks(spark, sf_dir)
-    return top(fts.tokenized(c), c, fts.Every(words(*AND)))
+    return top(text_index(spark, sf_dir), c, fts.Every(words(*AND)))
 
 
 def fts_keyword_and(spark, sf_dir):
     """The strict form of a one-word query with keywords."""
     c = chunks(spark, sf_dir)
-    return top(fts.tokenized(c), c, fts.parse("thanedble", ("eriner", "anea")).primary)
+    return top(text_index(spark, sf_dir), c, fts.parse("thanedble", ("eriner", "anea")).primary)
 
 
 def fts_phrase(spark, sf_dir):
     c = chunks(spark, sf_dir)
-    return top(fts.tokenized(c), c, fts.phrase("to thanedble the"))
+    return top(text_index(spark, sf_dir), c, fts.phrase("to thanedble the"))
 
 
 def _one_sql(places: str) -> str:
@@ -94,7 +113,7 @@ def fts_near(spark, sf_dir):
     """Rows where two words stand near each other, and how often each does."""
     c = chunks(spark, sf_dir)
     near = fts.Near(words("attion", "eriner"), 5)
-    return top(fts.tokenized(c), c, near)
+    return top(text_index(spark, sf_dir), c, near)
 
 
 NEAR_SQL = f"""with {CHUNKS_SQL},
@@ -109,13 +128,13 @@ scored as (select chunk_id, (case when ln((n - n0 + 0.5) / (n0 + 0.5)) <= 0 then
 def fts_fallback_ladder(spark, sf_dir):
     """Words that never stand together: the loose form answers."""
     c = chunks(spark, sf_dir)
-    return fts.ladder(fts.tokenized(c), c, fts.parse("thanedble verschzu qqqq zzzz"), 40).select("chunk_id", F.round("score", 6).alias("score"))
+    return fts.ladder(text_index(spark, sf_dir), c, fts.parse("thanedble verschzu qqqq zzzz"), 40).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 def fts_filtered(spark, sf_dir):
     c = chunks(spark, sf_dir)
     where = filters.condition(kinds=filters.parse_kinds(["Markdown"]), sources=["src1", "src2", "src3"], keywords=["the"])
-    return fts.search(fts.tokenized(c), c, fts.Some(words(*TERMS)), 40, where).select("chunk_id", F.round("score", 6).alias("score"))
+    return fts.search(text_index(spark, sf_dir), c, fts.Some(words(*TERMS)), 40, where).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 def like_fallback(spark, sf_dir):
@@ -132,7 +151,7 @@ def fts_term_stats(spark, sf_dir):
 
 
 def fts_postings(spark, sf_dir):
-    p = fts.postings(chunks(spark, sf_dir)).where(F.col("term").isin("thanedble", "en", "src1"))
+    p = fts.postings(chunks(spark, sf_dir))
     return p.select("chunk_id", "field", "term", F.size("positions").alias("tf"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("places"))
 
 
@@ -177,7 +196,7 @@ from embeddings {where} order by list_cosine_similarity(embedding::double[], (se
 def _lists(spark, sf_dir):
     c, e = chunks(spark, sf_dir), embeddings(spark, sf_dir)
     near = vector.top_k(e, _probe(e), 40).select("chunk_id", F.round("score", 6).alias("score"))
-    return c, fts.search(fts.tokenized(c), c, fts.Some(words(*TERMS)), 40).select("chunk_id", F.round("score", 6).alias("score")), near
+    return c, fts.search(text_index(spark, sf_dir), c, fts.Some(words(*TERMS)), 40).select("chunk_id", F.round("score", 6).alias("score")), near
 
 
 def rrf_fuse(spark, sf_dir):
@@ -211,32 +230,24 @@ h as (select *, row_number() over (partition by source_id order by o) n from g w
 select chunk_id, source_id, round(score, 9) score from h where n <= 2 order by o limit 12"""
 
 
-def near_duplicate_pairs(spark, sf_dir):
-    """Neighbours by the first 40 characters, and whether the later adds little to the earlier. near_duplicate_all_pairs has all pairs."""
-    d = table(spark, sf_dir, "documents").where("length(text) > 60")
-    rows = d.select("doc_id", "text", F.substring("text", 1, 40).alias("head"))
-    before = Window.partitionBy("head").orderBy("doc_id")
-    pairs = rows.select("doc_id", "text", F.lag("doc_id").over(before).alias("other"), F.lag("text").over(before).alias("kept")).where("other is not null")
-    return pairs.select("other", "doc_id", text.near_duplicate(F.col("kept"), F.col("text")).alias("duplicate"))
-
-
 def near_duplicate_all_pairs(spark, sf_dir):
-    """All near-duplicate pairs of the documents; see operators.near. Tests hold it against brute force."""
+    """All near-duplicate pairs of the documents; see operators.near."""
     return near.all_pairs(table(spark, sf_dir, "documents"))
 
 
-NORM = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
-NEAR_DUPLICATE_SQL = f"""with r as (select doc_id, text, lag(doc_id) over w other, lag(text) over w kept from documents where length(text) > 60 window w as (partition by substr(text, 1, 40) order by doc_id)),
-n as (select other, doc_id, {NORM.format('kept')} a, {NORM.format('text')} b from r where other is not null),
-s as (select *, case when length(a) <= length(b) then a else b end x, case when length(a) <= length(b) then b else a end y from n)
-select other, doc_id, case when a = '' or b = '' or a = b then true when length(x) < 48 then false
-  else (contains(y, x) and length(x) / length(y) >= 0.82) or (substr(x, 1, least(240, length(x))) = substr(y, 1, least(240, length(x))) and length(x) / length(y) >= 0.75) end duplicate from s"""
+#: Class against class, all pairs of like lengths.
+NEAR_ALL_SQL = r"""with r as (select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) t from documents where text is not null),
+c as (select t, min(doc_id) rep from r group by t),
+p as (select a.rep a, b.rep b, case when length(a.t) <= length(b.t) then a.t else b.t end x, case when length(a.t) <= length(b.t) then b.t else a.t end y
+  from c a join c b on a.rep < b.rep and (a.t = '' or b.t = '' or (length(a.t) >= 0.75 * length(b.t) and length(b.t) >= 0.75 * length(a.t))))
+select rep other, doc_id, true equal from r join c using (t) where doc_id <> rep
+union all select a, b, false from p where x = '' or (length(x) >= 48 and ((contains(y, x) and length(x) >= 0.82 * length(y)) or substr(x, 1, least(240, length(x))) = substr(y, 1, least(240, length(x)))))"""
 
 
 def _query_hits(spark, sf_dir):
     """The best full-text hits of several queries, with positions."""
     c = chunks(spark, sf_dir)
-    index, out = fts.tokenized(c), None
+    index, out = text_index(spark, sf_dir), None
     for k, q in enumerate(("thanedble eriner", "idiot moron scum loser", QUERY)):
         hits = fts.search(index, c, fts.parse(q).fallback, 12).withColumn("query_id", F.lit(k))
         out = hits if out is None else out.unionByName(hits)
@@ -261,6 +272,94 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunked(d, "doc_id", "text", "uri")
 
 
+def chunk_cover(spark, sf_dir):
+    """What a document's chunks hold, without overlap and white space: the whole document, in order."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("doc://"), F.col("doc_id").cast("string"), F.lit(".md")).alias("uri"))
+    c = chunking.chunked(d, "doc_id", "text", "uri", Chunking(overlap=0))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "")
+    return c.groupBy("doc_id").agg(F.md5(F.regexp_replace(parts, r"[ \t\n\r\f\x0b]+", "")).alias("held"), (F.max(F.length("text")) <= 512).alias("small"))
+
+
+def chunk_overlap(spark, sf_dir):
+    """Of neighbouring chunks of one kind those that don't begin with the end of the one before."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("doc://"), F.col("doc_id").cast("string"), F.lit(".md")).alias("uri"))
+    before = Window.partitionBy("doc_id").orderBy("chunk_index")
+    c = chunking.chunked(d, "doc_id", "text", "uri").withColumn("end", F.lag(F.expr("trim(both '\n\t ' from right(text, 64))")).over(before)).withColumn("same", F.lag("kind").over(before) == F.col("kind"))
+    return c.where("same and end <> ''").agg(F.count_if(~F.col("text").startswith(F.concat("end", F.lit("\n")))).alias("missing"), F.count_if(F.col("chunk_index") == 0).alias("at_start"))
+
+
+def _tables(spark, sf_dir):
+    """The stored tables as ingest() keeps them: a chunk for each line, every seventh document an error."""
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id").cast("string")
+    documents = d.select(i.alias("id"), F.col("source").alias("source_id"), F.concat(F.lit("doc://"), i).alias("uri"), F.concat(F.lit("Document "), i).alias("title"), F.when(F.col("doc_id") % 7 == 0, "error").otherwise("ok").alias("status"))
+    lines = d.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("chunk_index", "text")).where(F.trim("text") != "")
+    kept = lines.select(
+        F.concat_ws(":", "doc_id", "chunk_index").alias("id"), F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("source_id"), "chunk_index", "text",
+        F.lit(None).cast("string").alias("heading"), F.col("lang").alias("section_path"), F.col("source").alias("title"), F.lit("prose").alias("kind"),
+    )
+    vectors = table(spark, sf_dir, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(":0")).alias("chunk_id"), F.lit("fixture").alias("model_id"), "embedding")
+    return {"sources": d.select(F.col("source").alias("id"), F.concat(F.lit("fixture://"), "source").alias("root_uri")).distinct(), "documents": documents, "chunks": kept, "embeddings": vectors}
+
+
+class Probe:
+    """An embedder that answers with one stored vector."""
+
+    def __init__(self, vector_: list[float]):
+        self.vector, self.dims, self.model_id = vector_, len(vector_), "fixture"
+
+    def embed_one(self, text_: str) -> list[float]:
+        return self.vector
+
+
+ASKED = ("thanedble", "eriner", "anea", "attion")
+
+
+def stored_search(spark, sf_dir):
+    """A query over the stored tables, all its words needed: text and vectors, searchable documents only, their addresses and titles."""
+    tables = _tables(spark, sf_dir)
+    made = kept_index(spark, sf_dir, "lines", lambda: stored.index(tables))
+    hits = stored.ask(tables, made, " ".join(ASKED), Probe(_probe(embeddings(spark, sf_dir))))
+    return hits.select("chunk_id", "document_id", "uri", "title", "kind", F.round("score", 9).alias("score"))
+
+
+def stored_filtered(spark, sf_dir):
+    """The same without vectors, from two sources (by id and by address), for one kind, with a keyword."""
+    tables = _tables(spark, sf_dir)
+    made = kept_index(spark, sf_dir, "lines", lambda: stored.index(tables))
+    hits = stored.ask(tables, made, " ".join(ASKED), settings=Retrieval(max_per_document=0), kinds=["text"], sources=["src1", "fixture://src2"], keywords=("thanedble",))
+    return hits.select("chunk_id", "uri", F.round("score", 9).alias("score"))
+
+
+def stored_pack(spark, sf_dir):
+    """From the stored tables to packs of two queries."""
+    tables = _tables(spark, sf_dir)
+    made = kept_index(spark, sf_dir, "lines", lambda: stored.index(tables))
+    return stored.context(tables, made, [" ".join(ASKED), "thanedble verschzu"], settings=Retrieval(token_budget=300)).withColumn("score", F.round("score", 6))
+
+
+STORED_SQL = """with l as (select doc_id, source, lang, unnest(string_split(text, chr(10))) text, unnest(range(len(string_split(text, chr(10))))) i from documents),
+d as (select doc_id || ':' || i chunk_id, doc_id, source, lang, text, i from l where trim(text) <> ''),
+lens as (select *, regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}]+') t, regexp_extract_all(lower(strip_accents(coalesce(lang, ''))), '[\\p{{L}}\\p{{N}}]+') p, regexp_extract_all(lower(strip_accents(source)), '[\\p{{L}}\\p{{N}}]+') h from d),
+sized as (select *, len(t) + len(p) + len(h) dl from lens), corpus as (select count(*)::double n, avg(dl) avgdl from sized),
+c as (select *, {tf} from sized), s as (select {df} from c),
+scored as (select chunk_id, doc_id, source, text, {score} score from c, s, corpus where {every}),
+a as (select chunk_id, row_number() over (order by score desc, chunk_id) - 1 rank, score from scored where {where} qualify rank < 40)"""
+_TF = ", ".join(f"(len(list_filter(t, lambda x: x = '{w}')) + 2 * len(list_filter(p, lambda x: x = '{w}')) + 6 * len(list_filter(h, lambda x: x = '{w}'))) f{k}" for k, w in enumerate(ASKED))
+_PART = "(case when ln((n - n{0} + 0.5) / (n{0} + 0.5)) <= 0 then 1e-6 else ln((n - n{0} + 0.5) / (n{0} + 0.5)) end) * (f{0} * 2.2) / (f{0} + 1.2 * (0.25 + 0.75 * dl / avgdl))"
+_STORED = {"tf": _TF, "df": ", ".join(f"count(*) filter (f{k} > 0) n{k}" for k in range(4)), "score": " + ".join(_PART.format(k) for k in range(4))}
+_ALL = " and ".join(f"f{k} > 0" for k in range(4))
+STORED_SEARCH_SQL = STORED_SQL.format(**_STORED, every=_ALL, where="doc_id % 7 <> 0") + """,
+v as (select vec_id || ':0' chunk_id, list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings order by vec_id limit 1)) score from embeddings where vec_id || ':0' in (select chunk_id from d where doc_id % 7 <> 0)),
+r as (select chunk_id, rank, 0 list from a union all select chunk_id, row_number() over (order by score desc, chunk_id) - 1 rank, 1 from v qualify rank < 40),
+f as (select chunk_id, sum(1.0::double / (60 + rank + 1)) score, min({'l': list, 'r': rank}) p from r group by chunk_id),
+g as (select f.*, d.doc_id, row_number() over (order by score desc, p.l, p.r, f.chunk_id) o from f join d using (chunk_id)),
+h as (select *, row_number() over (partition by doc_id order by o) n from g where o <= 40)
+select chunk_id, doc_id::varchar document_id, 'doc://' || doc_id uri, 'Document ' || doc_id title, 'prose' kind, round(score, 9) score from h where n <= 2 order by o limit 12"""
+STORED_FILTERED_SQL = STORED_SQL.format(**_STORED, every=f"{_ALL} and contains(lower(text), 'thanedble')", where="doc_id % 7 <> 0 and source in ('src1', 'src2')") + """
+select chunk_id, 'doc://' || split_part(chunk_id, ':', 1) uri, round(1.0::double / (61 + rank), 9) score from a where rank < 12"""
+
+
 def chunk_lines(spark, sf_dir):
     """The simplest chunks: lines with their place."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "text"))
@@ -274,7 +373,7 @@ def token_estimate(spark, sf_dir):
 def rerank_hook(spark, sf_dir):
     """A stand-in scorer that likes short texts."""
     c = chunks(spark, sf_dir)
-    hits = fts.search(fts.tokenized(c), c, fts.Some(words(*TERMS)), 12).withColumn("list", F.lit(0)).withColumn("rank", F.lit(0))
+    hits = fts.search(text_index(spark, sf_dir), c, fts.Some(words(*TERMS)), 12).withColumn("list", F.lit(0)).withColumn("rank", F.lit(0))
     out = hybrid.rerank(hits, "q", lambda q, texts: [1.0 / (1 + len(t)) for t in texts], F.col("text"))
     return out.select("chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("int").alias("rank"))
 
@@ -282,7 +381,7 @@ def rerank_hook(spark, sf_dir):
 OR_SQL = scores_sql(TERMS, False)
 QUERIES = {f.__name__: f for f in (
     fts_bm25_or, fts_bm25_and, fts_keyword_and, fts_phrase, fts_near, fts_fallback_ladder, fts_filtered, like_fallback, fts_tokenize, fts_term_stats, fts_postings, filter_kind_source_keyword,
-    vector_topk_exact, vector_topk_filtered, vector_dims_guard, embedding_coverage, rrf_fuse, diversify_by_document, hybrid_search, near_duplicate_pairs, near_duplicate_all_pairs,
+    vector_topk_exact, vector_topk_filtered, vector_dims_guard, embedding_coverage, rrf_fuse, diversify_by_document, hybrid_search, near_duplicate_all_pairs, stored_search, stored_filtered, stored_pack, chunk_cover, chunk_overlap,
     context_pack, context_pack_markdown, context_pack_json, chunk_documents, chunk_lines, token_estimate, rerank_hook,
 )}
 ORACLE_SQL = {
@@ -297,7 +396,7 @@ ORACLE_SQL = {
     "fts_tokenize": f"with {CHUNKS_SQL} select chunk_id, len(t)::integer n_tokens, array_to_string(t, ' ') tokens from tok",
     "fts_term_stats": f"with {CHUNKS_SQL}, w as (select chunk_id, unnest(list_concat(list_concat(t, h), i)) term from tok) select term, count(distinct chunk_id) df, count(*) cf from w group by term",
     "fts_postings": f"""with {CHUNKS_SQL}, w as (select chunk_id, 'text' field, unnest(t) term, unnest(range(len(t))) pos from tok union all select chunk_id, 'heading', unnest(h), unnest(range(len(h))) from tok
-union all select chunk_id, 'title', unnest(i), unnest(range(len(i))) from tok) select chunk_id, field, term, count(*)::integer tf, string_agg(pos::varchar, ',' order by pos) places from w where term in ('thanedble', 'en', 'src1') group by all""",
+union all select chunk_id, 'title', unnest(i), unnest(range(len(i))) from tok) select chunk_id, field, term, count(*)::integer tf, string_agg(pos::varchar, ',' order by pos) places from w group by all""",
     "filter_kind_source_keyword": f"""with {CHUNKS_SQL} select chunk_id, kind = 'prose' and source_id in ('src1', 'src2') and contains(lower(text), 'the') before_ranking,
 kind in ('prose', 'code') and source_id in ('src1', 'src2') and contains(lower(text), 'the') after_ranking from d""",
     "vector_topk_exact": VECTOR_SQL.format(where=""),
@@ -307,7 +406,11 @@ kind in ('prose', 'code') and source_id in ('src1', 'src2') and contains(lower(t
     "rrf_fuse": f"{OR_SQL}, {RRF_SQL} select chunk_id, round(score, 9) score, p.l::integer list, p.r::integer rank from f",
     "diversify_by_document": "select doc_id chunk_id, source source_id from documents qualify row_number() over (partition by source order by doc_id) <= 2",
     "hybrid_search": HYBRID_SQL,
-    "near_duplicate_pairs": NEAR_DUPLICATE_SQL,
+    "near_duplicate_all_pairs": NEAR_ALL_SQL,
+    "stored_search": STORED_SEARCH_SQL,
+    "stored_filtered": STORED_FILTERED_SQL,
+    "chunk_cover": "select doc_id, md5(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+', '', 'g')) held, true small from documents where trim(text) <> ''",
+    "chunk_overlap": "select 0::bigint missing, 0::bigint at_start",
     "chunk_lines": "with l as (select doc_id, unnest(string_split(text, chr(10))) text, unnest(range(len(string_split(text, chr(10)))))::integer chunk_index from documents) select doc_id, chunk_index, text, sha256(text) content_hash from l where trim(text) <> ''",
     "token_estimate": "select doc_id, ceil(length(text) / 4.0)::integer tokens from documents",
     "rerank_hook": OR_SQL + ", h as (select chunk_id, score from scored order by score desc, chunk_id limit 12) select chunk_id, round(1.0::double / (1 + length(text)), 9) score, (row_number() over (order by 1.0::double / (1 + length(text)) desc, chunk_id) - 1)::integer rank from h join d using (chunk_id)",

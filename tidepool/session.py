@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -16,3 +19,22 @@ DEFAULTS = {
 def session(app: str = "tidepool", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config(map=DEFAULTS | conf)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what spark.checkpoint.dir or the context names. Only a session on one machine may have none (tests); it gets one of its own."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir("/tmp/checkpoints")
+        named = sc.getCheckpointDir()
+    return f"{named.rstrip('/')}/tidepool-{sc.applicationId}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df by way of a table in the shared folder: what it took to make it isn't done again."""
+    at = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -49,6 +49,43 @@ def llms_txt(files: DataFrame, base: str = "url", body: str = "body") -> DataFra
     return found.groupBy("base", "url").agg(F.min("pos").alias("pos")).select("base", "pos", "url")
 
 
+#: Where a site keeps all its documentation as one file, in the order of trial.
+FULL_DUMPS = ("/llms-full.txt", "/docs/llms-full.txt")
+
+
+def llms_full(files: DataFrame, root: str) -> DataFrame:
+    """pos and url of the first full dump that could be fetched (url, ok, body); no row without one."""
+    base = urls.origin(F.lit(root))
+    places = F.array(*(F.concat(base, F.lit(p)) for p in FULL_DUMPS))
+    found = files.select(urls.normalize(F.col("url")).alias("url"), optional_body(F.col("ok"), F.col("body")).alias("body")).where("body is not null")
+    found = found.withColumn("n", F.array_position(places, F.col("url"))).where("n > 0")
+    return found.orderBy("n").limit(1).select(F.lit(0).alias("pos"), "url")
+
+
+def follow(asked: DataFrame, responses: DataFrame, root: str, mode: str = "same-origin", hops: int = 10) -> DataFrame:
+    """url, ok, final, body, content_type and error for each asked url, from stored responses (url, status, location, body, content_type).
+
+    Redirects are followed for so many hops; each must stay in scope. What goes wrong
+    is a row with an error, never an exception.
+    """
+    stored = responses.select(urls.normalize(F.col("url")).alias("at"), "status", "location", "body", "content_type")
+    going = asked.select("url", urls.normalize(F.col("url")).alias("at")).withColumn("seen", F.lit(0))
+    out = None
+    for hop in range(hops + 1):
+        met = going.join(stored, "at", "left")
+        moved = F.col("status").between(300, 399) & F.col("location").isNotNull()
+        to = resolve(F.col("at"), F.col("location"))
+        error = F.when(F.col("at").isNull(), "invalid address").when(~urls.in_scope(F.col("at"), F.lit(root), mode), "out of scope").when(F.col("status").isNull(), "no response").when(moved, "too many redirects")
+        error = error.when(~F.col("status").between(200, 299), F.concat(F.lit("status "), F.col("status").cast("string")))
+        onward = moved & F.coalesce(urls.in_scope(F.col("at"), F.lit(root), mode), F.lit(False)) if hop < hops else F.lit(False)
+        done = met.where(~F.coalesce(onward, F.lit(False))).select("url", error.isNull().alias("ok"), F.col("at").alias("final"), F.when(error.isNull(), F.col("body")).alias("body"), "content_type", error.alias("error"))
+        out = done if out is None else out.unionByName(done)
+        if hop == hops:
+            break
+        going = met.where(F.coalesce(onward, F.lit(False))).select("url", to.alias("at"), F.lit(hop + 1).alias("seen"))
+    return out
+
+
 def sitemap_locations(files: DataFrame, body: str = "body") -> DataFrame:
     """source, pos, url and whether it is another sitemap, for every location of a sitemap."""
     spots = F.posexplode(F.transform(F.regexp_extract_all(body, F.lit(r"(?i)<loc>\s*([^<]+?)\s*</loc>"), F.lit(1)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&"))))

@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import chunking
 
-# What a folder scan leaves out, and where repositories keep documentation.
-IGNORED_FOLDERS = "node_modules .git dist build .next target vendor".split()
-IGNORED_FILES = "package-lock.json yarn.lock bun.lock bun.lockb pnpm-lock.yaml".split()
-IGNORED_ENDS = (".min.js", ".map")
-DOC_FOLDERS = "docs doc documentation guide guides website".split()
+# What a folder scan leaves out (folders, files, endings).
+IGNORED = (
+    "node_modules/", ".git/", "dist/", "build/", ".next/", "target/", "vendor/", "package-lock.json", "yarn.lock", "bun.lock", "bun.lockb", "pnpm-lock.yaml", "*.min.js", "*.map",
+)
+# Where repositories keep documentation.
+DOC_FOLDERS = ("docs", "doc", "documentation", "guide", "guides", "website")
 MOST_CHARS, MOST_BYTES, MOST_FILES = 2_000_000, 1_000_000, 500
 
 
 def wanted(path: Column) -> Column:
     """Whether a folder scan takes a path (relative to its root)."""
-    low = F.lower(path)
-    ignored = path.rlike(r"(^|/)(" + "|".join(map(re.escape, IGNORED_FOLDERS)) + ")/") | path.rlike(r"(^|/)\.")
-    named = path.rlike(r"(^|/)(" + "|".join(map(re.escape, IGNORED_FILES)) + ")$")
-    ends = low.endswith(IGNORED_ENDS[0]) | low.endswith(IGNORED_ENDS[1])
+    folders, ends, names = ([x.strip("/*") for x in IGNORED if mark(x)] for mark in (lambda x: x.endswith("/"), lambda x: x.startswith("*"), lambda x: x[0] != "*" and x[-1] != "/"))
+    some = lambda parts: "(" + "|".join(map(re.escape, parts)) + ")"
+    ignored = path.rlike(rf"(^|/){some(folders)}/|(^|/)\.|(^|/){some(names)}$") | F.lower(path).rlike(f"{some(ends)}$")
     globbed = chunking.extension(path).isin([*chunking.TEXT, *(x for x in chunking.CODE if x != ".zsh")])
-    return ~ignored & ~named & ~ends & globbed
+    return ~ignored & globbed
 
 
 def folder(spark: SparkSession, root: str) -> DataFrame:

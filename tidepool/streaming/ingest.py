@@ -18,8 +18,7 @@ def follow_pages(spark: SparkSession, folder: str, schema: str, source_id: str,
     """
 
     def batch(pages: DataFrame, number: int) -> None:
-        latest = pages.groupBy("url").agg(F.max("html").alias("html"))
-        save(ingest.ingest(ingest.from_pages(latest, source_id), load()), number)
+        save(ingest.ingest(ingest.from_pages(pages, source_id), load()), number)
 
     pages = spark.readStream.schema(schema).parquet(folder)
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.codepoints import LETTER, classes, code_points, pieces
-from tidepool.llm.shared import bounded_batches
+from tidepool.llm.shared import bounded_batches, thinned
 
 PROFILE, OWN, SAMPLE, LANGUAGES = 600, 300, 1000, 512
 #: Characters of a text counted in one go.
@@ -86,9 +86,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     bounded_batches(docs.sparkSession)
     use = F.col(lang).isNotNull() & F.col(key).isNotNull()
     ids = docs.where(use if usable is None else use & usable).groupBy(F.col(key).alias("id")).agg(F.min(lang).alias("lang"))
-    most = F.broadcast(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang"))
+    most = F.broadcast(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES))
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-    chosen = ids.join(most, "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("id", "lang")
+    chosen = ids.join(most, "lang").where(thinned(F.col("id"), F.col("rows"), sample)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("id", "lang")
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # `sample` ids for each language
     rows = rows.groupBy("id", "lang").agg(F.min("text").alias("text"))
 

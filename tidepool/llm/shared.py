@@ -187,6 +187,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def thinned(key, rows, sample: int):
+    """Whether a row may be among `sample` chosen ones of `rows`: about four times as many may, by a hash of their keys. So a choice of the first ones sorts few, however many there are."""
+    return F.pmod(F.xxhash64(F.lit("thinned"), key.cast("string")), F.lit(1 << 30)) < F.lit(4.0 * sample * (1 << 30)) / rows
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 

@@ -40,7 +40,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.shared import bounded_batches, scratch, sigmoid, tidy
+from tidepool.llm.shared import bounded_batches, scratch, sigmoid, thinned, tidy
 
 SAMPLE, FEATURES, STEPS, RATE, RIDGE = 3000, 1024, 1500, 0.05, 1e-5
 #: A word takes part if so many positives have it, with so many times the others' share, and if chance would bring any
@@ -132,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     if len(held) < 2:
         return nothing
     share = held[True] / (held[True] + held[False])
-    chosen = ids.where("toxic").orderBy(order, "id").limit(sample).union(ids.where("not toxic").orderBy(order, "id").limit(2 * sample)).select("id", "toxic")
+    few = {side: ids.where(F.col("toxic") == side).where(thinned(F.col("id"), F.lit(float(held[side])), n)).orderBy(order, "id").limit(n) for side, n in ((True, sample), (False, 2 * sample))}
+    chosen = few[True].union(few[False]).select("id", "toxic")
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # at most 3 x sample ids
     rows = scratch(rows.groupBy("id", "toxic").agg(F.min("text").alias("text")), "sampled")
 

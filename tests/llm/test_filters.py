@@ -3,22 +3,10 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from tests_llm_plain import slow_lines, slow_measures
 from tidepool.llm import compression_quality, langid, line_dedup, quality_rules, toxicity
 
 
-def slow_measures(text):
-    import re
-
-    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    inside = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
-    lines, seen, dup = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)], set(), 0
-    for x in lines:
-        dup += x in seen
-        seen.add(x)
-    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for w in words for c in w), dup, len(inside)
-
-
 def test_measures():
     r = random.Random(5)
     for text in ["", None, " \n ", "é # x", "a a a a", "a b c a b c", *("".join(r.choice("ab #|\n\té\x0b") for _ in range(80)) for _ in range(200))]:
@@ -91,27 +79,6 @@ def test_languages(spark):
     assert langid.Identifier({}).predict("abc") == ("und", 0.0)
 
 
-def slow_lines(rows):
-    """What line_dedup defines, line against line."""
-
-    def near(a, b):
-        if a == b:
-            return True
-        if min(len(a), len(b)) < line_dedup.NEAR_WORDS:
-            return False
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1] <= 1
-
-    lines = [((d, k), x.split()) for d, t in rows if t is not None for k, x in enumerate(t.split("\n")) if len(x.split()) >= line_dedup.MIN_WORDS]
-    gone = {p for p, w in lines if any(q < p and near(v, w) for q, v in lines)}
-    return {d: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in rows}
-
-
 def test_lines(spark):
     r = random.Random(6)
     base = [[r.choice("abcdefghij") * 3 for _ in range(n)] for n in (4, 7, 8, 9, 9, 12, 30) for _ in range(4)]

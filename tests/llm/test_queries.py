@@ -1,0 +1,198 @@
+"""The registered queries and the pipeline on small odd tables, against plain code; and on empty tables."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import corpus_pipeline
+import numpy as np
+import public_tokenizers
+import pytest
+import regex
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tests_llm_plain import slow_groups, slow_lines, slow_measures, slow_top
+from tidepool.llm import langid, packing, quality_rules, queries, toxicity
+
+BYTE, WORD = (Tokenizer.from_file(public_tokenizers.path(x)) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept int, score string, task int"
+
+
+def prose(r, n=60):
+    return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n))
+
+
+def documents():
+    r = random.Random(11)
+    base = [prose(r) for _ in range(40)]
+    texts = [None, "", " \n", "x", "don't <|endoftext|> É", "a b c d", "A  B\tc d", "word " * 3000, "ñ" * 4000]
+    for i in range(160):
+        words = r.choice(base).split()
+        if i % 4 == 0:
+            words[r.randrange(len(words))] = "changed"
+        if i % 9 == 0:
+            words[3:3] = ["vilethorn", "grubnak"]
+        text = " ".join(words) + ("\n" + " ".join(base[0].split()[:12]) if i % 5 == 0 else "")
+        texts.append(text.replace(" ", "### ") if i % 7 == 0 else text)
+    langs = ["xx", "yy", None]
+    return [(i, t, langs[i % 3], f"s{i % 2}", None if t is None else len(t), 1, "a", 3) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    at, rows = str(tmp_path_factory.mktemp("tables")), documents()
+    spark.createDataFrame(rows, DOCUMENTS).repartition(3).write.parquet(f"{at}/documents.parquet")
+    labels = [(i, int("###" not in (t or "")), int("grubnak" in (t or ""))) for i, t, *_ in rows if i % 5] + [(1, 0, 0), (999, 1, 1), (None, 1, 1), (3, None, None)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    rng = np.random.default_rng(3)
+    vectors = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(260)] + [(300, None), (400, [None] * 8)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
+    return at, rows, vectors
+
+
+def result(spark, tables, name):
+    return [r.asDict() for r in queries.QUERIES[name](spark, tables[0]).collect()]
+
+
+def held(rows, m, k):
+    return {i: zlib.crc32(str(i).encode()) % m == k for i, *_ in rows}
+
+
+def test_op1(spark, tables):
+    by_doc, places = {}, {}
+    for p in result(spark, tables, "op1_best_fit_packing"):
+        by_doc.setdefault(p["doc_id"], []).append(p)
+        places.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    histogram = np.zeros(1025, np.int64)
+    for i, t, *_ in tables[1]:
+        ids = np.array([*BYTE.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for n, p in enumerate(sorted(by_doc[i], key=lambda p: p["piece"])):
+            assert (p["piece"], p["start"]) == (n, at) and p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes()) and (p["length"] == 1024 or n == 0)
+            at += p["length"]
+            histogram[p["length"]] += 1
+        assert at == len(ids)
+    for spots in places.values():
+        assert [a for a, _ in sorted(spots)] == np.cumsum([0, *(n for _, n in sorted(spots))])[:-1].tolist() and sum(n for _, n in spots) <= 1024
+    assert len(places) <= packing.sequences(packing.best_fit(histogram))
+
+
+def test_op2(spark, tables):
+    got = {r["doc_id"]: r for r in result(spark, tables, "op2_quality_rules")}
+    docs, labels = (spark.read.parquet(f"{tables[0]}/{x}.parquet") for x in ("documents", "labels"))
+    chosen = quality_rules.cutoffs(docs, labels)
+    for i, t, *_ in tables[1]:
+        m, r = dict(zip(quality_rules.MEASURES, quality_rules.measure(t), strict=True)), got[i]
+        n_words, *_, repeated = slow_measures(t)
+        assert [r[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == list(slow_measures(t))
+        assert r["base_failed"] == (n_words < 50 or 100 * repeated > 50 * n_words)
+        share = {"symbol_share": m["n_symbols"] / max(1, m["word_chars"]), "repeat_share": m["n_repeat_words"] / max(1, n_words), "dup_line_share": m["n_dup_lines"] / max(1, m["n_lines"]), "shout_share": m["n_upper"] / max(1, m["word_chars"]), "long_word": m["word_chars"] / max(1, n_words) / 40}
+        stratum = sum(n_words >= end for end in quality_rules.STRATA)
+        assert r["kept"] == (not r["base_failed"] and not any(share[rule] > cutoff for rule, cutoff in chosen[stratum]))
+
+
+def test_steps_are_tested_in_sequence():
+    # 200 good texts: none lost is safe at 2 % and 5 %, five aren't; a group that is through hands its share on
+    assert quality_rules.tested({0: [0, 0, 5, 0]}, {0: 200}, 0.02, 0.05) == {0: 2}
+    assert quality_rules.tested({0: [0], 1: [0]}, {0: 5000, 1: 160}, 0.02, 0.05) == {0: 1, 1: 1}
+    assert quality_rules.tested({0: [400], 1: [0]}, {0: 5000, 1: 160}, 0.02, 0.05) == {0: 0, 1: 0}
+    assert quality_rules.merged({0: 10, 1: 300, 2: 300, 3: 10}, 0.02, 0.05) == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+@pytest.mark.parametrize(("name", "m", "k"), [("op3_compression_quality", 3, 1), ("op7_pu_toxicity", 5, 0)])
+def test_scores(spark, tables, name, m, k):
+    got = {r["doc_id"]: r for r in result(spark, tables, name)}
+    assert {i: r["held_out"] for i, r in got.items()} == held(tables[1], m, k)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
+    blank = {r["score"] for i, r in got.items() if i in (0, 1)}
+    assert len(blank) == 1
+    if name.startswith("op7"):
+        docs, labels = (spark.read.parquet(f"{tables[0]}/{x}.parquet") for x in ("documents", "labels"))
+        model = toxicity.fit(docs, labels, usable=queries.crc_mod(F.col("doc_id"), 5) != 0)
+        assert all(abs(model.score(t) - got[i]["score"]) < 1e-9 for i, t, *_ in tables[1])
+        assert sum(got[i]["predicted"] == ("grubnak" in (t or "")) for i, t, *_ in tables[1]) >= len(got) - 3
+
+
+def test_op4(spark, tables):
+    got = {r["doc_id"]: r for r in result(spark, tables, "op4_line_dedup")}
+    want = slow_lines([(i, t) for i, t, *_ in tables[1]])
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert all(r["n_words"] - r["n_words_removed"] == len((r["text"] or "").encode().split()) for r in got.values())
+
+
+def test_op5(spark, tables):
+    got = {r["doc_id"]: r for r in result(spark, tables, "op5_bpe_encode_decode")}
+    for i, t, *_ in tables[1]:
+        ids = BYTE.encode(t or "", add_special_tokens=False).ids
+        assert got[i]["n_tokens"] == len(ids) and got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256(BYTE.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_op6(spark, tables):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in result(spark, tables, "op6_minhash_near_dedup")}
+    assert got == slow_groups([(i, t) for i, t, *_ in tables[1]], 85)
+
+
+def test_op8(spark, tables):
+    got = {r["doc_id"]: r for r in result(spark, tables, "op8_token_counts")}
+    for i, t, *_ in tables[1]:
+        n = len(WORD.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 2048)
+
+
+def test_op9(spark, tables):
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in result(spark, tables, "op9_pivot_topk")}
+    assert got == slow_top(tables[2], range(0, 500, 100), 10)
+
+
+def plain_grams(text):
+    seen = Counter()
+    for w in regex.findall(r"\p{L}+", text.lower()):
+        padded = f" {w} "
+        seen.update(g for n in (1, 2, 3) for k in range(len(padded) - n + 1) if (g := padded[k : k + n]) != " ")
+    return seen
+
+
+def test_op10(spark, tables):
+    got = {r["doc_id"]: r for r in result(spark, tables, "op10_language_id")}
+    assert {i: r["held_out"] for i, r in got.items()} == held(tables[1], 4, 2)
+    totals: dict[str, Counter] = {}
+    for i, t, lang, *_ in tables[1]:
+        if lang and t and zlib.crc32(str(i).encode()) % 4 != 2:
+            totals.setdefault(lang, Counter()).update(plain_grams(t))
+    first = lambda seen, n: [g for g, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:n]]
+    profiles = {lang: {g: k for k, g in enumerate(first(seen, langid.PROFILE))} for lang, seen in totals.items()}
+    for i, t, *_ in tables[1]:
+        own = first(plain_grams(t or ""), langid.OWN)
+        far = {lang: sum(abs(ranks[g] - k) if g in ranks else langid.PROFILE for k, g in enumerate(own)) for lang, ranks in sorted(profiles.items())}
+        assert got[i]["lang_pred"] == (min(far, key=far.get) if own else "und") and 0 <= got[i]["score"] <= 1
+
+
+def test_pipeline(spark, tables):
+    docs = corpus_pipeline.read(spark, tables[0], "documents")
+    rows = {r.doc_id: r for r in docs.collect()}
+    model = toxicity.fit(docs, corpus_pipeline.read(spark, tables[0], "labels"))
+    clean = corpus_pipeline.scratch(corpus_pipeline.reject_toxic(spark, docs, tables[0]), "clean")
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, r in rows.items() if model.score(r.text) < 0.5}
+    good = corpus_pipeline.scratch(corpus_pipeline.apply_quality_rules(spark, clean, tables[0]), "good")
+    assert good.columns == docs.columns and all(r.text and len(r.text.split()) >= 50 for r in good.collect())
+    lines = corpus_pipeline.scratch(corpus_pipeline.drop_repeated_lines(spark, good, tables[0]), "lines")
+    want = {i: t for i, t in slow_lines([(r.doc_id, r.text) for r in good.collect()]).items() if t.split()}
+    assert lines.columns == docs.columns and {r.doc_id: r.text for r in lines.collect()} == want
+    near = corpus_pipeline.scratch(corpus_pipeline.drop_near_duplicates(spark, lines, tables[0]), "near")
+    kept = {i for i, (_, _, k) in slow_groups(sorted(want.items()), 80).items() if k}
+    assert near.columns == docs.columns and {r.doc_id for r in near.collect()} == kept
+    packed: dict[int, list] = {}
+    for p in corpus_pipeline.run(spark, tables[0]).collect():
+        packed.setdefault(p.doc_id, []).append(p)
+    assert {i: [x for p in sorted(ps, key=lambda p: p.piece) for x in p.ids] for i, ps in packed.items()} == {i: [*BYTE.encode(want[i], add_special_tokens=False).ids, 2] for i in kept}
+
+
+def test_empty_tables(spark, tables, tmp_path):
+    for name in ("documents", "labels", "embeddings"):
+        spark.read.parquet(f"{tables[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in queries.QUERIES.items():
+        assert query(spark, str(tmp_path)).collect() == [], name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -3,23 +3,10 @@ import random
 import numpy as np
 import pytest
 
+from tests_llm_plain import root_of, slow_groups, slow_top
 from tidepool.llm import components, minhash, vector_search
 
 
-def root_of(n, edges):
-    up = list(range(n))
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for a, b in edges:
-        a, b = find(a), find(b)
-        up[max(a, b)] = min(a, b)
-    return {i: find(i) for i in range(n)}
-
-
 @pytest.mark.parametrize("edges", [[], [(0, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)], [(5, 9), (9, 5), (3, 3), (8, 9), (20, 21)]])
 def test_components(spark, edges):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges or [(1, 1)], "x bigint, y bigint")).collect()}
@@ -27,17 +14,6 @@ def test_components(spark, edges):
     assert all(got.get(i, i) == want[i] for i in range(60))
 
 
-def slow_groups(rows, percent):
-    sets = {}
-    for i, t in rows:
-        w = (t or "").encode().lower().split()
-        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
-    ids = [i for i, _ in rows]
-    edges = [(a, b) for a in ids for b in ids if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
-    root = root_of(max(ids) + 1, edges)
-    return {i: (len(sets[i]), root[i], root[i] == i) for i in ids}
-
-
 @pytest.mark.parametrize("block", [256, 3])
 def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
@@ -61,16 +37,6 @@ def test_near_duplicates_odd_tables(spark):
     assert minhash.near_duplicates(d.limit(0)).count() == 0
 
 
-def slow_top(rows, queries, k):
-    good = {i: np.floor(1024 * np.array(v, float)).astype(np.int64) for i, v in rows if v is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v)}
-    out = set()
-    for q in queries:
-        if q in good:
-            best = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:k]
-            out |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
-    return out
-
-
 def test_exact_top_k(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "BLOCK", 16)
     monkeypatch.setattr(vector_search, "CELL", 8)

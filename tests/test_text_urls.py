@@ -113,3 +113,25 @@ def test_page():
     assert page["title"] == "Disks" and page["adapter"] == "sphinx" and page["lang"] == "de" and page["canonical"] == "https://h.org/disks"
     assert "| Kind | Size | Use |" in page["markdown"] and "| ssd | 2 | |" in page["markdown"] and "```sh\ndf -h\n```" in page["markdown"]
     assert "Next page" not in page["markdown"] and "Permalink" not in page["markdown"] and "Menu" not in page["markdown"]
+
+
+def test_follow_redirects(spark):
+    from tidepool.sources import discovery
+
+    chain = [(f"https://s.org/{i}", 302, f"/{i + 1}", f"hop {i}", "text/html") for i in range(3)]
+    stored = chain + [
+        ("https://s.org/3", 200, None, "end", "text/html"), ("https://s.org/3", 200, None, "later", "text/html"), ("https://s.org/twice", 200, None, "page", "text/html"), ("https://s.org/twice", 301, "/3", None, None),
+        ("https://s.org/loop", 302, "/loop", "", None), ("https://s.org/odd", 302, "mailto:x", None, None), (None, 200, None, "x", None),
+    ]
+    responses = spark.createDataFrame(stored, "url string, status int, location string, body string, content_type string")
+    asked = spark.createDataFrame([(f"https://s.org/{p}",) for p in ("0", "0", "twice", "loop", "odd", "none")] + [(None,), ("https://t.org/0",)], "url string")
+    got = [(r.url, r.ok, r.final, r.body, r.error) for r in discovery.follow(asked, responses, "https://s.org").collect()]
+    at, end = "https://s.org/", ("https://s.org/3", "end", None)
+    want = [(f"{at}{p}", True, *end) for p in ("0", "0", "twice")] + [
+        (f"{at}loop", False, f"{at}loop", None, "too many redirects"), (f"{at}odd", False, None, None, "invalid address"), (f"{at}none", False, f"{at}none", None, "no response"),
+        (None, False, None, None, "invalid address"), ("https://t.org/0", False, "https://t.org/0", None, "out of scope"),
+    ]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    short = discovery.follow(asked.limit(1), responses, "https://s.org", hops=2).first()
+    assert (short.ok, short.final, short.error) == (False, "https://s.org/2", "too many redirects")
+    assert discovery.follow(asked, responses.limit(0), "https://s.org").where("ok").isEmpty()

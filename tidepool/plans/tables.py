@@ -41,9 +41,10 @@ def upsert_sources(spark, sf_dir):
 
 
 def upsert_embeddings(spark, sf_dir):
-    """Every third vector comes again from another model."""
+    """All vectors come again from another model, every third one for the same chunk, the others for new ones."""
     old = _vectors(spark, sf_dir)
-    new = old.where(F.col("chunk_id").cast("long") % 3 == 0).withColumn("model_id", F.lit("new"))
+    of = F.when(F.col("chunk_id").cast("long") % 3 == 0, F.col("chunk_id")).otherwise(F.concat(F.lit("n"), "chunk_id"))
+    new = old.withColumns({"chunk_id": of, "model_id": F.lit("new")})
     return store.upsert_embeddings(old, new).select("chunk_id", "model_id", "dims")
 
 
@@ -174,12 +175,13 @@ def selected_urls(spark, sf_dir):
 
 
 def tree_files(spark, sf_dir):
-    """The documentation files of a made-up repository's listing, and where they can be had."""
+    """The first documentation files of made-up listings, three files for each document, and where they can be had."""
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     folder = F.when(i % 3 == 0, F.lit("docs/")).otherwise(F.lit("src/"))
-    item = F.struct(F.concat(folder, F.lit("f"), i.cast("string"), F.lit(".md")).alias("path"), F.when(i % 5 == 0, F.lit("tree")).otherwise(F.lit("blob")).alias("type"), F.when(i % 7 == 0, F.lit(2_000_000)).otherwise(F.lit(10)).alias("size"))
-    tree = d.where("doc_id < 3000").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct(i.alias("k"), item.alias("v")))), lambda x: x["v"]).alias("tree"))).alias("json"))
+    item = lambda path: F.struct(path.alias("path"), F.when(i % 5 == 0, F.lit("tree")).otherwise(F.lit("blob")).alias("type"), F.when(i % 7 == 0, F.lit(2_000_000)).otherwise(F.lit(10)).alias("size"))
+    both = F.array(item(F.concat(folder, F.lit("f"), i.cast("string"), F.lit(".md"))), item(F.concat(F.lit("guide/g"), i.cast("string"), F.lit(".md"))), item(F.concat(F.lit("docs/h"), i.cast("string"), F.lit(".txt"))))
+    tree = d.select(F.to_json(F.struct(both.alias("tree"))).alias("json"))
     return files.raw_urls(files.tree_listing(tree), "o", "r", "main").select("path", "url")
 
 
@@ -194,8 +196,8 @@ def openapi_documents(spark, sf_dir):
 
 
 def rerank_positions(spark, sf_dir):
-    """A rerank service's answer over the first ten labels; what points nowhere is dropped."""
-    rows = table(spark, sf_dir, "documents").orderBy("doc_id").limit(10).collect()
+    """A rerank service's answer over the ten longest documents; what points nowhere is dropped."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")).orderBy(F.desc_nulls_last("n"), "doc_id").limit(10).collect()
     answer = {"data": [{"document_index": 9 - i, "relevanceScore": i / 10} for i in range(12)]}
     return spark.createDataFrame([(rows[i]["doc_id"], float(s)) for i, s in hybrid.rerank_response(answer, 10)], "doc_id bigint, score double")
 
@@ -220,7 +222,7 @@ QUERIES = {f.__name__: f for f in (
 C_SQL = "c as (select doc_id::varchar id, doc_id, 'd' || (doc_id // 3) document_id, text, case when doc_id % 2 = 0 then lang end heading, case when doc_id % 4 = 0 then '' end title from documents)"
 ORACLE_SQL = {
     "upsert_sources": """with d as (select distinct source s from documents) select s id, 'x://' || s root_uri, upper(s) title, 'ready' status, '{"a":1}' meta_json from d union all select 'n' || s, 'y://' || s, 'new', 'pending', '{}' from d""",
-    "upsert_embeddings": "select vec_id::varchar chunk_id, case when vec_id % 3 = 0 then 'new' else 'old' end model_id, len(embedding)::integer dims from embeddings",
+    "upsert_embeddings": "select vec_id::varchar chunk_id, case when vec_id % 3 = 0 then 'new' else 'old' end model_id, len(embedding)::integer dims from embeddings union all select 'n' || vec_id, 'new', len(embedding)::integer from embeddings where vec_id % 3 <> 0",
     "delete_documents": f"with {C_SQL} select 'chunk' kind, id from c where document_id not like '%0' union all select 'embedding', vec_id::varchar from embeddings where vec_id::varchar not in (select id from c where document_id like '%0')",
     "remove_all": "select unnest(['sources', 'documents', 'chunks', 'embeddings']) name, 0::bigint n, (select count(distinct source) from documents) removed",
     "rebuilt_vectors": "select vec_id::varchar chunk_id, '64' told from embeddings where vec_id % 4 <> 0",
@@ -243,10 +245,12 @@ case n when 2 then 'too many redirects' when 3 then 'out of scope' when 4 then '
     "full_dump": "select 0 pos, 'https://ex.com/docs/llms-full.txt' url",
     "selected_urls": """with p as (select page_id::integer i, page_id // 5 g, page_id % 5 r from pages where page_id % 5 <> 0)
 select min(i) pos, arg_min('https://ex.com/docs/' || case r when 1 then 'fr/' when 2 then 'v1.2/' else '' end || 'p' || g, case r when 1 then 1000 when 2 then 2000 else 0 end + r) url from p group by g order by pos limit 50""",
-    "tree_files": """with t as (select doc_id, 'docs/f' || doc_id || '.md' path from documents where doc_id < 3000 and doc_id % 3 = 0 and doc_id % 5 <> 0 and doc_id % 7 <> 0 order by doc_id limit 500)
+    "tree_files": """with l as (select doc_id, 0 pos, case when doc_id % 3 = 0 then 'docs/' else 'src/' end || 'f' || doc_id || '.md' path from documents
+union all select doc_id, 1, 'guide/g' || doc_id || '.md' from documents union all select doc_id, 2, 'docs/h' || doc_id || '.txt' from documents),
+t as (select path from l where regexp_matches(path, '^(docs|guide)/') and doc_id % 5 <> 0 and doc_id % 7 <> 0 order by pos, path limit 500)
 select path, 'https://raw.githubusercontent.com/o/r/main/' || path url from t""",
     "openapi_documents": """select 'https://ex.com/' || source || '/openapi.json' uri, case when source not like '%0' then source end title, case when source like '%0' then 'error' else 'ok' end status, case when source not like '%0' then count(*)::varchar end version, source not like '%0' in_order
 from documents group by source""",
-    "rerank_positions": "with d as (select doc_id, row_number() over (order by doc_id) - 1 i from documents) select doc_id, (9 - i) / 10.0::double score from d where i < 10",
+    "rerank_positions": "with d as (select doc_id, row_number() over (order by length(text) desc nulls last, doc_id) - 1 i from documents) select doc_id, (9 - i) / 10.0::double score from d where i < 10",
     "ingest_errors": "select '/d/' || doc_id || '.md' uri, case when doc_id % 3 = 0 then 'error' else 'ok' end status, doc_id % 3 <> 0 chunks from documents",
 }

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions import html, urls
+from tidepool.session import written
 
 
 def optional_body(ok: Column, body: Column) -> Column:
@@ -66,24 +67,30 @@ def follow(asked: DataFrame, responses: DataFrame, root: str, mode: str = "same-
     """url, ok, final, body, content_type and error for each asked url, from stored responses (url, status, location, body, content_type).
 
     Redirects are followed for so many hops; each must stay in scope. What goes wrong
-    is a row with an error, never an exception.
+    is a row with an error, never an exception. Of several responses at one address the
+    least counts, redirects first.
+
+    Hops read a table of redirects alone, and only as many as there are; bodies are
+    joined once, to the last addresses.
     """
-    stored = responses.select(urls.normalize(F.col("url")).alias("at"), "status", "location", "body", "content_type")
-    going = asked.select("url", urls.normalize(F.col("url")).alias("at")).withColumn("seen", F.lit(0))
-    out = None
+    moved = F.coalesce(F.col("status").between(300, 399) & F.col("location").isNotNull(), F.lit(False))
+    inside = F.coalesce(urls.in_scope(F.col("at"), F.lit(root), mode), F.lit(False))
+    stored = responses.withColumn("at", urls.normalize(F.col("url"))).where("at is not null")
+    moves = stored.where(moved & inside).groupBy("at").agg(F.min(F.struct("status", "location")).alias("r"))
+    moves = written(moves.select("at", resolve(F.col("at"), F.col("r.location")).alias("to"), F.lit(True).alias("onward")), "redirects")
+    going, last = asked.select("url", urls.normalize(F.col("url")).alias("at")), None
     for hop in range(hops + 1):
-        met = going.join(stored, "at", "left")
-        moved = F.col("status").between(300, 399) & F.col("location").isNotNull()
-        to = resolve(F.col("at"), F.col("location"))
-        error = F.when(F.col("at").isNull(), "invalid address").when(~urls.in_scope(F.col("at"), F.lit(root), mode), "out of scope").when(F.col("status").isNull(), "no response").when(moved, "too many redirects")
-        error = error.when(~F.col("status").between(200, 299), F.concat(F.lit("status "), F.col("status").cast("string")))
-        onward = moved & F.coalesce(urls.in_scope(F.col("at"), F.lit(root), mode), F.lit(False)) if hop < hops else F.lit(False)
-        done = met.where(~F.coalesce(onward, F.lit(False))).select("url", error.isNull().alias("ok"), F.col("at").alias("final"), F.when(error.isNull(), F.col("body")).alias("body"), "content_type", error.alias("error"))
-        out = done if out is None else out.unionByName(done)
-        if hop == hops:
+        met = written(going.join(moves, "at", "left") if hop < hops else going.withColumns({"to": F.lit(None).cast("string"), "onward": F.lit(None).cast("boolean")}), "hop")
+        stays = met.where("onward is null").select("url", "at")
+        last = stays if last is None else last.unionByName(stays)
+        going = met.where("onward").select("url", F.col("to").alias("at"))
+        if hop == hops or going.isEmpty():
             break
-        going = met.where(F.coalesce(onward, F.lit(False))).select("url", to.alias("at"), F.lit(hop + 1).alias("seen"))
-    return out
+    one = stored.groupBy("at").agg(F.min(F.struct((~moved).alias("other"), "status", "location", "body", "content_type")).alias("r")).select("at", "r.*")
+    met = last.join(one, "at", "left")
+    error = F.when(F.col("at").isNull(), "invalid address").when(~inside, "out of scope").when(F.col("status").isNull(), "no response").when(moved, "too many redirects")
+    error = error.when(~F.col("status").between(200, 299), F.concat(F.lit("status "), F.col("status").cast("string")))
+    return met.select("url", error.isNull().alias("ok"), F.col("at").alias("final"), F.when(error.isNull(), F.col("body")).alias("body"), "content_type", error.alias("error"))
 
 
 def sitemap_locations(files: DataFrame, body: str = "body") -> DataFrame:
@@ -125,22 +132,23 @@ def crawl(root: str, edges: DataFrame, most: int = 500) -> DataFrame:
     edges: source, pos, url. Each step joins the frontier with the links and drops
     what was seen; the frontier is cut to what can still be indexed.
     """
-    spark = edges.sparkSession
+    spark, kind = edges.sparkSession, "url string, depth int, pos int"
     low = F.col("url")
-    usable = edges.where(urls.under_root(low, F.lit(root)) & (urls.locale_preference(low) < 2))
-    seen = spark.createDataFrame([(root, 0, 0)], "url string, depth int, pos int").select(urls.normalize(F.col("url")).alias("url"), "depth", "pos")
-    frontier, n, depth = seen, 1, 0
-    while n < most:
+    usable = written(edges.where(urls.under_root(low, F.lit(root)) & (urls.locale_preference(low) < 2)).select("source", "pos", "url"), "edges")
+    first = spark.createDataFrame([(root,)], "url string").select(urls.normalize(F.col("url"))).first()[0]
+    seen = frontier = [(first, 0, 0)]  # at most 2 x most rows
+    depth = 0
+    while len(seen) < most:
         depth += 1
-        step = usable.join(F.broadcast(frontier.select(F.col("url").alias("source"), F.col("pos").alias("before"))), "source")  # at most 2 x most rows
-        step = step.groupBy("url").agg(F.min(F.struct("before", "pos")).alias("at")).join(seen, "url", "left_anti")
-        rows = step.orderBy("at", "url").limit(2 * most - n).collect()
+        at = spark.createDataFrame(frontier, kind).select(F.col("url").alias("source"), F.col("pos").alias("before"))
+        step = usable.join(F.broadcast(at), "source").groupBy("url").agg(F.min(F.struct("before", "pos")).alias("at"))
+        step = step.join(F.broadcast(spark.createDataFrame(seen, kind)), "url", "left_anti")
+        rows = step.orderBy("at", "url").limit(2 * most - len(seen)).collect()
         if not rows:
             break
-        frontier = spark.createDataFrame([(r["url"], depth, i) for i, r in enumerate(rows)], "url string, depth int, pos int")
-        seen = spark.createDataFrame([*seen.collect(), *frontier.collect()], "url string, depth int, pos int")  # at most 2 x most rows
-        n += len(rows)
-    return seen.orderBy("depth", "pos", "url").limit(most)
+        frontier = [(r["url"], depth, i) for i, r in enumerate(rows)]
+        seen = [*seen, *frontier]
+    return spark.createDataFrame(seen, kind).orderBy("depth", "pos", "url").limit(most)
 
 
 def robots_filter(pages: DataFrame, robots: str | None, agent: str) -> DataFrame:

@@ -51,11 +51,11 @@ def prefer_docs(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def tree_listing(tree: DataFrame, column: str = "json", most: int = MOST_FILES) -> DataFrame:
-    """path and size of the documentation blobs in a repository's tree listing, the first ones by position."""
+    """path and size of the documentation blobs in a repository's tree listing, the first ones by position (of several listings, then by path)."""
     kind = "tree array<struct<path: string, type: string, size: bigint>>"
     rows = tree.select(F.posexplode(F.from_json(column, kind)["tree"]).alias("pos", "item")).select("pos", "item.*")
     rows = rows.where((F.col("type") == "blob") & (F.coalesce("size", F.lit(0)) < MOST_BYTES) & docs_like(F.col("path")))
-    return rows.orderBy("pos").limit(most).select("path", "size")
+    return rows.orderBy("pos", "path").limit(most).select("path", "size")
 
 
 _WEB = re.compile(r"(?:https?://)?(?:www\.)?github\.com/([^/]+)/([^/#?]+)(?:/(?:tree|blob)/([^/]+))?", re.I)

@@ -191,7 +191,7 @@ def test_pipeline(spark, tables):
 
 
 def test_empty_tables(spark, tables, tmp_path):
-    for name in ("documents", "labels", "embeddings"):
+    for name in ("documents", "labels", "embeddings", "conversations"):
         spark.read.parquet(f"{tables[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in queries.QUERIES.items():
         assert query(spark, str(tmp_path)).collect() == [], name

@@ -85,6 +85,25 @@ def run_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return h
 
 
+def deletion_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Run, left-out place and hash of every run without one of its code points, hashed as run_hashes would hash the shorter run.
+
+    A run's hash is a polynomial in BASE, so a deletion's is that of the prefix before it
+    plus that of the suffix after it moved down by one power: two differences of one row of sums.
+    """
+    up, down = _powers.get(len(points) + 1)
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(_mixed()[points] * up[:-1], out=sums[1:])
+    size = ends - starts
+    run = np.repeat(np.arange(len(starts)), size)
+    place = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+    a, b = starts[run], ends[run]
+    prefix, suffix = sums[a + place] - sums[a], sums[b] - sums[a + place + 1]
+    h = mix64(prefix * down[a] + suffix * down[a + 1] + (size[run] - 1).astype(np.uint64))
+    h[h == 0] = 1
+    return run, place, h
+
+
 class HashTable:
     """Hashes (not 0) to small numbers, by open addressing in flat arrays; looks up whole arrays."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -11,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import bpe, compression_quality, langid, line_dedup, minhash, packing, quality_rules, token_counts, toxicity, vector_search
+from tidepool.llm import bpe, compression_quality, conversations, langid, line_dedup, minhash, packing, quality_rules, spelling, token_counts, toxicity, vector_packing, vector_search
+from tidepool.llm.oracle import OP12_SQL, OP13_SQL
 from tidepool.llm.shared import crc_mod, read
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -117,6 +119,49 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "at.lang_pred", "at.score")
 
 
+def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(ids: list[np.ndarray]) -> dict:
+        return {"ids_crc32": pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64())}
+
+    out = vector_packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), columns=digest, kinds="ids_crc32 bigint")
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The rows of conversations with the contract's damage: by crc32(`conv_id:turn`) % 20 one is dropped, emptied, left without stops, repeated, or made a user's."""
+    id_and_turn = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    m = F.col("m")
+    told = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(id_and_turn.cast("binary")) % 20).alias("m")).where(m != 0)
+    text = F.when(m == 1, "").when(m == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    out = told.select("conv_id", "turn", F.when(m == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.when(m == 3, 2).otherwise(1).alias("copies"))
+    return out.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversations.Repair(damaged(rows))
+    out = rows.select("conv_id").distinct()
+    for other in (found.conversations, found.transcripts()):
+        out = out.join(other, F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    counts = (F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def altered(doc_id: int | None, found: Counter) -> Counter:
+        """The contract's slips: a run loses a letter if 31 divides the checksum of it and the document's id."""
+        if doc_id is None:
+            return found
+        start, out = zlib.crc32(f"{doc_id}:".encode()), Counter()
+        for word, n in found.items():
+            h = zlib.crc32(word.encode(), start)
+            out[spelling.without(word, h % len(word)) if h % 31 == 0 else word] += n
+        return out
+
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"), altered=altered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -128,5 +173,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_pivot_topk": op9_pivot_topk,
     "op10_language_id": op10_language_id,
+    "op11_vector_packing": op11_vector_packing,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_minhash_near_dedup": OP6_SQL, "op9_pivot_topk": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_minhash_near_dedup": OP6_SQL, "op9_pivot_topk": OP9_SQL, "op12_conversation_repair": OP12_SQL, "op13_spelling_variants": OP13_SQL}

@@ -14,17 +14,19 @@ both sides of the risk, and their chance numbers in a sample don't matter.
 Prior: for any property, its share in the whole is at least p times its share among
 positives. The property is holding one of the words that stand out most, for ever
 more words; of the ratios whose property at least half the positives have, the least
-upper confidence bound (two standard errors) is the prior.
+upper confidence bound (two standard errors) is the prior. If too few labels bound it below
+MOST, it is what the labels themselves show: the share of confirmed positives in the whole.
 
 Words: those whose share among positives is far above their share among negatives,
-which follows from whole, positives and prior.
+which follows from whole, positives and prior. A text without any of them is no likelier
+toxic than the prior says: the bias stays at or below the prior's log-odds, which are negative.
 
 The fit uses bounded samples: at most SAMPLE positives and 2 x SAMPLE other texts,
 chosen by a hash of their ids; whole texts of those. Scores are of whole texts of
 all rows.
 
-Defined results: without a usable toxic label, or with nothing but toxic ones, every
-score is 0; null and wordless texts score as a text without any known word does;
+Defined results: without a usable toxic label, with nothing but toxic ones, or with so few
+that no word stands out beyond chance, every score is 0; null and wordless texts score as a text without any known word does;
 ids whose labels disagree count as toxic; an id that comes with several texts counts
 for the least of them in the fit, each of its rows is scored; words that tie are
 taken in their own order; texts of any length are taken whole.
@@ -91,7 +93,7 @@ def train(positive: list[np.ndarray], other: list[np.ndarray], n: int, prior: fl
         slope = p * (1 - p)
         return p.mean(), np.append(np.bincount(feature, weights=slope[row], minlength=n), slope.sum()) / rows
 
-    sides = flat(positive), flat(other)
+    sides, most = (flat(positive), flat(other)), math.log(prior / (1 - prior))
     for t in range(1, steps + 1):
         (of_p, down_p), (of_o, down_o) = loss(sides[0]), loss(sides[1])
         negatives = share * of_p + (1 - share) * of_o - prior * of_p
@@ -100,7 +102,7 @@ def train(positive: list[np.ndarray], other: list[np.ndarray], n: int, prior: fl
         g[:-1] += RIDGE * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = w - step[:-1], min(most, b - step[-1])
     return w, float(b)
 
 
@@ -116,7 +118,7 @@ def class_prior(positive: list[np.ndarray], other: list[np.ndarray], order: list
         if p >= 0.5:
             whole = share * p + (1 - share) * o + ERRORS * (1 - share) * math.sqrt(o * (1 - o) / len(other))
             best = min(best, whole / max(1e-9, p - ERRORS * math.sqrt(p * (1 - p) / len(positive))))
-    return max(share, best)
+    return max(share, best) if best < MOST else share
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", usable=None, sample: int = SAMPLE, prior: float | None = None) -> Model:
@@ -128,11 +130,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     toxic = labels.where(use & (F.col(label) == 1)).select(F.col(key).alias("id"), F.lit(True).alias("toxic")).distinct()
     ids = docs.where(use).groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("rows")).join(toxic, "id", "left")
     ids = scratch(ids.select("id", "rows", F.coalesce("toxic", F.lit(False)).alias("toxic")), "ids")
-    held = {r["toxic"]: r["rows"] for r in ids.groupBy("toxic").agg(F.sum("rows").alias("rows")).collect()}
+    held = {r["toxic"]: r for r in ids.groupBy("toxic").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("ids")).collect()}
     if len(held) < 2:
         return nothing
-    share = held[True] / (held[True] + held[False])
-    few = {side: ids.where(F.col("toxic") == side).where(thinned(F.col("id"), F.lit(float(held[side])), n)).orderBy(order, "id").limit(n) for side, n in ((True, sample), (False, 2 * sample))}
+    share = held[True]["rows"] / (held[True]["rows"] + held[False]["rows"])
+    few = {side: ids.where(F.col("toxic") == side).where(thinned(F.col("id"), F.lit(float(held[side]["ids"])), n)).orderBy(order, "id").limit(n) for side, n in ((True, sample), (False, 2 * sample))}
     chosen = few[True].union(few[False]).select("id", "toxic")
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # at most 3 x sample ids
     rows = scratch(rows.groupBy("id", "toxic").agg(F.min("text").alias("text")), "sampled")
@@ -168,9 +170,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     if prior is None:
         standing = sorted((k for k in range(len(found)) if certain(k, whole[k])), key=lambda k: (whole[k] / found[k]["p"], k))
         prior = class_prior(positive, other, standing, len(found), share)
-    prior = min(MOST, max(1e-4, prior))
+    prior = min(MOST - 1e-3, max(1e-4, prior))
     negatives = [max(1 / (n_o + 1), (whole[k] - prior * r["p"] / n_p) / (1 - prior)) for k, r in enumerate(found)]
     taken = [k for k in range(len(found)) if certain(k, negatives[k])]
+    if not taken:
+        return nothing
     taken = sorted(taken, key=lambda k: (-found[k]["p"] * math.log(found[k]["p"] / n_p / negatives[k]), k))[:FEATURES]
     number = np.full(len(found), -1)
     number[taken] = np.arange(len(taken))

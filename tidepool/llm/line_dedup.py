@@ -206,8 +206,7 @@ def neighbours(docs: DataFrame, key: str, text: str, distinct: DataFrame) -> Dat
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([one_edit(np.asarray(x), np.asarray(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    both = pairs.join(words, "line")
-    both = salted_join(both, words.select(F.col("line").alias("by"), F.col("words").alias("others")), "by", "line")
+    both = salted_join(scratch(pairs.join(words, "line"), "pairs"), words.select(F.col("line").alias("by"), F.col("words").alias("others")), "by", "line")
     return both.where(verified("words", "others")).select("line").distinct().join(likely, "line").select("h").distinct()
 
 

@@ -265,11 +265,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     near = salted_join(pairs, of_a, "a", "b").join(of_b, "b")
     near = scratch(near.select("a", "b", alike("sa", "sb").alias("s")).where(F.col("s") >= least), "near")
 
-    best = near.groupBy("b").agg(F.max_by("a", F.struct("s", "a")).alias("a"))
+    best = scratch(near.groupBy("b").agg(F.max_by("a", F.struct("s", "a")).alias("a")), "best")
     links = scratch(confirmed(best, sets, percent).union(several(known, reps)), "links")
     found = components(links)
     others = near.join(found.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    others = others.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
+    others = scratch(others.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti"), "others")
     more = scratch(confirmed(others, sets, percent), "links")
     if not more.isEmpty():
         links = links.union(more)

@@ -244,7 +244,7 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, total:
 
 
 def salted_join(rows: DataFrame, keyed: DataFrame, key: str, by: str) -> DataFrame:
-    """rows joined with keyed (one row for each key, of any size). A hot key's rows are dealt out by `by` as well, and its row of keyed is sent to each part."""
+    """rows joined with keyed (one row for each key, of any size). A hot key's rows are dealt out by `by` as well, and its row of keyed is sent to each part. rows are read three times: they should be a written table."""
     total = rows.count()
     if total <= FEW_ROWS:
         return rows.join(keyed, key)

@@ -3,10 +3,11 @@ import pytest
 from tidepool.config import Chunking, Settings, load
 from tidepool.functions import chunking
 from tidepool.operators import filters, fts, hybrid, pack, store
+from tidepool.operators.segments import SegmentIndex
 from tidepool.sources import files
 
 
-def test_parse():
+def test_parse(spark):
     q = fts.parse("how to rotate certificates")
     assert q.words == ("rotate", "certificates") and str(q.primary).startswith("NEAR(") and " OR " in str(q.fallback)
     assert fts.parse('list "open ports" host').words == ("list", "open ports", "host")
@@ -29,12 +30,13 @@ def test_match_and_ladder(spark, tmp_path, kept):
     c = spark.createDataFrame(rows, "chunk_id int, text string")
     i = fts.index(c)
     if kept:
-        fts.store(i, str(tmp_path))
-        i = fts.load(spark, str(tmp_path))
+        SegmentIndex.create(c, str(tmp_path))
+        i = SegmentIndex.load(spark, str(tmp_path))
     near = fts.Near((fts.phrase("alpha"), fts.phrase("beta")), 5)
-    assert {r.chunk_id for r in fts.bm25(i, near).collect()} == {1, 4}
-    assert {r.chunk_id for r in fts.bm25(i, fts.phrase("naive alpha")).collect()} == {4}
+    assert {r.chunk_id for r in fts.search(i, c, near, 9).collect()} == {1, 4}
+    assert {r.chunk_id for r in fts.search(i, c, fts.phrase("naive alpha"), 9).collect()} == {4}
     assert {r.chunk_id for r in fts.ladder(i, c, fts.parse("gamma naive"), 5).collect()} == {1, 4}
+    assert {r.chunk_id for r in fts.search(i, c, fts.phrase("x x x beta"), 9).collect()} == {2}
     assert fts.ladder(i, c, fts.parse(""), 5).collect() == []
     assert [r.chunk_id for r in fts.like(c, ("beta",), 2).collect()] == [3, 1]
     assert [r.chunk_id for r in fts.search(i, c.where("chunk_id > 1"), fts.phrase("alpha"), 5, partial=True).collect()] == [4, 2]

@@ -1,9 +1,9 @@
 """Full-text search: query syntax, matching and BM25, as column expressions.
 
-Chunks are tokenized once into an index: a row for each occurrence of a term, which
-is written in the order of terms. A query becomes a small tree of phrases; of the
-index it reads the rows of its terms only. What is gathered per chunk, matched and
-scored is small whatever the corpus; the corpus statistics are one row.
+A query becomes a small tree of phrases. Index is a plan over chunks: a row for each
+occurrence of a term; it needs nothing written and suits small tables and single
+questions. What is kept on disk, and searched again and again, is operators.segments; both
+answer alike, and search(), ladder() and hybrid.hybrid() take either.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import TOKEN
@@ -33,8 +33,11 @@ STOPWORDS = frozenset(
 )
 #: Languages whose function words go, as Spark's own lists have them.
 FUNCTION_WORDS = ("english", "french", "german", "spanish", "portuguese", "italian", "dutch")
-#: Parts that the occurrences of one term are spread over in an index.
-SPREAD = 64
+
+
+def all_stopwords() -> frozenset[str]:
+    """stopwords() of a running session; without one (as in a worker) they can't be read, and must be passed on."""
+    return stopwords()
 
 
 @functools.cache
@@ -71,11 +74,10 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(x, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-_WORDS = re.compile(r"[^\W_]+")
-
-
 def tokens_py(x: str) -> tuple[str, ...]:
-    return tuple(_WORDS.findall(fold_py(x)))
+    """The tokens of tokens(): runs of letters, numbers and private-use characters."""
+    kept = "".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in fold_py(x))
+    return tuple(w for w in kept.split(" ") if w)
 
 
 @dataclass(frozen=True)
@@ -140,8 +142,9 @@ def phrase(text: str) -> Phrase | None:
     return Phrase(tokens_py(shown), shown) if shown else None
 
 
-def parse(query: str, keywords: tuple[str, ...] = (), stopwords: frozenset[str] = STOPWORDS) -> Query:
-    """Quoted phrases and words; stopwords go unless fewer than two units would stay."""
+def parse(query: str, keywords: tuple[str, ...] = (), stopwords: frozenset[str] | None = None) -> Query:
+    """Quoted phrases and words; stopwords (all of stopwords() if none are given) go unless fewer than two units would stay."""
+    stopwords = all_stopwords() if stopwords is None else stopwords
     units = [(q.strip(), True) if q else (trimmed(w), False) for q, w in _UNIT.findall(query)]
     units = [u for u in units if u[0]]
     kept = [u for u in units if u[1] or u[0].lower() not in stopwords]
@@ -177,6 +180,16 @@ def _close(mine: Column, size: int, others: list[tuple[Column, int]], gap: int)
     return F.filter(mine, lambda x: clump(x, x + size, x, others))
 
 
+def starts(p: Phrase, places) -> Column:
+    """Where a phrase starts, from its terms' positions in a field."""
+
+    def earlier(spots: Column, k: int) -> Column:
+        return F.transform(spots, lambda x: x - k) if k else spots
+
+    shifted = [earlier(places(t), k) for k, t in enumerate(p.terms)]
+    return reduce(F.array_intersect, shifted) if shifted else F.array().cast("array<int>")
+
+
 def leaves(node) -> list[Phrase]:
     if isinstance(node, Phrase):
         return [node]
@@ -215,7 +228,7 @@ class Index:
 
 
 def index(chunks: DataFrame, key: str = "chunk_id") -> Index:
-    """The index of all chunks as a plan; stored() writes it down."""
+    """The index of all chunks as a plan."""
     t = tokenized(chunks, key)
     length = reduce(lambda a, b: a + b, [F.size(f"t_{f}") for f in FIELDS])
 
@@ -226,19 +239,6 @@ def index(chunks: DataFrame, key: str = "chunk_id") -> Index:
     return Index(rows, t.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("average")), key)
 
 
-def store(made: Index, path: str) -> Index:
-    """The index, written in the order of its terms. A term's occurrences are spread over several files, so a very common one is no bottleneck."""
-    dealt = made.rows.repartition("term", F.pmod(F.xxhash64(made.key), F.lit(SPREAD))).sortWithinPartitions("term", made.key)
-    dealt.write.mode("overwrite").parquet(f"{path}/rows")
-    made.stats.write.mode("overwrite").parquet(f"{path}/stats")
-    read = made.rows.sparkSession.read
-    return Index(read.schema(made.rows.schema).parquet(f"{path}/rows"), read.schema(made.stats.schema).parquet(f"{path}/stats"), made.key)
-
-
-def load(spark: SparkSession, path: str, key: str = "chunk_id") -> Index:
-    return Index(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/stats"), key)
-
-
 def bm25(index: Index, node) -> DataFrame:
     """key and score of every matching chunk; statistics are of all chunks of the index. One plan: document frequencies and corpus statistics are subqueries."""
     found, key = leaves(node), index.key
@@ -248,13 +248,7 @@ def bm25(index: Index, node) -> DataFrame:
     held = [F.collect_list(F.when((F.col("term") == t) & (F.col("field") == n), F.col("pos"))).alias(f"a{i}") for i, (t, n) in enumerate(places)]
     rows = index.rows.where(wanted).groupBy(key, "len").agg(F.count(F.lit(1)).alias("__n"), *held)
     names = {place: F.col(f"a{i}") for i, place in enumerate(places)}
-
-    def starts(p: Phrase, n: int) -> Column:
-        """Start positions of a phrase in a field."""
-        shifted = [F.transform(names[t, n], lambda x: x - k) if k else names[t, n] for k, t in enumerate(p.terms)]
-        return reduce(F.array_intersect, shifted) if shifted else F.array().cast("array<int>")
-
-    rows = rows.select(key, "len", *(starts(p, n).alias(f"o{k}_{f}") for k, p in enumerate(found) for n, f in enumerate(FIELDS)))
+    rows = rows.select(key, "len", *(starts(p, lambda t, n=n: names[t, n]).alias(f"o{k}_{f}") for k, p in enumerate(found) for n, f in enumerate(FIELDS)))
     match, counts = _evaluate(node, [0])
     has = [reduce(lambda a, b: a | b, [F.size(f"o{k}_{f}") > 0 for f in FIELDS]) for k in range(len(found))]
     holding = rows.agg(F.struct(*(F.count_if(h).alias(f"d{k}") for k, h in enumerate(has))).alias("d")).scalar()
@@ -270,11 +264,13 @@ def bm25(index: Index, node) -> DataFrame:
 
 
 def search(index: Index, chunks: DataFrame, node, limit: int, where: Column | None = None, partial: bool = False) -> DataFrame:
-    """The best chunks by BM25, all columns of chunks and their score. Filters come after the match; statistics stay the index's.
+    """The best chunks by BM25, all columns of chunks and their score. Filters come after the match; statistics stay the index's. A kept index answers with the columns that it holds.
 
     partial: chunks may lack some of the index (those of documents that aren't to be
     found); they count for the statistics and are left out before the best are taken.
     """
+    if not isinstance(index, Index):
+        return index.search(node, limit, where, chunks.select(index.key) if partial else None)
     hits, key = bm25(index, node), index.key
     if partial or where is not None:
         hits = hits.join((chunks if where is None else chunks.where(where)).select(key), key, "left_semi")
@@ -303,18 +299,3 @@ def ladder(index: Index, chunks: DataFrame, query: Query, limit: int, where: Col
     if str(query.fallback) == str(query.primary) or not strict.isEmpty():
         return strict
     return search(index, chunks, query.fallback, limit, where, partial)
-
-
-def term_stats(index: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """For each term the rows that have it and how often it comes."""
-    words = F.explode(F.concat(*(F.col(f"t_{f}") for f in FIELDS)))
-    return index.select(key, words.alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-
-
-def postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """The inverted index: key, field, term and positions. Written partitioned by a hash of the term it serves lookups of single terms."""
-    index, parts = tokenized(chunks, key), None
-    for f in FIELDS:
-        one = index.select(key, F.lit(f).alias("field"), F.posexplode(f"t_{f}").alias("pos", "term"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.groupBy(key, "field", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))

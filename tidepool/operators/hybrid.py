@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepool.config import Retrieval
 from tidepool.operators import fts, vector
+from tidepool.operators.segments import SegmentIndex
 
 
 def ranked(hits: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -59,20 +60,29 @@ def rerank_response(body: dict, n: int) -> list[tuple[int, float]]:
     return sorted(out, key=lambda x: -x[1])
 
 
-def fuse(text_hits: DataFrame, vector_hits: DataFrame | None, chunks: DataFrame, settings: Retrieval = Retrieval(), query: str = "", scorer=None, key: str = "chunk_id") -> DataFrame:
-    """The final hits of two lists of (key, score): fused, capped, reranked, at most so many of a document, best first."""
+def fuse(
+    text_hits: DataFrame, vector_hits: DataFrame | None, chunks: DataFrame, settings: Retrieval = Retrieval(), query: str = "", scorer=None, key: str = "chunk_id", named: Callable[[list], DataFrame] | None = None
+) -> DataFrame:
+    """The final hits of two lists of (key, score): fused, capped, reranked, at most so many of a document, best first.
+
+    named: gives the chunks of a few keys, so that the others aren't read; without it chunks are joined.
+    """
     lists = [ranked(x.select(key, "score"), key) for x in (text_hits, vector_hits) if x is not None]
     fused = rrf(lists, settings.rrf_k, key)
     order = [F.desc("score"), "list", "rank", key]
     cap = max(3 * settings.top_k, settings.vector_limit)
-    best = F.broadcast(fused.orderBy(*order).limit(cap)).join(chunks, key)  # at most `cap` rows
+    best = fused.orderBy(*order).limit(cap)  # at most `cap` rows
+    if named is not None:
+        rows = best.collect()
+        best, chunks = chunks.sparkSession.createDataFrame(rows, best.schema), named([r[key] for r in rows])
+    best = F.broadcast(best).join(chunks, key)
     best = rerank(best, query, scorer, F.col("text"), key)
     best = diversify(best, settings.max_per_document, order)
     return best.orderBy(*order).limit(settings.top_k)
 
 
 def hybrid(
-    index: fts.Index,
+    index: fts.Index | SegmentIndex,
     chunks: DataFrame,
     embeddings: DataFrame | None,
     query: str,
@@ -82,9 +92,10 @@ def hybrid(
     keywords: tuple[str, ...] = (),
     scorer=None,
     partial: bool = False,
-    stopwords: frozenset[str] = fts.STOPWORDS,
+    stopwords: frozenset[str] | None = None,
+    named: Callable[[list], DataFrame] | None = None,
 ) -> DataFrame:
-    """Full-text ladder and vector neighbours of a query, fused. Without an embedder only the text counts. partial: see fts.search."""
+    """Full-text ladder and vector neighbours of a query, fused. Without an embedder only the text counts. partial: see fts.search; named: see fuse."""
     key = index.key
     text_hits = fts.ladder(index, chunks, fts.parse(query, keywords, stopwords), settings.fts_limit, where, filtered=where is not None, partial=partial)
     near = None
@@ -93,4 +104,4 @@ def hybrid(
         if partial or where is not None:
             rows = rows.join((chunks if where is None else chunks.where(where)).select(key), key, "left_semi")
         near = vector.top_k(rows, embedder.embed_one(query), settings.vector_limit, key, model_id=embedder.model_id)
-    return fuse(text_hits, near, chunks, settings, query, scorer, key)
+    return fuse(text_hits, near, chunks, settings, query, scorer, key, named)

@@ -8,29 +8,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.config import Retrieval
-from tidepool.operators import filters, fts, hybrid, pack
+from tidepool.operators import filters, fts, hybrid, pack, segments
 
 #: The columns of a hit but its score.
 HIT = ("chunk_id", "document_id", "source_id", "text", "heading", "section_path", "uri", "title", "kind")
 
 
 def index(tables: dict[str, DataFrame]) -> fts.Index:
-    """The index of all chunks, whatever their documents' status; fts.store writes it down."""
+    """The index of all chunks as a plan, whatever their documents' status."""
     return fts.index(tables["chunks"].withColumnRenamed("id", "chunk_id"))
 
 
+def keep_index(tables: dict[str, DataFrame], at: str) -> segments.SegmentIndex:
+    """The same, written down; what ingest() adds, changes and drops later goes into it by add(), change() and delete()."""
+    return segments.SegmentIndex.create(tables["chunks"].withColumnRenamed("id", "chunk_id"), at)
+
+
+def well(tables: dict[str, DataFrame]) -> DataFrame:
+    """document_id, uri and title of the documents that may be found."""
+    return tables["documents"].where(F.col("status") == "ok").select(F.col("id").alias("document_id"), "uri", "title")
+
+
 def searchable(tables: dict[str, DataFrame]) -> DataFrame:
     """Chunks as hits, with their documents' addresses and titles; only documents that are well count."""
-    documents = tables["documents"].where(F.col("status") == "ok").select(F.col("id").alias("document_id"), "uri", "title")
     chunks = tables["chunks"].select(F.col("id").alias("chunk_id"), "document_id", "source_id", "text", "heading", "section_path", "kind")
-    return chunks.join(documents, "document_id").select(*HIT)
+    return chunks.join(well(tables), "document_id").select(*HIT)
 
 
-def ask(tables: dict[str, DataFrame], made: fts.Index, query: str, embedder=None, settings: Retrieval = Retrieval(), kinds: Iterable[str] = (), sources: Iterable[str] = (), keywords: tuple[str, ...] = (), scorer=None, stopwords: frozenset[str] = fts.STOPWORDS) -> DataFrame:
-    """The hits of a query, best first. sources: ids or addresses; an unknown one, or an unknown kind, is an error."""
+def ask(tables: dict[str, DataFrame], made: fts.Index | segments.SegmentIndex, query: str, embedder=None, settings: Retrieval = Retrieval(), kinds: Iterable[str] = (), sources: Iterable[str] = (), keywords: tuple[str, ...] = (), scorer=None, stopwords: frozenset[str] | None = None) -> DataFrame:
+    """The hits of a query, best first. sources: ids or addresses; an unknown one, or an unknown kind, is an error. With a kept index the texts of hits alone are read."""
     known = [filters.resolve_source(tables["sources"], s) for s in sources]
     where = filters.condition(filters.parse_kinds(list(kinds)), known, keywords)
-    found = hybrid.hybrid(made, searchable(tables), tables.get("embeddings"), query, embedder, settings, where, keywords, scorer, partial=True, stopwords=stopwords)
+    named = None
+    if isinstance(made, segments.SegmentIndex):
+        named = lambda keys: F.broadcast(made.named(keys).drop("title")).join(well(tables), "document_id").select(*HIT)  # noqa: E731  a few rows
+    found = hybrid.hybrid(made, searchable(tables), tables.get("embeddings"), query, embedder, settings, where, keywords, scorer, partial=True, stopwords=stopwords, named=named)
     return found.select(*HIT, "score")
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidepool.config import Chunking, Retrieval
 from tidepool.functions import chunking, text
-from tidepool.operators import filters, fts, hybrid, near, pack, stored, vector
+from tidepool.operators import filters, fts, hybrid, manifest, near, pack, stored, vector
+from tidepool.operators.segments import FIELD_BIT, PLACE, SegmentIndex
 from tidepool.session import work_dir
 
 QUERY = '"the and" thanedble eriner'
@@ -31,19 +32,25 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The indexes that this process has written, by application and tables.
-_indexes: dict[tuple[str, str, str], fts.Index] = {}
+_indexes: dict[tuple[str, str, str], SegmentIndex] = {}
 
 
-def kept_index(spark: SparkSession, sf_dir: str, name: str, make) -> fts.Index:
-    """The index of these tables in the shared folder, written when first asked for: all queries of a session search one."""
+def kept_index(spark: SparkSession, sf_dir: str, name: str, make) -> SegmentIndex:
+    """The index of these tables in the shared folder, written when first asked for: all queries of a session search one. make: writes it into a folder."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _indexes:
-        _indexes[key] = fts.store(make(), f"{work_dir(spark)}/index-{uuid.uuid4().hex}")
+        _indexes[key] = make(f"{work_dir(spark)}/index-{uuid.uuid4().hex}")
     return _indexes[key]
 
 
-def text_index(spark: SparkSession, sf_dir: str) -> fts.Index:
-    return kept_index(spark, sf_dir, "documents", lambda: fts.index(chunks(spark, sf_dir)))
+def release_indexes(spark: SparkSession) -> None:
+    """Deletes the indexes that this application's queries have kept."""
+    for key in [k for k in _indexes if k[0] == spark.sparkContext.applicationId]:
+        manifest.remove(spark, _indexes.pop(key).at)
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> SegmentIndex:
+    return kept_index(spark, sf_dir, "documents", lambda at: SegmentIndex.create(chunks(spark, sf_dir), at))
 
 
 #: The same in SQL; tok is the token list of each searched column.
@@ -70,7 +77,7 @@ scored as (select chunk_id, {' + '.join(part)} score from c, s, corpus where {('
 TOP_SQL = " select chunk_id, round(score, 6) score from scored order by score desc, chunk_id limit 40"
 
 
-def top(index: fts.Index, all_chunks: DataFrame, node, limit: int = 40) -> DataFrame:
+def top(index: SegmentIndex, all_chunks: DataFrame, node, limit: int = 40) -> DataFrame:
     return fts.search(index, all_chunks, node, limit).select("chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -147,12 +154,41 @@ def fts_tokenize(spark, sf_dir):
 
 
 def fts_term_stats(spark, sf_dir):
-    return fts.term_stats(fts.tokenized(chunks(spark, sf_dir)))
+    """Of the index that searches read."""
+    return text_index(spark, sf_dir).term_stats()
 
 
 def fts_postings(spark, sf_dir):
-    p = fts.postings(chunks(spark, sf_dir))
-    return p.select("chunk_id", "field", "term", F.size("positions").alias("tf"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("places"))
+    """All postings of the index that searches read, unpacked."""
+    made = text_index(spark, sf_dir)
+    names = F.array(*map(F.lit, fts.FIELDS))
+    spots = made.postings().select("segment", PLACE, "term", F.explode("spots").alias("spot"))
+    spots = spots.select("segment", PLACE, "term", F.get(names, F.shiftright("spot", FIELD_BIT)).alias("field"), F.col("spot").bitwiseAND(F.lit((1 << FIELD_BIT) - 1)).alias("pos"))
+    p = spots.groupBy("segment", PLACE, "field", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions")).join(made.keys(), ["segment", PLACE])
+    return p.select(F.col("key").alias("chunk_id"), "field", "term", F.size("positions").alias("tf"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("places"))
+
+
+def fts_build_index(spark, sf_dir):
+    """A new index of all documents, written whole: what it holds."""
+    made = SegmentIndex.create(chunks(spark, sf_dir), f"{work_dir(spark)}/index-{uuid.uuid4().hex}")
+    postings = made.blocks(heads=True).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("postings"))
+    out = postings.select(F.lit(made.n).cast("bigint").alias("chunks"), F.lit(made.tokens).cast("bigint").alias("tokens"), "postings").collect()
+    manifest.remove(spark, made.at)
+    return spark.createDataFrame(out, "chunks bigint, tokens bigint, postings bigint")
+
+
+def fts_incremental(spark, sf_dir):
+    """An index that has grown, changed and shrunk: English and German documents first, then all others, then French ones get a word, then a source goes."""
+    c = chunks(spark, sf_dir)
+    first = F.coalesce(F.col("heading").isin("en", "de"), F.lit(False))
+    made = SegmentIndex.create(c.where(first), f"{work_dir(spark)}/index-{uuid.uuid4().hex}")
+    made = made.add(c.where(~first))
+    made = made.change(c.where("heading = 'fr'").withColumn("text", F.concat("text", F.lit(" thanedble idiot"))))
+    made = made.delete(c.where("source_id = 'src3'"))
+    return made.search(fts.Some(words(*TERMS)), 40).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+INCREMENTAL_SQL_DOCS = "documents as (select doc_id, case when lang = 'fr' then text || ' thanedble idiot' else text end as text, lang, source, n_chars from main.documents where source is distinct from 'src3')"
 
 
 def filter_kind_source_keyword(spark, sf_dir):
@@ -220,7 +256,8 @@ def diversify_by_document(spark, sf_dir):
 def hybrid_search(spark, sf_dir):
     """Ranked lists of text and vectors fused, two of a source at most, the best twelve."""
     c, a, b = _lists(spark, sf_dir)
-    hits = hybrid.fuse(a, b, c.withColumn("document_id", F.col("source_id")), Retrieval(max_per_document=2))
+    index = text_index(spark, sf_dir)
+    hits = hybrid.fuse(a, b, c, Retrieval(max_per_document=2), named=lambda keys: index.named(keys).withColumn("document_id", F.col("source_id")))
     return hits.select("chunk_id", "source_id", F.round("score", 9).alias("score"))
 
 
@@ -318,7 +355,7 @@ ASKED = ("thanedble", "eriner", "anea", "attion")
 def stored_search(spark, sf_dir):
     """A query over the stored tables, all its words needed: text and vectors, searchable documents only, their addresses and titles."""
     tables = _tables(spark, sf_dir)
-    made = kept_index(spark, sf_dir, "lines", lambda: stored.index(tables))
+    made = kept_index(spark, sf_dir, "lines", lambda at: stored.keep_index(tables, at))
     hits = stored.ask(tables, made, " ".join(ASKED), Probe(_probe(embeddings(spark, sf_dir))))
     return hits.select("chunk_id", "document_id", "uri", "title", "kind", F.round("score", 9).alias("score"))
 
@@ -326,7 +363,7 @@ def stored_search(spark, sf_dir):
 def stored_filtered(spark, sf_dir):
     """The same without vectors, from two sources (by id and by address), for one kind, with a keyword."""
     tables = _tables(spark, sf_dir)
-    made = kept_index(spark, sf_dir, "lines", lambda: stored.index(tables))
+    made = kept_index(spark, sf_dir, "lines", lambda at: stored.keep_index(tables, at))
     hits = stored.ask(tables, made, " ".join(ASKED), settings=Retrieval(max_per_document=0), kinds=["text"], sources=["src1", "fixture://src2"], keywords=("thanedble",))
     return hits.select("chunk_id", "uri", F.round("score", 9).alias("score"))
 
@@ -334,7 +371,7 @@ def stored_filtered(spark, sf_dir):
 def stored_pack(spark, sf_dir):
     """From the stored tables to packs of two queries."""
     tables = _tables(spark, sf_dir)
-    made = kept_index(spark, sf_dir, "lines", lambda: stored.index(tables))
+    made = kept_index(spark, sf_dir, "lines", lambda at: stored.keep_index(tables, at))
     return stored.context(tables, made, [" ".join(ASKED), "thanedble verschzu"], settings=Retrieval(token_budget=300)).withColumn("score", F.round("score", 6))
 
 
@@ -380,7 +417,7 @@ def rerank_hook(spark, sf_dir):
 
 OR_SQL = scores_sql(TERMS, False)
 QUERIES = {f.__name__: f for f in (
-    fts_bm25_or, fts_bm25_and, fts_keyword_and, fts_phrase, fts_near, fts_fallback_ladder, fts_filtered, like_fallback, fts_tokenize, fts_term_stats, fts_postings, filter_kind_source_keyword,
+    fts_bm25_or, fts_bm25_and, fts_keyword_and, fts_phrase, fts_near, fts_fallback_ladder, fts_filtered, like_fallback, fts_tokenize, fts_term_stats, fts_postings, fts_build_index, fts_incremental, filter_kind_source_keyword,
     vector_topk_exact, vector_topk_filtered, vector_dims_guard, embedding_coverage, rrf_fuse, diversify_by_document, hybrid_search, near_duplicate_all_pairs, stored_search, stored_filtered, stored_pack, chunk_cover, chunk_overlap,
     context_pack, context_pack_markdown, context_pack_json, chunk_documents, chunk_lines, token_estimate, rerank_hook,
 )}
@@ -397,6 +434,8 @@ ORACLE_SQL = {
     "fts_term_stats": f"with {CHUNKS_SQL}, w as (select chunk_id, unnest(list_concat(list_concat(t, h), i)) term from tok) select term, count(distinct chunk_id) df, count(*) cf from w group by term",
     "fts_postings": f"""with {CHUNKS_SQL}, w as (select chunk_id, 'text' field, unnest(t) term, unnest(range(len(t))) pos from tok union all select chunk_id, 'heading', unnest(h), unnest(range(len(h))) from tok
 union all select chunk_id, 'title', unnest(i), unnest(range(len(i))) from tok) select chunk_id, field, term, count(*)::integer tf, string_agg(pos::varchar, ',' order by pos) places from w group by all""",
+    "fts_build_index": f"with {CHUNKS_SQL}, w as (select chunk_id, unnest(list_concat(list_concat(t, h), i)) term from tok) select (select count(*) from d) chunks, (select count(*) from w) tokens, (select count(distinct (chunk_id, term)) from w) postings",
+    "fts_incremental": OR_SQL.replace("with ", f"with {INCREMENTAL_SQL_DOCS}, ", 1) + TOP_SQL,
     "filter_kind_source_keyword": f"""with {CHUNKS_SQL} select chunk_id, kind = 'prose' and source_id in ('src1', 'src2') and contains(lower(text), 'the') before_ranking,
 kind in ('prose', 'code') and source_id in ('src1', 'src2') and contains(lower(text), 'the') after_ranking from d""",
     "vector_topk_exact": VECTOR_SQL.format(where=""),

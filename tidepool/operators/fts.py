@@ -142,15 +142,19 @@ def phrase(text: str) -> Phrase | None:
     return Phrase(tokens_py(shown), shown) if shown else None
 
 
-def parse(query: str, keywords: tuple[str, ...] = (), stopwords: frozenset[str] | None = None) -> Query:
-    """Quoted phrases and words; stopwords (all of stopwords() if none are given) go unless fewer than two units would stay."""
-    stopwords = all_stopwords() if stopwords is None else stopwords
-    units = [(q.strip(), True) if q else (trimmed(w), False) for q, w in _UNIT.findall(query)]
-    units = [u for u in units if u[0]]
-    kept = [u for u in units if u[1] or u[0].lower() not in stopwords]
-    kept = kept if len(kept) >= 2 else units
+def units(query: str, keywords: tuple[str, ...] = (), stopwords: frozenset[str] = frozenset()) -> tuple[tuple[str, ...], tuple[Phrase, ...], tuple[Phrase, ...]]:
+    """The words of a query that count, the phrases that they are, and those of the keywords. Stopwords go unless fewer than two units would stay."""
+    found = [(q.strip(), True) if q else (trimmed(w), False) for q, w in _UNIT.findall(query)]
+    found = [u for u in found if u[0]]
+    kept = [u for u in found if u[1] or u[0].lower() not in stopwords]
+    kept = kept if len(kept) >= 2 else found
     phrases = tuple(p for p in (phrase(w) for w, _ in kept) if p)
-    needed = tuple(p for p in (phrase(trimmed(k)) for k in keywords) if p)
+    return tuple(w for w, _ in kept), phrases, tuple(p for p in (phrase(trimmed(k)) for k in keywords) if p)
+
+
+def parse(query: str, keywords: tuple[str, ...] = (), stopwords: frozenset[str] | None = None) -> Query:
+    """Quoted phrases and words; without stopwords given, all of stopwords() count as such."""
+    words, phrases, needed = units(query, keywords, all_stopwords() if stopwords is None else stopwords)
     strict = None if not phrases else phrases[0] if len(phrases) == 1 else Near(phrases) if len(phrases) <= 3 else Every(phrases)
     loose = None if not phrases else phrases[0] if len(phrases) == 1 else Some(phrases)
 
@@ -158,7 +162,7 @@ def parse(query: str, keywords: tuple[str, ...] = (), stopwords: frozenset[str]
         parts = ((node,) if node is not None else ()) + needed
         return None if not parts else parts[0] if len(parts) == 1 else Every(parts)
 
-    return Query(both(strict), both(loose), tuple(w for w, _ in kept))
+    return Query(both(strict), both(loose), words)
 
 
 def tokenized(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -167,7 +171,7 @@ def tokenized(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     return chunks.select(key, *((tokens(F.col(f)) if f in chunks.columns else empty).alias(f"t_{f}") for f in FIELDS))
 
 
-def _close(mine: Column, size: int, others: list[tuple[Column, int]], gap: int) -> Column:
+def close(mine: Column, size: int | Column, others: list[tuple[Column, int | Column]], gap: int) -> Column:
     """The starts that form a clump with one start of each other phrase."""
 
     def clump(x: Column, low_end: Column, high: Column, rest: list[tuple[Column, int]]) -> Column:
@@ -209,9 +213,9 @@ def _evaluate(node, counter: list[int]) -> tuple[Column, list[Column]]:
         hit, scores = F.lit(False), [F.lit(0.0)] * len(node.phrases)
         for f, w in FIELDS.items():
             places = [(F.col(f"o{first + i}_{f}"), len(p.terms)) for i, p in enumerate(node.phrases)]
-            close = [_close(x, n, places[:i] + places[i + 1 :], node.gap) for i, (x, n) in enumerate(places)]
-            hit = hit | (F.size(close[0]) > 0)
-            scores = [s + F.size(c) * w for s, c in zip(scores, close, strict=True)]
+            clumps = [close(x, n, places[:i] + places[i + 1 :], node.gap) for i, (x, n) in enumerate(places)]
+            hit = hit | (F.size(clumps[0]) > 0)
+            scores = [s + F.size(c) * w for s, c in zip(scores, clumps, strict=True)]
         return hit, scores
     parts = [_evaluate(p, counter) for p in node.parts]
     join = (lambda a, b: a & b) if isinstance(node, Every) else (lambda a, b: a | b)

@@ -261,11 +261,11 @@ class SegmentIndex:
 
     # ---- search
 
-    def _idf(self, df: Column) -> Column:
+    def idf(self, df: Column) -> Column:
         idf = F.ln((F.lit(float(self.n)) - df + 0.5) / (df + 0.5))
         return F.when(idf > 0, idf).otherwise(fts.LEAST_IDF)
 
-    def _impact(self, f: Column, length: Column) -> Column:
+    def impact(self, f: Column, length: Column) -> Column:
         average = self.tokens / self.n if self.n and self.tokens else 1.0
         return f * (fts.K1 + 1) / (f + F.lit(fts.K1 * (1 - fts.B)) + length * F.lit(fts.K1 * fts.B / average))
 
@@ -296,13 +296,13 @@ class SegmentIndex:
         score = F.lit(0.0)
         for k, p in enumerate(found):
             frequency = F.col(f"__d.d{k}").cast("double") if k in many else F.lit(float(df.get(p.terms[0], 0)))
-            score = score + self._idf(frequency) * self._impact(F.col(f"__f{k}"), F.col(LENGTH))
+            score = score + self.idf(frequency) * self.impact(F.col(f"__f{k}"), F.col(LENGTH))
         return table.where("__match").select("segment", PLACE, score.alias(SCORE))
 
     def _ranges(self, heads: DataFrame, node, df: dict[str, int]) -> DataFrame:
         """segment, range, blocks and bound of the ranges that may hold a match, or what a phrase's count needs. bound: the most that a chunk can score."""
         terms = sorted(df)
-        impact = self._idf(F.col("df")) * self._impact(F.col("most").cast("double"), F.col("least").cast("double"))
+        impact = self.idf(F.col("df")) * self.impact(F.col("most").cast("double"), F.col("least").cast("double"))
         of = F.create_map(*(F.lit(x) for t in terms for x in (t, float(df[t]))))[F.col("term")]
         told = heads.withColumn("df", of).select("segment", "range", "term", impact.alias("bound"))
         has = [F.max(F.when(F.col("term") == t, True)).alias(f"h{i}") for i, t in enumerate(terms)]
@@ -340,7 +340,7 @@ class SegmentIndex:
         # phrases are counted over all their chunks; of single terms the best ranges tell which others can matter
         if all(len(p.terms) == 1 for p in fts.leaves(node)) and len(promising) > SEEDS:
             first = [(r["segment"], r["range"]) for r in promising[: max(SEEDS, -(-limit // (1 << RANGE_BITS - 3)))]]
-            seen = self._passing(self.scored(self._picked(first, blocks), node, df), where, allowed).orderBy(F.desc(SCORE)).limit(limit).agg(F.count(F.lit(1)).alias("n"), F.min(SCORE).alias("least")).first()
+            seen = self.passing(self.scored(self._picked(first, blocks), node, df), where, allowed).orderBy(F.desc(SCORE)).limit(limit).agg(F.count(F.lit(1)).alias("n"), F.min(SCORE).alias("least")).first()
             if seen["n"] == limit:
                 least = seen["least"] * (1 - 1e-9)
                 chosen = [r for r in promising if r["bound"] >= least]
@@ -351,20 +351,21 @@ class SegmentIndex:
         else:
             picked = self._picked([(r["segment"], r["range"]) for r in chosen], blocks)
             self.reads.blocks = sum(r["blocks"] for r in chosen)
-        hits = self._passing(self.scored(picked, node, df), where, allowed)
+        hits = self.passing(self.scored(picked, node, df), where, allowed)
         best = hits.orderBy(F.desc(SCORE)).limit(2 * limit).collect()
         if len(best) > limit and best[-1][SCORE] == best[limit - 1][SCORE] and len(best) == 2 * limit:  # more ties than that: by key
             best = hits.where(F.col(SCORE) >= F.lit(best[-1][SCORE])).join(self.keys(), ["segment", PLACE]).orderBy(F.desc(SCORE), "key").limit(limit).collect()
         return [(r["segment"], r[PLACE], r[SCORE]) for r in best if r[SCORE] >= best[min(limit, len(best)) - 1][SCORE]]
 
-    def _passing(self, hits: DataFrame, where: Column | None, allowed: DataFrame | None) -> DataFrame:
+    def passing(self, hits: DataFrame, where: Column | None, allowed: DataFrame | None) -> DataFrame:
+        """The hits whose chunks meet a condition on their columns, and whose keys may be found."""
         if where is None and allowed is None:
             return hits
         told = self._union(self._chunks)
         told = told if where is None else told.where(where)
         out = hits.join(told.select("segment", PLACE, F.col(self.key).alias("__key")), ["segment", PLACE])
         out = out if allowed is None else out.join(allowed.select(F.col(self.key).alias("__key")), "__key", "left_semi")
-        return out.select("segment", PLACE, SCORE)
+        return out.select(*hits.columns)
 
     def fetch(self, rows: list[tuple[int, int, float | None]]) -> DataFrame:
         """The chunks at these places, with their scores: of each segment only the files whose ranges hold one are read, and of those the pages."""
@@ -381,6 +382,22 @@ class SegmentIndex:
             out = out.unionByName(found.select(*self.columns, score.cast("double").alias(SCORE)))
         return out
 
+    def joined(self, found: DataFrame) -> DataFrame:
+        """A table with segment and place, with the columns of those chunks: of all files those are read in whose ranges one lies."""
+        out = None
+        for k, s in enumerate(self.segments):
+            own = found.where(F.col("segment") == k)
+            # a file holds what one task has written, so its places have the task's number above bit 33
+            files = self.spark.read.parquet(f"{self.at}/segments/{s['name']}/files").withColumn("part", F.shiftright("first", 33))
+            files = [r["file"] for r in files.join(own.select(F.shiftright(PLACE, 33).alias("part")).distinct(), "part").select("file").collect()]
+            if files:
+                part = own.join(self.spark.read.schema(self._schema()).parquet(*files), PLACE)
+                out = part if out is None else out.unionByName(part)
+        if out is None:
+            kinds = {f.name: f.dataType for f in self._schema()}
+            out = found.limit(0).select("*", *(F.lit(None).cast(kinds[c]).alias(c) for c in self.columns))
+        return out.drop("segment", PLACE)
+
     def named(self, keys: list) -> DataFrame:
         """The chunks with a few keys; their places come from the table that is in the order of keys."""
         rows = self.keys().where(F.col("key").isin(keys)).collect() if keys and self.n else []

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.config import Retrieval
-from tidepool.operators import filters, fts, hybrid, pack, segments
+from tidepool.operators import batch, filters, fts, hybrid, pack, segments
 
 #: The columns of a hit but its score.
 HIT = ("chunk_id", "document_id", "source_id", "text", "heading", "section_path", "uri", "title", "kind")
@@ -46,8 +46,29 @@ def ask(tables: dict[str, DataFrame], made: fts.Index | segments.SegmentIndex, q
     return found.select(*HIT, "score")
 
 
-def context(tables: dict[str, DataFrame], made: fts.Index, queries: list[str], embedder=None, settings: Retrieval = Retrieval(), **filters_) -> DataFrame:
-    """The packs of a few queries: one row per section, as pack.pack has it, by the query's text."""
+def ask_all(tables: dict[str, DataFrame], made: segments.SegmentIndex, queries: DataFrame, settings: Retrieval = Retrieval(), kinds: Iterable[str] = (), sources: Iterable[str] = (), keywords: tuple[str, ...] = (), stopwords: frozenset[str] | None = None) -> DataFrame:
+    """The hits of many queries by their words alone, in one plan: query_id, position and the columns of a hit. queries: query_id and query. What ask() gives without an embedder."""
+    known = [filters.resolve_source(tables["sources"], s) for s in sources]
+    where = filters.condition(filters.parse_kinds(list(kinds)), known, keywords)
+    allowed = searchable(tables).select("chunk_id")
+    asked = queries.withColumn("keywords", F.array(*map(F.lit, keywords)).cast("array<string>"))
+    found = batch.hits(made, asked, settings.fts_limit, where, allowed, stopwords).drop("title").join(well(tables), "document_id")
+    cap = max(3 * settings.top_k, settings.vector_limit)
+    found = found.withColumn("score", 1.0 / (F.lit(settings.rrf_k) + F.col("position"))).where(F.col("position") <= cap)  # fused: one list
+    if settings.max_per_document > 0:
+        nth = F.row_number().over(Window.partitionBy("query_id", "document_id").orderBy("position"))
+        found = found.withColumn("nth", nth).where(F.col("nth") <= settings.max_per_document)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("position"))
+    return found.withColumn("position", place).where(F.col("position") <= settings.top_k).select("query_id", "position", *HIT, "score")
+
+
+def context(tables: dict[str, DataFrame], made: fts.Index | segments.SegmentIndex, queries: list[str], embedder=None, settings: Retrieval = Retrieval(), **filters_) -> DataFrame:
+    """The packs of queries: one row per section, as pack.pack has it, by the query's text. Over a kept index and without an embedder all are answered in one plan."""
+    spark = tables["chunks"].sparkSession
+    if embedder is None and isinstance(made, segments.SegmentIndex) and not filters_.get("scorer"):
+        asked = spark.createDataFrame([(q, q) for q in dict.fromkeys(queries)], "query_id string, query string")
+        found = ask_all(tables, made, asked, settings, **{k: v for k, v in filters_.items() if k != "scorer"})
+        return pack.pack(found.withColumnRenamed("query_id", "query"), settings.token_budget, "query")
     out = None
     for q in queries:
         hits = ask(tables, made, q, embedder, settings, **filters_).withColumn("query", F.lit(q))

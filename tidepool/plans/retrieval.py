@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepool.config import Chunking, Retrieval
 from tidepool.functions import chunking, text
-from tidepool.operators import filters, fts, hybrid, manifest, near, pack, stored, vector
+from tidepool.operators import batch, filters, fts, hybrid, manifest, near, pack, stored, vector
 from tidepool.operators.segments import FIELD_BIT, PLACE, SegmentIndex
 from tidepool.session import work_dir
 
@@ -281,15 +281,40 @@ select rep other, doc_id, true equal from r join c using (t) where doc_id <> rep
 union all select a, b, false from p where x = '' or (length(x) >= 48 and ((contains(y, x) and length(x) >= 0.82 * length(y)) or substr(x, 1, least(240, length(x))) = substr(y, 1, least(240, length(x)))))"""
 
 
+def fts_many_queries(spark, sf_dir):
+    """Every passage of the benchmark as a query of all its words: the ten best documents of each, in one plan."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = batch.hits(text_index(spark, sf_dir), asked, 10, stopwords=frozenset())
+    return found.select("query_id", F.col("position").cast("int").alias("position"), "chunk_id", F.round("score", 6).alias("score"))
+
+
+MANY_SQL = f"""with {CHUNKS_SQL}, u as (select item_id q, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}]+')) term from benchmark),
+q as (select q, term, count(*) times from u group by all), size as (select q, sum(times) units from q group by q),
+w as (select chunk_id, term, cast(sum(weight) as double) f from (select chunk_id, unnest(t) term, 1 weight from tok union all select chunk_id, unnest(h), 8 from tok union all select chunk_id, unnest(i), 6 from tok) group by all),
+df as (select term, cast(count(*) as double) df from w group by term),
+m as (select q.q, w.chunk_id, sum(times) units, sum(times * case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end * (f * 2.2) / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) score
+  from q join w using (term) join df using (term) join lens using (chunk_id), corpus group by q.q, w.chunk_id),
+s as (select m.q, chunk_id, score, m.units = size.units strict from m join size on m.q = size.q),
+r as (select *, row_number() over (partition by q order by strict desc, round(score, 9) desc, chunk_id) n, max(strict) over (partition by q) form from s)
+select q query_id, n::integer as position, chunk_id, round(score, 6) score from r where n <= 10 and (strict or not form)"""
+
+
 def _query_hits(spark, sf_dir):
     """The best full-text hits of several queries, with positions."""
-    c = chunks(spark, sf_dir)
-    index, out = text_index(spark, sf_dir), None
-    for k, q in enumerate(("thanedble eriner", "idiot moron scum loser", QUERY)):
-        hits = fts.search(index, c, fts.parse(q).fallback, 12).withColumn("query_id", F.lit(k))
-        out = hits if out is None else out.unionByName(hits)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return out.withColumn("position", place)
+    asked = spark.createDataFrame(list(enumerate(("thanedble eriner", "idiot moron scum loser", QUERY))), "query_id int, query string")
+    return batch.hits(text_index(spark, sf_dir), asked, 12)
+
+
+def _packs_hold(packs: DataFrame, budget: int, query: str) -> DataFrame:
+    """For each pack whether its sections keep the budget, are numbered from 1 and have different texts."""
+    of = packs.groupBy(query).agg(F.sum("tokens").alias("tokens"), F.max("total_tokens").alias("total"), F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"), F.max("rank").alias("last"), F.count_distinct("text").alias("texts"))
+    return of.select(query, (F.col("total") <= budget).alias("in_budget"), (F.col("tokens") == F.col("total")).alias("summed"), ((F.col("first") == 1) & (F.col("last") == F.col("n"))).alias("numbered"), (F.col("texts") == F.col("n")).alias("no_repeats"))
+
+
+def packs_of_many_queries(spark, sf_dir):
+    """Packs for every passage of the benchmark, answered in one plan: what must hold of each."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return _packs_hold(pack.pack(batch.hits(text_index(spark, sf_dir), asked, 12), 600), 600, "query_id")
 
 
 def context_pack(spark, sf_dir):
@@ -417,7 +442,7 @@ def rerank_hook(spark, sf_dir):
 
 OR_SQL = scores_sql(TERMS, False)
 QUERIES = {f.__name__: f for f in (
-    fts_bm25_or, fts_bm25_and, fts_keyword_and, fts_phrase, fts_near, fts_fallback_ladder, fts_filtered, like_fallback, fts_tokenize, fts_term_stats, fts_postings, fts_build_index, fts_incremental, filter_kind_source_keyword,
+    fts_bm25_or, fts_bm25_and, fts_keyword_and, fts_phrase, fts_near, fts_fallback_ladder, fts_filtered, like_fallback, fts_tokenize, fts_term_stats, fts_postings, fts_build_index, fts_incremental, fts_many_queries, packs_of_many_queries, filter_kind_source_keyword,
     vector_topk_exact, vector_topk_filtered, vector_dims_guard, embedding_coverage, rrf_fuse, diversify_by_document, hybrid_search, near_duplicate_all_pairs, stored_search, stored_filtered, stored_pack, chunk_cover, chunk_overlap,
     context_pack, context_pack_markdown, context_pack_json, chunk_documents, chunk_lines, token_estimate, rerank_hook,
 )}
@@ -434,6 +459,8 @@ ORACLE_SQL = {
     "fts_term_stats": f"with {CHUNKS_SQL}, w as (select chunk_id, unnest(list_concat(list_concat(t, h), i)) term from tok) select term, count(distinct chunk_id) df, count(*) cf from w group by term",
     "fts_postings": f"""with {CHUNKS_SQL}, w as (select chunk_id, 'text' field, unnest(t) term, unnest(range(len(t))) pos from tok union all select chunk_id, 'heading', unnest(h), unnest(range(len(h))) from tok
 union all select chunk_id, 'title', unnest(i), unnest(range(len(i))) from tok) select chunk_id, field, term, count(*)::integer tf, string_agg(pos::varchar, ',' order by pos) places from w group by all""",
+    "fts_many_queries": MANY_SQL,
+    "packs_of_many_queries": f"with {CHUNKS_SQL}, u as (select item_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}]+')) term from benchmark), w as (select unnest(t) term from tok union select unnest(h) from tok union select unnest(i) from tok) select distinct item_id query_id, true in_budget, true summed, true numbered, true no_repeats from u join w using (term)",
     "fts_build_index": f"with {CHUNKS_SQL}, w as (select chunk_id, unnest(list_concat(list_concat(t, h), i)) term from tok) select (select count(*) from d) chunks, (select count(*) from w) tokens, (select count(distinct (chunk_id, term)) from w) postings",
     "fts_incremental": OR_SQL.replace("with ", f"with {INCREMENTAL_SQL_DOCS}, ", 1) + TOP_SQL,
     "filter_kind_source_keyword": f"""with {CHUNKS_SQL} select chunk_id, kind = 'prose' and source_id in ('src1', 'src2') and contains(lower(text), 'the') before_ranking,

@@ -127,3 +127,19 @@ def test_empty_index(spark, tmp_path):
     assert index.search(NODES[0], 5).collect() == []
     index = index.delete(none).add(frame(spark, [(1, "w1", None, None), (2, None, None, None)]))
     assert [x.chunk_id for x in index.search(fts.phrase("w1"), 5).collect()] == [1] and index.search(fts.phrase("w1"), 0).collect() == []
+
+
+def test_substrings(spark, tmp_path, monkeypatch):
+    r = random.Random(9)
+    some = [(i, "".join(r.choice("abÉ ß.\n") for _ in range(r.randint(0, 40))) or None, "t", f"s{i % 3}") for i in range(400)]
+    chunks = frame(spark, some)
+    index = SegmentIndex.create(chunks.where("chunk_id < 300"), str(tmp_path), part_rows=100).with_substrings()
+    index = index.add(chunks.where("chunk_id >= 300")).delete(frame(spark, [(5, None, None, None), (350, None, None, None)]))
+    now = chunks.where("chunk_id not in (5, 350)")
+    for words, where in ((("abÉ",), None), (("Aba", "é"), F.col("source_id") == "s1"), (("ab", "b"), None), (("abababababa",), None), ((), F.col("source_id") == "s2")):
+        assert hits(index.substring(words, 12, where)) == hits(fts.like(now, words, 12, where)), words
+    index.substring(("abé.",), 12)
+    assert 0 < index.reads.candidates < 40
+    few = index.substring(("abÉ",), 12, allowed=now.where("chunk_id < 100").select("chunk_id"))
+    assert hits(few) == hits(fts.like(now.where("chunk_id < 100"), ("abÉ",), 12))
+    assert hits(fts.ladder(index, now, fts.parse("§§ ??"), 5, F.col("source_id") == "s1", filtered=True)) == hits(fts.like(now, (), 5, F.col("source_id") == "s1"))

@@ -16,6 +16,10 @@ k-th best score is reached by k chunks in any case, so ranges that can't reach i
 read. That holds with filters too, as only chunks that pass count. Then the hits'
 chunks are read from the files whose ranges they lie in, which a small table tells.
 
+Substrings: with_substrings() adds, for every three neighbouring characters of a lower-cased
+text, a bit for each chunk of a range that has them. The chunks that have all threes of
+the words asked for are candidates; only those are read, and looked through.
+
 Maintenance: chunks that are added make a new segment; deleting writes down the places that
 are gone, with their terms' counts, and touches no block; a change is both. Statistics are sums
 over segments less what is gone, so scores are those of a fresh index. As many segments of
@@ -30,14 +34,17 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
 from tidepool.operators import fts, manifest
+from tidepool.session import written
 
 #: Chunks of a range, as a power of two; ranges of a group of blocks that lie in one file; chunks of a file.
 RANGE_BITS, GROUP_BITS, PART_ROWS = 6, 10, 1 << 16
@@ -46,17 +53,20 @@ BUCKETS, SEEDS, NAMED, MERGE = 32, 8, 4096, 4
 #: A position in an array of positions: the field's number above this bit.
 FIELD_BIT = 28
 PLACE, LENGTH, SCORE = "__ord", "__len", "score"
+GRAM = 3
+GRAMS = "gram string, range bigint, bits bigint, bucket int"
 BLOCKS = "term string, range bigint, n int, tf bigint, most int, least int, ords array<bigint>, lens array<int>, fs array<int>, spots array<array<int>>, bucket int"
 
 
 @dataclass
 class Reads:
-    """What a search has read: posting blocks, of all; files with chunks, of all."""
+    """What a search has read: posting blocks, of all; files with chunks, of all. Of a search for substrings the chunks that were looked through."""
 
     blocks: int = 0
     blocks_in_index: int = 0
     files: int = 0
     files_in_index: int = 0
+    candidates: int | None = None
 
 
 def bucket_of(term: str) -> int:
@@ -93,7 +103,42 @@ def blocks_of(chunks: DataFrame) -> DataFrame:
     return told.select("term", "range", F.size("p").alias("n"), tf.alias("tf"), F.array_max(of("f")).alias("most"), F.array_min(of("l")).alias("least"), of("o").alias("ords"), of("l").alias("lens"), of("f").alias("fs"), of("s").alias("spots"), "bucket")
 
 
-def write_segment(chunks: DataFrame, key: str, at: str, part_rows: int) -> dict:
+def grams(low: str) -> set[str]:
+    return {low[i : i + GRAM] for i in range(len(low) - GRAM + 1)}
+
+
+def write_grams(stored: DataFrame, to: str) -> None:
+    """The threes of characters of stored chunks: for each and each range the bits of the chunks that have it. A task sums up a range before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[str, int] = {}
+        at = None
+
+        def made() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(bits), pa.string()), pa.array([at] * len(bits), pa.int64()), pa.array([x - (1 << 64) if x >> 63 else x for x in bits.values()], pa.int64())], ["gram", "range", "bits"])
+            bits.clear()
+            return out
+
+        for batch in batches:
+            for place, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if place >> RANGE_BITS != at:
+                    if bits:
+                        yield made()
+                    at = place >> RANGE_BITS
+                bit = 1 << (place & (1 << RANGE_BITS) - 1)
+                for g in grams(low):
+                    bits[g] = bits.get(g, 0) | bit
+        if bits:
+            yield made()
+
+    rows = stored.select(PLACE, F.lower("text").alias("low")).where("low is not null").mapInArrow(run, "gram string, range bigint, bits bigint")
+    rows = rows.select("*", (F.crc32(F.col("gram").cast("binary")) % BUCKETS).cast("int").alias("bucket"), F.shiftright("range", GROUP_BITS).alias("group"))
+    whole = rows.repartition("bucket", "group").groupBy("bucket", "group", "gram", "range").agg(F.bit_or("bits").alias("bits"))
+    whole = whole.select("gram", "range", "bits", "bucket").sortWithinPartitions("bucket", "gram", "range")
+    whole.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").partitionBy("bucket").parquet(f"{to}/grams")
+
+
+def write_segment(chunks: DataFrame, key: str, at: str, part_rows: int, substrings: bool = False) -> dict:
     """A segment of these chunks; what the manifest says of it."""
     spark, name = chunks.sparkSession, uuid.uuid4().hex
     to = f"{at}/segments/{name}"
@@ -108,6 +153,8 @@ def write_segment(chunks: DataFrame, key: str, at: str, part_rows: int) -> dict:
     stored.select(F.col(key).alias("key"), PLACE).repartitionByRange(parts, "key").sortWithinPartitions("key").write.option("compression", "zstd").parquet(f"{to}/keys")
     made = blocks_of(stored).sortWithinPartitions("bucket", "term", "range")
     made.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").partitionBy("bucket").parquet(f"{to}/blocks")
+    if substrings:
+        write_grams(stored, to)
     n, files = spark.read.parquet(f"{to}/files").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, blocks = spark.read.schema(BLOCKS).parquet(f"{to}/blocks").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.count(F.lit(1))).first() if n else (0, 0)
     return {"name": name, "n": n, "tokens": tokens, "blocks": blocks, "files": files, "gone": []}
@@ -122,6 +169,7 @@ class SegmentIndex:
         self.columns: list[str] = told["columns"]
         self.segments: list[dict] = told["segments"]
         self.part_rows: int = told["part_rows"]
+        self.substrings: bool = told.get("substrings", False)
         self.reads = Reads()
 
     # ---- versions
@@ -139,13 +187,16 @@ class SegmentIndex:
             raise ValueError(f"no index in {at}")
         return cls(spark, at, number, told)
 
-    def _next(self, segments: list[dict]) -> SegmentIndex:
-        told = self.told | {"segments": segments}
+    def _segment(self, chunks: DataFrame) -> dict:
+        return write_segment(chunks.select(*self.columns), self.key, self.at, self.part_rows, self.substrings)
+
+    def _next(self, segments: list[dict], **more) -> SegmentIndex:
+        told = self.told | {"segments": segments} | more
         return SegmentIndex(self.spark, self.at, manifest.commit(self.spark, self.at, self.version, told), told)
 
     def add(self, chunks: DataFrame) -> SegmentIndex:
         """With new chunks, whose keys the index doesn't have."""
-        return self._next(self._merged([*self.segments, write_segment(chunks.select(*self.columns), self.key, self.at, self.part_rows)]))
+        return self._next(self._merged([*self.segments, self._segment(chunks)]))
 
     def delete(self, keys: DataFrame) -> SegmentIndex:
         """Without the chunks of these keys; keys that it doesn't have don't matter."""
@@ -153,7 +204,15 @@ class SegmentIndex:
 
     def change(self, chunks: DataFrame) -> SegmentIndex:
         """With these chunks in place of those with their keys, new ones included."""
-        return self._next(self._merged([*self._without(chunks.select(self.key)), write_segment(chunks.select(*self.columns), self.key, self.at, self.part_rows)]))
+        return self._next(self._merged([*self._without(chunks.select(self.key)), self._segment(chunks)]))
+
+    def with_substrings(self) -> SegmentIndex:
+        """With what substring() needs; later changes keep it up."""
+        if self.substrings:
+            return self
+        for s in self.segments:
+            write_grams(self._chunks(s), f"{self.at}/segments/{s['name']}")
+        return self._next(self.segments, substrings=True)
 
     def _without(self, keys: DataFrame) -> list[dict]:
         wanted = keys.select(F.col(self.key).alias("key")).distinct()
@@ -190,7 +249,7 @@ class SegmentIndex:
                 out += full
                 continue
             rows = reduce(DataFrame.unionByName, [self._alive(self._chunks(s), s).select(*self.columns) for s in full])
-            out.append(write_segment(rows, self.key, self.at, self.part_rows))
+            out.append(self._segment(rows))
         return out
 
     # ---- tables
@@ -408,6 +467,37 @@ class SegmentIndex:
         return self.fetch(self.top(node, limit, where, allowed)).orderBy(F.desc(SCORE), self.key).limit(limit)
 
 
+    def candidates(self, words: tuple[str, ...]) -> DataFrame | None:
+        """segment, range and bits of the chunks that have all threes of the words; None if no word has three characters."""
+        asked = sorted(set().union(*(grams(w.lower()) for w in words)) if words else ())
+        if not asked or not self.substrings:
+            return None
+        buckets = sorted({bucket_of(g) for g in asked})
+        rows = self._union(lambda s: self.spark.read.schema(GRAMS).parquet(f"{self.at}/segments/{s['name']}/grams").where(F.col("bucket").isin(buckets) & F.col("gram").isin(asked)))
+        if rows is None:
+            return None
+        return rows.groupBy("segment", "range").agg(F.count(F.lit(1)).alias("n"), F.bit_and("bits").alias("bits")).where((F.col("n") == len(asked)) & (F.col("bits") != 0)).drop("n")
+
+    def substring(self, words: tuple[str, ...], limit: int, where: Column | None = None, allowed: DataFrame | None = None) -> DataFrame:
+        """What fts.like() gives of the index's chunks, but that only candidates are looked through. Words under three characters alone, or an index without with_substrings(), mean all chunks."""
+        self.reads = Reads(blocks_in_index=sum(s["blocks"] for s in self.segments), files_in_index=sum(s["files"] for s in self.segments))
+        found = self.candidates(words)
+        if found is None:
+            rows = self.chunks()
+        else:
+            found = written(found, "candidates")
+            self.reads.candidates = found.agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0))).first()[0]
+            one = F.filter(F.sequence(F.lit(0), F.lit((1 << RANGE_BITS) - 1)), lambda i: F.getbit("bits", i) == 1)
+            places = found.select("segment", F.explode(one).alias("i"), "range").select("segment", (F.shiftleft("range", RANGE_BITS) + F.col("i")).alias(PLACE))
+            for k, s in enumerate(self.segments):
+                if s["gone"]:
+                    places = places.join(self._gone(s, "places", f"{PLACE} bigint").withColumn("segment", F.lit(k)), ["segment", PLACE], "left_anti")
+            rows = self.joined(places)
+        if allowed is not None:
+            rows = rows.join(allowed.select(self.key), self.key, "left_semi")
+        return fts.like(rows, words, limit, where, self.key)
+
+
 def _plain(node) -> bool:
     """Whether only frequencies matter: single terms joined by AND and OR."""
     if isinstance(node, fts.Phrase):

@@ -46,6 +46,14 @@ def ask(tables: dict[str, DataFrame], made: fts.Index | segments.SegmentIndex, q
     return found.select(*HIT, "score")
 
 
+def containing(tables: dict[str, DataFrame], made: segments.SegmentIndex, words: tuple[str, ...], limit: int = 40, kinds: Iterable[str] = (), sources: Iterable[str] = (), keywords: tuple[str, ...] = ()) -> DataFrame:
+    """The hits whose texts contain all words as they are, those with the first word earliest first; score 1 / rank. Only documents that are well count."""
+    known = [filters.resolve_source(tables["sources"], s) for s in sources]
+    where = filters.condition(filters.parse_kinds(list(kinds)), known, keywords)
+    found = made.substring(words, limit, where, searchable(tables).select("chunk_id"))
+    return F.broadcast(found.drop("title")).join(well(tables), "document_id").select(*HIT, "score")  # at most `limit` rows
+
+
 def ask_all(tables: dict[str, DataFrame], made: segments.SegmentIndex, queries: DataFrame, settings: Retrieval = Retrieval(), kinds: Iterable[str] = (), sources: Iterable[str] = (), keywords: tuple[str, ...] = (), stopwords: frozenset[str] | None = None) -> DataFrame:
     """The hits of many queries by their words alone, in one plan: query_id, position and the columns of a hit. queries: query_id and query. What ask() gives without an embedder."""
     known = [filters.resolve_source(tables["sources"], s) for s in sources]

@@ -393,6 +393,13 @@ def stored_filtered(spark, sf_dir):
     return hits.select("chunk_id", "uri", F.round("score", 9).alias("score"))
 
 
+def stored_containing(spark, sf_dir):
+    """The lines of searchable documents that contain two pieces of words, with their documents, by the index of substrings."""
+    tables = _tables(spark, sf_dir)
+    made = kept_index(spark, sf_dir, "lines-substrings", lambda at: stored.keep_index(tables, at).with_substrings())
+    return stored.containing(tables, made, ("neda", "rine"), keywords=("the",)).select("chunk_id", "document_id", "uri", "title", F.round("score", 9).alias("score"))
+
+
 def stored_pack(spark, sf_dir):
     """From the stored tables to packs of two queries."""
     tables = _tables(spark, sf_dir)
@@ -443,7 +450,7 @@ def rerank_hook(spark, sf_dir):
 OR_SQL = scores_sql(TERMS, False)
 QUERIES = {f.__name__: f for f in (
     fts_bm25_or, fts_bm25_and, fts_keyword_and, fts_phrase, fts_near, fts_fallback_ladder, fts_filtered, like_fallback, fts_tokenize, fts_term_stats, fts_postings, fts_build_index, fts_incremental, fts_many_queries, packs_of_many_queries, filter_kind_source_keyword,
-    vector_topk_exact, vector_topk_filtered, vector_dims_guard, embedding_coverage, rrf_fuse, diversify_by_document, hybrid_search, near_duplicate_all_pairs, stored_search, stored_filtered, stored_pack, chunk_cover, chunk_overlap,
+    vector_topk_exact, vector_topk_filtered, vector_dims_guard, embedding_coverage, rrf_fuse, diversify_by_document, hybrid_search, near_duplicate_all_pairs, stored_search, stored_filtered, stored_containing, stored_pack, chunk_cover, chunk_overlap,
     context_pack, context_pack_markdown, context_pack_json, chunk_documents, chunk_lines, token_estimate, rerank_hook,
 )}
 ORACLE_SQL = {
@@ -475,6 +482,9 @@ kind in ('prose', 'code') and source_id in ('src1', 'src2') and contains(lower(t
     "near_duplicate_all_pairs": NEAR_ALL_SQL,
     "stored_search": STORED_SEARCH_SQL,
     "stored_filtered": STORED_FILTERED_SQL,
+    "stored_containing": """with l as (select doc_id, unnest(string_split(text, chr(10))) text, unnest(range(len(string_split(text, chr(10))))) i from documents), d as (select doc_id || ':' || i chunk_id, doc_id, lower(text) t from l where trim(text) <> ''),
+m as (select *, row_number() over (order by instr(t, 'neda'), chunk_id) n from d where contains(t, 'neda') and contains(t, 'rine') and contains(t, 'the') and doc_id % 7 <> 0)
+select chunk_id, doc_id::varchar document_id, 'doc://' || doc_id uri, 'Document ' || doc_id title, round(1.0::double / n, 9) score from m where n <= 40""",
     "chunk_cover": "select doc_id, md5(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+', '', 'g')) held, true small from documents where trim(text) <> ''",
     "chunk_overlap": "select 0::bigint missing, 0::bigint at_start",
     "chunk_lines": "with l as (select doc_id, unnest(string_split(text, chr(10))) text, unnest(range(len(string_split(text, chr(10)))))::integer chunk_index from documents) select doc_id, chunk_index, text, sha256(text) content_hash from l where trim(text) <> ''",

@@ -60,6 +60,19 @@ def rerank_response(body: dict, n: int) -> list[tuple[int, float]]:
     return sorted(out, key=lambda x: -x[1])
 
 
+#: The names that services give to their answers and to what is in them.
+_ANSWER = "array<struct<index:int, document_index:int, relevance_score:double, score:double, relevanceScore:double>>"
+
+
+def reranked(hits: DataFrame, answers: DataFrame, query: str = "query_id") -> DataFrame:
+    """hits (query, position from 1) with the scores of a service's answers (query, body as JSON), whichever of the usual names it uses. Hits that an answer lacks are dropped, and what points nowhere."""
+    told = answers.select(query, F.from_json("body", f"results {_ANSWER}, data {_ANSWER}").alias("b"))
+    rows = told.select(query, F.inline(F.coalesce("b.results", "b.data")))
+    scores = rows.select(query, (F.coalesce("index", "document_index") + 1).alias("position"), F.coalesce("relevance_score", "score", "relevanceScore").alias("score"))
+    scores = scores.where("score is not null").groupBy(query, "position").agg(F.max("score").alias("score"))
+    return hits.drop("score").join(scores, [query, "position"])
+
+
 def fuse(
     text_hits: DataFrame, vector_hits: DataFrame | None, chunks: DataFrame, settings: Retrieval = Retrieval(), query: str = "", scorer=None, key: str = "chunk_id", named: Callable[[list], DataFrame] | None = None
 ) -> DataFrame:

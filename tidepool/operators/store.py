@@ -100,8 +100,8 @@ def stale_documents(documents: DataFrame, version: int) -> DataFrame:
 
 
 def uri_like_paths(chunks: DataFrame, sample: int = 5) -> DataFrame:
-    """Of a few chunks with a section path, those where it is an address."""
-    return chunks.where(F.col("section_path").isNotNull()).limit(sample).where(F.col("section_path").rlike("://"))
+    """Of the first chunks (by id) with a section path, those where it is an address."""
+    return chunks.where(F.col("section_path").isNotNull()).orderBy("id").limit(sample).where(F.col("section_path").rlike("://"))
 
 
 def listing(documents: DataFrame, sources: DataFrame) -> DataFrame:

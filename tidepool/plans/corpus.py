@@ -74,11 +74,13 @@ CONTENT = ["text/html; charset=utf-8", "application/json", "application/xhtml+xm
 
 
 def content_type_skip(spark, sf_dir):
-    rows = spark.createDataFrame([(i, c) for i, c in enumerate(CONTENT)], "id int, ct string")
+    """Content types as pages are served with, dealt over all pages."""
+    types = F.array(*(F.lit(c).cast("string") for c in CONTENT))
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.get(types, (F.col("page_id") % len(CONTENT)).cast("int")).alias("ct"))
     return rows.select("id", urls.skippable_content(F.col("ct")).alias("skip"), urls.html_content(F.col("ct")).alias("html"))
 
 
-_VALUES = ", ".join(f"({i}, {'null' if c is None else repr(c)})" for i, c in enumerate(CONTENT))
+_TYPES = ", ".join("null" if c is None else repr(c) for c in CONTENT)
 
 
 def ids_short_hash(spark, sf_dir):
@@ -259,11 +261,12 @@ def export_markdown(spark, sf_dir):
     return ingest.export(_documents(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("markdown")), "id"))
 
 
-LLMS = "# Site\n\n- [Start](https://ex.com/start): first\nhttps://ex.com/bare.\n/local/page/\n\n- [Start](https://ex.com/start)\nno link"
-
-
 def llms_txt_parse(spark, sf_dir):
-    return discovery.llms_txt(spark.createDataFrame([("https://ex.com/llms.txt", LLMS)], "url string, body string")).select("pos", "url")
+    """An llms.txt for every page: links, a bare address, a path of the site, a repetition."""
+    n = F.col("page_id").cast("string")
+    lines = [F.lit("# Site"), F.lit(""), F.concat(F.lit("- [Start](https://ex.com/start/"), n, F.lit("): first")), F.concat(F.lit("https://ex.com/bare/"), n, F.lit(".")), F.concat(F.lit("/local/page/"), n, F.lit("/")), F.lit(""), F.concat(F.lit("- [Again](https://ex.com/start/"), n, F.lit(")")), F.lit("no link")]
+    files_ = table(spark, sf_dir, "pages").select(F.concat(F.lit("https://s"), n, F.lit(".ex.com/llms.txt")).alias("url"), F.array_join(F.array(*lines), "\n").alias("body"))
+    return discovery.llms_txt(files_).select("base", "pos", "url")
 
 
 def sitemap_parse(spark, sf_dir):
@@ -272,26 +275,33 @@ def sitemap_parse(spark, sf_dir):
 
 
 def bfs_frontier(spark, sf_dir):
-    """A crawl over a graph of numbered pages: page n links to 2n and 2n + 1."""
-    n = 300
+    """A crawl over the graph of all pages: page n links to 2n and 2n + 1, page 0 is the root."""
     page = lambda c: F.concat(F.lit("https://ex.com/p/"), c.cast("string"))
-    nodes = spark.range(1, n)
-    edges = nodes.select(page(F.col("id")).alias("source"), F.lit(0).alias("pos"), page(2 * F.col("id")).alias("url")).union(nodes.select(page(F.col("id")), F.lit(1), page(2 * F.col("id") + 1)))
-    root = spark.createDataFrame([("https://ex.com/p", 0, "https://ex.com/p/1")], edges.schema)
-    return discovery.crawl("https://ex.com/p", edges.union(root), 100).select("url", "depth")
+    n = F.col("page_id")
+    pages = table(spark, sf_dir, "pages").select(F.when(n == 0, F.lit("https://ex.com/p")).otherwise(page(n)).alias("source"), "page_id")
+    edges = pages.where("page_id > 0").select("source", F.lit(0).alias("pos"), page(2 * n).alias("url")).union(pages.select("source", F.lit(1), page(2 * n + 1)))
+    return discovery.crawl("https://ex.com/p", edges).select("url", "depth")
 
 
 SPEC = '{"openapi":"3.0.0","info":{"title":"Pets","version":"1"},"servers":[{"url":"https://a.b"}],"paths":{"/pets/{id}":{"get":{"summary":"One pet","parameters":[{"name":"id","in":"path","required":true,"schema":{"type":"integer"}}],"responses":{"200":{"description":"ok","content":{"application/json":{"schema":{"$ref":"#/components/schemas/Pet"}}}}}}}},"components":{"schemas":{"Pet":{"type":"object","required":["id"],"properties":{"id":{"type":"integer"},"tags":{"type":"array","items":{"type":"string"}}}}}}}'
 
 
 def openapi_markdown(spark, sf_dir):
-    rows = spark.createDataFrame([(0, SPEC), (1, "swagger: '2.0'\ninfo: {title: Y, version: '2'}\npaths: {}\n"), (2, "{}"), (3, "")], "id int, body string")
+    """A specification for every page, as JSON or YAML, some of them none."""
+    n = F.col("page_id").cast("string")
+    bodies = F.array(F.replace(F.lit(SPEC), F.lit("Pets"), F.concat(F.lit("Pets "), n)), F.concat(F.lit("swagger: '2.0'\ninfo: {title: Y"), n, F.lit(", version: '2'}\npaths: {}\n")), F.lit("{}"), F.lit(""))
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.get(bodies, (F.col("page_id") % 4).cast("int")).alias("body"))
     return rows.select("id", openapi.converted(F.col("body")).alias("o")).select("id", "o.*")
 
 
+#: Paths with a number in place of *.
+DOC_PATHS = ("a*/README.md", "docs/a*.md", "src/docs/b*.rst", "src/a*.md", "guide/x*.html", "documentation/y*.py", "x*/readme", "website/i*.htm")
+
+
 def docs_like_paths(spark, sf_dir):
-    paths = ["README.md", "docs/a.md", "src/docs/b.rst", "src/a.md", "guide/x.html", "documentation/y.py", "x/readme", "website/i.htm"]
-    rows = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "id int, path string")
+    """Paths of a repository with a file for every document."""
+    n, path = F.col("doc_id"), F.array(*map(F.lit, DOC_PATHS))
+    rows = table(spark, sf_dir, "documents").select(n.alias("id"), F.replace(F.get(path, (n % len(DOC_PATHS)).cast("int")), F.lit("*"), n.cast("string")).alias("path"))
     return rows.select("id", files.docs_like(F.col("path")).alias("docs"), files.wanted(F.col("path")).alias("wanted"))
 
 
@@ -318,7 +328,7 @@ y as (select url, pos, regexp_replace(url, '^(https?://[^/]+)/(en|de|fr|es)/', '
 select min(pos) pos, arg_min(url, {{'a': pref, 'b': length(regexp_extract(url, '^https?://[^/?]*([^?]*)', 1)), 'c': pos}}) url from y group by key""",
     "url_dedupe_version": f"""with {VERSIONED_SQL}, x as (select pos, url, url key, 0 pref from a union all select c.pos, c.url, a.url, 2 from c join a on c.pos = a.pos + 2000000)
 select min(pos) pos, arg_min(url, {{'p': pref, 'q': pos}}) url from x group by key""",
-    "content_type_skip": f"""with v(id, ct) as (values {_VALUES}), t as (select id, trim(string_split(lower(coalesce(ct, '')), ';')[1]) t from v)
+    "content_type_skip": f"""with v as (select page_id id, ([{_TYPES}])[page_id % {len(CONTENT)} + 1] ct from pages), t as (select id, trim(string_split(lower(coalesce(ct, '')), ';')[1]) t from v)
 select id, contains(t, 'json') or (contains(t, 'xml') and not contains(t, 'xhtml')) or regexp_matches(t, '^(image|audio|video)/') or t in ('application/pdf', 'application/octet-stream') or contains(t, 'javascript') or contains(t, 'wasm') skip,
 t = '' or contains(t, 'html') or starts_with(t, 'text/plain') or starts_with(t, 'text/markdown') html from t""",
     "ids_short_hash": "select doc_id, substr(sha256(source || ':' || doc_id), 1, 16) id, sha256(text) content_hash from documents",
@@ -357,9 +367,9 @@ from d full join n on d.source_id = n.source_id and d.uri = n.uri""",
     "reembed_text": "select doc_id, source || case when doc_id % 2 = 0 then chr(10) || lang else '' end || chr(10) || chr(10) || trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) \"text\" from documents",
     "ingest_status_counts": f"""with {DOCS_SQL} select count(*) filter (status = 'ok' and doc_id % 5 <> 0) pages_ok, count(*) filter (status = 'error' and doc_id % 5 <> 0) pages_failed, count(*) filter (doc_id % 5 = 0) pages_skipped,
 (select string_agg(uri || ' bad ' || id, '; ' order by uri) from (select * from d where status = 'error' and doc_id % 5 <> 0 order by uri limit 5)) errors from d""",
-    "llms_txt_parse": "select * from (values (2, 'https://ex.com/start'), (3, 'https://ex.com/bare'), (4, 'https://ex.com/local/page')) v(pos, url)",
+    "llms_txt_parse": "select 'https://s' || page_id || '.ex.com/llms.txt' base, pos, case pos when 4 then 'https://s' || page_id || '.ex.com' else 'https://ex.com' end || path || page_id url from pages, (values (2, '/start/'), (3, '/bare/'), (4, '/local/page/')) v(pos, path)",
     "sitemap_parse": "select url source, 0 pos, url, lower(url) like '%.xml' or lower(url) like '%sitemap%' nested from pages union all select url, 1, 'https://ex.com/more.xml', true from pages",
-    "bfs_frontier": "select 'https://ex.com/p' url, 0 depth union all select 'https://ex.com/p/' || i, 1 + floor(log2(i))::integer from range(1, 100) t(i)",
-    "docs_like_paths": "select * from (values (0, true, true), (1, true, true), (2, true, true), (3, false, true), (4, true, true), (5, false, true), (6, true, false), (7, true, true)) v(id, docs, wanted)",
+    "bfs_frontier": "select 'https://ex.com/p' url, 0 depth union all select 'https://ex.com/p/' || i, 1 + floor(log2(i))::integer from (select unnest(range(1, least(2 * count(*), 500))) i from pages)",
+    "docs_like_paths": "select doc_id id, doc_id % 8 not in (3, 5) docs, doc_id % 8 <> 6 wanted from documents",
     "event_windows": "select date_trunc('hour', ts) window_start, event_type, count(*) n from events group by all",
 }

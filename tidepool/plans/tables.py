@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import chunking, text, urls
@@ -96,7 +97,7 @@ def reembedded(spark, sf_dir):
 def existing_chunks(spark, sf_dir):
     """What a re-embedding reads: title (the chunk's, else its document's), section and text."""
     c = store.fill_titles(_chunks(spark, sf_dir).withColumn("title", F.nullif("title", F.lit(""))), _documents(spark, sf_dir))
-    return c.select("id", text.rerank_text(F.col("title"), F.col("heading"), F.substring("text", 1, 20)).alias("read"))
+    return c.select("id", text.rerank_text(F.col("title"), F.col("heading"), F.col("text")).alias("read"))
 
 
 def recent_sources(spark, sf_dir):
@@ -105,8 +106,8 @@ def recent_sources(spark, sf_dir):
 
 
 def address_like_paths(spark, sf_dir):
-    """Of the few chunks with a section path those where it is an address."""
-    c = _chunks(spark, sf_dir).where("id in ('0', '1', '2')").withColumn("section_path", F.when(F.col("id") != "1", F.concat(F.lit("https://x/"), "id")))
+    """Of the first chunks with a section path (by id) those where it is an address."""
+    c = _chunks(spark, sf_dir).withColumn("section_path", F.when(F.col("id") % 3 == 0, F.concat(F.lit("https://x/"), "id")).when(F.col("id") % 3 == 1, F.concat(F.lit("Guide > "), "id")))
     return store.uri_like_paths(c).select("id", "section_path")
 
 
@@ -196,10 +197,13 @@ def openapi_documents(spark, sf_dir):
 
 
 def rerank_positions(spark, sf_dir):
-    """A rerank service's answer over the ten longest documents; what points nowhere is dropped."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")).orderBy(F.desc_nulls_last("n"), "doc_id").limit(10).collect()
-    answer = {"data": [{"document_index": 9 - i, "relevanceScore": i / 10} for i in range(12)]}
-    return spark.createDataFrame([(rows[i]["doc_id"], float(s)) for i, s in hybrid.rerank_response(answer, 10)], "doc_id bigint, score double")
+    """A rerank service's answers, one for each source over its ten longest documents; what points nowhere is dropped."""
+    d = table(spark, sf_dir, "documents")
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc_nulls_last(F.length("text")), "doc_id"))
+    hits = d.select(F.col("source").alias("query_id"), "doc_id", place.alias("position")).where("position <= 10")
+    scored = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.struct((F.lit(9) - i).alias("document_index"), (i / 10).alias("relevanceScore")))
+    answers = d.select(F.col("source").alias("query_id")).distinct().select("query_id", F.to_json(F.struct(scored.alias("data"))).alias("body"))
+    return hybrid.reranked(hits, answers).select("query_id", "doc_id", "score")
 
 
 def ingest_errors(spark, sf_dir):
@@ -229,9 +233,9 @@ ORACLE_SQL = {
     "meta_put": "select source \"key\", case when source = 'src1' then 'changed' else min(lang) end \"value\" from documents group by 1 union all select 'new', '1'",
     "migrations": f"with {C_SQL} select id, coalesce(title, 'Title ' || (doc_id // 3)) title, 2::bigint steps from c",
     "reembedded": "select doc_id::varchar chunk_id, 'hashed-32' model_id, 32::integer dims, 1.0::double length from documents",
-    "existing_chunks": f"with {C_SQL} select id, concat_ws(chr(10), 'Title ' || (doc_id // 3), heading, nullif(regexp_replace(substr(text, 1, 20), '^\\s+|\\s+$', '', 'g'), '')) \"read\" from c",
+    "existing_chunks": f"with {C_SQL} select id, concat_ws(chr(10), 'Title ' || (doc_id // 3), heading, nullif(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '')) \"read\" from c",
     "recent_sources": "select source id, max(doc_id) updated_at from documents group by 1",
-    "address_like_paths": "select unnest(['0', '2']) id, unnest(['https://x/0', 'https://x/2']) section_path",
+    "address_like_paths": "with f as (select doc_id from documents where doc_id % 3 <> 2 order by doc_id::varchar limit 5) select doc_id::varchar id, 'https://x/' || doc_id section_path from f where doc_id % 3 = 0",
     "path_helpers": """with e as (select doc_id, source, ['.md', '.PY', '', '.bin', '.tsx', '.rst'][doc_id % 6 + 1] x from documents)
 select doc_id, 'file:///data%20set/' || source || '/' || doc_id || x uri, '/data set/' || source || '/' || doc_id || x back, 'https://a/b c' shown, doc_id || x "name", x in ('.PY', '.tsx') code, x <> '.bin' readable, case x when '.PY' then 'python' when '.tsx' then 'typescript' end "language" from e""",
     "word_helpers": r"""with w as (select doc_id, source, regexp_replace(regexp_extract(text, '^[^ \n]*'), '^[\p{P}\p{S}\p{Z}]+|[\p{P}\p{S}\p{Z}]+$', '', 'g') word from documents)
@@ -251,6 +255,6 @@ t as (select path from l where regexp_matches(path, '^(docs|guide)/') and doc_id
 select path, 'https://raw.githubusercontent.com/o/r/main/' || path url from t""",
     "openapi_documents": """select 'https://ex.com/' || source || '/openapi.json' uri, case when source not like '%0' then source end title, case when source like '%0' then 'error' else 'ok' end status, case when source not like '%0' then count(*)::varchar end version, source not like '%0' in_order
 from documents group by source""",
-    "rerank_positions": "with d as (select doc_id, row_number() over (order by length(text) desc nulls last, doc_id) - 1 i from documents) select doc_id, (9 - i) / 10.0::double score from d where i < 10",
+    "rerank_positions": "with d as (select source, doc_id, row_number() over (partition by source order by length(text) desc nulls last, doc_id) - 1 i from documents) select source query_id, doc_id, (9 - i) / 10.0::double score from d where i < 10",
     "ingest_errors": "select '/d/' || doc_id || '.md' uri, case when doc_id % 3 = 0 then 'error' else 'ok' end status, doc_id % 3 <> 0 chunks from documents",
 }

@@ -11,7 +11,8 @@ from tidepool.config import Chunking, Retrieval
 from tidepool.functions import chunking, text
 from tidepool.operators import batch, filters, fts, hybrid, manifest, near, pack, stored, vector
 from tidepool.operators.segments import FIELD_BIT, PLACE, SegmentIndex
-from tidepool.session import work_dir
+from tidepool.operators.vector_index import VectorIndex
+from tidepool.session import work_dir, written
 
 QUERY = '"the and" thanedble eriner'
 TERMS = ("idiot", "thanedble", "reedes", "eauoué", "verschzu")
@@ -217,6 +218,23 @@ def vector_topk_filtered(spark, sf_dir):
     return vector.top_k(e, _probe(e), 40, where=F.col("label").isin(1, 2, 3), model_id="fixture").select("chunk_id", F.round("score", 6).alias("score"))
 
 
+def vector_index_exact(spark, sf_dir):
+    """The exact path of a stored index, filters first."""
+    index = VectorIndex.create(embeddings(spark, sf_dir), f"{work_dir(spark)}/vectors-{uuid.uuid4().hex}", attributes=("label",))
+    return index.search(_probe(embeddings(spark, sf_dir)), 40, where=F.col("label").isin(1, 2, 3), exact=True).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+def vector_index_recall(spark, sf_dir):
+    """Queries of a stored index, all vectors whose id 20 divides: how many, and whether nine in ten of their 40 nearest are found by cells and codes."""
+    e = embeddings(spark, sf_dir)
+    index = VectorIndex.create(e, f"{work_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    asked = written(e.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector")), "asked")
+    some = index.search_all(asked, 40).select("query_id", "chunk_id", F.lit(1).alias("found"))
+    every = index.search_all(asked, 40, probes=len(index.centres)).select("query_id", "chunk_id")
+    told = every.join(some, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("found", F.lit(0))).alias("recall"))
+    return told.agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("reached"))
+
+
 def vector_dims_guard(spark, sf_dir):
     return vector.dims_guard(embeddings(spark, sf_dir), 64).groupBy("dims").agg(F.count(F.lit(1)).alias("n"))
 
@@ -450,7 +468,7 @@ def rerank_hook(spark, sf_dir):
 OR_SQL = scores_sql(TERMS, False)
 QUERIES = {f.__name__: f for f in (
     fts_bm25_or, fts_bm25_and, fts_keyword_and, fts_phrase, fts_near, fts_fallback_ladder, fts_filtered, like_fallback, fts_tokenize, fts_term_stats, fts_postings, fts_build_index, fts_incremental, fts_many_queries, packs_of_many_queries, filter_kind_source_keyword,
-    vector_topk_exact, vector_topk_filtered, vector_dims_guard, embedding_coverage, rrf_fuse, diversify_by_document, hybrid_search, near_duplicate_all_pairs, stored_search, stored_filtered, stored_containing, stored_pack, chunk_cover, chunk_overlap,
+    vector_topk_exact, vector_topk_filtered, vector_index_exact, vector_index_recall, vector_dims_guard, embedding_coverage, rrf_fuse, diversify_by_document, hybrid_search, near_duplicate_all_pairs, stored_search, stored_filtered, stored_containing, stored_pack, chunk_cover, chunk_overlap,
     context_pack, context_pack_markdown, context_pack_json, chunk_documents, chunk_lines, token_estimate, rerank_hook,
 )}
 ORACLE_SQL = {
@@ -474,6 +492,8 @@ union all select chunk_id, 'title', unnest(i), unnest(range(len(i))) from tok) s
 kind in ('prose', 'code') and source_id in ('src1', 'src2') and contains(lower(text), 'the') after_ranking from d""",
     "vector_topk_exact": VECTOR_SQL.format(where=""),
     "vector_topk_filtered": VECTOR_SQL.format(where="where label in (1, 2, 3)"),
+    "vector_index_exact": VECTOR_SQL.format(where="where label in (1, 2, 3)"),
+    "vector_index_recall": "select count(*) queries, true reached from embeddings where vec_id % 20 = 0",
     "vector_dims_guard": "select len(embedding)::integer dims, count(*) n from embeddings where len(embedding) = 64 group by 1",
     "embedding_coverage": "select c.n chunks, e.n embeddings, c.n = 0 or e.n >= c.n covered from (select count(*) n from documents) c, (select count(*) n from embeddings) e",
     "rrf_fuse": f"{OR_SQL}, {RRF_SQL} select chunk_id, round(score, 9) score, p.l::integer list, p.r::integer rank from f",

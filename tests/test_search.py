@@ -85,6 +85,18 @@ def test_migrations_and_meta(spark):
     assert store.get_meta(store.put_meta(meta, "k", "v"), "k") == "v" and store.get_meta(meta, "k") is None
 
 
+def test_migration_ledger(spark):
+    meta, rows = spark.createDataFrame([], "key string, value string"), spark.createDataFrame([(1,)], "a int")
+    steps = [store.Step("a", "adds nothing", lambda t: t), store.Step("b", "adds x", lambda t: t | {"x": rows})]
+    tables, new = store.migrate({"meta": meta}, steps)
+    assert new == ["a", "b"] and {r.key: r.value for r in tables["meta"].collect()} == {f"migration:{s.name}": s.checksum for s in steps}
+    with pytest.raises(store.ChangedStep, match="b"):
+        store.migrate(tables, [steps[0], store.Step("b", "adds y", steps[1].run)])
+    old, new = store.migrate({"meta": meta, "documents": rows}, steps, baseline=1)  # a store from before there was a ledger
+    assert new == ["b"] and old["meta"].count() == 2 and "x" in old
+    assert store.migrate({"meta": meta, "documents": rows.limit(0)}, steps, baseline=1)[1] == ["a", "b"]
+
+
 def test_work_is_tagged_while_it_can_be_cancelled(spark):
     from tidepool.streaming.control import cancellable
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,14 +142,43 @@ def get_meta(meta: DataFrame, key: str) -> str | None:
     return row["value"] if row else None
 
 
-def migrate(tables: dict[str, DataFrame], steps: list[tuple[str, Callable[[dict[str, DataFrame]], dict[str, DataFrame]]]]) -> tuple[dict[str, DataFrame], list[str]]:
-    """The tables after all steps that their meta table hasn't registered, in order, and those steps' names."""
-    done = {r["key"] for r in tables["meta"].where(F.col("key").startswith("migration:")).collect()}  # a row for each step
-    new = [(name, step) for name, step in steps if f"migration:{name}" not in done]
-    for name, step in new:
-        tables = step(tables)
-        tables = tables | {"meta": put_meta(tables["meta"], f"migration:{name}", "done")}
-    return tables, [name for name, _ in new]
+@dataclass(frozen=True)
+class Step:
+    """A migration. definition: a text that says what it does; its checksum is kept, so a step that was changed afterwards is noticed."""
+
+    name: str
+    definition: str
+    run: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
+
+    @property
+    def checksum(self) -> str:
+        return hashlib.sha256(self.definition.encode()).hexdigest()
+
+
+class ChangedStep(RuntimeError):
+    """A step that the ledger has with another definition."""
+
+
+def migrate(tables: dict[str, DataFrame], steps: list[Step | tuple[str, Callable]], baseline: int = 0) -> tuple[dict[str, DataFrame], list[str]]:
+    """The tables after all steps that the ledger in their meta table lacks, in order, and those steps' names.
+
+    A step that the ledger has with another checksum is refused before anything runs.
+    baseline: how many first steps a store has had that holds rows but no ledger; they
+    are entered, not run. (name, function) stands for a step that its name defines.
+    """
+    known = [s if isinstance(s, Step) else Step(s[0], s[0], s[1]) for s in steps]
+    ledger = {r["key"].removeprefix("migration:"): r["value"] for r in tables["meta"].where(F.col("key").startswith("migration:")).collect()}  # a row for each step
+    for step in known:
+        if ledger.get(step.name, step.checksum) not in (step.checksum, "done"):
+            raise ChangedStep(f"migration {step.name} was applied with another definition")
+    entered: list[Step] = []
+    if not ledger and any(not t.isEmpty() for name, t in tables.items() if name != "meta"):
+        entered = known[:baseline]
+    new = [step for step in known[len(entered) :] if step.name not in ledger]
+    for step in [*entered, *new]:
+        tables = tables if step in entered else step.run(tables)
+        tables = tables | {"meta": put_meta(tables["meta"], f"migration:{step.name}", step.checksum)}
+    return tables, [step.name for step in new]
 
 
 def put_meta(meta: DataFrame, key: str, value: str) -> DataFrame:

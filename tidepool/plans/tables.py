@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import chunking, text, urls
 from tidepool.operators import fts, hybrid, ingest, store, vector
+from tidepool.operators.snapshots import Snapshots
 from tidepool.schema import CHUNKS, DOCUMENTS, EMBEDDINGS
+from tidepool.session import work_dir
 from tidepool.sources import discovery, files
 
 
@@ -206,6 +209,16 @@ def rerank_positions(spark, sf_dir):
     return hybrid.reranked(hits, answers).select("query_id", "doc_id", "score")
 
 
+def snapshot_changes(spark, sf_dir):
+    """A store of all documents: one source's get a new state and no title, new ones come, another source goes; then what it holds."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_id"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("uri"), F.col("lang").alias("title"), F.sha2("text", 256).alias("content_hash"), F.lit("ok").alias("status"))
+    of = Snapshots.create(spark, f"{work_dir(spark)}/store-{uuid.uuid4().hex}", {"documents": (d, ["source_id", "uri"])})
+    changed = d.where("source_id = 'src1'").withColumns({"title": F.lit(None).cast("string"), "status": F.lit("error")})
+    new = d.where("source_id = 'src2'").withColumns({"id": F.concat(F.lit("n"), "id"), "uri": F.concat("uri", F.lit("/new"))})
+    of = of.edit().upsert("documents", changed.union(new), ["source_id", "uri"], store.KEEP_DOCUMENT).commit()
+    return of.edit().delete("documents", of.table("documents").where("source_id = 'src3'")).commit().table("documents")
+
+
 def ingest_errors(spark, sf_dir):
     """Documents that were well and fail now keep their row as an error and lose their chunks."""
     d = table(spark, sf_dir, "documents")
@@ -220,11 +233,13 @@ def ingest_errors(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     upsert_sources, upsert_embeddings, delete_documents, remove_all, rebuilt_vectors, meta_put, migrations, reembedded, existing_chunks, recent_sources, address_like_paths, path_helpers, word_helpers,
-    fetch_scopes, resolved_links, followed, full_dump, selected_urls, tree_files, openapi_documents, rerank_positions, ingest_errors,
+    fetch_scopes, resolved_links, followed, full_dump, selected_urls, tree_files, openapi_documents, rerank_positions, snapshot_changes, ingest_errors,
 )}
 
 C_SQL = "c as (select doc_id::varchar id, doc_id, 'd' || (doc_id // 3) document_id, text, case when doc_id % 2 = 0 then lang end heading, case when doc_id % 4 = 0 then '' end title from documents)"
 ORACLE_SQL = {
+    "snapshot_changes": """with d as (select doc_id::varchar id, source source_id, 'doc://' || doc_id uri, lang title, sha256(text) content_hash, case when source = 'src1' then 'error' else 'ok' end status from documents where source is distinct from 'src3')
+select * from d union all select 'n' || id, source_id, uri || '/new', title, content_hash, status from d where source_id = 'src2'""",
     "upsert_sources": """with d as (select distinct source s from documents) select s id, 'x://' || s root_uri, upper(s) title, 'ready' status, '{"a":1}' meta_json from d union all select 'n' || s, 'y://' || s, 'new', 'pending', '{}' from d""",
     "upsert_embeddings": "select vec_id::varchar chunk_id, case when vec_id % 3 = 0 then 'new' else 'old' end model_id, len(embedding)::integer dims from embeddings union all select 'n' || vec_id, 'new', len(embedding)::integer from embeddings where vec_id % 3 <> 0",
     "delete_documents": f"with {C_SQL} select 'chunk' kind, id from c where document_id not like '%0' union all select 'embedding', vec_id::varchar from embeddings where vec_id::varchar not in (select id from c where document_id like '%0')",

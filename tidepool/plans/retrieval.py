@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepool.config import Chunking, Retrieval
 from tidepool.functions import chunking, text
+from tidepool.functions import tables as table_functions
 from tidepool.operators import batch, filters, fts, hybrid, manifest, near, pack, stored, vector
 from tidepool.operators.segments import FIELD_BIT, PLACE, SegmentIndex
 from tidepool.operators.vector_index import VectorIndex
@@ -170,12 +171,10 @@ def fts_postings(spark, sf_dir):
 
 
 def fts_build_index(spark, sf_dir):
-    """A new index of all documents, written whole: what it holds."""
-    made = SegmentIndex.create(chunks(spark, sf_dir), f"{work_dir(spark)}/index-{uuid.uuid4().hex}")
+    """What the index of all documents holds, which is written if this session's queries haven't yet."""
+    made = text_index(spark, sf_dir)
     postings = made.blocks(heads=True).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("postings"))
-    out = postings.select(F.lit(made.n).cast("bigint").alias("chunks"), F.lit(made.tokens).cast("bigint").alias("tokens"), "postings").collect()
-    manifest.remove(spark, made.at)
-    return spark.createDataFrame(out, "chunks bigint, tokens bigint, postings bigint")
+    return postings.select(F.lit(made.n).cast("bigint").alias("chunks"), F.lit(made.tokens).cast("bigint").alias("tokens"), "postings")
 
 
 def fts_incremental(spark, sf_dir):
@@ -253,6 +252,20 @@ def _lists(spark, sf_dir):
     return c, fts.search(text_index(spark, sf_dir), c, fts.Some(words(*TERMS)), 40).select("chunk_id", F.round("score", 6).alias("score")), near
 
 
+def sql_best_rows(spark, sf_dir):
+    """The three longest documents of each source, by SQL text with a table function."""
+    table_functions.register(spark)
+    chunks(spark, sf_dir).select("chunk_id", "source_id", F.length("text").alias("n")).createOrReplaceTempView("tidepool_sizes")
+    return spark.sql("select chunk_id, source_id, rank from best_rows(table(tidepool_sizes) partition by source_id order by (n desc nulls last, chunk_id), 3)")
+
+
+def sql_word_matches(spark, sf_dir):
+    """Where two words stand in all documents, by SQL text with a lateral table function."""
+    table_functions.register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("tidepool_documents")
+    return spark.sql("select d.doc_id, m.term, m.pos from tidepool_documents d, lateral word_matches(d.text, 'Thanedble eriner') m")
+
+
 def rrf_fuse(spark, sf_dir):
     _, a, b = _lists(spark, sf_dir)
     fused = hybrid.rrf([hybrid.ranked(a), hybrid.ranked(b)])
@@ -468,7 +481,7 @@ def rerank_hook(spark, sf_dir):
 OR_SQL = scores_sql(TERMS, False)
 QUERIES = {f.__name__: f for f in (
     fts_bm25_or, fts_bm25_and, fts_keyword_and, fts_phrase, fts_near, fts_fallback_ladder, fts_filtered, like_fallback, fts_tokenize, fts_term_stats, fts_postings, fts_build_index, fts_incremental, fts_many_queries, packs_of_many_queries, filter_kind_source_keyword,
-    vector_topk_exact, vector_topk_filtered, vector_index_exact, vector_index_recall, vector_dims_guard, embedding_coverage, rrf_fuse, diversify_by_document, hybrid_search, near_duplicate_all_pairs, stored_search, stored_filtered, stored_containing, stored_pack, chunk_cover, chunk_overlap,
+    vector_topk_exact, vector_topk_filtered, vector_index_exact, vector_index_recall, vector_dims_guard, embedding_coverage, sql_best_rows, sql_word_matches, rrf_fuse, diversify_by_document, hybrid_search, near_duplicate_all_pairs, stored_search, stored_filtered, stored_containing, stored_pack, chunk_cover, chunk_overlap,
     context_pack, context_pack_markdown, context_pack_json, chunk_documents, chunk_lines, token_estimate, rerank_hook,
 )}
 ORACLE_SQL = {
@@ -492,6 +505,8 @@ union all select chunk_id, 'title', unnest(i), unnest(range(len(i))) from tok) s
 kind in ('prose', 'code') and source_id in ('src1', 'src2') and contains(lower(text), 'the') after_ranking from d""",
     "vector_topk_exact": VECTOR_SQL.format(where=""),
     "vector_topk_filtered": VECTOR_SQL.format(where="where label in (1, 2, 3)"),
+    "sql_best_rows": "select doc_id chunk_id, source source_id, row_number() over (partition by source order by length(text) desc nulls last, doc_id)::integer as rank from documents qualify row_number() over (partition by source order by length(text) desc nulls last, doc_id) <= 3",
+    "sql_word_matches": f"with {CHUNKS_SQL}, w as (select chunk_id, unnest(t) term, unnest(range(len(t)))::integer pos from tok) select chunk_id doc_id, term, pos from w where term in ('thanedble', 'eriner')",
     "vector_index_exact": VECTOR_SQL.format(where="where label in (1, 2, 3)"),
     "vector_index_recall": "select count(*) queries, true reached from embeddings where vec_id % 20 = 0",
     "vector_dims_guard": "select len(embedding)::integer dims, count(*) n from embeddings where len(embedding) = 64 group by 1",

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.minhash import CACHED, SPREAD, WordHashes
-from tidepool.llm.shared import bounded_batches, marked, mix64, offsets, prefilter, ragged, raw_texts, salted_join, scratch, slices, spread_join, tidied, unused
+from tidepool.llm.shared import ASCII_SPACE, bounded_batches, marked, mix64, offsets, prefilter, ragged, raw_texts, salted_join, scratch, slices, spread_join, tidied, unused
 
 MIN_WORDS, NEAR_WORDS, LETTERS, SLICE = 4, 8, 20, 1_000_000
 #: The inverse of SPREAD modulo 2^64.
@@ -130,6 +130,29 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> bool:
     return bool(np.array_equal(a[at:], b[at + 1 :]))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[list(ASCII_SPACE)] = True
+
+
+def counted(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and words of each text, from the bytes of all; 0 of null texts."""
+    column = column.cast(pa.large_string())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(at) else np.zeros(0, np.uint8)
+    edges = at - at[0] if len(at) else at
+    space = _SPACE[raw]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    some = np.flatnonzero(edges[:-1] < edges[1:])
+    first = edges[some]
+    begins[first] = ~space[first]  # a text's first byte has none before it
+    lines, words = np.zeros((2, len(column)), np.int64)
+    if len(some):
+        lines[some], words[some] = (np.add.reduceat(x, first, dtype=np.int64) for x in (raw == 10, begins))
+    return np.where(column.is_valid().to_numpy(zero_copy_only=False), lines + 1, 0), words
+
+
 def line_table(docs: DataFrame, key: str, text: str, letters: int | None = None) -> DataFrame:
     """doc, line, h and the hashes of halves k0 .. k3 (null for short lines) of every line with enough words."""
 
@@ -223,33 +246,31 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", at: st
     of, marks, hit = (unused(c, docs) for c in ("__doc", "__gone", "__hit"))
     listed = scratch(gone.groupBy(F.col("doc").alias(of)).agg(F.collect_list(F.struct("line", "h")).alias(marks)), "gone")
 
-    @F.pandas_udf("text string, n_lines bigint, n_removed bigint, n_words bigint, n_words_removed bigint")
-    def rewritten(column: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("text string, n_lines bigint, n_removed bigint, n_words bigint, n_words_removed bigint")
+    def rewritten(column: pa.Array, gone: pa.Array) -> pa.Array:
+        n_lines, n_words = counted(column)
+        removed, words_removed = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
+        new: list[str | None] = [None] * len(column)  # of texts that lose a line
         cache = WordHashes()
-        out = []
-        for value, marks in zip(column, gone, strict=True):
-            if value is None:
-                out.append((None, 0, 0, 0, 0))
-                continue
-            raw = value.encode("utf-8", "replace")
-            pieces, words, removed, words_removed, drop = raw.split(b"\n"), len(raw.split()), 0, 0, set()
-            if marks is not None and len(marks):
-                want = {(m["line"], m["h"]) for m in marks}
-                found = Lines([raw], cache, [sorted({m["line"] for m in marks})], letters)
-                hashes = found.full().view(np.int64).tolist()
-                for k, h, n in zip(found.number.tolist(), hashes, found.size.tolist(), strict=True):
-                    if (k, h) in want:
-                        drop.add(k)
-                        removed, words_removed = removed + 1, words_removed + n
-            new = b"\n".join(p for k, p in enumerate(pieces) if k not in drop).decode() if drop else value
-            out.append((new, len(pieces), removed, words, words_removed))
+        for i in np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False) & column.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            raw, want = column[i].as_py().encode("utf-8", "replace"), {(m["line"], m["h"]) for m in gone[i].as_py()}
+            found = Lines([raw], cache, [sorted({k for k, _ in want})], letters)
+            told = zip(found.number.tolist(), found.full().view(np.int64).tolist(), found.size.tolist(), strict=True)
+            drop = {k: n for k, h, n in told if (k, h) in want}
+            if drop:
+                removed[i], words_removed[i] = len(drop), sum(drop.values())
+                new[i] = b"\n".join(p for k, p in enumerate(raw.split(b"\n")) if k not in drop).decode()
             if len(cache) > CACHED:
                 cache.clear()
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_removed", "n_words", "n_words_removed"])
+        return pa.StructArray.from_arrays([pa.array(new, pa.string()), *map(pa.array, (n_lines, removed, n_words, words_removed))], ["text", "n_lines", "n_removed", "n_words", "n_words_removed"])
 
     # only documents that the filter lets through are dealt out to meet their marks
     told = marked(docs, key, listed.withColumnRenamed(of, key), hit)
     touched = told.where(F.col(hit)).join(listed, F.col(key) == F.col(of), "left").select(*docs.columns, marks)
     others = told.where(~F.col(hit)).select(*docs.columns, F.lit(None).cast(listed.schema[marks].dataType).alias(marks))
     both = touched.unionByName(others)
-    return both.withColumn(at, rewritten(both[text], both[marks])).drop(marks)
+    told, own = rewritten(both[text], both[marks]), unused("__told", both)
+    out = both.withColumn(own, told)
+    kept = F.when(F.col(own)["n_removed"] > 0, F.col(own)["text"]).otherwise(F.col(text))  # other texts needn't come back
+    fields = [kept.alias("text"), *(F.col(own)[c].alias(c) for c in ("n_lines", "n_removed", "n_words", "n_words_removed"))]
+    return out.withColumn(at, F.struct(*fields)).drop(marks, own)

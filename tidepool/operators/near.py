@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as texts
+from tidepool.session import written
 
 HEAD, SHORTEST, LEAST_GRAM = 240, 48, 16
 #: Odd; and its inverse modulo 2^64.
@@ -87,9 +88,9 @@ def all_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     texts), and all near-duplicate pairs of those. What a class's members are near to is what its smallest id is near to."""
     rows = docs.where(docs[key].isNotNull() & docs[text].isNotNull()).select(docs[key].alias("id"), texts.for_dedup(docs[text]).alias("t"))
     kind = docs.schema[key].dataType.simpleString()
-    reps = rows.groupBy("t").agg(F.min("id").alias("rep"))
-    members = rows.join(reps, "t").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(True).alias("equal"))
-    reps = reps.select(F.col("rep").alias("id"), "t", F.length("t").alias("n"))
+    rows = rows.withColumn("h", F.sha2("t", 256))  # classes are told by it; a text goes along once for each class and task
+    reps = written(rows.groupBy("h").agg(F.min("id").alias("id"), F.any_value("t").alias("t")).withColumn("n", F.length("t")), "classes")
+    members = rows.select(F.col("id").alias("b"), "h").join(reps.select("h", F.col("id").alias("a")), "h").where("a <> b").select("a", "b", F.lit(True).alias("equal"))
     long_enough = reps.where(F.col("n") >= SHORTEST)
 
     heads = long_enough.where(F.col("n") >= HEAD).select("id", "n", F.sha2(F.substring("t", 1, HEAD), 256).alias("head"))
@@ -109,7 +110,7 @@ def all_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                     k += found
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place, pa.int64())), pa.array(n, pa.int32()), pa.array(k, pa.int64()), pa.array(longer, pa.bool_())], ["id", "n", "k", "longer"])
 
-    keys = long_enough.select("id", "t").mapInArrow(emit, f"id {kind}, n int, k bigint, longer boolean")
+    keys = written(long_enough.select("id", "t").mapInArrow(emit, f"id {kind}, n int, k bigint, longer boolean"), "anchors")
     s, t = keys.where("not longer").alias("s"), keys.where("longer").alias("t")
     inside = s.join(t, (F.col("s.k") == F.col("t.k")) & (F.col("s.n") < F.col("t.n")) & (F.col("s.n") >= 0.75 * F.col("t.n"))).select(F.col("s.id").alias("a"), F.col("t.id").alias("b"))
 

@@ -48,6 +48,8 @@ from tidepool.session import written
 
 #: Chunks of a range, as a power of two; ranges of a group of blocks that lie in one file; chunks of a file.
 RANGE_BITS, GROUP_BITS, PART_ROWS = 6, 10, 1 << 16
+#: Chunks that are worth a task of their own.
+FEW_ROWS = 1 << 10
 #: Folders of blocks, ranges that are scored to begin with, ranges named one by one in a scan, and segments of like size that become one.
 BUCKETS, SEEDS, NAMED, MERGE = 32, 8, 4096, 4
 #: A position in an array of positions: the field's number above this bit.
@@ -142,7 +144,8 @@ def write_segment(chunks: DataFrame, key: str, at: str, part_rows: int, substrin
     """A segment of these chunks; what the manifest says of it."""
     spark, name = chunks.sparkSession, uuid.uuid4().hex
     to = f"{at}/segments/{name}"
-    parts = max(1, -(-chunks.count() // part_rows))
+    n = chunks.count()
+    parts = max(1, -(-n // part_rows), min(spark.sparkContext.defaultParallelism, n // FEW_ROWS))  # files are also what tasks are made of
     size = reduce(lambda a, b: a + b, [F.coalesce(F.length(f), F.lit(0)) for f in fts.FIELDS if f in chunks.columns])
     # neighbours of like length: a block's greatest score is then near what its chunks reach
     ordered = chunks.withColumn(LENGTH, size).repartitionByRange(parts, LENGTH, key).sortWithinPartitions(LENGTH, key).drop(LENGTH)

@@ -33,8 +33,22 @@ def work_dir(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/tidepool-{sc.applicationId}"
 
 
+#: The tables that written() has made in this process, oldest first, by application.
+_made: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df by way of a table in the shared folder: what it took to make it isn't done again."""
     at = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(df.sparkSession.sparkContext.applicationId, []).append(at)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def release_written(spark: SparkSession, newest: int = 0) -> None:
+    """Deletes the tables that written() has made but the newest ones. For callers that have kept all results that read the others."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    while len(made) > newest:
+        at = path(made.pop(0))
+        at.getFileSystem(conf).delete(at, True)

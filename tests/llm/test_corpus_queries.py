@@ -49,6 +49,7 @@ def tables(spark, tmp_path_factory):
     rng = np.random.default_rng(3)
     vectors = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(260)] + [(300, None), (400, [None] * 8)]
     spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
+    spark.createDataFrame([(1, 0, "user", "Why?")], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{at}/conversations.parquet")
     return at, rows, vectors
 
 

@@ -5,7 +5,8 @@ a bounded sample: at most SAMPLE vectors, a documented bound of the fit alone; e
 indexed. A cell's folder holds codes (the unit vector in steps of 1 / 127 of its greatest component)
 with the attributes that searches filter by, and apart from them the vectors themselves.
 
-A search scores the codes of the cells nearest to the query, filters first, takes the best
+A search scores the codes of the cells nearest to the query (as many as the sample shows to be
+enough for 95 % of the 40 nearest), filters first, takes the best
 SPARE times as many as asked for, reads the vectors of those and ranks by the exact
 cosine. If too few rows pass in the cells looked at, more cells are; `probes` of all cells, or
 exact=True, leaves nothing out. search_all() does it for a table of queries, a bounded group at a
@@ -33,8 +34,10 @@ from tidepool.session import written
 
 #: Vectors that centres are fitted on, the most centres, rounds of the fit, rows of a cell that lie in one file at most (about).
 SAMPLE, CELLS, ROUNDS, FILE_ROWS = 1 << 16, 1024, 12, 1 << 18
-#: Cells looked at, how many times as many rows as asked for are scored exactly, and queries sent to the tasks at once.
-PROBES, SPARE, GROUP = 24, 4, 1024
+#: How many times as many rows as asked for are scored exactly, and queries sent to the tasks at once.
+SPARE, GROUP = 4, 1024
+#: As many cells are looked at as hold this share of the NEAR nearest vectors of TRIED sampled ones.
+ENOUGH, NEAR, TRIED = 0.95, 40, 128
 
 
 def units(rows: np.ndarray) -> np.ndarray:
@@ -55,6 +58,21 @@ def centres(sample: np.ndarray, n: int) -> np.ndarray:
     return found
 
 
+def enough_cells(sample: np.ndarray, found: np.ndarray) -> int:
+    """Cells that searches look at: measured on the sample, by the places that its nearest vectors' cells have among a query's."""
+    near = min(NEAR, len(sample) - 1)
+    if near < 1:
+        return len(found)
+    cell, ranks = np.argmax(sample @ found.T, axis=1), []
+    for q in range(min(TRIED, len(sample))):
+        alike = sample @ sample[q]
+        alike[q] = -2.0
+        place = np.empty(len(found), int)
+        place[np.argsort(-(found @ sample[q]), kind="stable")] = np.arange(len(found))
+        ranks.append(place[cell[np.argpartition(-alike, near - 1)[:near]]])
+    return min(len(found), 1 + int(np.quantile(np.concatenate(ranks), ENOUGH, method="higher")))
+
+
 def usable(column: str, dims: int | None) -> Column:
     x = F.col(column)
     ok = (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
@@ -99,7 +117,8 @@ class VectorIndex:
         rows = written(rows.repartition("cell", parts).sortWithinPartitions("cell", "key"), "coded")
         rows.select("key", *attributes, "code", "scale", "cell").write.option("compression", "zstd").partitionBy("cell").parquet(f"{at}/codes")
         rows.select("key", "vector", "cell").write.option("compression", "zstd").partitionBy("cell").parquet(f"{at}/vectors")
-        told = {"key": key, "dims": dims, "n": total, "attributes": list(attributes), "centres": found.tolist(), "schema": kinds}
+        sizes = dict(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each cell
+        told = {"key": key, "dims": dims, "n": total, "sizes": [sizes.get(c, 0) for c in range(len(found))], "attributes": list(attributes), "centres": found.tolist(), "probes": enough_cells(sample, found), "schema": kinds}
         manifest.commit(spark, at, 0, told)
         return cls(spark, at, told)
 
@@ -119,11 +138,11 @@ class VectorIndex:
         """All cells, nearest first."""
         return np.argsort(-(self.centres @ units(np.array([vector], float))[0]), kind="stable").tolist()
 
-    def search(self, vector: list[float], limit: int, where: Column | None = None, probes: int = PROBES, exact: bool = False) -> DataFrame:
+    def search(self, vector: list[float], limit: int, where: Column | None = None, probes: int | None = None, exact: bool = False) -> DataFrame:
         """key and score (cosine) of the nearest rows that pass, best first. exact: by all vectors, whatever the cells."""
         if len(vector) != self.dims or limit < 1 or not self.told["n"] or not np.any(vector):
             return self._table("vectors").limit(0).select(F.col("key").alias(self.key), F.lit(0.0).alias("score"))
-        order, probes = self.nearest_cells(vector), len(self.centres) if exact else probes
+        order, probes = self.nearest_cells(vector), len(self.centres) if exact else probes or self.told["probes"]
         while True:
             cells = order[:probes]
             rows = self._table("codes").where(F.col("cell").isin(cells))
@@ -151,10 +170,10 @@ class VectorIndex:
 
         return alike
 
-    def search_all(self, queries: DataFrame, limit: int, where: Column | None = None, probes: int = PROBES) -> DataFrame:
-        """query_id, key, score and rank (from 1) of each query's nearest rows. queries: query_id and vector; those of another length find nothing."""
+    def search_all(self, queries: DataFrame, limit: int, where: Column | None = None, probes: int | None = None) -> DataFrame:
+        """query_id, key, score and rank (from 1) of each query's nearest rows. queries: query_id and vector; those of another length find nothing. A condition that few rows meet may leave a query with fewer than there are: then more probes are needed."""
         good = written(queries.where(usable("vector", self.dims)).select("query_id", F.col("vector").cast("array<float>").alias("vector")), "queries")
-        kind = good.schema["query_id"].dataType.simpleString()
+        kind, probes = good.schema["query_id"].dataType.simpleString(), probes or self.told["probes"]
         key_kind = self._table("vectors").schema["key"].dataType.simpleString()
         parts = max(1, -(-good.count() // GROUP))
         found = None
@@ -163,9 +182,12 @@ class VectorIndex:
             if not rows or not self.told["n"]:
                 continue
             ids, targets = [r["query_id"] for r in rows], units(np.array([r["vector"] for r in rows], float))
-            near = np.argsort(-(targets @ self.centres.T), axis=1, kind="stable")[:, :probes]
+            order = np.argsort(-(targets @ self.centres.T), axis=1, kind="stable")
+            held = np.cumsum(np.array(self.told["sizes"])[order], axis=1)
+            enough = np.maximum(probes, 1 + (held < SPARE * limit).sum(axis=1))  # cells that hold as many rows as are scored exactly
             wants = np.zeros((len(self.centres), len(ids)), bool)
-            wants[near.ravel(), np.repeat(np.arange(len(ids)), near.shape[1])] = True
+            for q, cells in enumerate(order):
+                wants[cells[: enough[q]], q] = True
             sent = self.spark.sparkContext.broadcast((ids, targets, wants))
 
             def scored(batches: Iterator[pa.RecordBatch], sent=sent, keep=SPARE * limit) -> Iterator[pa.RecordBatch]:
@@ -189,7 +211,7 @@ class VectorIndex:
                 for q, (score, name, at) in best.items():
                     yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(score), batch_kind(ids)), pa.array(at.astype(np.int32)), pa.array(name.tolist()), pa.array(score)], ["query_id", "cell", "key", "alike"])
 
-            codes = self._table("codes").where(F.col("cell").isin(sorted(set(near.ravel().tolist()))))
+            codes = self._table("codes").where(F.col("cell").isin(np.flatnonzero(wants.any(axis=1)).tolist()))
             codes = codes if where is None else codes.where(where)
             one = codes.select("cell", "key", "code", "scale").mapInArrow(scored, f"query_id {kind}, cell int, key {key_kind}, alike double")
             one = written(one, "scored")

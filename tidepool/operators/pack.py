@@ -17,8 +17,8 @@ SHARE, FLOOR = 0.45, 64
 EMPTY = "No matching documentation found. Add a source, then list what is indexed.\n"
 
 
-def fold(hits: list[dict], budget: int) -> tuple[list[dict], int, int]:
-    """Sections in order, their tokens, and the tokens of the raw hits seen. hits: best first."""
+def fold(hits: list[dict], budget: int, distinct: bool = False) -> tuple[list[dict], int, int]:
+    """Sections in order, their tokens, and the tokens of the raw hits seen. hits: best first. distinct: a section that repeats another once both are cut is left out, too."""
     cap = max(FLOOR, int(budget * SHARE))
     kept: list[dict] = []
     total = raw = 0
@@ -35,6 +35,8 @@ def fold(hits: list[dict], budget: int) -> tuple[list[dict], int, int]:
         for most in (allowed * 4, max(16, (allowed - 1) * 4)):
             if plain.estimate_tokens(body) > allowed:
                 body = plain.truncate(body, most)
+        if distinct and any(plain.near_duplicate(k["text"], body) for k in kept):
+            continue
         tokens = plain.estimate_tokens(body)
         if kept and total + tokens > budget:
             break
@@ -43,17 +45,17 @@ def fold(hits: list[dict], budget: int) -> tuple[list[dict], int, int]:
     return kept, total, raw
 
 
-def pack(hits: DataFrame, budget: int = 2400, query: str = "query_id") -> DataFrame:
+def pack(hits: DataFrame, budget: int = 2400, query: str = "query_id", distinct: bool = False) -> DataFrame:
     """One row per section: query, rank, title, uri, heading, text, score, tokens, and of the pack total_tokens, raw_tokens, saved_percent.
 
     hits: query, position (best first), and the columns of a hit. Positions come
-    from a top-k, so a query's group is small.
+    from a top-k, so a query's group is small. distinct: see fold.
     """
     kind = hits.schema[query].dataType.simpleString()
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = frame.sort_values("position").astype(object).where(lambda x: x.notna(), None).to_dict("records")
-        kept, total, raw = fold(rows, budget)
+        kept, total, raw = fold(rows, budget, distinct)
         out = pd.DataFrame(kept, columns=["rank", "title", "uri", "heading", "text", "score", "tokens"])
         out.insert(0, query, frame[query].iloc[0])
         return out.assign(total_tokens=total, raw_tokens=raw, saved_percent=max(0, round(100 * (1 - total / raw))) if raw else 0)

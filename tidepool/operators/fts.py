@@ -295,13 +295,13 @@ def like(chunks: DataFrame, words: tuple[str, ...], limit: int, where: Column |
     return best.withColumn("score", 1.0 / F.row_number().over(Window.orderBy("__at", key))).drop("__at")  # at most `limit` rows
 
 
-def ladder(index: Index, chunks: DataFrame, query: Query, limit: int, where: Column | None = None, filtered: bool = False, partial: bool = False) -> DataFrame:
-    """Strict matches; if there are none, loose ones; without any word, what the filters alone let through."""
+def ladder(index: Index, chunks: DataFrame, query: Query, limit: int, where: Column | None = None, filtered: bool = False, partial: bool = False, loose: bool = True) -> DataFrame:
+    """Strict matches; if there are none, loose ones (unless they aren't wanted); without any word, what the filters alone let through."""
     if query.primary is None:
         if filtered and not isinstance(index, Index):
             return index.substring(query.words, limit, where, chunks.select(index.key) if partial else None)
         return like(chunks, query.words, limit, where, index.key) if filtered else chunks.limit(0).withColumn("score", F.lit(0.0))
     strict = search(index, chunks, query.primary, limit, where, partial)
-    if str(query.fallback) == str(query.primary) or not strict.isEmpty():
+    if not loose or str(query.fallback) == str(query.primary) or not strict.isEmpty():
         return strict
     return search(index, chunks, query.fallback, limit, where, partial)

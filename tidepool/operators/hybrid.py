@@ -107,10 +107,11 @@ def hybrid(
     partial: bool = False,
     stopwords: frozenset[str] | None = None,
     named: Callable[[list], DataFrame] | None = None,
+    loose: bool = True,
 ) -> DataFrame:
-    """Full-text ladder and vector neighbours of a query, fused. Without an embedder only the text counts. partial: see fts.search; named: see fuse."""
+    """Full-text ladder and vector neighbours of a query, fused. Without an embedder only the text counts. partial: see fts.search; named: see fuse; loose: see fts.ladder."""
     key = index.key
-    text_hits = fts.ladder(index, chunks, fts.parse(query, keywords, stopwords), settings.fts_limit, where, filtered=where is not None, partial=partial)
+    text_hits = fts.ladder(index, chunks, fts.parse(query, keywords, stopwords), settings.fts_limit, where, filtered=where is not None, partial=partial, loose=loose)
     near = None
     if embedder is not None and embeddings is not None:
         rows = embeddings

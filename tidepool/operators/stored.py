@@ -35,14 +35,14 @@ def searchable(tables: dict[str, DataFrame]) -> DataFrame:
     return chunks.join(well(tables), "document_id").select(*HIT)
 
 
-def ask(tables: dict[str, DataFrame], made: fts.Index | segments.SegmentIndex, query: str, embedder=None, settings: Retrieval = Retrieval(), kinds: Iterable[str] = (), sources: Iterable[str] = (), keywords: tuple[str, ...] = (), scorer=None, stopwords: frozenset[str] | None = None) -> DataFrame:
-    """The hits of a query, best first. sources: ids or addresses; an unknown one, or an unknown kind, is an error. With a kept index the texts of hits alone are read."""
+def ask(tables: dict[str, DataFrame], made: fts.Index | segments.SegmentIndex, query: str, embedder=None, settings: Retrieval = Retrieval(), kinds: Iterable[str] = (), sources: Iterable[str] = (), keywords: tuple[str, ...] = (), scorer=None, stopwords: frozenset[str] | None = None, loose: bool = True) -> DataFrame:
+    """The hits of a query, best first. sources: ids or addresses; an unknown one, or an unknown kind, is an error. loose: whether some words do where no chunk has all. With a kept index the texts of hits alone are read."""
     known = [filters.resolve_source(tables["sources"], s) for s in sources]
     where = filters.condition(filters.parse_kinds(list(kinds)), known, keywords)
     named = None
     if isinstance(made, segments.SegmentIndex):
         named = lambda keys: F.broadcast(made.named(keys).drop("title")).join(well(tables), "document_id").select(*HIT)  # noqa: E731  a few rows
-    found = hybrid.hybrid(made, searchable(tables), tables.get("embeddings"), query, embedder, settings, where, keywords, scorer, partial=True, stopwords=stopwords, named=named)
+    found = hybrid.hybrid(made, searchable(tables), tables.get("embeddings"), query, embedder, settings, where, keywords, scorer, partial=True, stopwords=stopwords, named=named, loose=loose)
     return found.select(*HIT, "score")
 
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.session import _BATCHES, BATCH_BYTES, BATCH_ROWS, bounded_batches, size_of  # noqa: F401  callers take them from here
+
 #: ASCII white space, as `bytes.split()` takes it: space and \t \n \v \f \r.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
@@ -68,31 +70,6 @@ def release_scratch(spark: SparkSession, newest: int = 0) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-#: Rows and bytes that go to a Python worker at once.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
-_UNITS = {"": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}
-
-
-def size_of(value: str) -> int:
-    """A setting's number of rows or bytes: plain, or with a unit as in 64m, 1g, 512kb."""
-    m = re.fullmatch(r"\s*([+-]?\d+)\s*([kmgtp]?)b?\s*", value.lower())
-    if not m:
-        raise ValueError(f"no size: {value!r}")
-    return int(m[1]) << _UNITS[m[2]]
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Sees to it that long documents reach the workers in small batches.
-
-    A session setting, as plans read it only when they run; smaller ones stay, none
-    or less means no bound and is replaced. restored_batches() undoes it.
-    """
-    for key, most in _BATCHES.items():
-        if not 0 < size_of(spark.conf.get(key)) <= most:
-            spark.conf.set(key, str(most))
-
-
 @contextlib.contextmanager
 def restored_batches(spark: SparkSession) -> Iterator[None]:
     """For callers that run all plans inside: the batch settings are afterwards what they were before."""

@@ -34,20 +34,23 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
 from tidepool.operators import fts, manifest
-from tidepool.session import written
+from tidepool.session import bounded_batches, written
 
 #: Chunks of a range, as a power of two; ranges of a group of blocks that lie in one file; chunks of a file.
 RANGE_BITS, GROUP_BITS, PART_ROWS = 6, 10, 1 << 16
+#: Characters of a file, and steps in which sizes are told apart for each power of two.
+PART_CHARS, LEVELS = 1 << 26, 8
 #: Chunks that are worth a task of their own.
 FEW_ROWS = 1 << 10
 #: Folders of blocks, ranges that are scored to begin with, ranges named one by one in a scan, and segments of like size that become one.
@@ -92,17 +95,62 @@ def weighted(spots: Column) -> Column:
     return F.aggregate(spots, F.lit(0), lambda s, x: s + F.get(weights, F.shiftright(x, FIELD_BIT)))
 
 
+def whole_ranges(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, so that neighbouring rows of a range come together. Places are the first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        batch = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0] if held and batch.num_rows else batch
+        if not batch.num_rows:
+            continue
+        ranges = batch.column(0).to_numpy() >> bits
+        cut = np.flatnonzero(ranges != ranges[-1])
+        cut = cut[-1] + 1 if len(cut) else 0
+        if cut:
+            yield batch.slice(0, cut)
+        held = [batch.slice(cut)]
+    yield from held
+
+
+def blocked(batch: pa.RecordBatch, bits: int, weights: list[int]) -> pa.RecordBatch | None:
+    """The posting blocks of places and the token arrays of each field, rows of a range side by side."""
+    places = batch.column(0).to_numpy()
+    sizes = [c.value_lengths().to_numpy().astype(np.int64) for c in batch.columns[1:]]
+    lens = sum(sizes).astype(np.int32)
+    words = pa.concat_arrays([c.flatten() for c in batch.columns[1:]]).dictionary_encode()
+    if not len(words):
+        return None
+    code, row = words.indices.to_numpy().astype(np.int64), np.concatenate([np.repeat(np.arange(len(n)), n) for n in sizes])
+    spot = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (k << FIELD_BIT) for k, n in enumerate(sizes)]).astype(np.int32)
+    weight = np.repeat(np.array(weights, np.int32), [n.sum() for n in sizes])
+    ranges = places >> bits
+    nth = np.concatenate([[0], np.cumsum(ranges[1:] != ranges[:-1])])
+    posting = (nth[row] * len(words.dictionary) + code << bits) + (places[row] & (1 << bits) - 1)
+    order = np.argsort(posting, kind="stable")  # fields come one after the other, so a posting's spots are in order
+    posting, spot = posting[order], spot[order]
+    starts = np.flatnonzero(np.concatenate([[True], posting[1:] != posting[:-1]]))
+    of, row = posting[starts] >> bits, row[order][starts]
+    heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    tf, fs, ls = np.diff(np.append(starts, len(spot))), np.add.reduceat(weight[order], starts).astype(np.int32), lens[row]
+    lists = lambda at, values: pa.ListArray.from_arrays(pa.array(np.append(at, len(values)), pa.int32()), values)
+    return pa.RecordBatch.from_arrays(
+        [
+            words.dictionary.take(pa.array(code[order][starts][heads])), pa.array(places[row[heads]] >> bits), pa.array(np.diff(np.append(heads, len(starts))).astype(np.int32)), pa.array(np.add.reduceat(tf, heads)),
+            pa.array(np.maximum.reduceat(fs, heads)), pa.array(np.minimum.reduceat(ls, heads)), lists(heads, pa.array(places[row])), lists(heads, pa.array(ls)), lists(heads, pa.array(fs)), lists(heads, lists(starts, pa.array(spot))),
+        ],
+        [c.split()[0] for c in BLOCKS.split(", ")[:-1]],
+    )
+
+
 def blocks_of(chunks: DataFrame) -> DataFrame:
-    """The posting blocks of stored chunks. One shuffle of occurrences, by bucket and group of ranges; a common term is dealt out by ranges."""
-    ranges = F.shiftright(PLACE, RANGE_BITS)
-    rows = occurrences(chunks).select("*", (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int").alias("bucket"), ranges.alias("range"), F.shiftright(ranges, GROUP_BITS).alias("group"))
-    whole = ["bucket", "group", "term", "range"]
-    each = rows.repartition("bucket", "group").groupBy(*whole, PLACE, LENGTH).agg(F.array_sort(F.collect_list("spot")).alias("spots"))
-    one = F.struct(F.col(PLACE).alias("o"), F.col(LENGTH).alias("l"), weighted(F.col("spots")).alias("f"), F.col("spots").alias("s"))
-    told = each.groupBy(*whole).agg(F.array_sort(F.collect_list(one)).alias("p"))
-    of = lambda c: F.transform("p", lambda x: x[c])
-    tf = F.aggregate("p", F.lit(0).cast("bigint"), lambda s, x: s + F.size(x["s"]))
-    return told.select("term", "range", F.size("p").alias("n"), tf.alias("tf"), F.array_max(of("f")).alias("most"), F.array_min(of("l")).alias("least"), of("o").alias("ords"), of("l").alias("lens"), of("f").alias("fs"), of("s").alias("spots"), "bucket")
+    """The posting blocks of stored chunks, by the task that reads them: nothing is shuffled. A range that two tasks share has two blocks of a term, of different chunks."""
+    bounded_batches(chunks.sparkSession)
+    bits, weights = RANGE_BITS, [int(w) for w in fts.FIELDS.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from filter(None, (blocked(batch, bits, weights) for batch in whole_ranges(batches, bits)))
+
+    rows = fts.tokenized(chunks, PLACE).mapInArrow(run, BLOCKS.rsplit(",", 1)[0])
+    return rows.select("*", (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int").alias("bucket"))
 
 
 def grams(low: str) -> set[str]:
@@ -140,15 +188,38 @@ def write_grams(stored: DataFrame, to: str) -> None:
     whole.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").partitionBy("bucket").parquet(f"{to}/grams")
 
 
+def dealt(chunks: DataFrame, size: Column, key: str, part_rows: int) -> tuple[int, Callable[[Column], Column]]:
+    """How many parts chunks are stored in, and the part of a chunk of this size: of like sizes, and bounded in chunks and in characters."""
+    level = lambda c: F.floor(F.log2(c + F.lit(1.0)) * LEVELS).cast("int")
+    told = chunks.groupBy(level(size).alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size")).orderBy("level").collect()  # 31 * LEVELS rows at most
+    n = sum(r["n"] for r in told)
+    tasks = max(1, min(chunks.sparkSession.sparkContext.defaultParallelism, n // FEW_ROWS))  # files are also what tasks are made of
+    most = max(1, min(part_rows, -(-n // tasks)))
+    first: dict[int, int] = {}
+    many: dict[int, int] = {}
+    parts = rows = chars = 0
+    for r in told:
+        k = max(1, -(-r["n"] // most), -(-r["size"] // PART_CHARS))
+        if k > 1 or not parts or rows + r["n"] > most or chars + r["size"] > PART_CHARS:
+            parts, rows, chars = parts + k, (0 if k == 1 else most), 0
+        rows, chars = rows + r["n"], chars + r["size"]
+        first[r["level"]], many[r["level"]] = parts - k, k
+
+    def part(length: Column) -> Column:
+        of = lambda told: F.create_map(*(F.lit(x) for pair in told.items() for x in pair))[level(length)] if told else F.lit(None).cast("int")
+        return F.coalesce(of(first), F.lit(0)) + F.pmod(F.hash(key), F.coalesce(of(many), F.lit(1)))
+
+    return max(1, parts), part
+
+
 def write_segment(chunks: DataFrame, key: str, at: str, part_rows: int, substrings: bool = False) -> dict:
     """A segment of these chunks; what the manifest says of it."""
     spark, name = chunks.sparkSession, uuid.uuid4().hex
     to = f"{at}/segments/{name}"
-    n = chunks.count()
-    parts = max(1, -(-n // part_rows), min(spark.sparkContext.defaultParallelism, n // FEW_ROWS))  # files are also what tasks are made of
     size = reduce(lambda a, b: a + b, [F.coalesce(F.length(f), F.lit(0)) for f in fts.FIELDS if f in chunks.columns])
     # neighbours of like length: a block's greatest score is then near what its chunks reach
-    ordered = chunks.withColumn(LENGTH, size).repartitionByRange(parts, LENGTH, key).sortWithinPartitions(LENGTH, key).drop(LENGTH)
+    parts, part = dealt(chunks, size, key, part_rows)
+    ordered = chunks.withColumn(LENGTH, size).repartitionById(parts, part(F.col(LENGTH))).sortWithinPartitions(LENGTH, key).drop(LENGTH)
     ordered.withColumn(PLACE, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{to}/chunks")
     stored = spark.read.parquet(f"{to}/chunks")
     of = F.col("_metadata.file_path")
@@ -321,6 +392,15 @@ class SegmentIndex:
                 rows = rows.join(gone, ["segment", PLACE], "left_anti")
         return rows
 
+    def keyed_postings(self) -> DataFrame:
+        """key, length, term, f and spots of every posting of the chunks that are there. Keys come to the blocks, those of a range at once, so that blocks are shuffled and postings aren't."""
+        last = (1 << RANGE_BITS) - 1
+        keys = self.keys().groupBy("segment", F.shiftright(PLACE, RANGE_BITS).alias("range")).agg(F.map_from_entries(F.collect_list(F.struct(F.col(PLACE).bitwiseAND(F.lit(last)).cast("int").alias("i"), "key"))).alias("held"))
+        keys = keys.select("segment", "range", F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.try_element_at("held", i)).alias("held"))
+        named = F.transform("ords", lambda o: F.get("held", o.bitwiseAND(F.lit(last)).cast("int")))
+        rows = self.blocks().join(keys, ["segment", "range"]).withColumn("named", named)
+        return rows.select("term", F.inline(F.arrays_zip("named", "lens", "fs", "spots")).alias("key", LENGTH, "f", "spots")).where("key is not null")
+
     # ---- search
 
     def idf(self, df: Column) -> Column:

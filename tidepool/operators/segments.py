@@ -7,8 +7,8 @@ table from keys to places in that order.
 Postings lie in blocks: a row for each term and each RANGE neighbouring chunks, with their
 places, lengths, weighted frequencies and positions as arrays (which Parquet keeps as
 differences), and in front of them the greatest frequency and least length of the block.
-Blocks lie in folders by a checksum of the term, ordered by term and range, so a query
-reads its own terms' pages.
+A task writes its blocks in sections, each ordered by term and range, so a query reads its own
+terms' pages; nothing is shuffled or sorted by Spark for that.
 
 A search for the best k first reads the blocks' heads. They give the document frequencies,
 and for each range the most that a chunk of it can score. The ranges that promise most are scored; their
@@ -17,8 +17,9 @@ read. That holds with filters too, as only chunks that pass count. Then the hits
 chunks are read from the files whose ranges they lie in, which a small table tells.
 
 Substrings: with_substrings() adds, for every three neighbouring characters of a lower-cased
-text, a bit for each chunk of a range that has them. The chunks that have all threes of
-the words asked for are candidates; only those are read, and looked through.
+text, a bit for each chunk of a range that has them, in sections like those of blocks. The
+chunks that have all threes of the words asked for are candidates; only those are read, and
+looked through.
 
 Maintenance: chunks that are added make a new segment; deleting writes down the places that
 are gone, with their terms' counts, and touches no block; a change is both. Statistics are sums
@@ -33,13 +34,13 @@ found; an empty index finds nothing; keys are unique; ties go by key.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
@@ -47,20 +48,23 @@ from pyspark.sql.types import DoubleType, LongType, StructType
 from tidepool.operators import fts, manifest
 from tidepool.session import bounded_batches, written
 
-#: Chunks of a range, as a power of two; ranges of a group of blocks that lie in one file; chunks of a file.
-RANGE_BITS, GROUP_BITS, PART_ROWS = 6, 10, 1 << 16
+#: Chunks of a range, as a power of two; chunks of a file.
+RANGE_BITS, PART_ROWS = 6, 1 << 16
 #: Characters of a file, and steps in which sizes are told apart for each power of two.
 PART_CHARS, LEVELS = 1 << 26, 8
 #: Chunks that are worth a task of their own.
 FEW_ROWS = 1 << 10
-#: Folders of blocks, ranges that are scored to begin with, ranges named one by one in a scan, and segments of like size that become one.
-BUCKETS, SEEDS, NAMED, MERGE = 32, 8, 4096, 4
+#: Occurrences of words, or rows of threes of characters, that a task puts in order at once; rows of a page of theirs, bytes of a group of pages (which has dictionaries of its own).
+SECTION, PAGE_ROWS, GROUP_BYTES = 1 << 20, 4096, 8 << 20
+#: Ranges that are scored to begin with, ranges named one by one in a scan, and segments of like size that become one.
+SEEDS, NAMED, MERGE = 8, 4096, 4
 #: A position in an array of positions: the field's number above this bit.
 FIELD_BIT = 28
 PLACE, LENGTH, SCORE = "__ord", "__len", "score"
-GRAM = 3
-GRAMS = "gram string, range bigint, bits bigint, bucket int"
-BLOCKS = "term string, range bigint, n int, tf bigint, most int, least int, ords array<bigint>, lens array<int>, fs array<int>, spots array<array<int>>, bucket int"
+#: Characters of a gram, bits of a character in its number, and characters of which grams are taken at once.
+GRAM, CHAR_BITS, WINDOW = 3, 21, 1 << 17
+GRAMS = "gram bigint, range bigint, bits bigint"
+BLOCKS = "term string, range bigint, n int, tf bigint, most int, least int, ords array<bigint>, lens array<int>, fs array<int>, spots array<array<int>>"
 
 
 @dataclass
@@ -74,10 +78,6 @@ class Reads:
     candidates: int | None = None
 
 
-def bucket_of(term: str) -> int:
-    return zlib.crc32(term.encode()) % BUCKETS
-
-
 def occurrences(chunks: DataFrame, by: str = PLACE) -> DataFrame:
     """`by`, length, term and position of every occurrence; the corpus is tokenized here and nowhere else."""
     t = fts.tokenized(chunks, by)
@@ -111,8 +111,27 @@ def whole_ranges(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
     yield from held
 
 
+def sections(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches of places and token arrays, put together until they hold that many tokens."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += sum(len(c.flatten()) for c in batch.columns[1:])
+        if n >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for i in range(0, batch.num_rows, 4 * PAGE_ROWS):
+        yield batch.slice(i, 4 * PAGE_ROWS)
+
+
 def blocked(batch: pa.RecordBatch, bits: int, weights: list[int]) -> pa.RecordBatch | None:
-    """The posting blocks of places and the token arrays of each field, rows of a range side by side."""
+    """The posting blocks of places and the token arrays of each field, by term and range; the rows of a range stand side by side."""
     places = batch.column(0).to_numpy()
     sizes = [c.value_lengths().to_numpy().astype(np.int64) for c in batch.columns[1:]]
     lens = sum(sizes).astype(np.int32)
@@ -124,7 +143,9 @@ def blocked(batch: pa.RecordBatch, bits: int, weights: list[int]) -> pa.RecordBa
     weight = np.repeat(np.array(weights, np.int32), [n.sum() for n in sizes])
     ranges = places >> bits
     nth = np.concatenate([[0], np.cumsum(ranges[1:] != ranges[:-1])])
-    posting = (nth[row] * len(words.dictionary) + code << bits) + (places[row] & (1 << bits) - 1)
+    rank = np.empty(len(words.dictionary), np.int64)
+    rank[pc.array_sort_indices(words.dictionary).to_numpy()] = np.arange(len(rank))
+    posting = (rank[code] * (nth[-1] + 1) + nth[row] << bits) + (places[row] & (1 << bits) - 1)
     order = np.argsort(posting, kind="stable")  # fields come one after the other, so a posting's spots are in order
     posting, spot = posting[order], spot[order]
     starts = np.flatnonzero(np.concatenate([[True], posting[1:] != posting[:-1]]))
@@ -137,55 +158,80 @@ def blocked(batch: pa.RecordBatch, bits: int, weights: list[int]) -> pa.RecordBa
             words.dictionary.take(pa.array(code[order][starts][heads])), pa.array(places[row[heads]] >> bits), pa.array(np.diff(np.append(heads, len(starts))).astype(np.int32)), pa.array(np.add.reduceat(tf, heads)),
             pa.array(np.maximum.reduceat(fs, heads)), pa.array(np.minimum.reduceat(ls, heads)), lists(heads, pa.array(places[row])), lists(heads, pa.array(ls)), lists(heads, pa.array(fs)), lists(heads, lists(starts, pa.array(spot))),
         ],
-        [c.split()[0] for c in BLOCKS.split(", ")[:-1]],
+        [c.split()[0] for c in BLOCKS.split(", ")],
     )
 
 
 def blocks_of(chunks: DataFrame) -> DataFrame:
     """The posting blocks of stored chunks, by the task that reads them: nothing is shuffled. A range that two tasks share has two blocks of a term, of different chunks."""
     bounded_batches(chunks.sparkSession)
-    bits, weights = RANGE_BITS, [int(w) for w in fts.FIELDS.values()]
+    bits, most, weights = RANGE_BITS, SECTION, [int(w) for w in fts.FIELDS.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from filter(None, (blocked(batch, bits, weights) for batch in whole_ranges(batches, bits)))
+        for section in sections(whole_ranges(batches, bits), most):
+            made = blocked(section, bits, weights)
+            if made is not None:
+                yield from sliced(made)
 
-    rows = fts.tokenized(chunks, PLACE).mapInArrow(run, BLOCKS.rsplit(",", 1)[0])
-    return rows.select("*", (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int").alias("bucket"))
+    return fts.tokenized(chunks, PLACE).mapInArrow(run, BLOCKS)
 
 
-def grams(low: str) -> set[str]:
-    return {low[i : i + GRAM] for i in range(len(low) - GRAM + 1)}
+def grams(low: str) -> set[int]:
+    """Every three neighbouring characters, as the number that their code points make."""
+    return {reduce(lambda n, c: n << CHAR_BITS | ord(c), low[i : i + GRAM], 0) for i in range(len(low) - GRAM + 1)}
 
 
-def write_grams(stored: DataFrame, to: str) -> None:
-    """The threes of characters of stored chunks: for each and each range the bits of the chunks that have it. A task sums up a range before anything is shuffled."""
+def merged(grams: np.ndarray, ranges: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By gram and range, the bits of equal ones together."""
+    order = np.lexsort((ranges, grams))
+    grams, ranges = grams[order], ranges[order]
+    heads = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (ranges[1:] != ranges[:-1])]))
+    return grams[heads], ranges[heads], np.bitwise_or.reduceat(bits[order], heads)
+
+
+def windows(batch: pa.RecordBatch, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The grams of places and texts, as merged() has them, of WINDOW characters at once."""
+    texts = batch.column(1).to_pylist()
+    places, of = batch.column(0).to_numpy(), np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    for i in range(0, len(chars) - GRAM + 1, WINDOW):
+        c, row = chars[i : i + WINDOW + GRAM - 1].astype(np.int64), of[i : i + WINDOW + GRAM - 1]
+        n = len(c) - GRAM + 1
+        whole = row[:n] == row[GRAM - 1 :]  # not across two texts
+        at = places[row[:n][whole]]
+        gram = reduce(lambda g, k: g << CHAR_BITS | c[k : k + n], range(1, GRAM), c[:n])[whole]
+        if len(at):
+            yield merged(gram, at >> bits, np.uint64(1) << (at & (1 << bits) - 1).astype(np.uint64))
+
+
+def grams_of(stored: DataFrame) -> DataFrame:
+    """The threes of characters of stored chunks: for each and each range the bits of the chunks that have it, by the task that reads them: nothing is shuffled. Where a section or a task ends within a range, a gram has two rows of different bits."""
+    bounded_batches(stored.sparkSession)
+    bits, most, names = RANGE_BITS, SECTION, [c.split()[0] for c in GRAMS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[str, int] = {}
-        at = None
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def made() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(bits), pa.string()), pa.array([at] * len(bits), pa.int64()), pa.array([x - (1 << 64) if x >> 63 else x for x in bits.values()], pa.int64())], ["gram", "range", "bits"])
-            bits.clear()
-            return out
+        def made() -> Iterator[pa.RecordBatch]:
+            whole = merged(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held.clear()
+            yield from sliced(pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in whole], names))
 
         for batch in batches:
-            for place, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if place >> RANGE_BITS != at:
-                    if bits:
-                        yield made()
-                    at = place >> RANGE_BITS
-                bit = 1 << (place & (1 << RANGE_BITS) - 1)
-                for g in grams(low):
-                    bits[g] = bits.get(g, 0) | bit
-        if bits:
-            yield made()
-
-    rows = stored.select(PLACE, F.lower("text").alias("low")).where("low is not null").mapInArrow(run, "gram string, range bigint, bits bigint")
-    rows = rows.select("*", (F.crc32(F.col("gram").cast("binary")) % BUCKETS).cast("int").alias("bucket"), F.shiftright("range", GROUP_BITS).alias("group"))
-    whole = rows.repartition("bucket", "group").groupBy("bucket", "group", "gram", "range").agg(F.bit_or("bits").alias("bits"))
-    whole = whole.select("gram", "range", "bits", "bucket").sortWithinPartitions("bucket", "gram", "range")
-    whole.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").partitionBy("bucket").parquet(f"{to}/grams")
+            for some in windows(batch, bits):
+                held.append(some)
+                if sum(len(g) for g, _, _ in held) >= most:
+                    yield from made()
+        if held:
+            yield from made()
+
+    return stored.select(PLACE, F.lower("text").alias("low")).where("low is not null").mapInArrow(run, GRAMS)
+
+
+def write_sections(rows: DataFrame, to: str) -> None:
+    """Rows as they come, in pages so small that those of one key are few."""
+    pages = {"parquet.page.row.count.limit": str(PAGE_ROWS), "parquet.block.size": str(GROUP_BYTES)}
+    rows.write.options(**pages).option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").parquet(to)
 
 
 def dealt(chunks: DataFrame, size: Column, key: str, part_rows: int) -> tuple[int, Callable[[Column], Column]]:
@@ -225,10 +271,9 @@ def write_segment(chunks: DataFrame, key: str, at: str, part_rows: int, substrin
     of = F.col("_metadata.file_path")
     stored.select(of.alias("file"), PLACE).groupBy("file").agg(F.min(PLACE).alias("first"), F.max(PLACE).alias("last"), F.count(F.lit(1)).alias("n")).coalesce(1).write.parquet(f"{to}/files")
     stored.select(F.col(key).alias("key"), PLACE).repartitionByRange(parts, "key").sortWithinPartitions("key").write.option("compression", "zstd").parquet(f"{to}/keys")
-    made = blocks_of(stored).sortWithinPartitions("bucket", "term", "range")
-    made.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").partitionBy("bucket").parquet(f"{to}/blocks")
+    write_sections(blocks_of(stored), f"{to}/blocks")
     if substrings:
-        write_grams(stored, to)
+        write_sections(grams_of(stored), f"{to}/grams")
     n, files = spark.read.parquet(f"{to}/files").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, blocks = spark.read.schema(BLOCKS).parquet(f"{to}/blocks").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.count(F.lit(1))).first() if n else (0, 0)
     return {"name": name, "n": n, "tokens": tokens, "blocks": blocks, "files": files, "gone": []}
@@ -285,7 +330,7 @@ class SegmentIndex:
         if self.substrings:
             return self
         for s in self.segments:
-            write_grams(self._chunks(s), f"{self.at}/segments/{s['name']}")
+            write_sections(grams_of(self._chunks(s)), f"{self.at}/segments/{s['name']}/grams")
         return self._next(self.segments, substrings=True)
 
     def _without(self, keys: DataFrame) -> list[dict]:
@@ -357,7 +402,7 @@ class SegmentIndex:
 
         def of(s: dict) -> DataFrame:
             rows = self.spark.read.schema(BLOCKS).parquet(f"{self.at}/segments/{s['name']}/blocks")
-            rows = rows if terms is None else rows.where(F.col("bucket").isin(sorted({bucket_of(t) for t in terms})) & F.col("term").isin(terms))
+            rows = rows if terms is None else rows.where(F.col("term").isin(terms))
             return rows.select("term", "range", "n", "tf", "most", "least") if heads else rows
 
         return self._union(of)
@@ -555,10 +600,10 @@ class SegmentIndex:
         asked = sorted(set().union(*(grams(w.lower()) for w in words)) if words else ())
         if not asked or not self.substrings:
             return None
-        buckets = sorted({bucket_of(g) for g in asked})
-        rows = self._union(lambda s: self.spark.read.schema(GRAMS).parquet(f"{self.at}/segments/{s['name']}/grams").where(F.col("bucket").isin(buckets) & F.col("gram").isin(asked)))
+        rows = self._union(lambda s: self.spark.read.schema(GRAMS).parquet(f"{self.at}/segments/{s['name']}/grams").where(F.col("gram").isin(asked)))
         if rows is None:
             return None
+        rows = rows.repartition("segment", "range").groupBy("segment", "range", "gram").agg(F.bit_or("bits").alias("bits"))
         return rows.groupBy("segment", "range").agg(F.count(F.lit(1)).alias("n"), F.bit_and("bits").alias("bits")).where((F.col("n") == len(asked)) & (F.col("bits") != 0)).drop("n")
 
     def substring(self, words: tuple[str, ...], limit: int, where: Column | None = None, allowed: DataFrame | None = None) -> DataFrame:
